@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe
+from gridindex.llm import bpe, licenses, pii
 
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +26,18 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op5_pii_anchors": op5_pii_anchors,
+    "op7_license_automaton": op7_license_automaton,
 }
