@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, licenses, pii
+from gridindex.llm import bpe, licenses, pii, simhash
 
 ORACLES: dict[str, str] = {}
 
@@ -36,8 +36,14 @@ def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return simhash.edited(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op5_pii_anchors": op5_pii_anchors,
     "op7_license_automaton": op7_license_automaton,
+    "op9_simhash_edits": op9_simhash_edits,
 }
