@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, licenses, pii, simhash
+from gridindex.llm import bpe, licenses, pii, secret_scan, simhash
 
 ORACLES: dict[str, str] = {}
 
@@ -36,6 +36,11 @@ def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by rules and by models trained on all of them."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return simhash.edited(spark, _table(spark, sf_dir, "documents"))
@@ -45,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op5_pii_anchors": op5_pii_anchors,
     "op7_license_automaton": op7_license_automaton,
+    "op8_secret_markov": op8_secret_markov,
     "op9_simhash_edits": op9_simhash_edits,
 }
