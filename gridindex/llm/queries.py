@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, licenses, pii, secret_scan, simhash
+from gridindex.llm import bpe, licenses, pii, secret_scan, simhash, token_files
+from gridindex.llm.ranges import scratch
 
 ORACLES: dict[str, str] = {}
 
@@ -26,6 +27,13 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to block files and read back."""
+    path = scratch(spark, "token_files")
+    token_files.write(spark, _table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
+    return token_files.read(spark, path, "ids_crc32 long", token_files.crc32)
+
+
 def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.scan(_table(spark, sf_dir, "documents"))
@@ -48,6 +56,7 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op4_token_blocks": op4_token_blocks,
     "op5_pii_anchors": op5_pii_anchors,
     "op7_license_automaton": op7_license_automaton,
     "op8_secret_markov": op8_secret_markov,
