@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, licenses, pii, secret_scan, simhash, token_files
+from gridindex.llm import bpe, licenses, minhash, pii, secret_scan, simhash, token_files
 from gridindex.llm.ranges import scratch
 
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return minhash.near_duplicates(spark, _table(spark, sf_dir, "documents"), size=4)
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to block files and read back."""
     path = scratch(spark, "token_files")
@@ -56,6 +61,7 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_hyperminhash": op3_hyperminhash,
     "op4_token_blocks": op4_token_blocks,
     "op5_pii_anchors": op5_pii_anchors,
     "op7_license_automaton": op7_license_automaton,
