@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, licenses, minhash, pii, secret_scan, simhash, token_files
+from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, secret_scan, simhash, token_files
 from gridindex.llm.ranges import scratch
 
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in the documents, and where."""
+    return decontaminate.contaminated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the token automaton."""
     return bpe.encode_documents(spark, _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -60,6 +65,7 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_latent_leaks": op1_latent_leaks,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_hyperminhash": op3_hyperminhash,
     "op4_token_blocks": op4_token_blocks,
