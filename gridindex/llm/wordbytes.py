@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """The words of the texts lo..hi-1: first[i]:first[i+1] are those of text lo+i; start and end are byte offsets in data."""
+    """The words of the texts lo..hi-1: first[i]:first[i+1] are those of text lo+i; start and end are byte offsets, total and down what hashes of other stretches come from."""
 
     lo: int
     hi: int
@@ -55,8 +55,14 @@ class Words(NamedTuple):
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    data: np.ndarray
-    bounds: np.ndarray
+    total: np.ndarray
+    down: np.ndarray
+
+    def prefix(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words longer than length bytes, and the hash of that many first bytes of each."""
+        at = np.flatnonzero(self.end - self.start > length)
+        start = self.start[at]
+        return at, mix((self.total[start + length] - self.total[start]) * self.down[start])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +97,7 @@ def words(column: pa.Array, table: np.ndarray = NOT_SPACE) -> Iterator[Words]:
         up, down = (_UP, _DOWN) if n <= _CHUNK else (_powers(_STEP, n + 1), _powers(_BACK, n + 1))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        yield Words(lo, hi, np.searchsorted(start, bounds), mix((total[end] - total[start]) * down[start]), start, end, data, bounds)
+        yield Words(lo, hi, np.searchsorted(start, bounds), mix((total[end] - total[start]) * down[start]), start, end, total, down)
         lo = hi
 
 
