@@ -28,7 +28,9 @@ REGISTERS, BAND, MANTISSA, EMPTY = 128, 4, 10, 0xFFFF
 FINE, FINE_MANTISSA, FINE_EMPTY, CHANCE = 512, 5, 0xFF, 0.015
 #: A pair goes to verification unless its estimate lies so many standard errors below the threshold.
 SLACK = 4.5
-BLOCK = 256
+BLOCK = 1024
+#: Buckets of more members than this are settled where they meet, on full sets; smaller ones only propose pairs.
+LARGE = 64
 #: Ids are broadcast to pick texts only up to this many (8 bytes each); beyond it the join is left to Spark.
 BROADCAST_IDS = 1_000_000
 
@@ -137,19 +139,23 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts of documents in the pairs are read into sets."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """node, set (sorted 64-bit hashes) of the documents with these ids (node)."""
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(wanted, "node")
 
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(1), size)], pa.binary())], ["node", "set"])
 
-    sets = texts.mapInArrow(as_sets, "node long, set binary")
+    return texts.mapInArrow(run, "node long, set binary")
+
+
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold. Only texts of documents in the pairs are read into sets."""
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size)
     named = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "s_a", "s_b")
 
@@ -165,33 +171,49 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int,
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of members of one bucket (key, node, comp, n) whose components differ.
+def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket (key, band, node, comp, n) whose components differ.
 
-    A bucket is cut into chunks of about BLOCK members by hash; each two chunks (and each with itself) meet in one block.
+    more: node, n_shingles, sketch and, where pairs are to be settled here, bands and set. Without sets the pairs are what
+    the sketches let through; with sets they are links, each looked at in the first band in which the two agree.
+    A bucket is cut into chunks of about BLOCK members by hash; each two chunks (and each with itself) meet in one block,
+    whose size is bounded; blocks emit nothing else.
     """
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.hash("node"), F.col("chunks")))
-    dealt = own.select("key", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    block = dealt.select("node", "comp", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") == F.col("other")).alias("self"))
-    rows = block.join(sketches, "node").select("block", "node", "comp", "own", "self", "n_shingles", "sketch")
+    own = members.withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("chunks")))
+    dealt = own.select("key", "band", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    block = dealt.select("node", "comp", "own", "band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") == F.col("other")).alias("self"))
+    settle = "set" in more.columns
+    rows = block.join(more, "node").select("block", "node", "comp", "own", "band", "self", *[c for c in more.columns if c != "node"])
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = rows.repartition(n, "block").sortWithinPartitions("block")
 
     def pairs(block: pa.Table) -> pa.RecordBatch | None:
         order = np.argsort(block.column("node").to_numpy(), kind="stable")
-        node, comp, own, size = (block.column(c).to_numpy()[order] for c in ("node", "comp", "own", "n_shingles"))
-        alone = bool(block.column("self")[0].as_py())
-        left = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE)[order]
+        block = block.take(pa.array(order))
+        node, comp, own, size = (block.column(c).to_numpy() for c in ("node", "comp", "own", "n_shingles"))
+        alone, band = bool(block.column("self")[0].as_py()), block.column("band")[0].as_py()
+        prints = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE)
+        if settle:
+            bands = np.stack([np.array(x, np.int64) for x in block.column("bands").to_pylist()])
+            sets = [np.frombuffer(x, np.uint64) for x in block.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets])
         out_a, out_b = [], []
         for i in range(len(node) - 1):
             far = (comp[i + 1 :] != comp[i]) & (alone | (own[i + 1 :] != own[i])) & (node[i + 1 :] != node[i])
             near = far & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
             j = np.flatnonzero(near) + i + 1
+            if settle and len(j):
+                j = j[((bands[j] == bands[i]) & (bands[j] != -1)).argmax(1) == band]
             if len(j):
-                j = j[plausible(left[i], left[j], size[i], size[j], percent)]
-                out_a += [node[i]] * len(j)
-                out_b += node[j].tolist()
+                j = j[plausible(prints[i], prints[j], size[i], size[j], percent)]
+            if settle and len(j):
+                other = np.concatenate([sets[k] for k in j])
+                at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
+                ends = np.cumsum(size[j])
+                shared = np.add.reduceat((sets[i][at] == other).astype(np.int64), ends - size[j])
+                j = j[100 * shared >= percent * (size[i] + size[j] - shared)]
+            out_a += [node[i]] * len(j)
+            out_b += node[j].tolist()
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"]) if out_a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,19 +250,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     reps = checkpointed(spark, reps.drop("h1", "h2"), "classes")
     sketches = reps.select("node", "n_shingles", "sketch")
 
-    banded = reps.select("node", F.posexplode("bands").alias("band", "value")).filter(F.col("value") != -1).select("node", F.xxhash64("band", "value").alias("key"))
+    banded = reps.select("node", F.posexplode("bands").alias("band", "value")).filter(F.col("value") != -1).select("node", "band", F.xxhash64("band", "value").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(spark, banded.join(buckets, "key").select("key", "node", "pivot", "n"), "members")
+    members = checkpointed(spark, banded.join(buckets, "key").select("key", "band", "node", "pivot", "n"), "members")
     star = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     likely = checkpointed(spark, _estimated(star, sketches, percent), "likely")
     links = checkpointed(spark, _verified(spark, docs, likely, size, percent), "links")
     first = connected(spark, links)
 
-    placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "node", "comp", "n")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = checkpointed(spark, _across(placed.join(open_, "key"), sketches, percent).join(likely, ["a", "b"], "left_anti"), "likely")
-    more = checkpointed(spark, _verified(spark, docs, rest, size, percent), "links")
-    final = connected(spark, links.union(more))
+    placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "band", "node", "comp", "n")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = checkpointed(spark, placed.join(apart, "key"), "members")
+    large = rest.filter(F.col("n") > LARGE)
+    whole = reps.join(_sets(docs, large.select("node").distinct(), size), "node")
+    in_large = checkpointed(spark, _across(large, whole, percent), "links")
+    likely = checkpointed(spark, _across(rest.filter(F.col("n") <= LARGE), sketches, percent).join(likely, ["a", "b"], "left_anti"), "likely")
+    in_small = checkpointed(spark, _verified(spark, docs, likely, size, percent), "links")
+    final = connected(spark, links.union(in_large).union(in_small))
 
     labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from gridindex.llm import components, minhash
 
 
@@ -24,7 +26,10 @@ def brute(rows, size, percent=80):
     return sorted((i, len(s), find(i), i == find(i)) for i, s in sets.items())
 
 
-def test_classes(spark):
+@pytest.mark.parametrize("large", [64, 1])
+def test_classes(spark, monkeypatch, large):
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "BLOCK", 1024 if large > 1 else 2)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows = [(k, t) for k, t in enumerate([None, "", "one", "One", "one two", "one two three", "ONE two three", " \t\n"])]
