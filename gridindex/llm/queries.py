@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, secret_scan, simhash, token_files
+from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, token_files
 from gridindex.llm.ranges import scratch
 
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template spans in every document."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hyperminhash": op3_hyperminhash,
     "op4_token_blocks": op4_token_blocks,
     "op5_pii_anchors": op5_pii_anchors,
+    "op6_cotraining": op6_cotraining,
     "op7_license_automaton": op7_license_automaton,
     "op8_secret_markov": op8_secret_markov,
     "op9_simhash_edits": op9_simhash_edits,
