@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridindex.llm import wordbytes
@@ -272,3 +272,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     out = all_.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each near-duplicate class, the one with the least doc_id; all columns stay.
+
+    Of rows that share a doc_id one stays (the least text). Rows with a null doc_id all stay, as do documents without words.
+    """
+    found = checkpointed(spark, near_duplicates(spark, docs, size, percent), "classes")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    key = "__near_key"  # the ids are compared as numbers, whatever the column's type
+    ids = lambda d: small(d.select(F.col("doc_id").alias(key)))
+    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(ids(gone), key, "left_anti")
+    if not again.isEmpty():
+        order = Window.partitionBy(key).orderBy("text")
+        one = rows.join(ids(again), key, "left_semi").withColumn("__near_rank", F.row_number().over(order)).filter(F.col("__near_rank") == 1).drop("__near_rank")
+        rows = rows.join(ids(again), key, "left_anti").unionByName(one)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, token_files
+from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, token_files, toxicity
 from gridindex.llm.ranges import scratch
 
 ORACLES: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(spark, _table(spark, sf_dir, "documents"))
 
 
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity grade of every document."""
+    return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_leaks": op1_latent_leaks,
     "op2_bpe_codec": op2_bpe_codec,
@@ -79,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_automaton": op7_license_automaton,
     "op8_secret_markov": op8_secret_markov,
     "op9_simhash_edits": op9_simhash_edits,
+    "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
