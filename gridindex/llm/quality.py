@@ -60,9 +60,10 @@ def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> Features:
     kept = np.concatenate([[0], np.cumsum(keep)])
     shaped = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(kept[bounds].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kind[keep])))
     n = len(text)
-    # per text: bytes, words, share of capitals, signs, digits, breaks, words that repeat the one before, of distinct words, mean word length
+    # per text: bytes, words, share of capitals, signs, digits, breaks, words that repeat the one before, how the distinct words grow with all words, mean word length
     size = np.maximum(np.diff(bounds), 0)
-    share = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[bounds]) / np.maximum(size, 1)
+    # shares of a short text are drawn toward a usual text's, else one capital in five letters would be shouting
+    share = lambda mask: (np.diff(np.concatenate([[0], np.cumsum(mask)])[bounds]) + 1) / (size + 60)
     capital, digit = share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57))
     breaks = share(data == 10)
     sign = share((data > 32) & (data < 127) & (kind != 97) & (kind != 65) & (kind != 48))
@@ -86,7 +87,7 @@ def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> Features:
             i = a.lo + k
             count[i], distinct[i], repeat[i], letters[i] = hi - lo, len(np.unique(a.hash[lo:hi])), same[lo:hi].sum(), length[lo:hi].sum()
     words = np.maximum(count, 1)
-    figures = [np.log1p(size) / 16, np.log1p(count) / 14, capital, sign * 2, digit * 2, breaks * 20, repeat / words, distinct / words * np.minimum(1, np.log1p(words) / 4), np.minimum(letters / words / 16, 1)]
+    figures = [np.log1p(size) / 16, np.log1p(count) / 14, capital, sign * 2, digit * 2, breaks * 20, repeat / (words + 5), np.log1p(distinct) / np.log1p(words) - 0.01, np.minimum(letters / words / 16, 1)]
     named = lambda c, salt: (np.array([hash_name(v, salt) for v in c.to_pylist()], np.int64).reshape(n, 1) + FIGURES * STEPS)
     meta = np.concatenate([np.stack([k * STEPS + _step(x) for k, x in enumerate(figures)], 1).reshape(n, FIGURES), named(lang, "lang"), named(source, "source")], 1)
     starts = np.concatenate([[0], np.cumsum([len(i) for i, _ in lists])]).astype(np.int64)

@@ -24,6 +24,8 @@ MIN_TOXIC, LIFT, MAX_FEATURES = 8, 6.0, 8192
 #: The regression is fitted on at most so many labelled rows, the ones whose ids hash lowest.
 MAX_ROWS = 40_000
 GRADES = 3
+#: A text is called toxic from this probability of any grade on: labels miss more toxic texts than they invent.
+THRESHOLD = 0.25
 
 
 class Model(NamedTuple):
@@ -164,7 +166,7 @@ def probabilities(column: pa.Array, model: Model) -> np.ndarray:
     return _sigmoid(score[:, None] - model.thresholds)
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 3), p_toxic, grade (most likely) and toxic (p_toxic >= threshold) for every row.
 
     A null or empty text has no features: its severity is that of a text without toxic wording. Repeated rows stay
