@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridindex.llm import wordbytes
+from gridindex.llm.ranges import checkpointed
 
 BLOCK, MAX_SHARE = 14, 0.03
 RANK, EXTRA, WHITEN = 64, 8, 1.0
@@ -75,28 +76,48 @@ def _chunks(column: pa.Array, vocabulary: np.ndarray) -> Iterator[_Chunk]:
         yield _Chunk(w.lo, w.hi - w.lo, np.repeat(np.arange(w.hi - w.lo), blocks), at[known], base[doc] + place // BLOCK, place, int(blocks.sum()))
 
 
-def _rows_of_blocks(chunk: _Chunk, keep: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """blocks x columns: the sum of the weights' rows over each block's kept words."""
-    term, block = chunk.term[keep], chunk.block[keep]
-    out = np.zeros((chunk.n_blocks, weights.shape[1]), np.float32)
+def _rows_of_blocks(term: np.ndarray, block: np.ndarray, n_blocks: int, weights: np.ndarray) -> np.ndarray:
+    """blocks x columns: the sum of the weights' rows over each block's words (in block order)."""
+    out = np.zeros((n_blocks, weights.shape[1]), np.float32)
     if len(term):
         first = np.flatnonzero(np.diff(block, prepend=-1))
         out[block[first]] = np.add.reduceat(weights[term], first, axis=0)
     return out
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+COMPACT = "n_blocks int, term binary, block binary"
+
+
+def _compact(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """The known words of all blocks, a chunk of texts a row: word indices and block numbers as 32-bit integers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, blocks = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for c in _chunks(batch.column(0), vocabulary):
-                found += np.bincount(np.unique(c.block * len(vocabulary) + c.term) % len(vocabulary), minlength=len(vocabulary))
-                blocks += c.n_blocks
+                yield pa.RecordBatch.from_arrays([pa.array([c.n_blocks], pa.int32()), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (c.term, c.block))], ["n_blocks", "term", "block"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, COMPACT)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for n, term, block in zip(*(batch.column(k) for k in range(3)), strict=True):
+            yield n.as_py(), np.frombuffer(term.as_buffer(), np.int32), np.frombuffer(block.as_buffer(), np.int32)
+
+
+def _document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many blocks each word stands, and the number of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, blocks = np.zeros(size, np.int64), 0
+        for n, term, block in _unpacked(batches):
+            found += np.bincount(np.unique(block.astype(np.int64) * size + term) % size, minlength=size)
+            blocks += n
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], blocks))], ["term", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a word
-    out = np.zeros(len(vocabulary), np.int64)
+    rows = table.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a word
+    out = np.zeros(size, np.int64)
     blocks = 0
     for r in rows:
         if r.term < 0:
@@ -106,45 +127,48 @@ def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.n
     return out, blocks
 
 
-def _gram_times(docs: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _gram_times(table: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A'A times a matrix, A being the unit TF-IDF rows of all blocks: one pass, one partial sum of words x columns a task."""
-    weights, n = (idf[:, None] * right).astype(np.float32), right.shape[1]
+    weights, n, size = (idf[:, None] * right).astype(np.float32), right.shape[1], len(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(vocabulary), n))
-        for batch in batches:
-            for c in _chunks(batch.column(0), vocabulary):
-                keep = np.flatnonzero(idf[c.term] > 0)
-                if not len(keep):
-                    continue
-                term, block = c.term[keep], c.block[keep]
-                norm = np.bincount(block, weights=idf[term] ** 2, minlength=c.n_blocks)
-                rows = _rows_of_blocks(c, keep, weights) / np.maximum(norm, 1e-9)[:, None]
-                order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.diff(term[order], prepend=-1))
-                total[term[order][first]] += np.add.reduceat(rows[block[order]], first, axis=0)
+        total = np.zeros((size, n))
+        for n_blocks, term, block in _unpacked(batches):
+            keep = np.flatnonzero(idf[term] > 0)
+            if not len(keep):
+                continue
+            term, block = term[keep], block[keep]
+            norm = np.bincount(block, weights=idf[term] ** 2, minlength=n_blocks)
+            rows = _rows_of_blocks(term, block, n_blocks, weights) / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+            order = np.argsort(term, kind="stable")
+            first = np.flatnonzero(np.diff(term[order], prepend=-1))
+            total[term[order][first]] += np.add.reduceat(rows[block[order]], first, axis=0)
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, k]) for k in range(n))], ["term", *(f"v{k}" for k in range(n))])
 
-    sums = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, " + ", ".join(f"v{k} double" for k in range(n)))
-    out = np.zeros((len(vocabulary), n))
+    sums = table.mapInArrow(run, "term long, " + ", ".join(f"v{k} double" for k in range(n)))
+    out = np.zeros((size, n))
     for r in sums.groupBy("term").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(n))).collect():  # words x columns: bounded by the benchmark
         out[r.term] = r[1:]
     return out * idf[:, None]
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 7) -> Model:
-    """Document frequencies, then randomised subspace iteration: two passes over all blocks, small factorisations here."""
+def fit(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 7) -> Model:
+    """Document frequencies, then randomised subspace iteration: two passes over all blocks, small factorisations here.
+
+    Texts are read once; what is left of them, the benchmark's words, is written to the shared folder for the passes.
+    """
     items = load_items(benchmark)
     size = len(items.vocabulary)
     if not size:
         return Model(items, np.zeros(0), np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 0), bool))
-    frequency, blocks = _document_frequencies(docs, items.vocabulary)
+    table = checkpointed(spark, _compact(docs, items.vocabulary), "known_words")
+    frequency, blocks = _document_frequencies(table, size)
     # in a small corpus a word may fill the share by chance: words of fewer than 50 blocks always stay
     idf = np.where((frequency <= MAX_SHARE * blocks) | (frequency < 50), np.log((2 + blocks) / (1 + frequency)), 0.0)
     width = min(rank + EXTRA, size)
-    q, _ = np.linalg.qr(_gram_times(docs, items.vocabulary, idf, np.random.default_rng(seed).standard_normal((size, width))) + 1e-12 * np.eye(size, width))
-    y = _gram_times(docs, items.vocabulary, idf, q)
+    q, _ = np.linalg.qr(_gram_times(table, idf, np.random.default_rng(seed).standard_normal((size, width))) + 1e-12 * np.eye(size, width))
+    y = _gram_times(table, idf, q)
     values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     top = np.argsort(values)[::-1][: min(rank, width)]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)] if values.max() > 0 else top[:1]
@@ -193,7 +217,7 @@ def search(column: pa.Array, model: Model) -> list[list[Leak]]:
         keep = np.flatnonzero(model.idf[c.term] > 0)
         term, block = c.term[keep], c.block[keep]
         ends = np.searchsorted(block, np.arange(c.n_blocks + 1))
-        rows = _rows_of_blocks(c, keep, model.basis)
+        rows = _rows_of_blocks(term, block, c.n_blocks, model.basis)
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         for width in (2, 3):
             z, last = rows.copy(), np.arange(c.n_blocks)
@@ -274,10 +298,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     doc_id, item_id, cosine, lcs (share of the item's words in order), answer (share of its closing third), and the span of
     words searched. Null and empty texts hold nothing; repeated rows are reported each; a null doc_id stays null.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, fit(docs, benchmark), F.col("text")).alias("leak"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, fit(spark, docs, benchmark), F.col("text")).alias("leak"))
     return found.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; all columns stay."""
-    return docs.filter(F.size(leaks(spark, fit(docs, benchmark), F.col("text"))) == 0)
+    return docs.filter(F.size(leaks(spark, fit(spark, docs, benchmark), F.col("text"))) == 0)

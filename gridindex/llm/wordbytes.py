@@ -25,7 +25,7 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_STEP, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -37,6 +37,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_STEP, _CHUNK + 1), _powers(_BACK, _CHUNK + 1)
 
 
+_WIDE = np.arange(1, 257, dtype=np.uint64)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -75,7 +78,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(column: pa.Array, table: np.ndarray = NOT_SPACE) -> Iterator[Words]:
-    """Word hashes of each text, about a megabyte of texts at a time (a longer text comes alone, whole)."""
+    """Word hashes of each text, about 128 KB of texts at a time (a longer text comes alone, whole)."""
     if not len(column):
         return
     offsets, body = utf8(column)
@@ -96,7 +99,9 @@ def words(column: pa.Array, table: np.ndarray = NOT_SPACE) -> Iterator[Words]:
         start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         up, down = (_UP, _DOWN) if n <= _CHUNK else (_powers(_STEP, n + 1), _powers(_BACK, n + 1))
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+        wide = _WIDE[data]
+        np.multiply(wide, up[:n], out=wide)
+        np.cumsum(wide, out=total[1:])
         yield Words(lo, hi, np.searchsorted(start, bounds), mix((total[end] - total[start]) * down[start]), start, end, total, down)
         lo = hi
 
