@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridindex.llm.bpe import byte_alphabet
 from gridindex.llm.ranges import bounds, range_of
 
 BLOCK, SHARE, CHUNK_IDS = 4096, 0.9, 1 << 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 END_ID = 1
 _HEAD = np.dtype([("base", "<u4"), ("n", "<u4"), ("exceptions", "<u4"), ("width", "<u4")])
 CHUNK_SCHEMA = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_starts array<int>, payload binary"
@@ -72,11 +74,15 @@ def unpack(payload: bytes | memoryview, starts: list[int]) -> np.ndarray:
     return np.concatenate([unpack_block(payload, s) for s in starts]) if starts else np.zeros(0, np.uint32)
 
 
+#: What byte-level vocabularies write for each byte.
+_STAND_INS = {b: c for c, b in byte_alphabet().items()}
+
+
 class WordEncoder:
     """The tokenizers library over whole texts, with words it has met kept (bounded), since its pieces never cross words.
 
-    Texts below U+0100 are split here as the vocabulary's own rules split them, and the library encodes each new word once;
-    any other text, or one that may hold a special token, goes to the library whole.
+    Texts below U+0100 are split here as the vocabulary's own rules split them, and the library's model merges each new word
+    once; any other text, or one that may hold a special token, goes to the library whole.
     """
 
     def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
@@ -90,14 +96,11 @@ class WordEncoder:
         letter, number = kinds["L"], kinds["N"]
         self.split = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{letter}]+|[{number}]|[^\t-\r \x85\xa0{letter}{number}]+").findall
         self.known: dict[str, bytes] = {}
-        self.mark = "!"
-        self.mark_ids = self._ids(self.mark)
-        self.fast = self._own_rules(json.loads(spec)) and len(self.mark_ids) == 1
-
-    def _own_rules(self, spec: dict) -> bool:
-        """Whether the file normalises and splits as split() does."""
-        text = "It's ÀÉ2x²½ it'll--go\x85\xa0\x1cend ÿ\tª!?9"
-        return self.tokenizer.encode(text, add_special_tokens=False).ids == [i for w in self.split(text.lower()) for i in self._ids(w)]
+        probe = "It's ÀÉ2x²½ it'll--go\x85\xa0\x1cend ÿ\tª!?9"
+        self.fast = False  # the whole text, by the library alone
+        whole = self.encode_all([probe])
+        self.fast = True
+        self.fast = self.encode_all([probe]) == whole  # only where the file normalises and splits as split() does
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -107,18 +110,10 @@ class WordEncoder:
         if len(self.known) + len(new) > self.cache_words:
             self.known.clear()
             new = set().union(*lists)
-        letters = [w for w in new if w.isalpha()]
-        for w in new.difference(letters):
-            self.known[w] = np.array(self._ids(w), "<u4").tobytes()
-        for at in range(0, len(letters), 5000):
-            part = letters[at : at + 5000]
-            ids = np.array(self._ids(f" {self.mark} ".join(part)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark_ids[0])
-            if len(cuts) != len(part) - 1:
-                self.known.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in part)
-                continue
-            raw, lows, highs = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, lows, highs, strict=True))
+        merge = self.tokenizer.model.tokenize
+        for w in new:
+            letters = w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(_STAND_INS)
+            self.known[w] = array("I", [t.id for t in merge(letters)]).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         words: list[list[str] | None] = []
