@@ -82,8 +82,8 @@ def _axial_sql(x: str, y: str, size: float) -> str:
     return f"({q}) AS fq, ({r}) AS fr"
 
 
-_ROUNDED = """CASE WHEN abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)+fq+fr) THEN -floor(fr+.5)-floor(-fq-fr+.5) ELSE floor(fq+.5) END::BIGINT AS q,
- CASE WHEN NOT (abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)+fq+fr)) AND abs(floor(fr+.5)-fr) > abs(floor(-fq-fr+.5)+fq+fr) THEN -floor(fq+.5)-floor(-fq-fr+.5) ELSE floor(fr+.5) END::BIGINT AS r"""
+_ROUNDED = """CASE WHEN abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)-(-fq-fr)) THEN -floor(fr+.5)-floor(-fq-fr+.5) ELSE floor(fq+.5) END::BIGINT AS q,
+ CASE WHEN NOT (abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)-(-fq-fr))) AND abs(floor(fr+.5)-fr) > abs(floor(-fq-fr+.5)-(-fq-fr)) THEN -floor(fq+.5)-floor(-fq-fr+.5) ELSE floor(fr+.5) END::BIGINT AS r"""
 
 
 # base, census and scaling
