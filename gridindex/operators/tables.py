@@ -231,6 +231,23 @@ def archive_coverage(inventory: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("has_error"), "error").when((F.col("n_flood") > 0) & (F.col("n_mass") > 0), "complete").when((F.col("n_flood") > 0) | (F.col("n_mass") > 0), "partial").otherwise("none"))
 
 
+def archive_issues(inventory: DataFrame) -> DataFrame:
+    """Per archive: which processes it has, layers of no known process, layers without a class column, and errors (bar-separated)."""
+    paths = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("path")))), "|")
+    known = F.col("kind") != "outros"
+    return inventory.groupBy("archive").agg(
+        F.bool_or(F.col("kind") == "inundacao").alias("has_flood"), F.bool_or(F.col("kind") == "massa").alias("has_mass"),
+        paths(~known).alias("unclassified"), paths(known & F.col("class_column").isNull()).alias("without_class"), paths(F.col("notes").rlike("(?i)crc|magic|bad|erro|falha|decompres")).alias("errors"),
+    )
+
+
+def place_summary(df: DataFrame, place: str, score: str, columns: Sequence[str]) -> DataFrame:
+    """Per place: rows, mean, least and greatest score, and each column's mean beside the overall one."""
+    overall = df.agg(*(F.avg(c).alias(f"{c}__all") for c in columns))  # one row
+    own = df.groupBy(place).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.min(score).alias("least"), F.max(score).alias("greatest"), *(F.avg(c).alias(c) for c in columns))
+    return own.crossJoin(F.broadcast(overall)).select(place, "n", "mean", "least", "greatest", *(x for c in columns for x in (F.col(c), (F.col(c) - F.col(f"{c}__all")).alias(f"{c}_against_all"))))
+
+
 def stage_funnel(df: DataFrame, stages: Sequence[str]) -> DataFrame:
     """For boolean stage columns (missing: not applicable): ok, failed, not applicable, and how many fewer are ok than a stage before."""
     one = df.agg(*(f(F.col(s)).alias(f"{s}__{k}") for s in stages for k, f in (("ok", lambda c: F.count_if(c)), ("failed", lambda c: F.count_if(~c)), ("n_a", lambda c: F.count_if(c.isNull())))))

@@ -650,6 +650,34 @@ def archive_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return tables.archive_coverage(inventory).select("archive", "n_flood", "n_mass", "flood_classes", "mass_classes", "status")
 
 
+@query("archive_issues", """WITH v AS (SELECT l_orderkey AS archive, CASE l_returnflag WHEN 'A' THEN 'inundacao' WHEN 'N' THEN 'massa' ELSE 'outros' END AS kind, l_linenumber::VARCHAR AS path, l_tax > 0.04 AS has_class, l_discount >= 0.1 AS broken FROM lineitem)
+ SELECT archive, bool_or(kind = 'inundacao') AS has_flood, bool_or(kind = 'massa') AS has_mass, coalesce(string_agg(DISTINCT path, '|' ORDER BY path) FILTER (kind = 'outros'), '') AS unclassified,
+ coalesce(string_agg(DISTINCT path, '|' ORDER BY path) FILTER (kind <> 'outros' AND NOT has_class), '') AS without_class, coalesce(string_agg(DISTINCT path, '|' ORDER BY path) FILTER (broken), '') AS errors FROM v GROUP BY 1""")
+def archive_issues(spark: SparkSession, sf: str) -> DataFrame:
+    line = _t(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_linenumber", "l_tax", "l_discount")
+    kind = F.when(F.col("l_returnflag") == "A", "inundacao").when(F.col("l_returnflag") == "N", "massa").otherwise("outros")
+    inventory = line.select(F.col("l_orderkey").alias("archive"), kind.alias("kind"), F.col("l_linenumber").cast("string").alias("path"), F.when(F.col("l_tax") > 0.04, "CLASSE").alias("class_column"), F.when(F.col("l_discount") >= 0.1, "Bad CRC").alias("notes"))
+    return tables.archive_issues(inventory)
+
+
+@query("place_summary", f"""WITH {_CELLS} SELECT muni, count(*) AS n, round(avg(price), 4) AS mean, min(price) AS least, max(price) AS greatest, round(avg(balance), 4) AS balance, round(avg(balance) - (SELECT avg(balance) FROM cells), 4) AS balance_against_all FROM cells GROUP BY 1""")
+def place_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(tables.place_summary(_cells(spark, sf), "muni", "price", ["balance"]), 4)
+
+
+@query("value_shares", "SELECT l_returnflag, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1")
+def value_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _r(tables.value_shares(_t(spark, sf, "lineitem", "l_returnflag"), "l_returnflag"))
+
+
+@query("coverage_by_region", f"""WITH {_CELLS} SELECT coalesce(region, 'all') AS region, count(*) AS total, count_if(price >= 200000) AS covered, round(avg((price >= 200000)::INT), 6) AS share, round(median(price), 4) AS median FROM cells GROUP BY ROLLUP (region)""")
+def coverage_by_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Region and national rows from one pass."""
+    full = F.col("price") >= 200_000
+    out = tables.regional_summary(_cells(spark, sf), "region", {"total": F.count("*"), "covered": F.count_if(full), "share": F.avg(full.cast("int")), "median": F.percentile("price", 0.5)})
+    return out.select("region", "total", "covered", F.round("share", 6).alias("share"), F.round("median", 4).alias("median"))
+
+
 @query("window_counts", "SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """What the stream's tumbling counts give once every window is closed."""
