@@ -24,7 +24,7 @@ BLOCK, MAX_SHARE = 14, 0.03
 RANK, EXTRA, WHITEN = 64, 8, 1.0
 COSINE, OVERLAP = 0.4, 0.35
 #: Decision: this share of the item's words in order, or the lesser share and nearly all of its closing third.
-LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.5, 0.8
+LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.55, 0.95
 #: Items are held by every task; more of them would have to be searched in several calls.
 MAX_ITEMS = 200_000
 

@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, token_files, toxicity
 from gridindex.llm.ranges import scratch
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES: dict[str, str] = {
+    "op3_hyperminhash": rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+ reach(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT ways.y, reach.m FROM reach JOIN ways ON ways.x = reach.doc_id),
+ c AS (SELECT doc_id, min(m) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
 
 
 def _tokenizer(name: str) -> str:
@@ -69,6 +82,14 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited(spark, _table(spark, sf_dir, "documents"))
 
 
+def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and how many other fingerprints are within three bits, by permuted block tables."""
+    prints = simhash.fingerprint(_table(spark, sf_dir, "documents"))
+    near = simhash.neighbours(prints)
+    counts = near.select(F.col("a").alias("fingerprint")).unionAll(near.select("b")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
+    return prints.join(counts, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity grade of every document."""
     return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -85,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_markov": op8_secret_markov,
     "op9_simhash_edits": op9_simhash_edits,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "simhash_neighbours": simhash_neighbours,
 }
