@@ -94,8 +94,8 @@ def _score(value: Column, table: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + ratio(p)) / (F.length(value) - 1)
 
 
-def spans(docs: DataFrame, model: dict[str, float], threshold: float = 1.0) -> DataFrame:
-    """docs with one more column, secret_spans: array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
+def spans(docs: DataFrame, model: dict[str, float], threshold: float = 1.0, name: str = "secret_spans") -> DataFrame:
+    """docs with one more column (replacing one of that name): array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
 
     Beyond the base spans come tokens of mixed letters and digits whose mean ratio passes the threshold and which no base
     span touches.
@@ -106,7 +106,7 @@ def spans(docs: DataFrame, model: dict[str, float], threshold: float = 1.0) -> D
     apart = lambda x: ~F.exists(F.col("__base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     more = F.filter(F.col("__long"), lambda x: apart(x) & (_score(x["value"], table) > threshold))
     both = F.concat(F.col("__base"), F.when(F.size("__long") > 0, more).otherwise(_nothing()))
-    return found.withColumn("secret_spans", F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))).drop("__base", "__long")
+    return found.withColumn(name, F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))).drop("__base", "__long")
 
 
 def _written(found: Column) -> Column:
@@ -132,14 +132,14 @@ def redact(docs: DataFrame, model: dict[str, float] | None = None, mark: str = "
 
     A null text stays null. n_chars, where present, follows the new text.
     """
-    found = spans(docs, train(docs) if model is None else model)
+    found = spans(docs, train(docs) if model is None else model, name="__secret_spans")
     text = F.col("text").cast("string")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((acc["at"] > 0) & (x["start"] <= acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
-    whole = F.aggregate(F.col("secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = F.when(F.size("secret_spans") > 0, whole).otherwise(text)
-    out = found.withColumn("text", changed).drop("secret_spans")
+    whole = F.aggregate(F.col("__secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    changed = F.when(F.size("__secret_spans") > 0, whole).otherwise(text)
+    out = found.withColumn("text", changed).drop("__secret_spans")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out

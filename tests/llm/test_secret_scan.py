@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gridindex.llm import secret_scan
 
 BASE = {
@@ -46,4 +48,6 @@ def test_models_and_redaction(spark):
     red = {r.doc_id: r for r in secret_scan.redact(probe, model).collect()}
     assert red[4].text == "é [SECRET] [SECRET]" and red[4].n_chars == 19 and red[4].kind == "d"
     assert red[1].text == "x [SECRET] y" and red[2].text.endswith("_1 é") and red[3].text is None
+    own = probe.withColumn("secret_spans", F.lit("mine"))
+    assert {r.secret_spans for r in secret_scan.redact(own, model).collect()} == {"mine"}
     assert secret_scan.scan(df.limit(0)).count() == 0
