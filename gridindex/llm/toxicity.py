@@ -21,8 +21,9 @@ from gridindex.llm import wordbytes
 PREFIXES, SPACE = (5, 6, 7, 8), 1 << 20
 #: Features kept: in at least MIN_TOXIC toxic texts and LIFT times as common in them as in clean ones; at most MAX_FEATURES.
 MIN_TOXIC, LIFT, MAX_FEATURES = 8, 6.0, 8192
-#: The regression is fitted on at most so many labelled rows, the ones whose ids hash lowest.
-MAX_ROWS = 40_000
+#: Features are chosen on about so many labelled rows at most and the regression is fitted on at most so many, by the hash
+#: of their ids. The labels' ids are broadcast, so that no text is shuffled; the first bound is theirs (16 bytes each).
+MAX_LABELS, MAX_ROWS = 500_000, 40_000
 GRADES = 3
 #: A text is called toxic from this probability of any grade on: labels miss more toxic texts than they invent.
 THRESHOLD = 0.25
@@ -61,7 +62,7 @@ def _value(count: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def select(labelled: DataFrame) -> np.ndarray:
-    """The feature cells that mark toxic texts, from document counts over all labelled rows (text, y)."""
+    """The feature cells that mark toxic texts, from document counts over the labelled rows (text, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = np.zeros((2, SPACE), np.int32), [0, 0]
@@ -122,9 +123,12 @@ def regress(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Choose features over all labelled rows, grade and fit on a bounded sample of them. Without labels of both kinds nothing is toxic."""
+    """Choose features, grade and fit, on bounded samples of the labelled rows. Without labels of both kinds nothing is toxic."""
     one = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(one, "id")
+    n = one.count()
+    if n > MAX_LABELS:
+        one = one.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit((1 << 30) * MAX_LABELS // n))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(one), "id")
     features = select(rows)
     clean = Model(features[:0], np.zeros(0), np.array([1.0, 2.0, 3.0]) * 40)
     if not len(features):
