@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words kept encoded in each worker; the table is emptied when full, so memory stays bounded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 #: How GPT-2 style pre-tokenizers split a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -294,8 +294,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows: list[tuple] = []
                 texts = [text or "" for text in part.column(1).to_pylist()]
                 for text, ids in zip(texts, codec.encode_all(texts), strict=True):

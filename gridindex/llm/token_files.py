@@ -25,7 +25,7 @@ from gridindex.llm.bpe import byte_alphabet
 from gridindex.llm.ranges import bounds, range_of
 
 BLOCK, SHARE, CHUNK_IDS = 4096, 0.9, 1 << 17
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 END_ID = 1
 _HEAD = np.dtype([("base", "<u4"), ("n", "<u4"), ("exceptions", "<u4"), ("width", "<u4")])
 CHUNK_SCHEMA = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_starts array<int>, payload binary"

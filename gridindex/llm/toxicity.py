@@ -21,8 +21,8 @@ from gridindex.llm import wordbytes
 PREFIXES, SPACE = (5, 6, 7, 8), 1 << 20
 #: Features kept: in at least MIN_TOXIC toxic texts and LIFT times as common in them as in clean ones; at most MAX_FEATURES.
 MIN_TOXIC, LIFT, MAX_FEATURES = 8, 6.0, 8192
-#: Features are chosen on about so many labelled rows at most and the regression is fitted on at most so many, by the hash
-#: of their ids. The labels' ids are broadcast, so that no text is shuffled; the first bound is theirs (16 bytes each).
+#: Features are chosen on about so many labelled rows at most and the regression is fitted on about so many at most, by the
+#: hash of their ids. The labels' ids are broadcast, so that no text is shuffled; the first bound is theirs (16 bytes each).
 MAX_LABELS, MAX_ROWS = 500_000, 40_000
 GRADES = 3
 #: A text is called toxic from this probability of any grade on: labels miss more toxic texts than they invent.
@@ -126,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Choose features, grade and fit, on bounded samples of the labelled rows. Without labels of both kinds nothing is toxic."""
     one = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     n = one.count()
-    if n > MAX_LABELS:
-        one = one.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit((1 << 30) * MAX_LABELS // n))
+    share = lambda most: F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit((1 << 30) * min(most, n) // max(n, 1))
+    one = one.filter(share(MAX_LABELS)) if n > MAX_LABELS else one
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(one), "id")
     features = select(rows)
     clean = Model(features[:0], np.zeros(0), np.array([1.0, 2.0, 3.0]) * 40)
@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 part = batch.slice(lo, len(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(_value(n, words[doc]), pa.float32()))], ["id", "y", "feature", "value"])
 
-    sparse = rows.select("id", "text", "y").mapInArrow(run, "id long, y int, feature array<int>, value array<float>")
-    sample = sparse.orderBy(F.xxhash64("id"), "id").limit(max_rows).toArrow()
+    sparse = rows.filter(share(max_rows)).select("id", "text", "y").mapInArrow(run, "id long, y int, feature array<int>, value array<float>")
+    sample = sparse.toArrow()
     y = sample.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return clean

@@ -39,6 +39,8 @@ def test_held_out_and_edges(spark):
     assert sum(r.toxic == truth[r.doc_id] for r in held) / len(held) > 0.97
     toxic = [r for r in held if r.toxic]
     assert np.corrcoef([r.severity for r in toxic], [hits[r.doc_id] for r in toxic])[0, 1] > 0.5
+    less = toxicity.fit(df, labels, max_rows=150)
+    assert len(less.features) and less.thresholds[0] < less.thresholds[1] < less.thresholds[2]
     assert len(out) == len(rows) and all(0 <= r.severity <= 3 for r in out)
     assert not any(r.toxic for r in out if r.doc_id in (2000, 2001)) and [r.toxic for r in out if r.doc_id is None] == [True]
     assert toxicity.classify(spark, df, labels.limit(0)).filter("toxic").count() == 0
