@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridindex.functions import grid as G
 from gridindex.functions import scalars as S
 from gridindex.operators import spatial, stats, tables
-from gridindex.plans import index
+from gridindex.plans import index, indicators
 from gridindex.plans.catalog import query
 from gridindex.sources.registry import Registry
 
@@ -168,6 +168,31 @@ def log_minmax(spark: SparkSession, sf: str) -> DataFrame:
     return _r(stats.normalize_minmax(o, ["x"], (0.01, 0.99)).select("o_orderkey", F.col("x_norm").alias("norm")))
 
 
+CENSUS = Registry.from_dict({"dimensions": {"all": {"abbr": "IP", "indicators": {
+    "p4": {"abbr": "ido", "source": {"num_cols": ["size_ren"], "den_cols": ["size"]}},
+    "v1": {"abbr": "ren", "source": {"num_cols": ["v06004_size"], "den_cols": ["size"], "cap_abs": 1400, "invert_norm": True}},
+    "v2": {"abbr": "mor", "source": {"num_cols": ["rooms"], "den_cols": ["size"], "or_logic": True}},
+}}}})
+
+
+def _one_sql(key: str, value: str, inverted: bool = False) -> str:
+    norm = "1 - norm" if inverted else "norm"
+    return f"SELECT '{key}' AS indicator, cell_id, round(x, 6) AS abs_value, round({norm}, 6) AS norm_value FROM (WITH v AS (SELECT cell_id, {value} AS x FROM sums), {_scaled_sql('x', 0.01, 0.99)} SELECT * FROM scaled)"
+
+
+@query("census_indicators", f"WITH {_SUMS} " + " UNION ALL ".join((_one_sql("p4", "coalesce(poor / nullif(people, 0), 0)"), _one_sql("v1", "least(coalesce(income / nullif(people, 0), 0), 1400)", True), _one_sql("v2", "coalesce(least(rooms, people) / nullif(people, 0), 0)"))))
+def census_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """All census indicators of a registry in one join, two aggregates and projections, long."""
+    part = _t(spark, sf, "part", "p_partkey", "p_size", "p_retailprice").select(F.col("p_partkey").alias("tract_id"), F.col("p_size").alias("size"), (F.col("p_size") % 7 + 1).alias("rooms"), F.col("p_retailprice").alias("v06004"))
+    return _r(indicators.census_indicators(_base(spark, sf), part, CENSUS, 950.0))
+
+
+@query("score_extremes", "(SELECT o_orderkey, o_totalprice, 'top' AS \"end\" FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL (SELECT o_orderkey, o_totalprice, 'bottom' AS \"end\" FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5)")
+def score_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """A top-and-bottom report of five each."""
+    return indicators.extremes(_t(spark, sf, "orders", "o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+
+
 # merging and scores
 
 _FILES = {"qty": "l_quantity", "disc": "l_discount", "tax": "l_tax"}
