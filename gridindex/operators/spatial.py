@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridindex.functions.grid import axial, cell_area, cell_id, center, grid_disk, parts
+from gridindex.functions.grid import axial, cell_area, cell_id, grid_disk, offsets, parts
 
 
 def written(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -86,10 +87,12 @@ def zonal_mean(pixels: DataFrame, cells: DataFrame, size: float, radius: float,
     """Per cell: means over the pixels within the radius of its centre. pixels: x, y and values; cells: cell_id."""
     steps = max(1, math.ceil((radius + size) / (1.5 * size)))
     q, r = axial(F.col("x"), F.col("y"), size)
-    seen = pixels.withColumn("__own", cell_id(q, r)).withColumn("cell_id", F.explode(grid_disk(F.col("__own"), steps)))
-    cx, cy = center(F.col("cell_id"), size)
-    inside = seen.join(cells.select("cell_id").distinct(), "cell_id").filter((F.col("x") - cx) ** 2 + (F.col("y") - cy) ** 2 <= radius * radius)
-    return inside.groupBy("cell_id").agg(*(F.avg(v).alias(k) for k, v in values.items()), F.count("*").alias("n_pixels"))
+    near = F.array(*(F.struct(F.lit(a).alias("q"), F.lit(b).alias("r")) for a, b in offsets(steps)))
+    around = pixels.withColumns({"__q": q, "__r": r}).withColumn("__d", F.explode(near)).withColumns({"__q": F.col("__q") + F.col("__d.q"), "__r": F.col("__r") + F.col("__d.r")})
+    dx, dy = F.col("x") - (F.col("__q") + F.col("__r") / 2) * (math.sqrt(3.0) * size), F.col("y") - F.col("__r") * (1.5 * size)
+    inside = around.filter(dx * dx + dy * dy <= radius * radius).withColumn("cell_id", cell_id(F.col("__q"), F.col("__r")))
+    found = inside.groupBy("cell_id").agg(*(F.avg(v).alias(k) for k, v in values.items()), F.count("*").alias("n_pixels"))
+    return found.join(cells.select("cell_id").distinct(), "cell_id", "left_semi")
 
 
 def two_period_anomaly(df: DataFrame, key: str, when: Column, value: Column, baseline: tuple, recent: tuple) -> DataFrame:
@@ -142,46 +145,90 @@ def _clip_area(ring: np.ndarray, corners: np.ndarray) -> float:
     return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
 
 
-def _inside(ring: np.ndarray, x: float, y: float) -> bool:
+def _inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points lie in the ring (crossings of a ray to the right, odd)."""
     a, b = ring, np.roll(ring, -1, 0)
-    spans = (a[:, 1] > y) != (b[:, 1] > y)
+    spans = (a[:, 1] > y[:, None]) != (b[:, 1] > y[:, None])
     with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return bool(np.count_nonzero(spans & (x < at)) % 2)
+        at = (b[:, 0] - a[:, 0]) * (y[:, None] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+    return (np.count_nonzero(spans & (x[:, None] < at), axis=1) % 2).astype(bool)
+
+
+def _edge_distance(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of points to the nearest edge."""
+    a, d = ring, np.roll(ring, -1, 0) - ring
+    px, py = x[:, None] - a[:, 0], y[:, None] - a[:, 1]
+    t = np.clip((px * d[:, 0] + py * d[:, 1]) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+    return np.sqrt(((px - t * d[:, 0]) ** 2 + (py - t * d[:, 1]) ** 2).min(1))
+
+
+def _cells_of(shapes: list[np.ndarray], low: int, high: int, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """q, r, overlap area and whether the centre is inside, for cells of rows low .. high - 1 that the polygon meets."""
+    width, hexagon = math.sqrt(3.0) * size, np.array([(math.cos(math.pi * (2 * k + 1) / 6), math.sin(math.pi * (2 * k + 1) / 6)) for k in range(6)]) * size
+    x0, x1 = shapes[0][:, 0].min() - width, shapes[0][:, 0].max() + width
+    rows = np.arange(low, high)
+    first = np.floor(x0 / width - rows / 2).astype(np.int64)
+    counts = np.ceil(x1 / width - rows / 2).astype(np.int64) - first + 1
+    r = np.repeat(rows, counts)
+    q = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    x, y = (q + r / 2) * width, r * (1.5 * size)
+    area, holds = np.zeros(len(q)), np.zeros(len(q), bool)
+    step = max(1, 2_000_000 // max(sum(map(len, shapes)), 1))
+    for k in range(0, len(q), step):
+        part = slice(k, k + step)
+        px, py = x[part], y[part]
+        inside = _inside(shapes[0], px, py)
+        near = _edge_distance(shapes[0], px, py) < size
+        for hole in shapes[1:]:
+            inside &= ~_inside(hole, px, py)
+            near |= _edge_distance(hole, px, py) < size
+        holds[part] = inside
+        area[part] = np.where(inside & ~near, cell_area(size), 0.0)
+        for i in np.flatnonzero(near).tolist():  # only cells that an edge may cross are clipped
+            pieces = [_clip_area(s, hexagon + (px[i], py[i])) for s in shapes]
+            area[k + i] = max(pieces[0] - sum(pieces[1:]), 0.0)
+    met = area > 0
+    return q[met], r[met], area[met], holds[met]
+
+
+#: Rows of cells that one task step covers: a large polygon is split into so many strips.
+STRIP = 64
 
 
 def overlap_area(polygons: DataFrame, size: float) -> DataFrame:
     """feature columns, cell_id, area: the exact overlap of each polygon with each covered cell.
 
-    Cells are covered when their centre lies in some polygon. Candidates come from bounding boxes by arithmetic, so no pair
-    outside a box is ever made; the clip runs over Arrow batches.
+    Cells are covered when their centre lies in some polygon. A polygon is cut into strips of cell rows, which spread over
+    tasks; a strip finds its cells by arithmetic on the bounding box, and only cells that an edge may cross are clipped.
     """
     carried = [c for c in polygons.columns if c != "rings"]
-    outline = F.element_at("rings", 1)
-    xs, ys = F.transform(outline, lambda p: p["x"]), F.transform(outline, lambda p: p["y"])
-    width, height = math.sqrt(3.0) * size, 1.5 * size
-    rows = F.sequence(F.floor((F.array_min(ys) - size) / height), F.ceil((F.array_max(ys) + size) / height))
-    boxes = valid_polygons(polygons).withColumn("r", F.explode(rows))
-    columns = F.sequence(F.floor((F.array_min(xs) - width) / width - F.col("r") / 2), F.ceil((F.array_max(xs) + width) / width - F.col("r") / 2))
-    pairs = boxes.withColumn("q", F.explode(columns)).withColumn("cell_id", cell_id(F.col("q"), F.col("r")))
-    cx, cy = center(F.col("cell_id"), size)
-    hexagon = np.array([(math.cos(math.pi * (2 * k + 1) / 6), math.sin(math.pi * (2 * k + 1) / 6)) for k in range(6)]) * size
-
-    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    height = 1.5 * size
+    ys = F.transform(F.element_at("rings", 1), lambda p: p["y"])
+    low, high = F.floor((F.array_min(ys) - size) / height), F.ceil((F.array_max(ys) + size) / height) + 1
+    bounded = valid_polygons(polygons).withColumns({"__low": low, "__high": high})
+    strips = bounded.withColumn("__from", F.explode(F.sequence(F.col("__low"), F.col("__high"), F.lit(STRIP)))).select(*carried, "rings", "__from", F.least(F.col("__from") + STRIP, F.col("__high")).alias("__to"))
+
+    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            area, holds = [], []
-            for rings, x, y in zip(batch["rings"], batch["cx"], batch["cy"], strict=True):
-                shapes = [np.array([(p["x"], p["y"]) for p in ring]) for ring in rings if len(ring) >= 3]
-                pieces = [_clip_area(s, hexagon + (x, y)) for s in shapes]
-                area.append(max(pieces[0] - sum(pieces[1:]), 0.0))
-                holds.append(_inside(shapes[0], x, y) and not any(_inside(s, x, y) for s in shapes[1:]))
-            yield batch.drop(columns=["rings", "cx", "cy"]).assign(area=area, holds_center=holds)
+            rings = batch.column("rings")
+            starts = batch.column("__from").to_pylist()
+            ends = batch.column("__to").to_pylist()
+            took, ids, areas, holds = [], [], [], []
+            for i in range(batch.num_rows):
+                shapes = [np.stack([ring.values.field("x").to_numpy(), ring.values.field("y").to_numpy()], 1) for ring in rings[i] if ring.values is not None and len(ring.values) >= 3]
+                q, r, area, inside = _cells_of(shapes, starts[i], ends[i], size)
+                took.append(np.full(len(q), i))
+                ids += [f"{a}:{b}" for a, b in zip(q.tolist(), r.tolist(), strict=True)]
+                areas.append(area)
+                holds.append(inside)
+            at = pa.array(np.concatenate(took) if took else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in carried), pa.array(ids, pa.string()), pa.array(np.concatenate(areas) if areas else np.zeros(0)), pa.array(np.concatenate(holds) if holds else np.zeros(0, bool))], [*carried, "cell_id", "area", "holds_center"])
 
     kinds = dict(polygons.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "cell_id string", "area double", "holds_center boolean"])
-    cut = pairs.select(*carried, "cell_id", "rings", cx.alias("cx"), cy.alias("cy")).mapInPandas(clip, schema).filter("area > 0")
+    cut = written(polygons.sparkSession, strips.mapInArrow(clip, schema))
     covered = cut.filter("holds_center").select("cell_id").distinct()
-    return cut.join(covered, "cell_id", "left_semi").drop("holds_center")
+    return cut.join(covered, "cell_id", "left_semi").drop("holds_center").select(*carried, "cell_id", "area")
 
 
 def reference_fractions(polygons: DataFrame, size: float) -> DataFrame:
