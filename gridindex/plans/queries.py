@@ -685,9 +685,9 @@ def archive_issues(spark: SparkSession, sf: str) -> DataFrame:
     return tables.archive_issues(inventory)
 
 
-@query("place_summary", f"""WITH {_CELLS} SELECT muni, count(*) AS n, round(avg(price), 4) AS mean, min(price) AS least, max(price) AS greatest, round(avg(balance), 4) AS balance, round(avg(balance) - (SELECT avg(balance) FROM cells), 4) AS balance_against_all FROM cells GROUP BY 1""")
+@query("place_summary", f"""WITH {_CELLS} SELECT muni, count(*) AS n, round(avg(price), 8) AS mean, min(price) AS least, max(price) AS greatest, round(avg(balance), 8) AS balance, round(avg(balance) - (SELECT avg(balance) FROM cells), 8) AS balance_against_all FROM cells GROUP BY 1""")
 def place_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(tables.place_summary(_cells(spark, sf), "muni", "price", ["balance"]), 4)
+    return _r(tables.place_summary(_cells(spark, sf), "muni", "price", ["balance"]), 8)
 
 
 @query("value_shares", "SELECT l_returnflag, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1")
