@@ -1,9 +1,10 @@
 """Benchmark passages in documents, by latent semantic retrieval.
 
 Texts are cut into blocks of BLOCK words; passages are runs of two and of three blocks. Passages are TF-IDF rows over the
-benchmark's own words, without those in more than MAX_SHARE of all blocks; a distributed randomised SVD over every block
-of the corpus gives the latent space. A passage whose whitened latent cosine with a benchmark item passes a threshold is
-a candidate; candidates with too few of the item's words are dropped by an exact bound, and a longest common subsequence,
+benchmark's own words; a distributed randomised SVD over every block of the corpus gives the latent space. Items longer
+than a passage are searched in pieces of about a passage's size. Candidates are passages whose whitened latent cosine with
+a piece passes a threshold, and, whatever their cosine, windows of the item's length and two blocks that hold as many of the
+item's words as the closing rule needs at least. A bound that no leak can fail thins them, and a longest common subsequence,
 with a check of the item's closing words, decides.
 """
 
@@ -20,27 +21,43 @@ from pyspark.sql import functions as F
 from gridindex.llm import wordbytes
 from gridindex.llm.ranges import checkpointed
 
-BLOCK, MAX_SHARE = 14, 0.03
+#: Words in more than this share of all blocks are dense columns of the products (there are at most BLOCK / HEAVY of them).
+BLOCK, HEAVY = 14, 0.03
 RANK, EXTRA, WHITEN = 64, 8, 1.0
-COSINE, OVERLAP = 0.4, 0.35
+COSINE = 0.4
 #: Decision: this share of the item's words in order, or the lesser share and nearly all of its closing third.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.55, 0.95
 #: Items are held by every task; more of them would have to be searched in several calls.
 MAX_ITEMS = 200_000
+#: Items searched at once, and blocks times items of one product.
+SLICE, CELLS = 4096, 1 << 22
 
 
 class Items(NamedTuple):
     ids: list[int]
-    words: list[list[int]]  # vocabulary indices, in order
+    first: np.ndarray  # first[k]:first[k + 1] are the words of item k
+    words: np.ndarray  # vocabulary indices, in order
     vocabulary: np.ndarray  # sorted word hashes
 
 
+class _Slice(NamedTuple):
+    """Some items and, for each word, which of them have it how often."""
+
+    lo: int
+    hi: int
+    first: np.ndarray  # first[w]:first[w + 1] are the entries of word w
+    item: np.ndarray
+    times: np.ndarray
+
+
 class Model(NamedTuple):
     items: Items
-    idf: np.ndarray  # 0 for words left out
+    idf: np.ndarray
+    heavy: np.ndarray  # words of more than HEAVY of all blocks
     basis: np.ndarray  # words x RANK, whitened
-    latent: np.ndarray  # items x RANK, unit rows
-    distinct: np.ndarray  # items x words: whether the item has this kept word
+    pieces: np.ndarray  # pieces[k]:pieces[k + 1] are the pieces of item k
+    latent: np.ndarray  # pieces x RANK, unit rows
+    slices: list[_Slice]
 
 
 def load_items(benchmark: DataFrame) -> Items:
@@ -51,7 +68,9 @@ def load_items(benchmark: DataFrame) -> Items:
     hashes = [w.hash[w.first[k] : w.first[k + 1]] for w in wordbytes.words(pa.array([r.text for r in rows], pa.large_string()), wordbytes.ALNUM) for k in range(w.hi - w.lo)]
     kept = [(r.item_id, h) for r, h in zip(rows, hashes, strict=True) if len(h)]
     vocabulary = np.unique(np.concatenate([h for _, h in kept])) if kept else np.zeros(0, np.uint64)
-    return Items([i for i, _ in kept], [np.searchsorted(vocabulary, h).tolist() for _, h in kept], vocabulary)
+    first = np.cumsum([0, *(len(h) for _, h in kept)])
+    words = np.searchsorted(vocabulary, np.concatenate([h for _, h in kept])) if kept else np.zeros(0)
+    return Items([i for i, _ in kept], first, words.astype(np.int32), vocabulary)
 
 
 class _Chunk(NamedTuple):
@@ -76,12 +95,33 @@ def _chunks(column: pa.Array, vocabulary: np.ndarray) -> Iterator[_Chunk]:
         yield _Chunk(w.lo, w.hi - w.lo, np.repeat(np.arange(w.hi - w.lo), blocks), at[known], base[doc] + place // BLOCK, place, int(blocks.sum()))
 
 
-def _rows_of_blocks(term: np.ndarray, block: np.ndarray, n_blocks: int, weights: np.ndarray) -> np.ndarray:
-    """blocks x columns: the sum of the weights' rows over each block's words (in block order)."""
-    out = np.zeros((n_blocks, weights.shape[1]), np.float32)
-    if len(term):
-        first = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[first]] = np.add.reduceat(weights[term], first, axis=0)
+class _Counts(NamedTuple):
+    """The words of some blocks: light ones as pairs in block order, heavy ones as blocks x heavy words."""
+
+    term: np.ndarray
+    block: np.ndarray
+    heavy: np.ndarray
+
+
+def _columns(heavy: np.ndarray, size: int) -> np.ndarray:
+    """The dense column of each heavy word, -1 for light ones."""
+    out = np.full(size, -1, np.int64)
+    out[heavy] = np.arange(len(heavy))
+    return out
+
+
+def _counts(term: np.ndarray, block: np.ndarray, n_blocks: int, column: np.ndarray, n_heavy: int) -> _Counts:
+    at = column[term]
+    dense, light = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+    return _Counts(term[light], block[light], np.bincount(block[dense].astype(np.int64) * n_heavy + at[dense], minlength=n_blocks * n_heavy).reshape(n_blocks, n_heavy).astype(np.float32))
+
+
+def _rows_of_blocks(c: _Counts, weights: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """blocks x columns: the sum of the weights' rows over each block's words."""
+    out = c.heavy @ weights[heavy]
+    if len(c.term):
+        first = np.flatnonzero(np.diff(c.block, prepend=-1))
+        out[c.block[first]] += np.add.reduceat(weights[c.term], first, axis=0)
     return out
 
 
@@ -127,29 +167,31 @@ def _document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]
     return out, blocks
 
 
-def _gram_times(table: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _gram_times(table: DataFrame, idf: np.ndarray, heavy: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A'A times a matrix, A being the unit TF-IDF rows of all blocks: one pass, one partial sum of words x columns a task."""
     weights, n, size = (idf[:, None] * right).astype(np.float32), right.shape[1], len(idf)
+    square, column = idf**2, _columns(heavy, len(idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, n))
         for n_blocks, term, block in _unpacked(batches):
-            keep = np.flatnonzero(idf[term] > 0)
-            if not len(keep):
-                continue
-            term, block = term[keep], block[keep]
-            norm = np.bincount(block, weights=idf[term] ** 2, minlength=n_blocks)
-            rows = _rows_of_blocks(term, block, n_blocks, weights) / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
-            order = np.argsort(term, kind="stable")
-            first = np.flatnonzero(np.diff(term[order], prepend=-1))
-            total[term[order][first]] += np.add.reduceat(rows[block[order]], first, axis=0)
+            norm = np.bincount(block, weights=square[term], minlength=n_blocks)
+            c = _counts(term, block, n_blocks, column, len(heavy))
+            rows = _rows_of_blocks(c, weights, heavy) / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+            total[heavy] += c.heavy.T @ rows
+            if len(c.term):
+                order = np.argsort(c.term, kind="stable")
+                first = np.flatnonzero(np.diff(c.term[order], prepend=-1))
+                total[c.term[order][first]] += np.add.reduceat(rows[c.block[order]], first, axis=0)
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, k]) for k in range(n))], ["term", *(f"v{k}" for k in range(n))])
 
     sums = table.mapInArrow(run, "term long, " + ", ".join(f"v{k} double" for k in range(n)))
     out = np.zeros((size, n))
-    for r in sums.groupBy("term").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(n))).collect():  # words x columns: bounded by the benchmark
-        out[r.term] = r[1:]
+    found = sums.groupBy("term").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(n))).toArrow()  # words x columns: bounded by the benchmark
+    at = found.column("term").to_numpy()
+    for k in range(n):
+        out[at, k] = found.column(f"v{k}").to_numpy()
     return out * idf[:, None]
 
 
@@ -161,24 +203,30 @@ def fit(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int =
     items = load_items(benchmark)
     size = len(items.vocabulary)
     if not size:
-        return Model(items, np.zeros(0), np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 0), bool))
+        return Model(items, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1, np.int64), np.zeros((0, 1), np.float32), [])
     table = checkpointed(spark, _compact(docs, items.vocabulary), "known_words")
     frequency, blocks = _document_frequencies(table, size)
-    # in a small corpus a word may fill the share by chance: words of fewer than 50 blocks always stay
-    idf = np.where((frequency <= MAX_SHARE * blocks) | (frequency < 50), np.log((2 + blocks) / (1 + frequency)), 0.0)
+    idf, heavy = np.log((2 + blocks) / (1 + frequency)), np.flatnonzero(frequency > HEAVY * blocks)
     width = min(rank + EXTRA, size)
-    q, _ = np.linalg.qr(_gram_times(table, idf, np.random.default_rng(seed).standard_normal((size, width))) + 1e-12 * np.eye(size, width))
-    y = _gram_times(table, idf, q)
+    q, _ = np.linalg.qr(_gram_times(table, idf, heavy, np.random.default_rng(seed).standard_normal((size, width))) + 1e-12 * np.eye(size, width))
+    y = _gram_times(table, idf, heavy, q)
     values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
     top = np.argsort(values)[::-1][: min(rank, width)]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)] if values.max() > 0 else top[:1]
     basis = (q @ vectors[:, top]) * np.maximum(values[top] / max(values.max(), 1e-30), 1e-12) ** (-WHITEN / 2)
-    counts = np.zeros((len(items.ids), size), np.float32)
-    for k, w in enumerate(items.words):
-        np.add.at(counts[k], w, 1)
-    latent = (counts * idf) @ basis
+    weighted = (idf[:, None] * basis).astype(np.float32)
+    pieces, starts = _pieces(np.diff(items.first))
+    latent = np.concatenate([np.add.reduceat(weighted[items.words[a:b]], starts[k : k + SLICE] - a, axis=0) for k, a, b in ((k, int(starts[k]), int(starts[k + SLICE]) if k + SLICE < len(starts) else len(items.words)) for k in range(0, len(starts), SLICE))])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Model(items, idf, (idf[:, None] * basis).astype(np.float32), latent.astype(np.float32), (counts > 0) & (idf > 0))
+    return Model(items, idf, heavy, weighted, pieces, latent, _slices(items))
+
+
+def _pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each item's pieces begin among all pieces, and where each piece begins among all words: equal parts of about three blocks."""
+    n = np.maximum(np.rint(sizes / (3 * BLOCK)).astype(np.int64), 1)
+    pieces = np.cumsum(np.append(0, n))
+    within = np.arange(pieces[-1]) - np.repeat(pieces[:-1], n)
+    return pieces, np.repeat(np.cumsum(sizes) - sizes, n) + within * np.repeat(sizes, n) // np.repeat(n, n)
 
 
 def lcs(masks: dict[int, int], size: int, other: list[int]) -> int:
@@ -200,81 +248,154 @@ def _masks(words: list[int]) -> dict[int, int]:
 Leak = tuple[int, int, float, float, float, int, int]
 
 
+def _slices(items: Items) -> list[_Slice]:
+    """At most SLICE items each, fewer of long ones: as many as CELLS products hold with the blocks around them."""
+    out, size, more, lo = [], len(items.vocabulary), (-(-np.diff(items.first) // BLOCK)).tolist(), 0
+    while lo < len(more):
+        hi, longest = lo + 1, more[lo]
+        while hi < min(lo + SLICE, len(more)) and max(longest, more[hi]) * (hi - lo + 1) <= CELLS // 4:
+            longest, hi = max(longest, more[hi]), hi + 1
+        item = np.repeat(np.arange(hi - lo), np.diff(items.first[lo : hi + 1]))
+        pairs, times = np.unique(items.words[items.first[lo] : items.first[hi]].astype(np.int64) * (hi - lo) + item, return_counts=True)
+        out.append(_Slice(lo, hi, np.searchsorted(pairs // (hi - lo), np.arange(size + 1)).astype(np.int32), (pairs % (hi - lo)).astype(np.int32), times.astype(np.float32)))
+        lo = hi
+    return out
+
+
+class _Held(NamedTuple):
+    """How many places of each item the words of some blocks hold: heavy words count once in a stretch, light ones once a block."""
+
+    light: np.ndarray  # (blocks + 1) x items, of all blocks before
+    heavy: np.ndarray  # (blocks + 1) x heavy words, how often in all blocks before
+    times: np.ndarray  # heavy words x items
+
+
+def _held(c: _Counts, s: _Slice, heavy: np.ndarray) -> _Held:
+    n_blocks, n = len(c.heavy), s.hi - s.lo
+    new = np.flatnonzero(np.append(True, (np.diff(c.block) != 0) | (np.diff(c.term) != 0))) if len(c.term) else np.zeros(0, np.int64)
+    term, block = c.term[new], c.block[new].astype(np.int64)
+    each = s.first[term + 1] - s.first[term]
+    flat = np.arange(each.sum()) + np.repeat(s.first[term] - (np.cumsum(each) - each), each)
+    here = np.bincount(np.repeat(block, each) * n + s.item[flat], weights=s.times[flat], minlength=n_blocks * n).reshape(n_blocks, n)
+    times = np.zeros((len(heavy), n), np.float32)
+    for k, w in enumerate(heavy.tolist()):
+        times[k, s.item[s.first[w] : s.first[w + 1]]] = s.times[s.first[w] : s.first[w + 1]]
+    light, dense = np.zeros((n_blocks + 1, n), np.float32), np.zeros((n_blocks + 1, len(heavy)), np.float32)
+    np.cumsum(here, axis=0, out=light[1:])
+    np.cumsum(c.heavy, axis=0, out=dense[1:])
+    return _Held(light, dense, times)
+
+
 def search(column: pa.Array, model: Model) -> list[list[Leak]]:
-    """Per text: (item index, places matched, cosine, share in order, share of the closing words, first word, last word)."""
+    """Per text: (item index, places matched, cosine, share in order, share of the closing words, first word, last word).
+
+    Blocks and items are taken in parts of CELLS products, with as many blocks around as an item can reach.
+    """
     out: list[list[Leak]] = [[] for _ in range(len(column))]
     items = model.items
     if not items.ids:
         return out
-    sizes = np.array([len(w) for w in items.words])
-    wanted = np.maximum(np.ceil(OVERLAP * model.distinct.sum(1)), 1)
-    masks = [_masks(w) for w in items.words]
-    tails = [w[-max(1, len(w) // 3) :] for w in items.words]
-    tail_masks = [_masks(w) for w in tails]
+    sizes = np.diff(items.first)
+    needed = np.ceil(LCS_WITH_ANSWER * sizes - 1e-9).astype(np.float32)
+    more = -(-sizes // BLOCK)
+    column_of = _columns(model.heavy, len(items.vocabulary))
+    owner = np.repeat(np.arange(len(sizes)), np.diff(model.pieces))
     for c in _chunks(column, items.vocabulary):
         if not c.n_blocks:
             continue
-        keep = np.flatnonzero(model.idf[c.term] > 0)
-        term, block = c.term[keep], c.block[keep]
-        ends = np.searchsorted(block, np.arange(c.n_blocks + 1))
-        rows = _rows_of_blocks(term, block, c.n_blocks, model.basis)
+        by_block = np.argsort(c.block.astype(np.int64) * len(items.vocabulary) + c.term)
+        term, block = c.term[by_block], c.block[by_block]
+        first_block, last_block = np.searchsorted(c.doc, c.doc), np.searchsorted(c.doc, c.doc, side="right") - 1
         found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-        for width in (2, 3):
-            z, last = rows.copy(), np.arange(c.n_blocks)
-            for step in range(1, width):
-                follows = np.zeros(c.n_blocks, bool)
-                follows[: c.n_blocks - step] = c.doc[step:] == c.doc[: c.n_blocks - step]
-                at = np.flatnonzero(follows)
-                z[at] += rows[at + step]
-                last[at] = at + step
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-            cosine = z @ model.latent.T
-            where, item = np.nonzero(cosine > COSINE)
-            # exact bound on kept words: how many of the item's stand in the passage and one block around it
-            low = np.where((where > 0) & (c.doc[np.maximum(where - 1, 0)] == c.doc[where]), where - 1, where)
-            after = np.minimum(last[where] + 1, c.n_blocks - 1)
-            high = np.where(c.doc[after] == c.doc[where], after, last[where])
-            start, stop = ends[low], ends[high + 1]
-            some = np.flatnonzero(stop - start >= wanted[item])
-            for a in range(0, len(some), 50_000):
-                part = some[a : a + 50_000]
-                n = stop[part] - start[part]
-                flat = np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                hit = model.distinct[np.repeat(item[part], n), term[flat]]
-                good = part[np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64) >= wanted[item[part]]]
-                for k in good.tolist():
-                    found.setdefault((int(c.doc[where[k]]), int(item[k])), []).append((int(where[k]), int(last[where[k]]), float(cosine[where[k], item[k]])))
-        if not found:
-            continue
-        first_block = np.searchsorted(c.doc, np.arange(c.n_docs))
-        known = np.searchsorted(c.block, np.arange(c.n_blocks + 1))
-        for (doc, k), spans in sorted(found.items()):
-            runs: list[list] = []
-            for a, b, cos in sorted(spans):
-                if runs and a <= runs[-1][1] + 1:
-                    runs[-1][1], runs[-1][2] = max(runs[-1][1], b), max(runs[-1][2], cos)
-                else:
-                    runs.append([a, b, cos])
-            more = -(-int(sizes[k]) // BLOCK)
-            best: Leak | None = None
-            for a, b, cos in runs:
-                a, b = max(a - more, int(first_block[doc])), min(b + more, c.n_blocks - 1)
-                while c.doc[b] != doc:
-                    b -= 1
-                span = slice(int(known[a]), int(known[b + 1]))
-                words = c.term[span].tolist()
-                share = lcs(masks[k], int(sizes[k]), words) / int(sizes[k])
-                if share < LCS_WITH_ANSWER or (best and share <= best[3]):
-                    continue
-                tail = lcs(tail_masks[k], len(tails[k]), words) / len(tails[k])
-                if share >= LCS or tail >= ANSWER:
-                    places = c.place[span]
-                    best = (k, len(words), cos, share, tail, int(places[0]), int(places[-1]) + 1)
-            if best:
-                out[c.lo + doc].append(best)
+        for s in model.slices:
+            reach = int(more[s.lo : s.hi].max()) + 3
+            step = max(CELLS // max(s.hi - s.lo, int(model.pieces[s.hi] - model.pieces[s.lo])), 1)
+            for start in range(0, c.n_blocks, step):
+                stop = min(start + step, c.n_blocks)
+                lo, hi = max(start - reach, 0), min(stop + reach, c.n_blocks)
+                span = slice(*np.searchsorted(block, (lo, hi)))
+                part = _counts(term[span], block[span] - lo, hi - lo, column_of, len(model.heavy))
+                _propose(found, c.doc, first_block, last_block, part, _held(part, s, model.heavy), s, model, owner, needed, more, lo, start, stop)
+        if found:
+            _decide(out, c, found, items, more, first_block, last_block)
     return out
 
 
+def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block: np.ndarray, part: _Counts, held: _Held, s: _Slice, model: Model, owner: np.ndarray, needed: np.ndarray, more: np.ndarray, lo: int, start: int, stop: int) -> None:
+    """Puts the candidates that begin in the blocks start .. stop - 1 into found: (text, item) -> first block, last block, cosine."""
+    rows = _rows_of_blocks(part, model.basis, model.heavy)
+    at = np.arange(start, stop)
+    latent = model.latent[model.pieces[s.lo] : model.pieces[s.hi]]
+    z = rows[start - lo : stop - lo].copy()
+    last = at.copy()
+
+    def put(where: np.ndarray, item: np.ndarray, end: np.ndarray, cosine: np.ndarray) -> None:
+        for w, k, e, x in zip(where.tolist(), item.tolist(), end.tolist(), cosine.tolist(), strict=True):
+            found.setdefault((int(doc[w]), k), []).append((w, e, x))
+
+    for width in (2, 3):
+        follows = np.flatnonzero(at + width - 1 <= last_block[at])
+        z[follows] += rows[at[follows] + width - 1 - lo]
+        last[follows] = at[follows] + width - 1
+        unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        cosine = unit @ latent.T
+        where, piece = np.nonzero(cosine > COSINE)
+        item = owner[piece + model.pieces[s.lo]]
+        # no leak has fewer of the item's words around
+        before, after = np.maximum(at[where] - more[item], first_block[at[where]]), np.minimum(last[where] + more[item], last_block[at[where]])
+        before, after = before - lo, after + 1 - lo
+        inside = held.light[after, item - s.lo] - held.light[before, item - s.lo]
+        some = np.flatnonzero(inside + held.times.sum(0)[item - s.lo] >= needed[item])
+        good = some[inside[some] + np.einsum("ij,ij->i", held.heavy[after[some]] > held.heavy[before[some]], held.times.T[item[some] - s.lo]) >= needed[item[some]]]
+        put(at[where[good]], item[good], last[where[good]], cosine[where[good], piece[good]])
+    # windows of the item's length and two blocks, whatever their cosine
+    for n in np.unique(more[s.lo : s.hi]).tolist():
+        these = np.flatnonzero(more[s.lo : s.hi] == n)
+        end = np.minimum(at + n + 1, last_block[at])
+        begin, beyond = at - lo, end + 1 - lo
+        inside = held.light[beyond][:, these] - held.light[begin][:, these]
+        inside += (held.heavy[beyond] > held.heavy[begin]).astype(np.float32) @ held.times[:, these]
+        where, k = np.nonzero(inside >= needed[s.lo + these])
+        if len(where):
+            item = these[k] + s.lo
+            unit = np.add.reduceat(rows, np.stack([at[where] - lo, np.minimum(end[where] + 1 - lo, len(rows) - 1)], 1).ravel(), axis=0)[::2]
+            unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+            middle = (at[where] + end[where]) // 2  # the item's length is searched to both sides
+            put(middle, item, middle, np.einsum("ij,ij->i", unit, model.latent[model.pieces[item]]))
+
+
+def _decide(out: list[list[Leak]], c: _Chunk, found: dict, items: Items, more: np.ndarray, first_block: np.ndarray, last_block: np.ndarray) -> None:
+    """The best run of candidates of each text and item, if it is a leak."""
+    known = np.searchsorted(c.block, np.arange(c.n_blocks + 1))
+    masks: dict[int, tuple] = {}
+    for (doc, k), spans in sorted(found.items()):
+        if k not in masks:
+            words = items.words[items.first[k] : items.first[k + 1]].tolist()
+            tail = words[-max(1, len(words) // 3) :]
+            masks[k] = (_masks(words), len(words), _masks(tail), len(tail))
+        mask, size, tail_mask, tail_size = masks[k]
+        runs: list[list] = []
+        for a, b, cos in sorted(spans):
+            if runs and a <= runs[-1][1] + 1:
+                runs[-1][1], runs[-1][2] = max(runs[-1][1], b), max(runs[-1][2], cos)
+            else:
+                runs.append([a, b, cos])
+        best: Leak | None = None
+        for a, b, cos in runs:
+            a, b = max(a - int(more[k]), int(first_block[a])), min(b + int(more[k]), int(last_block[b]))
+            span = slice(int(known[a]), int(known[b + 1]))
+            words = c.term[span].tolist()
+            share = lcs(mask, size, words) / size
+            if share < LCS_WITH_ANSWER or (best and share <= best[3]):
+                continue
+            tail = lcs(tail_mask, tail_size, words) / tail_size
+            if share >= LCS or tail >= ANSWER:
+                places = c.place[span]
+                best = (k, len(words), cos, share, tail, int(places[0]), int(places[-1]) + 1)
+        if best:
+            out[c.lo + doc].append(best)
+
+
 LEAKS = "array<struct<item_id: long, cosine: double, lcs: double, answer: double, first_word: long, last_word: long>>"
 
 

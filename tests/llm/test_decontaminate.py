@@ -53,3 +53,20 @@ def test_empty(spark):
     assert decontaminate.contaminated(spark, df, none).count() == 0
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert decontaminate.contaminated(spark, df.limit(0), some).count() == 0
+
+
+def test_long_items(spark):
+    """Copies and changed copies of items of 200 to 1,000 words."""
+    rng = random.Random(3)
+    vocabulary = words(rng, 6000)
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (200, 300, 500, 1000)]
+    docs = []
+    for k, item in enumerate(items):
+        changed = [rng.choice(vocabulary) if rng.random() < 0.3 else w for w in item]
+        for piece in (item, changed):
+            docs.append((len(docs), " ".join([*(rng.choice(vocabulary) for _ in range(150)), *piece, *(rng.choice(vocabulary) for _ in range(90))]), k))
+    docs += [(100 + d, " ".join(rng.choice(vocabulary) for _ in range(1500)), None) for d in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, k int")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    out = decontaminate.contaminated(spark, df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(d, k) for d, _, k in docs if k is not None}
