@@ -70,3 +70,15 @@ def test_long_items(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     out = decontaminate.contaminated(spark, df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in out} == {(d, k) for d, _, k in docs if k is not None}
+
+
+def test_widespread_item(spark):
+    """A third of the rows of a table of short texts hold one item."""
+    rng = random.Random(4)
+    vocabulary = words(rng, 3000)
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(5)]
+    body = lambda d: [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))] + (items[0] if d % 3 == 0 else [])
+    df = spark.createDataFrame([(d, " ".join(body(d))) for d in range(900)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    out = decontaminate.contaminated(spark, df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(d, 0) for d in range(0, 900, 3)}
