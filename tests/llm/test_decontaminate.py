@@ -82,3 +82,25 @@ def test_widespread_item(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     out = decontaminate.contaminated(spark, df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in out} == {(d, 0) for d in range(0, 900, 3)}
+
+
+def test_many_items_in_little_memory(spark):
+    """Items x words is never held: 8,000 items of 20,000 words would be 640 MB an array of 32-bit numbers."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocabulary = sorted({"".join(rng.choice("aeioulnrst") for _ in range(7)) for _ in range(20000)})
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(8000)]
+    df = spark.createDataFrame([(k, " ".join(items[k])) for k in range(0, 8000, 400)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    tracemalloc.start()
+    try:
+        model = decontaminate.fit(spark, df, bench)
+        assert tracemalloc.get_traced_memory()[1] < 300e6
+        import pyarrow as pa
+
+        tracemalloc.reset_peak()
+        found = decontaminate.search(pa.array([" ".join(sum(items[:3000], []))]), model)
+        assert {k for k, *_ in found[0]} >= set(range(3000)) and tracemalloc.get_traced_memory()[1] < 500e6
+    finally:
+        tracemalloc.stop()
