@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridindex.functions.scalars import precision_recall_f1, to_num
-from gridindex.operators.tables import cumulative, percentile_rank, quantiles
+from gridindex.operators.tables import column_quantiles, cumulative, group_quantiles, percentile_rank, quantiles
 
 
-def normalize_minmax(df: DataFrame, columns: Sequence[str], winsorize: tuple[float, float] | None = None, suffix: str = "_norm", mode: str = "exact") -> DataFrame:
+def normalize_minmax(df: DataFrame, columns: Sequence[str], winsorize: tuple[float, float] | None = None, suffix: str = "_norm", mode: str = "sorted") -> DataFrame:
     """Columns scaled to [0, 1], after clipping to two quantiles where asked.
 
     Missing stays missing, but a constant column is 0 in every row; a column without numbers stays missing. All columns'
@@ -20,7 +20,8 @@ def normalize_minmax(df: DataFrame, columns: Sequence[str], winsorize: tuple[flo
     """
     value = {c: to_num(F.col(c)) for c in columns}
     if winsorize and mode == "sorted":
-        limits = {c: quantiles(df.select(value[c].alias("v")), "v", winsorize, mode) or [None, None] for c in columns}
+        found = column_quantiles(df, value, winsorize)
+        limits = {c: found.get(c, [None, None]) for c in columns}
     elif winsorize:
         f = F.percentile if mode == "exact" else (lambda v, q: F.percentile_approx(v, q, 10_000))
         row = df.agg(*(f(value[c], F.array(*map(F.lit, winsorize))).alias(c) for c in columns)).head()
@@ -96,12 +97,13 @@ def weight_sensitivity(df: DataFrame, columns: Sequence[str], limit: float = 0.0
     whole = df.dropna(subset=list(columns))
     delta = sum((F.col(c) * weights.get(c, 0.0) for c in columns), F.lit(0.0)) - sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
     d = whole.select(delta.alias("d"))
-    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", 0.05).alias("p5"), F.percentile("d", 0.95).alias("p95"), F.count_if(F.abs("d") > limit).alias("beyond"))
+    p5, p95 = (F.lit(x).cast("double") for x in quantiles(d, "d", [0.05, 0.95]) or [None, None])
+    return d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), p5.alias("p5"), p95.alias("p95"), F.count_if(F.abs("d") > limit).alias("beyond"))
 
 
 def group_quintiles(df: DataFrame, by: str, value: str, least: int = 10) -> DataFrame:
     """Quintile bounds a group (groups of fewer values have none), forced to ascend."""
-    q = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).groupBy(by).agg(F.percentile(value, F.array(*(F.lit(k / 5) for k in range(6)))).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    q = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).transform(group_quantiles, by, value, [k / 5 for k in range(6)]).filter(F.col("n") >= least)
     rising = F.aggregate(F.slice("q", 2, 5), F.slice("q", 1, 1), lambda acc, x: F.concat(acc, F.array(F.when(x <= F.element_at(acc, -1), F.element_at(acc, -1) + 1e-6).otherwise(x))))
     return q.select(by, rising.alias("bounds"))
 
@@ -144,7 +146,7 @@ def percent_below(df: DataFrame, value: str, limits: DataFrame, key: str, limit:
 
 def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles a group, and whiskers: the furthest values within one and a half interquartile ranges."""
-    q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = group_quantiles(df, by, value, [0.25, 0.5, 0.75])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, by).filter(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))

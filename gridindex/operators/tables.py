@@ -110,24 +110,41 @@ def mean_of_means(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean"), (F.avg((F.col("m") == 1).cast("int")) * 100).alias("percent_full"), F.count("*").alias("groups"))
 
 
-def quantiles(df: DataFrame, column: str, shares: Sequence[float], mode: str = "exact") -> list[float]:
-    """Linear-interpolated quantiles. exact: Spark's percentile; approx: a sketch; sorted: exact from a range-partitioned sort,
-    which holds no value counts in memory, for columns of very many distinct values."""
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], mode: str = "sorted") -> list[float]:
+    """Linear-interpolated quantiles. sorted: exact, from counts summed by ranges (group_quantiles); exact: Spark's percentile,
+    which holds every distinct value in one task; approx: a sketch."""
     if mode == "exact":
         return list(df.select(F.percentile(column, F.array(*map(F.lit, shares)))).head()[0] or [])
     if mode == "approx":
         return list(df.select(F.percentile_approx(column, F.array(*map(F.lit, shares)), 10_000)).head()[0] or [])
-    ranked, n = ranks(df.select(F.col(column).alias("v")).filter("v IS NOT NULL"), "v")
-    if not n:
-        return []
-    wanted = {int(k) for s in shares for k in (s * (n - 1), min(s * (n - 1) + 1, n - 1))}
-    at = {r.rank: r.v for r in ranked.filter(F.col("rank").isin(sorted(wanted))).collect()}
-    out = []
-    for s in shares:
-        lo = int(s * (n - 1))
-        part = s * (n - 1) - lo
-        out.append(at[lo] if not part else at[lo] + (at[min(lo + 1, n - 1)] - at[lo]) * part)
-    return out
+    row = group_quantiles(df.select(F.lit(0).alias("__all"), F.col(column).alias("__value")), "__all", "__value", shares).head()
+    return list(row.q) if row else []
+
+
+def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """by, q (linear-interpolated quantiles) and n (values) of each group that has a value.
+
+    Values are counted by group, the counts summed by ranges of the values, and the ranks looked up: neither a large group
+    nor a column of many distinct values is held by one task.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    v = F.col(value).cast("double")
+    rows = df.select(F.struct(F.col(by).alias("by")).alias("g"), v.alias("v")).filter("v IS NOT NULL")  # as a struct, a null group is equal to itself
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
+    cuts = sorted(set(rows.agg(F.percentile_approx("v", F.array(*(F.lit(k / parts) for k in range(1, parts))), 20 * parts)).head()[0] or []))
+    # without a lambda: Spark would carry that over to the other side of the join below
+    dealt = counts.withColumn("part", F.array_position(F.sort_array(F.array_append(F.array(*map(F.lit, cuts)), F.col("v"))), F.col("v")) if cuts else F.lit(0).cast("long"))
+    order = Window.partitionBy("g").orderBy("part")  # at most as many rows a group as there are ranges
+    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("s"))
+    starts = sums.select("g", "part", (F.sum("s").over(order) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("g")).alias("total"))
+    lesser = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(starts, ["g", "part"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(lesser), F.lit(0)))
+    at = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+    ends = [F.max(F.when(holds(rank), F.col("v"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, rank in (("lo", F.floor(p)), ("hi", F.ceil(p)))]
+    found = placed.groupBy("g").agg(F.max("total").alias("total"), *ends)
+    between = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"lo{i}") + (p - F.floor(p)) * F.col(f"hi{i}")) for i, p in enumerate(at)]
+    return found.select(F.col("g.by").alias(by), F.array(*between).alias("q"), F.col("total").alias("n"))
 
 
 def ranks(df: DataFrame, column: str) -> tuple[DataFrame, int]:
@@ -152,14 +169,23 @@ def ranks(df: DataFrame, column: str) -> tuple[DataFrame, int]:
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: n, nulls, mean, sd, min, median, max, zeros, positives, ones (>= .999), near-zeros (<= .001)."""
     measures = {
-        "n": lambda c: F.count(c), "nulls": lambda c: F.count_if(c.isNull()), "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "median": F.median, "max": F.max,
+        "n": lambda c: F.count(c), "nulls": lambda c: F.count_if(c.isNull()), "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max,
         "zeros": lambda c: F.count_if(c == 0), "positives": lambda c: F.count_if(c > 0), "ones": lambda c: F.count_if(c >= 0.999), "near_zeros": lambda c: F.count_if(c <= 0.001),
     }
     one = df.agg(*(f(F.col(c).cast("double")).cast("double").alias(f"{c}__{m}") for c in columns for m, f in measures.items()))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{m}").alias(m) for m in measures)) for c in columns))
+    medians = column_quantiles(df, {c: F.col(c).cast("double") for c in columns}, [0.5])
+    order = ["n", "nulls", "mean", "sd", "min", "median", "max", "zeros", "positives", "ones", "near_zeros"]
+    at = lambda c, m: F.lit(medians[c][0] if c in medians else None).cast("double") if m == "median" else F.col(f"{c}__{m}")
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), *(at(c, m).alias(m) for m in order)) for c in columns))
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def column_quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[float]) -> dict[str, list[float]]:
+    """The quantiles of several columns at once; a column without a value is left out."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()))).alias("r")).select("r.*")
+    return {r.column: list(r.q) for r in group_quantiles(long, "column", "value", shares).collect()}  # one row a column
+
+
 def area_by_cell(overlaps: DataFrame) -> DataFrame:
     """cell_id, state, class, area -> per cell: total and high-class area, greatest class, records, the state with most area, fractions."""
     known = overlaps.filter(F.col("class") >= 0)
@@ -332,5 +358,5 @@ def prefer_layers(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
 
 def at_least_group_quantile(df: DataFrame, by: str, value: str, share: float) -> DataFrame:
     """Rows at or above their group's quantile."""
-    cut = df.groupBy(by).agg(F.percentile(value, share).alias("__cut"))
+    cut = group_quantiles(df, by, value, [share]).select(by, F.col("q")[0].alias("__cut"))
     return df.join(cut, by).filter(F.col(value) >= F.col("__cut")).drop("__cut")

@@ -132,7 +132,7 @@ def income_inverted(spark: SparkSession, sf: str) -> DataFrame:
     return _r(index.ratio_indicator(_sums(spark, sf), ["income"], ["people"], cap=1400.0, inverted=True))
 
 
-def _minmax(spark: SparkSession, sf: str, winsorize: tuple[float, float] | None, mode: str = "exact") -> DataFrame:
+def _minmax(spark: SparkSession, sf: str, winsorize: tuple[float, float] | None, mode: str = "sorted") -> DataFrame:
     o = _t(spark, sf, "orders", "o_orderkey", "o_totalprice")
     return _r(stats.normalize_minmax(o, ["o_totalprice"], winsorize, mode=mode).select("o_orderkey", F.col("o_totalprice_norm").alias("norm")))
 
@@ -627,7 +627,9 @@ def variance_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("quality_status", f"""WITH {_CELLS} SELECT size_class, CASE WHEN p = 0 AND z < 1 THEN 'SPARSE' WHEN p = 0 THEN 'COLLAPSE' WHEN z < 1 THEN 'RISK' WHEN z < 5 THEN 'SPARSE' ELSE 'OK' END AS status FROM (SELECT size_class, quantile_cont(greatest(balance, 0), 0.99) AS p, avg((balance > 0)::INT) * 100 AS z FROM cells GROUP BY 1)""")
 def quality_status(spark: SparkSession, sf: str) -> DataFrame:
-    by = _cells(spark, sf).groupBy("size_class").agg(F.percentile(F.greatest("balance", F.lit(0.0)), 0.99).alias("p"), (F.avg((F.col("balance") > 0).cast("int")) * 100).alias("z"))
+    cells = _cells(spark, sf)
+    cut = tables.group_quantiles(cells.select("size_class", F.greatest("balance", F.lit(0.0)).alias("v")), "size_class", "v", [0.99]).select("size_class", F.col("q")[0].alias("p"))
+    by = cells.groupBy("size_class").agg((F.avg((F.col("balance") > 0).cast("int")) * 100).alias("z")).join(cut, "size_class", "left")
     return by.select("size_class", S.quality_status(F.col("p"), F.col("z")).alias("status"))
 
 
@@ -699,7 +701,11 @@ def value_shares(spark: SparkSession, sf: str) -> DataFrame:
 def coverage_by_region(spark: SparkSession, sf: str) -> DataFrame:
     """Region and national rows from one pass."""
     full = F.col("price") >= 200_000
-    out = tables.regional_summary(_cells(spark, sf), "region", {"total": F.count("*"), "covered": F.count_if(full), "share": F.avg(full.cast("int")), "median": F.percentile("price", 0.5)})
+    cells = _cells(spark, sf)
+    out = tables.regional_summary(cells, "region", {"total": F.count("*"), "covered": F.count_if(full), "share": F.avg(full.cast("int"))})
+    whole = tables.group_quantiles(cells.select(F.lit("all").alias("region"), "price"), "region", "price", [0.5])
+    medians = tables.group_quantiles(cells, "region", "price", [0.5]).unionByName(whole).select(F.col("region").alias("__region"), F.col("q")[0].alias("median"))
+    out = out.join(medians, F.col("region").eqNullSafe(F.col("__region")), "left")
     return out.select("region", "total", "covered", F.round("share", 6).alias("share"), F.round("median", 4).alias("median"))
 
 
