@@ -3,27 +3,17 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridindex.functions.grid import axial, cell_area, cell_id, grid_disk, offsets, parts
-
-
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share and read again: loops don't grow their lineage."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridindex-")
-    path = os.path.join(top, "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gridindex.shared import written
 
 
 def knn_join(targets: DataFrame, points: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
@@ -121,10 +111,14 @@ def extent(df: DataFrame, pad: float = 0.05) -> DataFrame:
 
 def valid_polygons(df: DataFrame) -> DataFrame:
     """Polygons with an outline of three points at least and an area."""
-    outline = F.try_element_at("rings", F.lit(1))
-    turned = F.concat(F.slice(outline, 2, F.size(outline)), F.slice(outline, 1, 1))
-    twice = F.aggregate(F.zip_with(outline, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x)
-    return df.filter(F.col("rings").isNotNull() & (F.size("rings") > 0)).filter(F.size(outline) >= 3).filter(F.abs(twice) > 0)
+
+    def has_area(outline: Column) -> Column:
+        turned = F.concat(F.slice(outline, 2, F.size(outline)), F.slice(outline, 1, 1))
+        twice = F.aggregate(F.zip_with(outline, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, x: s + x)
+        return (F.size(outline) >= 3) & (F.abs(twice) > 0)
+
+    # the outline is bound once by a lambda: as a repeated subexpression of the filter it does not compile
+    return df.filter(F.exists(F.slice("rings", 1, 1), has_area))
 
 
 def _clip_area(ring: np.ndarray, corners: np.ndarray) -> float:

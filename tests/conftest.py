@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.fallback", "false")  # generated code that does not compile fails the test
+        .config("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
         .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.sql.warehouse.dir", f"file://{shared}/warehouse")
         .getOrCreate()
