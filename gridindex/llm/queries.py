@@ -35,14 +35,14 @@ def _secret_oracle() -> str:
  s AS (SELECT rid, kind, vs[k] AS v, (list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::BIGINT AS st, length(ms[k]) AS n FROM u),
  base AS (SELECT rid, kind, v, st, st + n AS en FROM s WHERE kind = 0 AND length(v) >= 6 OR kind = 1 AND length(v) >= 20 OR kind = 2),
  tok AS (SELECT row_number() OVER () AS cid, rid, v, st, st + n AS en FROM s WHERE kind = 3),
- smp AS (SELECT true AS r, v FROM base UNION ALL SELECT false, v FROM tok WHERE NOT regexp_matches(v, '[0-9]')),
+ cand AS (SELECT * FROM tok WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tok.rid AND b.st < tok.en AND tok.st < b.en)),
+ smp AS (SELECT true AS r, v FROM base UNION ALL SELECT false, v FROM cand),
  pr AS (SELECT r, unnest(list_transform(generate_series(1, length(v) - 1), lambda i: substring(v, i, 2))) AS p FROM smp),
  pc AS (SELECT p, count_if(r) AS r, count_if(NOT r) AS o FROM pr WHERE regexp_full_match(p, '[A-Za-z0-9+/_.=-][A-Za-z0-9+/_.=-]') GROUP BY p),
  f AS (SELECT left(p, 1) AS a, sum(r) AS r, sum(o) AS o FROM pc GROUP BY 1),
  llr AS (SELECT p, ln(((pc.r + 1) / (f.r + {a})) / ((pc.o + 1) / (f.o + {a}))) AS x FROM pc JOIN f ON a = left(p, 1) UNION ALL SELECT a, ln((o + {a}) / (r + {a})) FROM f),
- cand AS (SELECT * FROM tok WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = tok.rid AND b.st < tok.en AND tok.st < b.en)),
  cp AS (SELECT cid, length(v) - 1 AS n, unnest(list_transform(generate_series(1, length(v) - 1), lambda i: substring(v, i, 2))) AS p FROM cand),
- sc AS (SELECT cid FROM cp LEFT JOIN llr two ON two.p = cp.p LEFT JOIN llr one ON one.p = left(cp.p, 1) GROUP BY cid, n HAVING sum(coalesce(two.x, one.x, 0)) / n > 1.0),
+ sc AS (SELECT cid FROM cp LEFT JOIN llr two ON two.p = cp.p LEFT JOIN llr one ON one.p = left(cp.p, 1) GROUP BY cid, n HAVING sum(coalesce(two.x, one.x, 0)) > greatest({secret_scan.THRESHOLD} * n, {secret_scan.EVIDENCE})),
  sp AS (SELECT rid, kind, st, en FROM base UNION ALL SELECT rid, 3, st, en FROM cand JOIN sc USING (cid)),
  w AS (SELECT rid, kind, st, en, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || st || ':' || en AS x FROM sp),
  g AS (SELECT rid, count_if(kind = 0) AS a, count_if(kind = 1) AS b, count_if(kind = 2) AS c, count_if(kind = 3) AS e, string_agg(x, ',' ORDER BY st, kind, en) FILTER (kind < 3) AS bs, string_agg(x, ',' ORDER BY st, kind, en) AS al FROM w GROUP BY rid)

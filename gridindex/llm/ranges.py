@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridindex.shared import scratch, written
+
+__all__ = ["bounds", "checkpointed", "free", "range_of", "scratch"]
+
 
 def bounds(spark: SparkSession, docs: DataFrame) -> list[int]:
     """At most spark.sql.shuffle.partitions - 1 ascending cuts of doc_id, about as many rows between any two. Reads doc_id alone."""
@@ -22,14 +22,14 @@ def range_of(cuts: list[int], key: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= key)), F.lit(0)) if cuts else F.lit(0)
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share; a local one only where spark.checkpoint.dir is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="gridindex-")
-    return os.path.join(top, what, uuid.uuid4().hex)
-
-
 def checkpointed(spark: SparkSession, frame: DataFrame, what: str) -> DataFrame:
     """The frame, written once to the shared folder and read again: its lineage is cut, and losing an executor loses nothing."""
-    path = scratch(spark, what)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return written(spark, frame, what)
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """A column name like this one that docs does not have, in any case."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

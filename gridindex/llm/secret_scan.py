@@ -1,18 +1,24 @@
 """Secrets, by rules and by two character Markov models, in built-in column functions only.
 
-The rules give the base spans. Beside them, every long token is scored by the log-likelihood ratio of two first-order
-character models: one of random strings, trained on what the rules label as secrets, one of ordinary identifiers, trained
-on the long tokens they don't. Counts run over all documents; only the ratio table (at most one entry for a pair of
-alphabet characters) comes back, to be used as a literal.
+The rules give the base spans. Beside them, every token of MIN_TOKEN characters or more is scored by the log-likelihood
+ratio of two first-order character models: one of random strings, trained on what the rules label as secrets, one of
+ordinary identifiers, trained on the tokens that no rule touches, whatever their characters. Counts run over all documents;
+only the ratio table (at most one entry for a pair of alphabet characters) comes back, to be used as a literal.
+
+Positions, overlaps and redaction are prefix sums and prefix maxima over arrays of matches, in n log n steps for a text of
+n matches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridindex.llm.ranges import free
+
 #: The base kinds in the order in which spans with one start are listed, their patterns, and a cheap guard for each.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -21,8 +27,25 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of a token; what else stands in a value (a dot, say) is one more letter of the models.
 ALPHABET = 66
-MIN_TOKEN = 20
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+MIN_TOKEN = 12
+TOKEN = rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}"
+#: A token is called random where its pairs' ratios sum to more than EVIDENCE and are more than THRESHOLD each on average:
+#: short tokens have to be the more marked.
+THRESHOLD, EVIDENCE = 1.0, 19.0
+#: Spans that one step of the redaction cuts from a stretch of text.
+STRETCH = 128
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima or minima of an array: each step joins every value with the one twice as far before it."""
+    steps = F.array(*(F.lit(1 << k) for k in range(31)))
+    further = lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(x, F.get(acc, i - d))).otherwise(x))
+    return F.aggregate(steps, values, lambda acc, d: F.when(d >= F.size(acc), acc).otherwise(further(acc, d)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _located(text: Column, pattern: str, kind: int) -> Column:
@@ -30,17 +53,16 @@ def _located(text: Column, pattern: str, kind: int) -> Column:
 
     What stands between the matches and the matches themselves alternate, so offsets are running sums of their lengths.
     """
-    value = 2 if pattern == ASSIGN else 0
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value"))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,value:string>>")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern == ASSIGN else found
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(found))).alias("found"))
+    def placed(rows: Column) -> Column:
+        ends = _scan(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["match"])), lambda a, b: a + b)
+        at = lambda end, x: F.struct((end - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        return F.zip_with(ends, rows, at)
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    return _let(F.filter(zipped, lambda x: x["match"].isNotNull()), placed)
 
 
 def _nothing() -> Column:
@@ -56,14 +78,22 @@ def _rules(text: Column) -> Column:
     return F.concat(assign, access, digits)
 
 
-def _tokens(text: Column) -> Column:
-    """Long tokens with both letters and digits: what the models may call a secret."""
-    mixed = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
-    return F.when(text.rlike(TOKEN), F.filter(_located(text, TOKEN, 3), mixed)).otherwise(_nothing())
+def _tokens(text: Column, base: Column) -> Column:
+    """The tokens that no base span touches."""
+
+    def apart(rows: Column) -> Column:
+        """rows: base spans and tokens by start. A span before may reach into a token, one after may begin in it."""
+        reached = _scan(F.transform(rows, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest)
+        begins = F.reverse(_scan(F.transform(F.reverse(rows), lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(F.lit(2**31 - 1))), F.least))
+        free_ = lambda x: (x["row"]["kind"] == 3) & (x["reached"] <= x["row"]["start"]) & (x["begins"] >= x["row"]["end"])
+        return F.transform(F.filter(F.arrays_zip(rows.alias("row"), reached.alias("reached"), begins.alias("begins")), free_), lambda x: x["row"])
+
+    every = _located(text, TOKEN, 3)
+    return F.when(~text.rlike(TOKEN), _nothing()).when(F.size(base) == 0, every).otherwise(_let(F.array_sort(F.concat(base, every)), apart))
 
 
 def _pairs(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda i: F.substring(value, i, F.lit(2)))
+    return F.regexp_extract_all(value, F.lit("(?=(..))"), F.lit(1))
 
 
 def train(docs: DataFrame) -> dict[str, float]:
@@ -72,10 +102,9 @@ def train(docs: DataFrame) -> dict[str, float]:
     Both models are smoothed by one count a pair, so with no samples at all every ratio is 0.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    random = F.transform(_rules(text), lambda x: x["value"])
-    plain = F.when(text.rlike(TOKEN), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    samples = docs.select(F.transform(random, lambda v: F.struct(F.lit(True).alias("random"), v.alias("value"))).alias("r"), F.transform(F.filter(plain, lambda v: ~v.rlike("[0-9]")), lambda v: F.struct(F.lit(False).alias("random"), v.alias("value"))).alias("o"))
-    each = samples.select(F.explode(F.concat("r", "o")).alias("s")).select("s.random", "s.value").filter(F.length("value") >= 2)
+    base = docs.select(text.alias("text")).select("text", _rules(F.col("text")).alias("base"))
+    labelled = lambda random, rows: F.transform(rows, lambda x: F.struct(F.lit(random).alias("random"), x["value"].alias("value")))
+    each = base.select(F.explode(F.concat(labelled(True, F.col("base")), labelled(False, _tokens(F.col("text"), F.col("base"))))).alias("s")).select("s.random", "s.value").filter(F.length("value") >= 2)
     counted = each.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     rows = counted.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_.=-]{2}$")).collect()  # at most ALPHABET squared
     first: dict[str, list[int]] = {}
@@ -88,25 +117,25 @@ def train(docs: DataFrame) -> dict[str, float]:
 
 
 def _score(value: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio a pair; a pair never seen counts as its first letter's unseen pair."""
-    pairs = _pairs(value)
+    """The sum of the pairs' log-likelihood ratios; a pair never seen counts as its first letter's unseen pair."""
     ratio = lambda p: F.coalesce(F.element_at(table, p), F.element_at(table, F.substring(p, 1, 1)), F.lit(0.0))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + ratio(p)) / (F.length(value) - 1)
+    return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, p: acc + ratio(p))
 
 
-def spans(docs: DataFrame, model: dict[str, float], threshold: float = 1.0, name: str = "secret_spans") -> DataFrame:
+def spans(docs: DataFrame, model: dict[str, float], threshold: float = THRESHOLD, name: str = "secret_spans") -> DataFrame:
     """docs with one more column (replacing one of that name): array<struct<start, kind, end>>, sorted; kind is an index into KINDS.
 
-    Beyond the base spans come tokens of mixed letters and digits whose mean ratio passes the threshold and which no base
-    span touches.
+    Beyond the base spans come the tokens that none of them touches and that the models call random (THRESHOLD). A null or
+    empty text has no spans; repeated rows stay repeated; all other columns stay, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = F.from_json(F.lit("{}"), "map<string,double>") if not model else F.create_map(*(x for k, v in model.items() for x in (F.lit(k), F.lit(v))))
-    found = docs.withColumn("__base", _rules(text)).withColumn("__long", _tokens(text))
-    apart = lambda x: ~F.exists(F.col("__base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter(F.col("__long"), lambda x: apart(x) & (_score(x["value"], table) > threshold))
-    both = F.concat(F.col("__base"), F.when(F.size("__long") > 0, more).otherwise(_nothing()))
-    return found.withColumn(name, F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))).drop("__base", "__long")
+    base = free(docs, name + "_base")
+    found = docs.withColumn(base, _rules(text))
+    random = lambda x: _score(x["value"], table) > F.greatest(F.lit(threshold) * (F.length(x["value"]) - 1), F.lit(EVIDENCE))
+    both = F.concat(F.col(base), F.filter(_tokens(text, F.col(base)), random))
+    plain = F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return found.withColumn(name, plain).drop(base)
 
 
 def _written(found: Column) -> Column:
@@ -130,16 +159,30 @@ def scan(docs: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: dict[str, float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text replaced by the mark (touching or overlapping spans by one); other columns stay.
 
-    A null text stays null. n_chars, where present, follows the new text.
+    A null text stays null; an empty text or table stays as it is; repeated rows stay repeated. n_chars, where present,
+    follows the new text.
     """
-    found = spans(docs, train(docs) if model is None else model, name="__secret_spans")
+    name = free(docs, "secret_spans")
+    found = spans(docs, train(docs) if model is None else model, name=name)
     text = F.col("text").cast("string")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((acc["at"] > 0) & (x["start"] <= acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
-
-    whole = F.aggregate(F.col("__secret_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = F.when(F.size("__secret_spans") > 0, whole).otherwise(text)
-    out = found.withColumn("text", changed).drop("__secret_spans")
+    def written(rows: Column) -> Column:
+        """rows: start, end, before (the greatest end of all spans before). Stretches are cut first, so that no cut counts characters from the text's start."""
+        cut = lambda s, a, b: F.substring(s, a + 1, b - a)
+        reach = lambda x: F.greatest(x["before"], x["end"])
+        stretches = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(STRETCH)), lambda i: F.slice(rows, i, F.lit(STRETCH)))
+
+        def of(some: Column) -> Column:
+            lo = F.element_at(some, 1)["before"]
+            part = F.struct(cut(text, lo, reach(F.element_at(some, -1))).alias("text"), lo.alias("lo"))
+            piece = lambda x, p: F.when((x["before"] > 0) & (x["start"] <= x["before"]), F.lit("")).otherwise(F.concat(cut(p["text"], x["before"] - p["lo"], x["start"] - p["lo"]), F.lit(mark)))
+            return _let(part, lambda p: F.array_join(F.transform(some, lambda x: piece(x, p)), ""))
+
+        tail = reach(F.element_at(rows, -1))
+        return F.concat(F.array_join(F.transform(stretches, of), ""), cut(text, tail, F.length(text)))
+
+    ends = _scan(F.transform(name, lambda x: x["end"]), F.greatest)
+    rows = _let(ends, lambda e: F.transform(F.col(name), lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(i > 0, F.get(e, i - 1)).otherwise(0).alias("before"))))
+    changed = F.when(F.size(name) > 0, _let(rows, written)).otherwise(text)
+    out = found.withColumn("text", changed).drop(name)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
