@@ -1,8 +1,9 @@
 """Toxicity as severity grades by cumulative-link ordinal regression.
 
-Labels say toxic or not; grades beyond clean come from how much of a labelled toxic text is wording that marks toxic texts
-(its tertiles: mild, marked, severe). One weight for each sparse text feature is shared by all thresholds:
-P(grade > k) = sigmoid(w.x - theta_k), theta ascending. The expected grade is the severity.
+Labels say toxic or not. For training every labelled text is dealt word by word into two halves: what the regression reads
+is one half, what grades a toxic text (mild, marked, severe: the tertiles of marking words in a hundred) is the other, so
+no grade is made of the words it is predicted from. One weight for each sparse text feature is shared by all thresholds:
+P(grade > k) = sigmoid(w.x - theta_k), theta ascending. The expected grade is the severity. Texts are scored whole.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ class Model(NamedTuple):
     thresholds: np.ndarray  # GRADES, ascending
 
 
-def cells(w: wordbytes.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Feature cells of a chunk's words and which text each belongs to (0-based in the chunk)."""
+def cells(w: wordbytes.Words, halves: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Feature cells of a chunk's words and which text each belongs to (0-based in the chunk); with halves, which half of a text: 2 k or 2 k + 1."""
     doc = np.repeat(np.arange(w.hi - w.lo), np.diff(w.first))
+    if halves:
+        doc = 2 * doc + (np.arange(len(doc)) - w.first[doc]) % 2
     out, docs = [w.hash % np.uint64(SPACE)], [doc]
     for length in PREFIXES:
         at, h = w.prefix(length)
@@ -46,14 +49,15 @@ def cells(w: wordbytes.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).astype(np.int64), np.concatenate(docs)
 
 
-def _rows(column: pa.Array, model_features: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks as (first text, words of each, and the kept features as text, feature index, count)."""
+def _rows(column: pa.Array, model_features: np.ndarray, halves: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks as (first text, words of each, and the kept features as text, feature index, count); with halves, each text as two."""
     for w in wordbytes.words(column, wordbytes.ALNUM):
-        cell, doc = cells(w)
+        cell, doc = cells(w, halves)
         at = np.minimum(np.searchsorted(model_features, cell), max(len(model_features) - 1, 0))
         hit = model_features[at] == cell if len(model_features) else np.zeros(len(cell), bool)
         key, n = np.unique(doc[hit] * max(len(model_features), 1) + at[hit], return_counts=True)
-        yield w.lo, np.diff(w.first), key // max(len(model_features), 1), key % max(len(model_features), 1), n
+        sizes = np.diff(w.first)
+        yield w.lo, np.stack([(sizes + 1) // 2, sizes // 2], 1).ravel() if halves else sizes, key // max(len(model_features), 1), key % max(len(model_features), 1), n
 
 
 def _value(count: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -136,27 +140,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, words, doc, feature, n in _rows(batch.column(1), features):
+            for lo, words, doc, feature, n in _rows(batch.column(1), features, halves=True):
                 cuts = np.searchsorted(doc, np.arange(len(words) + 1))
                 offsets = pa.array(cuts.astype(np.int32))
-                part = batch.slice(lo, len(words))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(_value(n, words[doc]), pa.float32()))], ["id", "y", "feature", "value"])
+                y = batch.column(2).slice(lo, len(words) // 2).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(y, 2)), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(_value(n, words[doc]), pa.float32()))], ["y", "feature", "value"])
 
-    sparse = rows.filter(share(max_rows)).select("id", "text", "y").mapInArrow(run, "id long, y int, feature array<int>, value array<float>")
-    sample = sparse.toArrow()
+    # the halves of a text stand side by side
+    sample = rows.filter(share(max_rows)).select("id", "text", "y").mapInArrow(run, "y int, feature array<int>, value array<float>").toArrow()
     y = sample.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return clean
-    lists = sample.column("feature").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lists, values = (c.chunk(0) if isinstance(c := sample.column(k).combine_chunks(), pa.ChunkedArray) else c for k in ("feature", "value"))
     text = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    values = sample.column("value").combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    value = values.flatten().to_numpy().astype(float)
-    marked = np.bincount(text, weights=value, minlength=len(y))
-    cuts = np.quantile(marked[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (marked > cuts[0]).astype(int) + (marked > cuts[1]), 0)
+    feature, value = lists.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float)
+    other = np.bincount(text, weights=value, minlength=len(y)).reshape(-1, 2)[:, ::-1].ravel()
+    cuts = np.quantile(other[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (other > cuts[0]).astype(int) + (other > cuts[1]), 0)
     weights, thresholds = regress(text, feature, value, grade, len(features))
     return Model(features, weights, thresholds)
 
@@ -171,7 +171,7 @@ def probabilities(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, severity (expected grade, 0 to 3), p_toxic, grade (most likely) and toxic (p_toxic >= threshold) for every row.
+    """doc_id, severity (expected grade, 0 to 3), p_toxic, toxic (p_toxic >= threshold) and grade (0 unless toxic, else the likeliest beyond 0) for every row.
 
     A null or empty text has no features: its severity is that of a text without toxic wording. Repeated rows stay
     repeated; a null doc_id stays null; other columns are ignored. Rows are scored on their own.
@@ -182,7 +182,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
         for batch in batches:
             p = probabilities(batch.column(1), shared.value)
             each = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(each.argmax(1), pa.int64()), pa.array(p[:, 0] >= threshold)], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(np.where(p[:, 0] >= threshold, each[:, 1:].argmax(1) + 1, 0), pa.int64()), pa.array(p[:, 0] >= threshold)], ["doc_id", "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade long, toxic boolean")
 

@@ -1,10 +1,13 @@
 """Held-out accuracy, the gradient, and edge cases."""
 
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
-from gridindex.llm import toxicity
+from gridindex.llm import toxicity, wordbytes
 
 
 def test_regression_recovers_order():
@@ -45,3 +48,52 @@ def test_held_out_and_edges(spark):
     assert not any(r.toxic for r in out if r.doc_id in (2000, 2001)) and [r.toxic for r in out if r.doc_id is None] == [True]
     assert toxicity.classify(spark, df, labels.limit(0)).filter("toxic").count() == 0
     assert toxicity.classify(spark, df.limit(0), labels).count() == 0
+
+
+def plain_cells(text):
+    """The feature cells of a text, word by word, and its number of words."""
+
+    def hashed(part):
+        return int(wordbytes.mix(np.array([sum((b + 1) * pow(wordbytes._STEP, k, 1 << 64) for k, b in enumerate(part)) % (1 << 64)], np.uint64))[0])
+
+    out, words = [], re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    for w in words:
+        out.append(hashed(w) % toxicity.SPACE)
+        for n in toxicity.PREFIXES:
+            if len(w) > n:
+                out.append(int(wordbytes.mix(np.array([(hashed(w[:n]) + n) % (1 << 64)], np.uint64))[0]) % toxicity.SPACE)
+    return out, len(words)
+
+
+def test_plain_version(spark):
+    """Features and scores against dictionaries; a text of 300,000 words is one text."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("aeinorstéß") for _ in range(rng.randint(1, 11))) for _ in range(300)] + ["Grümblefax", "snorfl", "X9"]
+    texts = [" ".join(rng.choice(vocabulary[:300] if k % 4 else vocabulary) for _ in range(rng.randint(0, 80))) for k in range(200)]
+    texts = [t + " grümblefax, snorfl" if k % 4 == 0 else t for k, t in enumerate(texts)] + ["word snorfl " * 150_000]
+    y = [int(k % 4 == 0) for k in range(len(texts))]
+    found = toxicity.select(spark.createDataFrame(list(zip(texts, y)), "text string, y int").repartition(3))
+    counts = {}
+    for t, label in zip(texts, y):
+        for c in set(plain_cells(t)[0]):
+            counts.setdefault(c, [0, 0])[label] += 1
+    rate = lambda c: c[1] / sum(y) >= toxicity.LIFT * (c[0] + 0.5) / (len(y) - sum(y))
+    want = {c for c, n in counts.items() if n[1] >= toxicity.MIN_TOXIC and rate(n)}
+    assert set(found.tolist()) == want and want
+    model = toxicity.Model(found, np.linspace(-1, 2, len(found)), np.array([0.5, 1.0, 3.0]))
+    weight = dict(zip(found.tolist(), model.weights))
+    got = toxicity.probabilities(pa.array([*texts, None, ""]), model)
+    for row, t in zip(got, [*texts, None, ""]):
+        cells, n = plain_cells(t)
+        score = sum(weight[c] * math.log1p(100 * cells.count(c) / max(n, 25)) for c in set(cells) if c in weight)
+        assert np.allclose(row, [1 / (1 + math.exp(th - score)) for th in model.thresholds], atol=1e-6)
+
+
+def test_halves():
+    """Every other word, whatever chunk a text is in."""
+    texts = ["a b c d e", "", "f", "g h"]
+    features = np.array(sorted(plain_cells(w)[0][0] for w in "abcdefgh"))
+    name = {plain_cells(w)[0][0]: w for w in "abcdefgh"}
+    (lo, sizes, doc, feature, n) = next(toxicity._rows(pa.array(texts), features, halves=True))
+    assert lo == 0 and sizes.tolist() == [3, 2, 0, 0, 1, 0, 1, 1] and set(n.tolist()) == {1}
+    assert sorted((int(d), name[int(features[f])]) for d, f in zip(doc, feature)) == [(0, "a"), (0, "c"), (0, "e"), (1, "b"), (1, "d"), (4, "f"), (6, "g"), (7, "h")]
