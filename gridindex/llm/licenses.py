@@ -2,12 +2,15 @@
 
 The automaton holds every run of words of every template. Streaming a text's words through it gives, at each word, how many
 of the last words stand together in some template. Long matches are then chained, in the template's own order, into
-covered spans; the label of a template is given when enough of it is covered. Short name phrases are templates too:
-a phrase stands where the match at its last word is long enough and passes through the phrase's state.
+covered spans, scored by the words covered among the template's and those of the span that it lacks; where spans overlap
+the best one stays, so that a relative which shares most of the wording does not win over the licence itself. Short name
+phrases are templates too: a phrase stands where the match at its last word is long enough and passes through the phrase's
+state.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,20 +23,38 @@ from gridindex.llm import wordbytes
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: The wording of public licence notices, and their labels.
-TEMPLATES = (
+TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
-    ("apache", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("apache", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("mit", "Released under the MIT License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("mit", 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
-)
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+]
+
+#: Families whose members differ by a few words of the same notices.
+GNU = {"gpl": "GNU General Public License", "lgpl": "GNU Lesser General Public License", "agpl": "GNU Affero General Public License"}
+GNU_NOTICES = [
+    "{subject} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+    "{subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.",
+    "Licensed under the {name}.",
+]
+CREATIVE_COMMONS = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+
+TEMPLATES += [(label, notice.format(subject=subject, name=name, version=version)) for label, name in GNU.items() for notice in GNU_NOTICES for subject, version in (("This program", "3"), ("This library", "2.1")) if "{subject}" in notice or version == "3"]
+TEMPLATES += [(f"cc-{code}", text) for code, name in CREATIVE_COMMONS.items() for text in (f"Licensed under CC {code.upper()} 4.0.", f"This work is licensed under a Creative Commons {name} 4.0 International License.")]
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
@@ -145,33 +166,46 @@ class Scanner:
         return base, matches
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[float, int, int, int]]:
-        """Covered template spans: (share of the template, template, first word, last word)."""
+        """Covered template spans: (score, template, first word, last word), none overlapping another.
+
+        The score is the words covered over the template's words and those of the span that are not covered.
+        """
         open_: dict[int, list[int]] = {}
         out = []
 
         def close(k: int) -> None:
             _, _, covered, first, last = open_.pop(k)
-            out.append((min(1.0, covered / self.sizes[k]), k, first, last))
+            score = covered / (self.sizes[k] + max(last - first + 1 - covered, 0))
+            if score >= self.min_cover:
+                out.append((score, covered, k, first, last))
 
         for end, length, state in matches:
+            start = end - length + 1
+            for k in [k for k, (text_end, *_) in open_.items() if start > text_end + self.max_gap]:
+                close(k)
             for k, at in self.automaton.ends[state]:
                 if k < self.n_phrases or at + 1 < length:
                     continue
-                start = end - length + 1
-                if k in open_:
-                    text_end, template_end, *_ = open_[k]
-                    if start > text_end + self.max_gap:
-                        close(k)
-                    elif at > template_end and end > text_end:
-                        new = min(length, end - text_end, at - template_end)
-                        open_[k] = [end, at, open_[k][2] + new, open_[k][3], end]
-                        continue
-                    else:
-                        continue
-                open_[k] = [end, at, length, start, end]
+                if k not in open_:
+                    open_[k] = [end, at, length, start, end]
+                elif at > open_[k][1] and end > open_[k][0]:
+                    text_end, template_end, covered, first, _ = open_[k]
+                    open_[k] = [end, at, covered + min(length, end - text_end, at - template_end), first, end]
+                elif length > open_[k][2] or (start > open_[k][0] and open_[k][2] >= self.min_cover * self.sizes[k]):  # a better copy of the template, or the next one
+                    close(k)
+                    open_[k] = [end, at, length, start, end]
         for k in list(open_):
             close(k)
-        return [x for x in out if x[0] >= self.min_cover]
+        return self._apart(out)
+
+    def _apart(self, found: list[tuple[float, int, int, int, int]]) -> list[tuple[float, int, int, int]]:
+        """The best of spans (score, covered, template, first, last) that overlap: by score, words covered, then the first template."""
+        kept: list[tuple[int, int, float, int]] = []
+        for score, _, k, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            at = bisect_left(kept, (first, -1, 0.0, -1))
+            if (at == 0 or kept[at - 1][1] < first) and (at == len(kept) or kept[at][0] > last):
+                kept.insert(at, (first, last, score, k))
+        return [(score, k, first, last) for first, last, score, k in kept]
 
     def batch(self, column: pa.Array) -> list[tuple]:
         rows: list[tuple] = []

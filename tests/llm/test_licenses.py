@@ -49,3 +49,41 @@ def test_templates_and_edges(spark):
     assert out[2].labels == "" and out[2].score == 0 and out[3].n_words == 0 and out[4].first_word is None
     assert out[None].n_base == 5000 and out[None].last_word == 9998
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def labels_of(*texts):
+    return [r[5] for r in licenses.Scanner().batch(pa.array(texts, pa.string()))]
+
+
+def test_relatives_are_told_apart():
+    """Every template gives its own label alone, beside those of name phrases in it, alone and inside other text."""
+    scanner = licenses.Scanner()
+    filler = " ".join(f"filler{k}" for k in range(20))
+    for label, text in licenses.TEMPLATES:
+        for whole in (text, f"{filler} {text.upper()} {filler}"):
+            row = scanner.batch(pa.array([whole]))[0]
+            assert set(row[5].split(",")) == {label, *filter(None, row[4].split(","))} and row[6] == 1.0, (label, row)
+    assert labels_of("Licensed under CC BY-SA 4.0.", "licensed under cc by-nd 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.") == ["cc-by,cc-by-sa", "cc-by,cc-by-nd", "cc-by-nc-nd"]
+    notice = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert labels_of(notice, notice.replace("Lesser", "Affero"), notice.replace("Lesser ", "")) == ["lgpl", "agpl", "gpl"]
+
+
+def test_scores_fall_with_changes():
+    rng = random.Random(9)
+    scanner = licenses.Scanner()
+    words = dict(licenses.TEMPLATES)["isc"].split()
+    score = lambda w: scanner.batch(pa.array([" ".join(w)]))[0][6]
+    assert score(words) == 1.0
+    added = words[:10] + ["quite", "another", "word"] + words[10:]
+    n = len(licenses._tokens(" ".join(words)))
+    assert score(added) == n / (n + 3)
+    assert score(words[: len(words) // 2]) == 0 and labels_of(" ".join(rng.sample(words, len(words)))) == [""]
+    two = " ".join(words) + " and then " + " ".join(words)
+    row = scanner.batch(pa.array([two]))[0]
+    assert row[7].count("isc:") == 2
+
+
+def test_long_text(spark):
+    text = ("plain words of the work " * 50_000) + dict(licenses.TEMPLATES)["mpl"] + (" the of and" * 100_000)
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()
+    assert row.labels == "mpl" and row.score == 1.0
