@@ -110,11 +110,9 @@ def op9_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's fingerprint and how many other fingerprints are within three bits, by permuted block tables."""
-    prints = simhash.fingerprint(_table(spark, sf_dir, "documents"))
-    near = simhash.neighbours(prints)
-    counts = near.select(F.col("a").alias("fingerprint")).unionAll(near.select("b")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
-    return prints.join(counts, "fingerprint", "left").select("doc_id", "fingerprint", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    """Every document's fingerprint and how many other documents' are within three bits, by permuted block tables."""
+    prints = simhash.fingerprint(_table(spark, sf_dir, "documents")).withColumn("bits", F.conv("fingerprint", 16, -10).cast("long"))
+    return prints.join(simhash.near_counts(spark, prints), "bits", "left").select("doc_id", "fingerprint", "n_near")
 
 
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
