@@ -24,3 +24,11 @@ def written(spark: SparkSession, df: DataFrame, what: str = "tables") -> DataFra
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the folders of a written() table that nothing reads any more."""
+    jvm = spark._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
