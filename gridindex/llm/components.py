@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridindex.llm.ranges import checkpointed
+from gridindex.llm.ranges import checkpointed, removed
 
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -23,13 +23,15 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """node, component (its least member) for every node of the edges (a, b: long). No edges: no rows.
 
-    Each round is written to the shared folder; when a round changes nothing, every node hangs on its least member.
+    Each round is written to the shared folder, and the round before it removed there; when a round changes nothing, every
+    node hangs on its least member.
     """
     now = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     now = checkpointed(spark, now, "components")
     mark = None
     while True:
-        now = checkpointed(spark, _toward_least(_toward_least(now, True), False), "components")
+        before, now = now, checkpointed(spark, _toward_least(_toward_least(now, True), False), "components")
+        removed(spark, before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).head()
         if new == mark:
             break

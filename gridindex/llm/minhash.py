@@ -171,19 +171,34 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int,
     return both.mapInArrow(run, "a long, b long")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """node, comp, own (chunk), band, block, self (one chunk with itself): the rows of every block of the buckets (key, band, node, comp).
+
+    A bucket's members outside its largest component are cut into chunks of about BLOCK by hash; each two chunks (and each
+    with itself) meet in one block. Members of the largest component, cut likewise into chunks numbered from below zero,
+    meet only the others' chunks: a bucket whose members are nearly all linked already copies its rows once for each
+    BLOCK of the few that are not.
+    """
+    by = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    tops = by.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("n_top"), F.sum("m").alias("n_all"))
+    chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = members.join(tops.select("key", "top", chunks("n_top").alias("c_top"), F.ceil((F.col("n_all") - F.col("n_top")) / BLOCK).cast("int").alias("c_rest")), "key")
+    in_top, h = F.col("comp") == F.col("top"), F.hash("node")
+    own = own.withColumn("own", F.when(in_top, -1 - F.pmod(h, F.col("c_top"))).otherwise(F.pmod(h, F.greatest("c_rest", F.lit(1)))))
+    others = F.sequence(F.when(in_top, F.lit(0)).otherwise(-F.col("c_top")), F.col("c_rest") - 1)
+    dealt = own.filter("c_rest > 0").select("key", "band", "node", "comp", "own", F.explode(others).alias("other"))
+    return dealt.select("node", "comp", "own", "band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") == F.col("other")).alias("self"))
+
+
 def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket (key, band, node, comp, n) whose components differ.
+    """Pairs (a, b) of members of one bucket (key, band, node, comp) whose components differ.
 
     more: node, n_shingles, sketch and, where pairs are to be settled here, bands and set. Without sets the pairs are what
-    the sketches let through; with sets they are links, each looked at in the first band in which the two agree.
-    A bucket is cut into chunks of about BLOCK members by hash; each two chunks (and each with itself) meet in one block,
-    whose size is bounded; blocks emit nothing else.
+    the sketches let through; with sets they are links, each looked at in the first band in which the two agree. Blocks
+    (_dealt) are bounded and emit nothing else.
     """
-    own = members.withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("chunks")))
-    dealt = own.select("key", "band", "node", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    block = dealt.select("node", "comp", "own", "band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") == F.col("other")).alias("self"))
     settle = "set" in more.columns
-    rows = block.join(more, "node").select("block", "node", "comp", "own", "band", "self", *[c for c in more.columns if c != "node"])
+    rows = _dealt(members).join(more, "node").select("block", "node", "comp", "own", "band", "self", *[c for c in more.columns if c != "node"])
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = rows.repartition(n, "block").sortWithinPartitions("block")
 

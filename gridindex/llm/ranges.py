@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridindex.shared import scratch, written
+from gridindex.shared import removed, scratch, written
 
-__all__ = ["bounds", "checkpointed", "free", "range_of", "scratch"]
+__all__ = ["bounds", "checkpointed", "free", "range_of", "removed", "scratch"]
 
 
 def bounds(spark: SparkSession, docs: DataFrame) -> list[int]:

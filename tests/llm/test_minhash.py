@@ -58,3 +58,23 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (200, 200)]
     out = dict(map(tuple, components.connected(spark, spark.createDataFrame(edges, "a long, b long")).collect()))
     assert out == {k: 0 for k in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_linked_members_are_not_copied(spark, monkeypatch):
+    """Of one bucket, 4,000 members in one component, 30 in another and 20 alone: every pair of different components meets, once, and few rows are copied."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    comp = {k: 0 if k < 4000 else 4000 if k < 4030 else k for k in range(4050)}
+    members = spark.createDataFrame([(7, 1, k, c) for k, c in comp.items()], "key long, band int, node long, comp long")
+    rows = minhash._dealt(members).collect()
+    assert len(rows) <= 4000 * 2 + 50 * (2 + 100)
+    blocks, met = {}, {}
+    for r in rows:
+        blocks.setdefault(r.block, []).append(r)
+    for block in blocks.values():
+        few = [r for r in block if r.comp]
+        for x in few:
+            for y in block:
+                if x.node != y.node and x.comp != y.comp and (x.self or x.own != y.own) and (x.node < y.node or not y.comp):
+                    met[x.node, y.node] = met.get((x.node, y.node), 0) + 1
+    want = {(x, y) for x in range(4000, 4050) for y in range(4050) if comp[x] != comp[y] and (y < 4000 or x < y)}
+    assert met == dict.fromkeys(want, 1)
