@@ -11,12 +11,15 @@ with a check of the item's closing words, decides.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from gridindex.llm import wordbytes
 from gridindex.llm.ranges import checkpointed
@@ -27,14 +30,15 @@ RANK, EXTRA, WHITEN = 64, 8, 1.0
 COSINE = 0.4
 #: Decision: this share of the item's words in order, or the lesser share and nearly all of its closing third.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.55, 0.95
-#: Items are held by every task; more of them would have to be searched in several calls.
-MAX_ITEMS = 200_000
+#: Items are held by every task: a benchmark of more items or characters is dealt into parts, each searched by itself.
+MAX_ITEMS, MAX_CHARS = 100_000, 1 << 26
 #: Items searched at once, and blocks times items of one product.
 SLICE, CELLS = 4096, 1 << 22
 
 
 class Items(NamedTuple):
-    ids: list[int]
+    ids: list  # as the benchmark has them
+    kind: str  # their type
     first: np.ndarray  # first[k]:first[k + 1] are the words of item k
     words: np.ndarray  # vocabulary indices, in order
     vocabulary: np.ndarray  # sorted word hashes
@@ -61,16 +65,22 @@ class Model(NamedTuple):
 
 
 def load_items(benchmark: DataFrame) -> Items:
-    """The benchmark's items (null and empty texts, which no document can hold, are left out)."""
-    rows = sorted((r for r in benchmark.select("item_id", "text").limit(MAX_ITEMS + 1).collect() if r.text), key=lambda r: (r.item_id is None, r.item_id, r.text))
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: search them in several calls")
+    """The items of one part of a benchmark (null and empty texts, which no document can hold, are left out)."""
+    rows = sorted((r for r in benchmark.select("item_id", "text").collect() if r.text), key=lambda r: (r.item_id is None, r.item_id if r.item_id is not None else 0, r.text))
     hashes = [w.hash[w.first[k] : w.first[k + 1]] for w in wordbytes.words(pa.array([r.text for r in rows], pa.large_string()), wordbytes.ALNUM) for k in range(w.hi - w.lo)]
     kept = [(r.item_id, h) for r, h in zip(rows, hashes, strict=True) if len(h)]
     vocabulary = np.unique(np.concatenate([h for _, h in kept])) if kept else np.zeros(0, np.uint64)
     first = np.cumsum([0, *(len(h) for _, h in kept)])
     words = np.searchsorted(vocabulary, np.concatenate([h for _, h in kept])) if kept else np.zeros(0)
-    return Items([i for i, _ in kept], first, words.astype(np.int32), vocabulary)
+    return Items([i for i, _ in kept], dict(benchmark.dtypes)["item_id"], first, words.astype(np.int32), vocabulary)
+
+
+def parts(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark (item_id, text), dealt by hash into as many parts as its items and characters need."""
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).head()
+    k = max(-(-n // MAX_ITEMS), -(-chars // MAX_CHARS), 1)
+    return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i) for i in range(k)] if k > 1 else [rows]
 
 
 class _Chunk(NamedTuple):
@@ -396,15 +406,14 @@ def _decide(out: list[list[Leak]], c: _Chunk, found: dict, items: Items, more: n
             out[c.lo + doc].append(best)
 
 
-LEAKS = "array<struct<item_id: long, cosine: double, lcs: double, answer: double, first_word: long, last_word: long>>"
-
-
 def leaks(spark: SparkSession, model: Model, text: Column) -> Column:
     """The benchmark items found in each text, as a column; empty for a null or empty text. The model's size follows the benchmark alone."""
     shared = spark.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
+    kinds = {"item_id": model.items.kind, "cosine": "double", "lcs": "double", "answer": "double", "first_word": "long", "last_word": "long"}
+    schema = f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in kinds.items())}>>"
+    kind = to_arrow_type(_parse_datatype_string(schema))
 
-    @F.arrow_udf(LEAKS)
+    @F.arrow_udf(schema)
     def found(column: pa.Array) -> pa.Array:
         m = shared.value
         rows = [[{"item_id": m.items.ids[k], "cosine": cos, "lcs": share, "answer": tail, "first_word": a, "last_word": b} for k, _, cos, share, tail, a, b in r] for r in search(column, m)]
@@ -416,13 +425,25 @@ def leaks(spark: SparkSession, model: Model, text: Column) -> Column:
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item found in it; clean documents have none.
 
-    doc_id, item_id, cosine, lcs (share of the item's words in order), answer (share of its closing third), and the span of
-    words searched. Null and empty texts hold nothing; repeated rows are reported each; a null doc_id stays null.
+    doc_id, item_id (of the benchmark's own type), cosine, lcs (share of the item's words in order), answer (share of its
+    closing third), and the span of words searched. Null and empty texts hold nothing; repeated rows are reported each; a
+    null doc_id stays null; empty tables give no rows; other columns are ignored.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, fit(spark, docs, benchmark), F.col("text")).alias("leak"))
-    return found.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
+
+    def of(part: DataFrame) -> DataFrame:
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, fit(spark, docs, part), F.col("text")).alias("leak"))
+        return found.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
+
+    return reduce(DataFrame.unionByName, map(of, parts(benchmark)))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; all columns stay."""
-    return docs.filter(F.size(leaks(spark, fit(spark, docs, benchmark), F.col("text"))) == 0)
+    """docs without the documents that hold a benchmark item; all columns stay.
+
+    A null or empty text holds nothing and stays, as do all rows where the benchmark is empty; repeated rows stay or go
+    together; a null doc_id is a row like any other.
+    """
+    every = docs
+    for part in parts(benchmark):
+        docs = docs.filter(F.size(leaks(spark, fit(spark, every, part), F.col("text"))) == 0)
+    return docs

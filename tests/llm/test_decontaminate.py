@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from gridindex.llm import decontaminate
 
 
@@ -104,3 +106,57 @@ def test_many_items_in_little_memory(spark):
         assert {k for k, *_ in found[0]} >= set(range(3000)) and tracemalloc.get_traced_memory()[1] < 500e6
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n_items", [40, 400, 2500])
+def test_recall(spark, n_items):
+    """Paraphrases (words replaced, left out, or swapped with their neighbours) at three sizes of the benchmark; no clean document is touched."""
+    rng = random.Random(n_items)
+    vocabulary = words(rng, 5000)
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(15, 60))] for _ in range(n_items)]
+
+    def changed(item, how):
+        if how == 0:
+            return [rng.choice(vocabulary) if rng.random() < 0.2 else w for w in item]
+        if how == 1:
+            return [w for w in item if rng.random() > 0.2]
+        out = list(item)
+        for k in range(0, len(out) - 1, 6):
+            out[k], out[k + 1] = out[k + 1], out[k]
+        return out
+
+    docs, want = [], set()
+    for d in range(600):
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(30, 300))]
+        if d % 2:
+            k = rng.randrange(n_items)
+            piece = changed(items[k], d // 2 % 3)
+            at = rng.randint(0, len(body))
+            body[at:at] = piece
+            table = decontaminate.lcs(decontaminate._masks(items[k]), len(items[k]), piece)
+            if table >= decontaminate.LCS * len(items[k]):  # the decision itself, by brute force
+                want.add((d, k))
+        docs.append((d, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect()}
+    assert len(found & want) >= 0.97 * len(want) and not {d for d, _ in found if d % 2 == 0}
+
+
+def test_parts_types_and_long_texts(spark, monkeypatch):
+    """A benchmark in several parts, ids that are texts, a text of 200,000 words, columns named like the operator's own."""
+    rng = random.Random(6)
+    vocabulary = words(rng, 3000)
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(60)]
+    long = [rng.choice(vocabulary) for _ in range(200_000)]
+    long[150_000:150_000] = items[7]
+    docs = [(1, " ".join(long), "a", 0), (2, " ".join(items[3]), "b", 1), (3, " ".join(rng.choice(vocabulary) for _ in range(200)), "c", 2), (None, None, "d", 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, leak string, item_id int")
+    bench = spark.createDataFrame([(f"item-{k}", " ".join(w)) for k, w in enumerate(items)] + [(None, "x")], "item_id string, text string")
+    whole = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect())
+    assert whole == [(1, "item-7"), (2, "item-3")]
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 25)
+    assert len(decontaminate.parts(bench)) == 3
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect()) == whole
+    left = decontaminate.without_leaks(spark, df, bench)
+    assert left.columns == df.columns and sorted(r.leak for r in left.collect()) == ["c", "d"]
