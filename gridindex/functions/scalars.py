@@ -26,9 +26,12 @@ KIND_WORDS = {
 NOT_SUSCEPTIBILITY = ["massadagua", "hidmassa", "hidrografia", "corposdagua"]
 CLASS_COLUMNS = ["CLASSE", "CLASSE_SU", "CLASS", "CLASSIFIC", "SUSCET", "SUSCETIBIL"]
 CLASS_ORDINALS = {
-    "muito alta": 5, "alta": 4, "média": 3, "media": 3, "m?dia": 3, "moderada": 3, "baixa": 2, "muito baixa": 1,
-    "sem suscetibilidade": 0, "sem suscet": 0, "área urbana": 0, "area urbana": 0, "sem dado": 0,
+    "Muito Alta": 5, "MUITO ALTA": 5, "Muito alta": 5, "Alta": 4, "ALTA": 4, "alta": 4, "Média": 3, "Media": 3, "MEDIA": 3, "média": 3, "M?dia": 3,
+    "Moderada": 3, "MODERADA": 3, "moderada": 3, "Baixa": 2, "BAIXA": 2, "baixa": 2, "Muito Baixa": 1, "MUITO BAIXA": 1, "Muito baixa": 1,
+    "Sem Suscetibilidade": 0, "Sem suscetibilidade": 0, "Sem suscet": 0, "Área Urbana": 0, "Area Urbana": 0, "area urbana": 0, "Sem Dado": 0, "sem dado": 0,
 }
+# Words in a layer's name from which a class is taken where it has no class column.
+CLASS_WORDS = ["massa", "suscet", "movimento", "desliz", "escorrega", "queda", "fluxo", "enxurr", "inunda"]
 
 _ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
 _PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
@@ -135,19 +138,19 @@ def _map(pairs: Mapping[str, object]) -> Column:
 
 
 def class_ordinal(c: Column, mapping: Mapping[str, int] = CLASS_ORDINALS) -> Column:
-    """The ordinal of a class's text; -1 where it has none."""
-    return F.coalesce(F.try_element_at(_map(mapping), F.lower(F.trim(c))), F.lit(-1))
+    """The ordinal of a class's text, as it is spelt; -1 where it has none."""
+    return F.coalesce(F.try_element_at(_map(mapping), c), F.lit(-1))
 
 
 def raster_class(text: Column, pixel: Column, mapping: Mapping[str, int] = CLASS_ORDINALS) -> Column:
     """The text's ordinal, else the pixel's value where that is a class (0 to 5), else -1."""
-    return F.coalesce(F.try_element_at(_map(mapping), F.lower(F.trim(text))), F.when(pixel.between(0, 5), pixel), F.lit(-1))
+    return F.coalesce(F.try_element_at(_map(mapping), text), F.when(pixel.between(0, 5), pixel), F.lit(-1))
 
 
 def infer_class(layer: Column) -> Column:
     """A class from a layer's name alone: debris flow 5, other named processes 4, else missing."""
     name = F.replace(F.lower(layer), F.lit("_"), F.lit(""))
-    return F.when(name.contains("corrida"), 5).when(name.rlike("massa|suscet|movimento|desliz|escorrega|queda|fluxo|enxurr|inunda"), 4)
+    return F.when(name.contains("corrida"), 5).when(name.rlike("|".join(CLASS_WORDS)), 4)
 
 
 def classify_kind(path: Column) -> Column:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridindex.functions.scalars import precision_recall_f1, to_num
-from gridindex.operators.tables import column_quantiles, cumulative, group_quantiles, percentile_rank, quantiles
+from gridindex.operators.tables import column_quantiles, cumulative, group_quantiles, group_ranks, quantiles
+from gridindex.shared import written
 
 
 def normalize_minmax(df: DataFrame, columns: Sequence[str], winsorize: tuple[float, float] | None = None, suffix: str = "_norm", mode: str = "sorted") -> DataFrame:
@@ -43,7 +46,7 @@ def normalize_minmax(df: DataFrame, columns: Sequence[str], winsorize: tuple[flo
 
 
 def threshold_sweep(df: DataFrame, score: str, reference: str, thresholds: Sequence[float]) -> DataFrame:
-    """threshold, tp, fp, fn, tn, precision, recall, f1 for score > threshold.
+    """threshold, tp, fp, fn, tn, precision, recall, f1, n_pred_pos, n_ref_pos for score > threshold.
 
     Scores are counted once by the number of thresholds they pass; the sweep itself runs over that many rows.
     """
@@ -56,7 +59,13 @@ def threshold_sweep(df: DataFrame, score: str, reference: str, thresholds: Seque
     above = F.broadcast(grid).join(F.broadcast(counts), F.col("passed") > F.col("k"), "left").groupBy("k", "threshold").agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp"))
     full = above.crossJoin(F.broadcast(total)).select("threshold", "tp", "fp", (F.coalesce("all_pos", F.lit(0)) - F.col("tp")).alias("fn"), (F.coalesce("all_neg", F.lit(0)) - F.col("fp")).alias("tn"))
     p, r, f = precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
-    return full.withColumns({"precision": p, "recall": r, "f1": f})
+    return full.withColumns({"precision": p, "recall": r, "f1": f, "n_pred_pos": F.col("tp") + F.col("fp"), "n_ref_pos": F.col("tp") + F.col("fn")})
+
+
+def top_thresholds(sweep: DataFrame, n: int = 10) -> DataFrame:
+    """The n rows of the greatest F1, of equals the lowest threshold first, with their rank."""
+    first = Window.orderBy(F.desc("f1"), "threshold")  # a sweep has a row a threshold
+    return sweep.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
@@ -64,18 +73,46 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def _gap_pairs(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """i, j, n, rho of columns v0, v1, ... over the rows where both are there, each pair with ranks of its own."""
+    there = lambda i, j: F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
+    items = [F.when(there(i, j), F.struct(F.lit(g).alias("g"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))) for g, (i, j) in enumerate(pairs)]
+    both = rows.select(F.explode(F.array(*items)).alias("r")).select("r.*").filter("g IS NOT NULL")
+    sides = both.select("g", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y")))).alias("s")).select(F.struct("g", "s.side").alias("by"), "s.v")
+    ranks = group_ranks(sides, "by", "v")
+    side = lambda c: ranks.filter(F.col("by.side") == c).select(F.col("by.g").alias("g"), F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
+    return both.join(side("x"), ["g", "x"]).join(side("y"), ["g", "y"]).groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+
+
+def _whole_pairs(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """i, j, n, rho of columns without missing values: each is ranked once, and all correlations are one aggregate."""
+    columns = sorted({k for p in pairs for k in p})
+    table = written(rows.sparkSession, rows.select(F.monotonically_increasing_id().alias("id"), *(f"v{k}" for k in columns)))
+    long = table.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"v{k}").alias("v")) for k in columns))).alias("r")).select("id", "r.c", "r.v")
+    ranked = long.join(group_ranks(long, "c", "v"), ["c", "v"]).groupBy("id").agg(*(F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in columns))
+    one = ranked.agg(F.count("*").alias("n"), *(F.corr(f"r{i}", f"r{j}").alias(f"p{g}") for g, (i, j) in enumerate(pairs)))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"p{g}").alias("rho")) for g, (i, j) in enumerate(pairs)))).alias("r")).select("r.*")
+
+
 def spearman_pairs(df: DataFrame, columns: Sequence[str], flag_at: float = 0.7) -> DataFrame:
-    """a, b, n, rho and a flag for strong pairs, over rows where both are there; ties share ranks."""
-    spark, out = df.sparkSession, []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            both = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).dropna()
-            ranked = percentile_rank(percentile_rank(both, "x", "rx"), "y", "ry")
-            out.append(ranked.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")))
-    result = out[0] if out else spark.createDataFrame([], "a string, b string, n long, rho double")
-    for o in out[1:]:
-        result = result.unionByName(o)
-    return result.withColumn("strong", F.coalesce(F.abs("rho") >= flag_at, F.lit(False)))
+    """a, b, n, rho and a flag for strong pairs, over rows where both are there; ties share ranks. Strongest first, then by name.
+
+    Only pairs with a column that has missing values are ranked pair by pair; the number of jobs follows neither the number
+    of columns nor that of pairs.
+    """
+    spark = df.sparkSession
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    if not pairs:
+        return spark.createDataFrame([], "a string, b string, n long, rho double, strong boolean")
+    rows = df.select(*(to_num(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
+    missing = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns)).head()
+    gaps = {i for i in range(len(columns)) if missing[f"v{i}"]}
+    found = [f(rows, some) for f, some in ((_whole_pairs, [p for p in pairs if not gaps & set(p)]), (_gap_pairs, [p for p in pairs if gaps & set(p)])) if some]
+    sums = reduce(DataFrame.unionByName, found)
+    every = spark.createDataFrame([(i, j, columns[i], columns[j]) for i, j in pairs], "i int, j int, a string, b string")  # a row a pair
+    out = F.broadcast(every).join(F.broadcast(sums), ["i", "j"], "left")
+    out = out.select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "rho", F.coalesce(F.abs("rho") >= flag_at, F.lit(False)).alias("strong"))
+    return out.orderBy(F.abs("rho").desc_nulls_last(), "a", "b")
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -122,9 +159,8 @@ FALLBACK_BOUNDS = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
 def classify(df: DataFrame, by: str, value: str, bounds: DataFrame) -> DataFrame:
     """df with its class 1 to 5 by its group's bounds, or by the plain fifths where the group has none."""
     from gridindex.functions.scalars import class_label, class_of
-    from gridindex.operators.tables import small
 
-    joined = df.join(small(bounds), by, "left").withColumn("bounds", F.coalesce("bounds", F.array(*map(F.lit, FALLBACK_BOUNDS))))
+    joined = df.join(bounds, by, "left").withColumn("bounds", F.coalesce("bounds", F.array(*map(F.lit, FALLBACK_BOUNDS))))
     return joined.withColumn("class", class_of(F.col(value), F.col("bounds"))).withColumn("label", class_label(F.col("bounds"), F.col("class"))).drop("bounds")
 
 
@@ -161,7 +197,7 @@ def kmeans(spark: SparkSession, df: DataFrame, columns: Sequence[str], score: st
     whole = df.dropna(subset=[*columns, score])
     raw = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(whole)
     scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(raw).transform(raw).persist()
-    models = [KMeans(featuresCol="__x", predictionCol="__c", k=k, seed=seed + s).fit(scaled) for s in range(starts)]
+    models = [KMeans(featuresCol="__x", predictionCol="__c", k=k, seed=seed + s, initMode="random", maxIter=100).fit(scaled) for s in range(starts)]
     found = min(models, key=lambda m: m.summary.trainingCost).transform(scaled)
     means = sorted(found.groupBy("__c").agg(F.avg(score).alias("m")).collect(), key=lambda r: (-r.m, r["__c"]))  # k rows
     name = F.create_map(*(F.lit(x) for rank, r in enumerate(means) for x in (r["__c"], rank)))

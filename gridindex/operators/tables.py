@@ -11,15 +11,6 @@ from pyspark.sql.window import Window
 
 from gridindex.functions.scalars import precision_recall_f1, safe_ratio, to_num
 
-#: Tables are broadcast only up to this many rows (counted first); larger ones are left to Spark's own choice.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, where the table is small enough for one."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 # joins
 
 
@@ -47,7 +38,7 @@ def onto_grid(grid: DataFrame, values: DataFrame, key: str = "cell_id") -> DataF
 
 
 def enrich(df: DataFrame, lookup: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return df.join(small(lookup), on, "left")
+    return df.join(lookup, on, "left")
 
 
 def only_in(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -121,11 +112,11 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], mode: str = "
     return list(row.q) if row else []
 
 
-def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
-    """by, q (linear-interpolated quantiles) and n (values) of each group that has a value.
+def _placed(df: DataFrame, by: str, value: str) -> DataFrame:
+    """g (a struct of by), v, n, before (values of the group below v) and total: a row for each group and value that is there.
 
-    Values are counted by group, the counts summed by ranges of the values, and the ranks looked up: neither a large group
-    nor a column of many distinct values is held by one task.
+    Values are counted by group, and the counts summed by ranges of the values: neither a large group nor a column of many
+    distinct values is held by one task.
     """
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     v = F.col(value).cast("double")
@@ -138,7 +129,12 @@ def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float])
     sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("s"))
     starts = sums.select("g", "part", (F.sum("s").over(order) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("g")).alias("total"))
     lesser = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.join(starts, ["g", "part"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(lesser), F.lit(0)))
+    return dealt.join(starts, ["g", "part"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(lesser), F.lit(0)))
+
+
+def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """by, q (linear-interpolated quantiles) and n (values) of each group that has a value, looked up in the summed counts."""
+    placed = _placed(df, by, value)
     at = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
     holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
     ends = [F.max(F.when(holds(rank), F.col("v"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, rank in (("lo", F.floor(p)), ("hi", F.ceil(p)))]
@@ -147,23 +143,9 @@ def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float])
     return found.select(F.col("g.by").alias(by), F.array(*between).alias("q"), F.col("total").alias("n"))
 
 
-def ranks(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Each row's rank (from 0) without a global window: ranges are sorted apart, and only their sizes are gathered."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.agg(F.percentile_approx(column, F.array(*(F.lit(k / n) for k in range(1, n))), 20 * n)).head()[0] or [])) if n > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(column))) if cuts else F.lit(0)
-    dealt = df.withColumn("__range", part)
-    sizes = {r[0]: r[1] for r in dealt.groupBy("__range").count().collect()}  # one row a range
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k] = total
-        total += sizes[k]
-    if not total:
-        return df.withColumn("rank", F.lit(0).cast("long")), 0
-    start = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v)))
-    order = Window.partitionBy("__range").orderBy(column)
-    return dealt.withColumn("rank", (F.element_at(start, F.col("__range")) + F.row_number().over(order) - 1).cast("long")).drop("__range"), total
+def group_ranks(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, value (double) and its average rank (from 1) in the group: a row for each group and value."""
+    return _placed(df, by, value).select(F.col("g.by").alias(by), F.col("v").alias(value), (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -246,6 +228,11 @@ def class_mapping(existing: DataFrame, seen: DataFrame, defaults: Column) -> Dat
     return both.select("class", F.coalesce("value", defaults, F.lit(-1)).alias("value"))
 
 
+def unmapped_classes(df: DataFrame, column: str, ordinal: Column) -> DataFrame:
+    """The class texts without an ordinal, and how many rows have each: what is to be added to the mapping."""
+    return df.filter(ordinal == -1).groupBy(F.coalesce(F.col(column), F.lit("")).alias("class")).agg(F.count("*").alias("n"))
+
+
 def archive_coverage(inventory: DataFrame) -> DataFrame:
     """Per archive: layers and classes of each process, and whether it is complete, partial or without data."""
     of = lambda kind: F.col("kind") == kind
@@ -257,13 +244,17 @@ def archive_coverage(inventory: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("has_error"), "error").when((F.col("n_flood") > 0) & (F.col("n_mass") > 0), "complete").when((F.col("n_flood") > 0) | (F.col("n_mass") > 0), "partial").otherwise("none"))
 
 
+# Words in a note that tell of an unreadable file.
+READ_ERRORS = ["crc", "magic", "bad", "erro", "falha", "error", "decompres"]
+
+
 def archive_issues(inventory: DataFrame) -> DataFrame:
     """Per archive: which processes it has, layers of no known process, layers without a class column, and errors (bar-separated)."""
     paths = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("path")))), "|")
     known = F.col("kind") != "outros"
     return inventory.groupBy("archive").agg(
         F.bool_or(F.col("kind") == "inundacao").alias("has_flood"), F.bool_or(F.col("kind") == "massa").alias("has_mass"),
-        paths(~known).alias("unclassified"), paths(known & F.col("class_column").isNull()).alias("without_class"), paths(F.col("notes").rlike("(?i)crc|magic|bad|erro|falha|decompres")).alias("errors"),
+        paths(~known).alias("unclassified"), paths(known & F.col("class_column").isNull()).alias("without_class"), paths(F.col("notes").rlike("(?i)" + "|".join(READ_ERRORS))).alias("errors"),
     )
 
 
@@ -275,13 +266,22 @@ def place_summary(df: DataFrame, place: str, score: str, columns: Sequence[str])
 
 
 def stage_funnel(df: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """For boolean stage columns (missing: not applicable): ok, failed, not applicable, and how many fewer are ok than a stage before."""
+    """For boolean stage columns (missing: not applicable): ok, failed, not applicable, and how many fewer are ok than a stage before.
+
+    """
     one = df.agg(*(f(F.col(s)).alias(f"{s}__{k}") for s in stages for k, f in (("ok", lambda c: F.count_if(c)), ("failed", lambda c: F.count_if(~c)), ("n_a", lambda c: F.count_if(c.isNull())))))
     rows = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(s).alias("stage"), *(F.col(f"{s}__{k}").alias(k) for k in ("ok", "failed", "n_a"))) for i, s in enumerate(stages)))
     long = one.select(F.explode(rows).alias("r")).select("r.*")  # one row a stage
     return long.withColumn("dropout", F.coalesce(F.lag("ok").over(Window.orderBy("step")) - F.col("ok"), F.lit(0)))
 
 
+def both_or_neither(df: DataFrame, key: str, kind: str, reached: Column) -> DataFrame:
+    """One row: how many keys reached the end in every kind there is, and how many in none."""
+    kinds = df.agg(F.countDistinct(kind).alias("kinds"))  # one row
+    by = df.groupBy(key).agg(F.countDistinct(F.when(reached, F.col(kind))).alias("n")).crossJoin(F.broadcast(kinds))
+    return by.agg(F.count_if(F.col("n") == F.col("kinds")).alias("both"), F.count_if(F.col("n") == 0).alias("neither"))
+
+
 # windows
 
 
@@ -316,9 +316,13 @@ def cumulative(counts: DataFrame, value: str, n: str) -> DataFrame:
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """Sorted values with their cumulative share, 0 for the first and 1 for the last."""
-    ranked, n = ranks(df.select(value).filter(F.col(value).isNotNull()), value)
-    return ranked.select(value, (F.col("rank") / F.lit(max(n - 1, 1))).alias("share"))
+    """Sorted values with their cumulative share, 0 for the first and 1 for the last; a value that stands n times has n rows.
+
+    Ranks come from the values' counts: one value that fills most of the column is one count, not one task's rows.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    ranked = cumulative(counts, value, "__n").select(value, "before", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("k"))
+    return ranked.select(value, ((F.col("before") + F.col("k")) / F.greatest(F.col("total") - 1, F.lit(1))).alias("share"))
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int = 1, rank: str = "rank") -> DataFrame:
@@ -340,7 +344,7 @@ def pick_archive(df: DataFrame, item: str, name: str, order: str) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by the hash of their key: the same rows however the table is partitioned."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 # sets

@@ -6,15 +6,16 @@ ship dates for yearly events, the first two components of embeddings for points.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridindex.functions import grid as G
 from gridindex.functions import scalars as S
 from gridindex.operators import spatial, stats, tables
 from gridindex.plans import index, indicators
 from gridindex.plans.catalog import query
+from gridindex.shared import written
 from gridindex.sources.registry import Registry
 
 
@@ -44,7 +45,7 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     o = _t(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     c = _t(spark, sf, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     n = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(tables.small(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").alias("muni"), F.col("n_name").alias("state"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("size_class"), F.col("o_totalprice").alias("price"), F.col("c_acctbal").alias("balance"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
 
 
@@ -56,12 +57,12 @@ _BASE = """pairs AS (SELECT DISTINCT l_orderkey AS cell_id, l_partkey AS tract_i
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, region, score, reference: labels as the reference map, text length as the score."""
+    """doc_id, region, score, reference: labels as the reference map, text length as the score and (up to 1,000 characters) as the coverage."""
     d = _t(spark, sf, "documents", "doc_id", "n_chars", "lang").join(_t(spark, sf, "labels", "doc_id", "quality", "toxic"), "doc_id")
-    return d.select("doc_id", F.col("lang").alias("region"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"), (F.col("quality") == 1).alias("reference"), (F.col("toxic") == 1).alias("used"))
+    return d.select("doc_id", F.col("lang").alias("region"), F.least(F.col("n_chars") / 5000.0, F.lit(1.0)).alias("score"), (F.col("quality") == 1).alias("reference"), (F.col("toxic") == 1).alias("used"), F.least(F.col("n_chars") / 1000.0, F.lit(1.0)).alias("coverage"))
 
 
-_SCORED = "scored AS (SELECT doc_id, lang AS region, least(n_chars / 5000.0, 1.0)::DOUBLE AS score, quality = 1 AS reference, toxic = 1 AS used FROM documents JOIN labels USING (doc_id))"
+_SCORED = "scored AS (SELECT doc_id, lang AS region, least(n_chars / 5000.0, 1.0)::DOUBLE AS score, quality = 1 AS reference, toxic = 1 AS used, least(n_chars / 1000.0, 1.0)::DOUBLE AS coverage FROM documents JOIN labels USING (doc_id))"
 _F1 = "coalesce(tp / nullif(tp + fp, 0), 0.0)::DOUBLE AS \"precision\", coalesce(tp / nullif(tp + fn, 0), 0.0)::DOUBLE AS recall, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0)::DOUBLE AS f1"
 
 
@@ -271,12 +272,12 @@ def max_per_muni(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "orders", "o_custkey", "o_totalprice").groupBy(F.col("o_custkey").alias("muni")).agg(F.max("o_totalprice").alias("value"))
 
 
-@query("outer_accumulate", """WITH a AS (SELECT p_partkey AS k, any_value(p_size) AS size, any_value(p_retailprice) AS price FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS qty FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1)
+@query("outer_accumulate", """WITH a AS (SELECT p_partkey AS k, any_value(p_size) AS size, any_value(p_retailprice) AS price FROM part WHERE p_size <= 30 GROUP BY 1), b AS (SELECT l_partkey AS k, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.05 GROUP BY 1)
  SELECT coalesce(a.k, b.k) AS k, size, price, qty FROM a FULL JOIN b ON a.k = b.k""")
 def outer_accumulate(spark: SparkSession, sf: str) -> DataFrame:
     """Two thematic files over different tracts; a column both have comes from the first."""
-    a = _t(spark, sf, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
-    b = _t(spark, sf, "lineitem", "l_partkey", "l_quantity").filter("l_partkey % 5 <> 0").groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("qty"), F.lit(0.0).alias("price"))
+    a = _t(spark, sf, "part").filter("p_size <= 30").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    b = _t(spark, sf, "lineitem", "l_partkey", "l_quantity", "l_returnflag", "l_discount").filter("l_returnflag = 'R' AND l_discount > 0.05").groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("qty"), F.lit(0.0).alias("price"))
     return tables.outer_accumulate([a, b], "k")
 
 
@@ -322,7 +323,7 @@ def survey_count(spark: SparkSession, sf: str) -> DataFrame:
 def spend_per_capita(spark: SparkSession, sf: str) -> DataFrame:
     """Ledger rows of one kind whose account matches a pattern, by population, a municipality."""
     line = _t(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_extendedprice", "l_linestatus")
-    rows = line.join(_t(spark, sf, "part", "p_partkey", "p_size", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(tables.small(_t(spark, sf, "supplier", "s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = line.join(_t(spark, sf, "part", "p_partkey", "p_size", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(_t(spark, sf, "supplier", "s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     matched = rows.filter(S.ledger_match(F.col("l_linestatus"), "F", F.col("p_type"), "steel|brass"))
     return _r(tables.per_capita(matched, "s_nationkey", "l_extendedprice", "p_size").withColumnRenamed("s_nationkey", "muni"))
 
@@ -351,12 +352,12 @@ def municipal_indicator(spark: SparkSession, sf: str) -> DataFrame:
 # exposure
 
 
-@query("override_flag", """WITH z AS (SELECT l_orderkey AS cell_id, max(l_discount) AS score FROM lineitem GROUP BY 1), f AS (SELECT l_orderkey AS cell_id, avg((l_returnflag = 'R')::INT) AS high, avg((l_linestatus = 'F')::INT) AS cov FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1)
+@query("override_flag", """WITH z AS (SELECT l_orderkey AS cell_id, max(l_discount) AS score FROM lineitem GROUP BY 1), f AS (SELECT l_orderkey AS cell_id, avg((l_returnflag = 'R')::INT) AS high, avg((l_linestatus = 'F')::INT) AS cov FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1)
  SELECT cell_id, CASE WHEN coalesce(high > 0.3 AND cov >= 0.5, false) THEN 1.0 ELSE score END::DOUBLE AS score, coalesce(high > 0.3 AND cov >= 0.5, false) AS flag FROM z LEFT JOIN f USING (cell_id)""")
 def override_flag(spark: SparkSession, sf: str) -> DataFrame:
     line = _t(spark, sf, "lineitem", "l_orderkey", "l_discount", "l_returnflag", "l_linestatus").withColumnRenamed("l_orderkey", "cell_id")
     z = line.groupBy("cell_id").agg(F.max("l_discount").alias("score"))
-    f = line.filter("cell_id % 3 <> 0").groupBy("cell_id").agg(F.avg((F.col("l_returnflag") == "R").cast("int")).alias("high"), F.avg((F.col("l_linestatus") == "F").cast("int")).alias("cov"))
+    f = line.filter("l_returnflag <> 'A'").groupBy("cell_id").agg(F.avg((F.col("l_returnflag") == "R").cast("int")).alias("high"), F.avg((F.col("l_linestatus") == "F").cast("int")).alias("cov"))
     score, flag = S.override(F.col("score"), F.col("high"), F.col("cov"))
     return z.join(f, "cell_id", "left").select("cell_id", score.alias("score"), flag.alias("flag"))
 
@@ -444,18 +445,40 @@ def two_period_anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return _r(spatial.two_period_anomaly(line, "l_partkey", F.year("l_shipdate"), F.col("l_quantity"), (1995, 1997), (1999, 2001)))
 
 
-@query("overlap_area")
+def _overlap_sql(size: float, rx: float, ry: float) -> str:
+    """Diamonds clipped by each cell's six half-planes in turn; areas by cell and state, fractions, and the state with most area."""
+    w, h = 3**0.5 * size, 1.5 * size
+    corner = lambda k: f"[cx + {size!r} * cos(pi() * {2 * k + 1} / 6), cy + {size!r} * sin(pi() * {2 * k + 1} / 6)]"
+    area = "abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i][1] * p[i % len(p) + 1][2] - p[i % len(p) + 1][1] * p[i][2]))) / 2"
+    side = "((b[1] - a[1]) * (q[2] - a[2]) - (b[2] - a[2]) * (q[1] - a[1]))"
+    return f"""WITH RECURSIVE {_POINTS}, poly AS (SELECT vec_id, label % 3 AS state, label % 6 AS class, x, y FROM points),
+ near AS (SELECT poly.*, q, r, (q + r / 2.0) * {w!r} AS cx, r * {h!r} AS cy FROM (SELECT *, unnest(generate_series(floor((y - {ry + size}) / {h!r})::BIGINT, ceil((y + {ry + size}) / {h!r})::BIGINT)) AS r FROM poly) poly,
+  LATERAL (SELECT unnest(generate_series(floor((x - {rx + w!r}) / {w!r} - r / 2.0)::BIGINT, ceil((x + {rx + w!r}) / {w!r} - r / 2.0)::BIGINT)) AS q)),
+ cut(vec_id, q, r, k, p, corners) AS (SELECT vec_id, q, r, 0, [[x + {rx}, y], [x, y + {ry}], [x - {rx}, y], [x, y - {ry}]], [{', '.join(map(corner, range(6)))}] FROM near
+  UNION ALL SELECT vec_id, q, r, k + 1, list_transform(list_filter(flatten(list_transform(range(1, len(p) + 1), lambda i: [[s[i], p[i][1], p[i][2]],
+   CASE WHEN (s[i] >= 0) <> (s[i % len(p) + 1] >= 0) THEN [0.0, p[i][1] + s[i] / (s[i] - s[i % len(p) + 1]) * (p[i % len(p) + 1][1] - p[i][1]), p[i][2] + s[i] / (s[i] - s[i % len(p) + 1]) * (p[i % len(p) + 1][2] - p[i][2])] ELSE [-1.0, 0.0, 0.0] END])), lambda t: t[1] >= 0), lambda t: [t[2], t[3]]), corners
+   FROM (SELECT *, list_transform(p, lambda q: {side}) AS s FROM (SELECT *, corners[k + 1] AS a, corners[(k + 1) % 6 + 1] AS b FROM cut WHERE k < 6 AND len(p) > 2))),
+ met AS (SELECT vec_id, q, r, {area} AS area FROM cut WHERE k = 6 AND len(p) > 2),
+ held AS (SELECT DISTINCT q, r FROM near WHERE abs(cx - x) / {rx} + abs(cy - y) / {ry} <= 1),
+ a AS (SELECT q, r, state, sum(area) AS area, sum(CASE WHEN class >= 4 THEN area ELSE 0 END) AS high, max(class) AS max_class, count(*) AS n FROM met JOIN poly USING (vec_id) JOIN held USING (q, r) WHERE area > 0 GROUP BY ALL)
+ SELECT q || ':' || r AS cell_id, arg_max(state, (area, state))::VARCHAR AS state, round(sum(area), 3) AS area, round(sum(high), 3) AS high_area, max(max_class) AS max_class, sum(n)::BIGINT AS n_records,
+  round(least(1, sum(high) / {1.5 * 3**0.5 * size * size!r}), 6) AS high_fraction, round(least(1, sum(area) / {1.5 * 3**0.5 * size * size!r}), 6) AS coverage FROM a GROUP BY q, r"""
+
+
+@query("overlap_area", _overlap_sql(200.0, 300.0, 500.0))
 def overlap_area(spark: SparkSession, sf: str) -> DataFrame:
     """Diamonds around points as classified polygons: overlap with cells, fractions, dominant state."""
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     polys = _points(spark, sf).select(F.col("vec_id").alias("feature_id"), (F.col("label") % 3).cast("string").alias("state"), (F.col("label") % 6).alias("class"), F.array(F.array(corner(300.0, 0.0), corner(0.0, 500.0), corner(-300.0, 0.0), corner(0.0, -500.0))).alias("rings"))
-    return _r(spatial.reference_fractions(polys, 200.0))
+    out = spatial.reference_fractions(polys, 200.0)
+    return out.withColumns({"area": F.round("area", 3), "high_area": F.round("high_area", 3), "high_fraction": F.round("high_fraction", 6), "coverage": F.round("coverage", 6)})
 
 
-@query("metric_projection", """WITH p AS (SELECT vec_id, radians(embedding[1]::DOUBLE * 30) AS phi, radians(embedding[2]::DOUBLE * 20) AS lam FROM embeddings WHERE abs(embedding[1]::DOUBLE) > 0.001)
- SELECT vec_id, round(cos(phi) / sin(phi) * sin(lam * sin(phi)) * 6371007.2, 3) AS x, round((phi + cos(phi) / sin(phi) * (1 - cos(lam * sin(phi)))) * 6371007.2, 3) AS y FROM p""")
+@query("metric_projection", """WITH p AS (SELECT vec_id, radians(embedding[1]::DOUBLE * 30) AS phi, radians(embedding[2]::DOUBLE * 20) AS lam FROM embeddings)
+ SELECT vec_id, CASE WHEN abs(phi) < 1e-9 THEN round(lam * 6371007.2, 3) ELSE round(cos(phi) / sin(phi) * sin(lam * sin(phi)) * 6371007.2, 3) END AS x,
+ CASE WHEN abs(phi) < 1e-9 THEN 0.0 ELSE round((phi + cos(phi) / sin(phi) * (1 - cos(lam * sin(phi)))) * 6371007.2, 3) END::DOUBLE AS y FROM p""")
 def metric_projection(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "embeddings", "vec_id", "embedding").filter(F.abs(F.col("embedding")[0].cast("double")) > 0.001)
+    e = _t(spark, sf, "embeddings", "vec_id", "embedding")
     x, y = G.to_metric(F.col("embedding")[0].cast("double") * 30, F.col("embedding")[1].cast("double") * 20 - 54)
     return e.select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
@@ -550,10 +573,10 @@ def status_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return tables.worst_status(cells, ["muni", "priority"], "status").groupBy(F.col("status").alias("download")).agg(F.count("*").alias("n"))
 
 
-@query("class_mapping_upkeep", "WITH e AS (SELECT DISTINCT p_type AS class, p_size % 6 AS value FROM part WHERE p_partkey < 50 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) = 1), s AS (SELECT DISTINCT p_type AS class FROM part) SELECT coalesce(e.class, s.class) AS class, coalesce(value, CASE WHEN contains(coalesce(e.class, s.class), 'STEEL') THEN 5 END, -1)::INT AS value FROM e FULL JOIN s ON e.class = s.class")
+@query("class_mapping_upkeep", "WITH e AS (SELECT DISTINCT p_type AS class, p_size % 6 AS value FROM part WHERE p_size <= 10 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) = 1), s AS (SELECT DISTINCT p_type AS class FROM part) SELECT coalesce(e.class, s.class) AS class, coalesce(value, CASE WHEN contains(coalesce(e.class, s.class), 'STEEL') THEN 5 END, -1)::INT AS value FROM e FULL JOIN s ON e.class = s.class")
 def class_mapping_upkeep(spark: SparkSession, sf: str) -> DataFrame:
     part = _t(spark, sf, "part", "p_partkey", "p_type", "p_size")
-    known = tables.dedup_first(part.filter("p_partkey < 50"), ["p_type"], [F.col("p_partkey")]).select(F.col("p_type").alias("class"), (F.col("p_size") % 6).alias("value"))
+    known = tables.dedup_first(part.filter("p_size <= 10"), ["p_type"], [F.col("p_partkey")]).select(F.col("p_type").alias("class"), (F.col("p_size") % 6).alias("value"))
     return tables.class_mapping(known, part.select(F.col("p_type").alias("class")), F.when(F.col("class").contains("STEEL"), 5)).withColumn("value", F.col("value").cast("int"))
 
 
@@ -571,7 +594,7 @@ def score_band_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _r(tables.share_of_total(bands, "n", "region", "share").select("region", "band", "n", "share"))
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 300")
 def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
     return tables.hash_sample(_t(spark, sf, "orders", "o_orderkey", "o_totalprice"), "o_orderkey", 300)
 
@@ -580,7 +603,7 @@ def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("threshold_sweep", f"""WITH {_SCORED}, t AS (SELECT i / 20.0::DOUBLE AS threshold FROM generate_series(0, 20) g(i)), c AS (SELECT threshold, count_if(score > threshold AND reference) AS tp, count_if(score > threshold AND NOT reference) AS fp, count_if(NOT score > threshold AND reference) AS fn, count_if(NOT score > threshold AND NOT reference) AS tn FROM t, scored GROUP BY 1)
- SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, {_F1} FROM c)""")
+ SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, tp + fp AS n_pred_pos, tp + fn AS n_ref_pos FROM (SELECT *, {_F1} FROM c)""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _r(stats.threshold_sweep(_scored(spark, sf), "score", "reference", [i / 20 for i in range(21)]))
 
@@ -591,17 +614,15 @@ def best_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return _r(stats.best_threshold(stats.threshold_sweep(_scored(spark, sf), "score", "reference", [i / 20 for i in range(21)])).select("threshold", "f1"))
 
 
-@query("regional_f1", f"""WITH {_SCORED}, c AS (SELECT region, count_if(score > 0.1 AND reference) AS tp, count_if(score > 0.1 AND NOT reference) AS fp, count_if(score <= 0.1 AND reference) AS fn, count_if(score <= 0.1 AND NOT reference) AS tn FROM scored WHERE NOT used GROUP BY 1)
+@query("regional_f1", f"""WITH {_SCORED}, c AS (SELECT region, count_if(score > 0.1 AND reference) AS tp, count_if(score > 0.1 AND NOT reference) AS fp, count_if(score <= 0.1 AND reference) AS fn, count_if(score <= 0.1 AND NOT reference) AS tn FROM scored WHERE NOT used AND coverage >= 0.5 GROUP BY 1)
  SELECT region, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, {_F1} FROM c)""")
 def regional_f1(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored(spark, sf).withColumn("coverage", F.lit(1.0))
-    return _r(index.validation(rows, "score", "reference", "coverage", "used", 0.1, "region")[1])
+    return _r(index.validation(_scored(spark, sf), "score", "reference", "coverage", "used", 0.1, "region")[1])
 
 
-@query("false_negatives", f"""WITH {_SCORED} SELECT coalesce(region, 'all') AS region, count_if(reference AND score <= 0.1) AS n, round(avg(score) FILTER (reference AND score <= 0.1), 6) AS mean_score, round(avg((score = 0)::INT) FILTER (reference AND score <= 0.1), 6) AS zero_share, round(count_if(reference AND score <= 0.1) / nullif(count_if(reference), 0), 6) AS rate FROM scored WHERE NOT used GROUP BY ROLLUP (region)""")
+@query("false_negatives", f"""WITH {_SCORED} SELECT coalesce(region, 'all') AS region, count_if(reference AND score <= 0.1) AS n, round(avg(score) FILTER (reference AND score <= 0.1), 6) AS mean_score, round(avg((score = 0)::INT) FILTER (reference AND score <= 0.1), 6) AS zero_share, round(count_if(reference AND score <= 0.1) / nullif(count_if(reference), 0), 6) AS rate FROM scored WHERE NOT used AND coverage >= 0.5 GROUP BY ROLLUP (region)""")
 def false_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored(spark, sf).withColumn("coverage", F.lit(1.0))
-    return _r(index.validation(rows, "score", "reference", "coverage", "used", 0.1, "region")[2])
+    return _r(index.validation(_scored(spark, sf), "score", "reference", "coverage", "used", 0.1, "region")[2])
 
 
 _WIDE = "SELECT l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem"
@@ -654,18 +675,49 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("n_nationkey", S.slug(F.col("n_name")).alias("slug"), S.classify_kind(F.concat_ws("/", F.lit("base"), "n_name", layer)).alias("kind"), F.when(F.col("n_nationkey") % 3 < 2, S.infer_class(layer)).alias("class"))
 
 
+def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    m = _cells(spark, sf).groupBy("muni").agg(F.avg("price").alias("price"), F.first("balance").alias("balance"))
+    return stats.kmeans(spark, m, ["price", "balance"], "price")
+
+
 @query("kmeans_profiles")
 def kmeans_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Municipalities by mean price and balance: clusters and their profiles."""
-    m = _cells(spark, sf).groupBy("muni").agg(F.avg("price").alias("price"), F.first("balance").alias("balance"))
-    clustered = stats.kmeans(spark, m, ["price", "balance"], "price", starts=3)
-    return _r(index.cluster_profiles(clustered, ["price", "balance"], {"price": ("dear", "cheap"), "balance": ("rich", "poor")}))
+    """Municipalities by mean price and balance: clusters and their profiles. Their centres depend on random starts: kmeans_nearest checks them."""
+    return _r(index.cluster_profiles(_clustered(spark, sf), ["price", "balance"], {"price": ("dear", "cheap"), "balance": ("rich", "poor")}))
+
+
+@query("kmeans_nearest", f"WITH {_CELLS} SELECT count(DISTINCT muni) AS n, 4::BIGINT AS clusters, 0::BIGINT AS misplaced, 0::BIGINT AS misnumbered FROM cells")
+def kmeans_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """What makes a clustering one: rows, clusters, rows nearer to another cluster's mean than to their own's, clusters out of order."""
+    rows = written(spark, _clustered(spark, sf))
+    scale = rows.agg(F.stddev_samp("price").alias("sp"), F.stddev_samp("balance").alias("sb"))
+    means = rows.groupBy("cluster").agg(F.avg("price").alias("mp"), F.avg("balance").alias("mb"))  # four rows
+    gap = ((F.col("price") - F.col("mp")) / F.col("sp")) ** 2 + ((F.col("balance") - F.col("mb")) / F.col("sb")) ** 2
+    met = rows.withColumnRenamed("cluster", "own").crossJoin(F.broadcast(means)).crossJoin(F.broadcast(scale)).withColumn("gap", gap)
+    by = met.groupBy("muni").agg(F.min("gap").alias("least"), F.max(F.when(F.col("own") == F.col("cluster"), F.col("gap"))).alias("mine"))
+    order = means.select("cluster", F.col("mp"), F.lag("mp").over(Window.orderBy("cluster")).alias("before")).agg(F.count("*").alias("clusters"), F.count_if(F.col("mp") > F.col("before")).alias("misnumbered"))
+    return by.agg(F.count("*").alias("n"), F.count_if(F.col("mine") > F.col("least") * 1.001 + 1e-3).alias("misplaced")).crossJoin(order).select("n", "clusters", "misplaced", "misnumbered")
+
+
+_PCA = ("a", "b", "c", "d")
+
+
+def _power(name: str, matrix: str, steps: int = 600) -> str:
+    """The greatest eigenvalue of a 4 x 4 matrix and its vector, by power iteration."""
+    times = "[list_dot_product(m[1], v), list_dot_product(m[2], v), list_dot_product(m[3], v), list_dot_product(m[4], v)]"
+    return f"""{name}_it(k, m, v) AS (SELECT 0, m, [0.9, 0.7, 0.5, 0.3]::DOUBLE[] FROM {matrix} UNION ALL SELECT k + 1, m, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (SELECT k, m, {times} AS u FROM {name}_it WHERE k < {steps})),
+ {name} AS (SELECT m, v, list_dot_product(v, {times}) AS l FROM {name}_it WHERE k = {steps})"""
 
 
-@query("pca2")
+@query("pca2", "WITH RECURSIVE x AS (SELECT l_quantity AS a, l_extendedprice + 1000 * l_quantity AS b, l_discount AS c, l_discount + l_tax AS d FROM lineitem), r AS (SELECT [" + ", ".join("[" + ", ".join(f"corr({i}, {j})" for j in _PCA) + "]" for i in _PCA) + "] AS m FROM x), " + _power("one", "r")
+ + ", r2 AS (SELECT list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM one), " + _power("two", "r2")
+ + " SELECT ['a', 'b', 'c', 'd'][i] AS \"column\", k AS component, round(v[i] * v[i], 5) AS loading_squared, round(l / 4, 6) AS explained, round(l, 5) AS score_variance FROM (SELECT 1 AS k, v, l FROM one UNION ALL SELECT 2, v, l FROM two), (SELECT unnest(range(1, 5)) AS i)")
 def pca2(spark: SparkSession, sf: str) -> DataFrame:
-    line = _t(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return stats.pca(line, line.columns)[1]
+    """Loadings (squared: their signs are free), explained shares, and the variance of the scores, which is the eigenvalue."""
+    x = _t(spark, sf, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax").select(F.col("l_quantity").alias("a"), (F.col("l_extendedprice") + 1000 * F.col("l_quantity")).alias("b"), F.col("l_discount").alias("c"), (F.col("l_discount") + F.col("l_tax")).alias("d"))
+    scores, loadings = stats.pca(x, _PCA)
+    variance = scores.agg(F.array(F.var_samp("pc1"), F.var_samp("pc2")).alias("v"))  # one row
+    return loadings.crossJoin(F.broadcast(variance)).select("column", F.col("component").cast("int").alias("component"), F.round(F.col("loading") ** 2, 5).alias("loading_squared"), F.round("explained", 6).alias("explained"), F.round(F.get("v", F.col("component") - 1), 5).alias("score_variance"))
 
 
 @query("archive_coverage", """WITH v AS (SELECT l_orderkey AS archive, CASE l_returnflag WHEN 'A' THEN 'inundacao' WHEN 'N' THEN 'massa' ELSE 'outros' END AS kind, l_linestatus AS class FROM lineitem)

@@ -32,6 +32,12 @@ def glob(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().toString(), s.getModificationTime()) for s in found)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """NaN becomes NULL: aggregates skip NULL but not NaN."""
     return df.select(*(null_if_nan(F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
@@ -68,22 +74,40 @@ def read_csv_columns(spark: SparkSession, path: str, columns: Sequence[str], sep
     return tolerant(df, columns)
 
 
+def _first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+    """A file's first line, without reading the rest."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, encoding)).readLine()
+    finally:
+        stream.close()
+    return (line or "").removeprefix("\ufeff")
+
+
 def read_csv_set(spark: SparkSession, pattern: str, columns: Sequence[str]) -> DataFrame:
-    """All files of a pattern as one table, with the file's name; raises where none match."""
-    paths = [p for p, _ in glob(spark, pattern)]
-    if not paths:
+    """All files of a pattern as one table, with the file's name; raises where none match.
+
+    Files may differ in their columns' order, in other columns and in the delimiter: those with one header are read
+    together, and what they give is united by name.
+    """
+    groups: dict[str, list[str]] = {}
+    for path, _ in glob(spark, pattern):
+        groups.setdefault(_first_line(spark, path), []).append(path)
+    if not groups:
         raise FileNotFoundError(pattern)
-    df = spark.read.option("header", True).csv(paths)
-    return tolerant(df, columns).select("*", F.col("_metadata.file_name").alias("file_name"))
+    read = lambda header, paths: spark.read.option("header", True).option("sep", ";" if ";" in header else ",").csv(paths)
+    frames = [tolerant(df := read(header, paths), columns).select("*", df["_metadata.file_name"].alias("file_name")) for header, paths in groups.items()]
+    names = frames[0].columns
+    return reduce(DataFrame.unionByName, (f.toDF(*names) for f in frames))  # tolerant() gives the columns asked for, in their order
 
 
 def read_csv_fallback(spark: SparkSession, path: str, columns: Sequence[str], attempts: Sequence[tuple[str, str]] = (("UTF-8", ","), ("ISO-8859-1", ";"))) -> DataFrame:
-    """The first (encoding, separator) that reads the header and sample without replacement characters and has the columns."""
+    """The first (encoding, separator) whose encoding every line of the file is valid in and that has the columns."""
     problem: Exception | None = None
     for encoding, sep in attempts:
         try:
-            sample = spark.read.option("encoding", encoding).text(path).limit(1000).filter(F.col("value").contains("�"))
-            if not sample.isEmpty():
+            if encoding.upper() == "UTF-8" and not spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty():
                 raise ValueError(f"not {encoding}")
             return read_csv_columns(spark, path, columns, sep, encoding)
         except ValueError as e:
@@ -92,17 +116,16 @@ def read_csv_fallback(spark: SparkSession, path: str, columns: Sequence[str], at
 
 
 def read_csv_preamble(spark: SparkSession, path: str, skip: int = 3, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
-    """Text with lines before its header. All columns are text; numbers are for to_num_comma().
+    """One text file with lines before its header. All columns are text; numbers are for to_num_comma().
 
-    A preamble is short: only the first file block's leading lines are looked at to find the header; the rest is split by Spark.
+    The first skip + 1 lines go by their place in the file; later lines stay, whatever they say.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    head = [r[0] for r in lines.limit(skip + 1).collect()]
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    head = lines.filter("block = 0").limit(skip + 1).collect()  # rows of one block come in the file's order
     if len(head) <= skip:
         raise ValueError(f"{path}: no header after {skip} lines")
-    header = [c.strip().strip('"') for c in head[skip].split(sep)]
-    schema = ", ".join(f"`{c}` STRING" for c in header)
-    body = lines.filter(~F.col("value").isin(head) & (F.length(F.trim("value")) > 0))
+    schema = ", ".join(f"`{c.strip().strip(chr(34))}` STRING" for c in head[skip].value.split(sep))
+    body = lines.filter(~((F.col("block") == 0) & F.col("place").between(head[0].place, head[skip].place)) & (F.length(F.trim("value")) > 0))
     return body.select(F.from_csv("value", schema, {"sep": sep}).alias("row")).select("row.*")
 
 
@@ -131,6 +154,11 @@ def state_of_code(code: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for k, v in STATE_CODES.items() for x in (k, v))), code.try_cast("int"))
 
 
+def states_of(df: DataFrame, column: str = "state") -> DataFrame:
+    """The keys that a table has, each once: what an inventory asks for, or what a run has already written."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct()
+
+
 def with_region_from_filename(df: DataFrame, column: str = "cd_uf", file_name: str = "file_name") -> DataFrame:
     """The state code from the file's name where the column is absent or missing."""
     parsed = F.regexp_extract(F.col(file_name), r"(?:^|[^0-9])([1-5][0-9])(?:[^0-9]|$)", 1).try_cast("int")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridindex.functions.grid import boundary_wkt
-from gridindex.sources.readers import exists, version_of
+from gridindex.sources.readers import exists, size_of, version_of
 from gridindex.sources.registry import Registry
 
 
@@ -38,11 +39,19 @@ def dimension_slices(df: DataFrame, registry: Registry, ids: Sequence[str], most
     return out
 
 
-def save_dimension_slices(df: DataFrame, registry: Registry, root: str, ids: Sequence[str], most: int = 6) -> list[str]:
+#: Slices beyond this size are reported.
+SLICE_BYTES = 95_000_000
+
+
+def save_dimension_slices(df: DataFrame, registry: Registry, root: str, ids: Sequence[str], most: int = 6, limit: int = SLICE_BYTES) -> list[str]:
+    """Writes every slice (gzip) and warns of those larger than the limit."""
     paths = []
     for name, part in dimension_slices(df, registry, ids, most).items():
-        part.write.mode("overwrite").parquet(f"{root}/dim_{name}")
-        paths.append(f"{root}/dim_{name}")
+        path = f"{root}/dim_{name}"
+        part.write.mode("overwrite").option("compression", "gzip").parquet(path)
+        if (size := size_of(df.sparkSession, path)) > limit:
+            warnings.warn(f"{path} has {size} bytes: take fewer indicators to a slice", stacklevel=2)
+        paths.append(path)
     return paths
 
 
@@ -57,9 +66,11 @@ def next_version_path(spark: SparkSession, path: str) -> str:
     return f"{stem}_v{k}{suffix}"
 
 
-def save_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
+def save_csv(df: DataFrame, path: str, decimals: int | None = None, bom: bool = False) -> None:
+    """With a header; bom puts a byte-order mark before it, by which spreadsheets know UTF-8."""
     rounded = df if decimals is None else df.select(*(F.round(c, decimals).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-    rounded.write.mode("overwrite").option("header", True).csv(path)
+    marked = rounded.toDF("\ufeff" + df.columns[0], *df.columns[1:]) if bom else rounded
+    marked.write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_partitioned(df: DataFrame, path: str, by: str) -> None:
