@@ -11,6 +11,7 @@ n matches.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -53,13 +54,13 @@ def _located(text: Column, pattern: str, kind: int) -> Column:
 
     What stands between the matches and the matches themselves alternate, so offsets are running sums of their lengths.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if pattern == ASSIGN else found
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
+    group = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    apart = [group(2).alias("value")] if pattern == ASSIGN else []  # elsewhere the match is the value
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), group(0).alias("match"), *apart)
 
     def placed(rows: Column) -> Column:
         ends = _scan(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["match"])), lambda a, b: a + b)
-        at = lambda end, x: F.struct((end - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        at = lambda end, x: F.struct((end - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value" if apart else "match"].alias("value"))
         return F.zip_with(ends, rows, at)
 
     return _let(F.filter(zipped, lambda x: x["match"].isNotNull()), placed)
@@ -116,10 +117,20 @@ def train(docs: DataFrame) -> dict[str, float]:
     return {row.pair: math.log(ratio(row.r, first[row.pair[0]][0]) / ratio(row.o, first[row.pair[0]][1])) for row in sorted(rows)} | {f"{a}": math.log((1 / (n + ALPHABET)) / (1 / (m + ALPHABET))) for a, (n, m) in sorted(first.items())}
 
 
+#: Token characters lie in this range of codes.
+LOW, HIGH = ord("+"), ord("z") + 1
+
+
+def _table(model: dict[str, float]) -> Column:
+    """The ratios as an array by the codes of both characters: a lookup does not search. A pair never seen counts as its first letter's unseen pair."""
+    letters = [chr(k) for k in range(LOW, HIGH)]
+    return F.from_json(F.lit(json.dumps([model.get(a + b, model.get(a, 0.0)) for a in letters for b in letters])), "array<double>")
+
+
 def _score(value: Column, table: Column) -> Column:
-    """The sum of the pairs' log-likelihood ratios; a pair never seen counts as its first letter's unseen pair."""
-    ratio = lambda p: F.coalesce(F.element_at(table, p), F.element_at(table, F.substring(p, 1, 1)), F.lit(0.0))
-    return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, p: acc + ratio(p))
+    """The sum of the pairs' log-likelihood ratios."""
+    at = lambda p: (F.ascii(p) - LOW) * (HIGH - LOW) + F.ascii(F.substring(p, 2, 1)) - LOW
+    return F.aggregate(_pairs(value), F.lit(0.0), lambda acc, p: acc + F.get(table, at(p)))
 
 
 def spans(docs: DataFrame, model: dict[str, float], threshold: float = THRESHOLD, name: str = "secret_spans") -> DataFrame:
@@ -129,7 +140,7 @@ def spans(docs: DataFrame, model: dict[str, float], threshold: float = THRESHOLD
     empty text has no spans; repeated rows stay repeated; all other columns stay, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    table = F.from_json(F.lit("{}"), "map<string,double>") if not model else F.create_map(*(x for k, v in model.items() for x in (F.lit(k), F.lit(v))))
+    table = _table(model)
     base = free(docs, name + "_base")
     found = docs.withColumn(base, _rules(text))
     random = lambda x: _score(x["value"], table) > F.greatest(F.lit(threshold) * (F.length(x["value"]) - 1), F.lit(EVIDENCE))
