@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,7 +198,9 @@ def kmeans(spark: SparkSession, df: DataFrame, columns: Sequence[str], score: st
     whole = df.dropna(subset=[*columns, score])
     raw = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(whole)
     scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(raw).transform(raw).persist()
-    models = [KMeans(featuresCol="__x", predictionCol="__c", k=k, seed=seed + s, initMode="random", maxIter=100).fit(scaled) for s in range(starts)]
+    start = lambda s: KMeans(featuresCol="__x", predictionCol="__c", k=k, seed=seed + s, initMode="random", maxIter=100).fit(scaled)
+    with ThreadPoolExecutor(4) as some:  # jobs of several starts side by side
+        models = list(some.map(start, range(starts)))
     found = min(models, key=lambda m: m.summary.trainingCost).transform(scaled)
     means = sorted(found.groupBy("__c").agg(F.avg(score).alias("m")).collect(), key=lambda r: (-r.m, r["__c"]))  # k rows
     name = F.create_map(*(F.lit(x) for rank, r in enumerate(means) for x in (r["__c"], rank)))

@@ -162,6 +162,12 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def range_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """indicator, outside (values not in [0, 1]) and missing of each column: one pass."""
+    one = df.agg(*(f(F.col(c)).alias(f"{c}__{k}") for c in columns for k, f in (("outside", lambda v: F.count_if((v < 0) | (v > 1))), ("missing", lambda v: F.count_if(v.isNull())))))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("indicator"), *(F.col(f"{c}__{k}").alias(k) for k in ("outside", "missing"))) for c in columns))).alias("r")).select("r.*")
+
+
 def column_quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[float]) -> dict[str, list[float]]:
     """The quantiles of several columns at once; a column without a value is left out."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()))).alias("r")).select("r.*")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridindex.functions import scalars as S
 from gridindex.operators import stats, tables
 from gridindex.operators.spatial import gravity, recurrent_exposure
+from gridindex.sources.readers import missing_inputs, read_table
 from gridindex.sources.registry import Registry
+from gridindex.sources.sinks import save_dimension_slices, save_run, save_slim
 
 WINSOR = (0.01, 0.99)
 
@@ -151,14 +154,85 @@ def cluster_profiles(df: DataFrame, dimensions: Sequence[str], texts: Mapping[st
     return joined.select("cluster", "n", *(F.col(f"{d}_{k}") for d in dimensions for k in ("mean", "sd")), *(z[d].alias(f"{d}_z") for d in dimensions), label.alias("label"))
 
 
-def pipeline_status(manifest: DataFrame, extracted: DataFrame, harmonised: DataFrame, failures: DataFrame) -> DataFrame:
-    """Per municipality and process: the worst download status and how far its layers came.
+def calibration(df: DataFrame, score: str, secondary: str, reference: str, coverage: str, used: str, region: str, current: float = 0.0, secondary_thresholds: Sequence[float] = ()) -> DataFrame:
+    """kind, subject, amount: what a validation suggests (stats.recommendations), at the best threshold of the score, and
+    whether a secondary predictor (missing as 0) does better by more than .02."""
+    rows = df.filter((F.col(coverage) >= 0.5) & ~F.coalesce(F.col(used), F.lit(False)))
+    sweep = stats.threshold_sweep(rows, score, reference, [i / 20 for i in range(21)])
+    best = stats.best_threshold(sweep).select("threshold", "f1").head()  # one row
+    at = F.col(score) > (best.threshold if best else 0.0)
+    regional = tables.confusion(rows.filter(F.col(score).isNotNull()), at, F.col(reference), [region]).withColumnRenamed(region, "region")
+    misses = false_negatives(rows, score, reference, best.threshold if best else 0.0, region).withColumnRenamed(region, "region").filter("region <> 'all'")
+    out = stats.recommendations(sweep, regional, current, misses)
+    other = stats.threshold_sweep(rows.withColumn(secondary, F.coalesce(secondary, F.lit(0.0))), secondary, reference, secondary_thresholds or [1 + i / 4 for i in range(17)])
+    better = stats.best_threshold(other).select(F.lit("secondary predictor").alias("kind"), F.col("threshold").cast("string").alias("subject"), (F.col("f1") - F.lit(best.f1 if best else 0.0)).alias("amount"))
+    return out.unionByName(better.filter("amount > 0.02"))
+
+
+# A stage's states.
+OK, FAILED, NOT_PROCESSED, NOT_APPLICABLE, WITHOUT_DATA = "ok", "failed", "not_processed", "n_a", "sem_dado"
+
 
-    manifest: cd_mun, tipo, status; the others: cd_mun, tipo (failures also stage, reason, timestamp).
+def pipeline_status(manifest: DataFrame, coverage: DataFrame, extracted: DataFrame, extract_failures: DataFrame, harmonised: DataFrame, harmonise_failures: DataFrame) -> DataFrame:
+    """Per municipality and process: how the download went and how far its layers came, with the last failure.
+
+    manifest: cd_mun, tipo, status (of several the worst counts); coverage: cd_mun, tipo, has_tipo, status_zip;
+    extracted, harmonised: cd_mun, tipo; failures: cd_mun, tipo, reason, timestamp (the last counts). A stage is not
+    applicable where its layer does not exist, and not processed where the stage before was not ok.
     """
     keys = ["cd_mun", "tipo"]
+    last = lambda df, name: tables.dedup_last(df, keys, ["timestamp"], ["reason"]).withColumnRenamed("reason", name)
+    done = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
     out = tables.worst_status(manifest, keys, "status").withColumnRenamed("status", "download")
-    for name, df in (("extracted", extracted), ("harmonised", harmonised)):
-        out = out.join(df.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left").withColumn(name, F.when(F.col("download") == "ok", F.coalesce(name, F.lit(False))))
-    last = tables.dedup_last(failures, keys, ["timestamp"], ["stage", "reason"])
-    return out.join(last, keys, "left").withColumn("downloaded", F.when(F.col("download") != "", F.col("download") == "ok"))
+    seen = coverage.groupBy(*keys).agg(F.bool_or("has_tipo").alias("has_tipo"), F.when(F.bool_or(F.col("status_zip") == OK), OK).otherwise(F.max("status_zip")).alias("status_zip"))
+    for df in (seen, done(extracted, "__extracted"), last(extract_failures, "__extract_reason"), done(harmonised, "__harmonised"), last(harmonise_failures, "__harmonise_reason")):
+        out = out.join(df, keys, "left")
+    zip_ok = F.col("status_zip") == OK
+    explore = F.when(F.col("status_zip").isNull(), F.when(F.col("download") == WITHOUT_DATA, NOT_APPLICABLE).otherwise(NOT_PROCESSED)).when(zip_ok & F.coalesce("has_tipo", F.lit(False)), OK).when(zip_ok, NOT_APPLICABLE).otherwise(FAILED)
+
+    def stage(before: str, reached: str, reason: str) -> Column:
+        held = F.when(F.col(before) == NOT_APPLICABLE, NOT_APPLICABLE).otherwise(NOT_PROCESSED)
+        return F.when(F.col(before) != OK, held).when(F.coalesce(reached, F.lit(False)), OK).when(F.col(reason).isNotNull(), FAILED).otherwise(NOT_PROCESSED)
+
+    out = out.withColumn("explore", explore).withColumn("extract", stage("explore", "__extracted", "__extract_reason")).withColumn("harmonise", stage("extract", "__harmonised", "__harmonise_reason"))
+    failed = [("harmonise", F.col("__harmonise_reason")), ("extract", F.col("__extract_reason")), ("explore", F.lit("unreadable or not covered")), ("download", F.lit("download failed"))]
+    state = lambda s: F.col(s).isin(FAILED, "error") if s == "download" else F.col(s) == FAILED
+    pick = lambda k: reduce(lambda c, f: c.when(state(f[0]), f[k] if k else F.lit(f[0])), failed[1:], F.when(state(failed[0][0]), failed[0][k] if k else F.lit(failed[0][0]))).otherwise(F.lit(""))
+    return out.select(*keys, "download", "explore", "extract", "harmonise", (F.col("harmonise") == OK).alias("in_pipeline"), pick(0).alias("last_failure_stage"), pick(1).alias("last_failure_reason"))
+
+
+def status_summary(status: DataFrame) -> DataFrame:
+    """tipo, stage, ok, failed, n_a and dropout (how many fewer are ok than at the stage before) of pipeline_status()."""
+    stages = ("download", "explore", "extract", "harmonise")
+    rows = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(s).alias("stage"), F.when(F.col(s) == "error", FAILED).otherwise(F.col(s)).alias("state")) for k, s in enumerate(stages)))
+    counts = status.select("tipo", F.explode(rows).alias("r")).select("tipo", "r.*").groupBy("tipo", "step", "stage").agg(*(F.count_if(F.col("state") == s).alias(s) for s in (OK, FAILED, NOT_APPLICABLE)))
+    before = F.lag(OK).over(Window.partitionBy("tipo").orderBy("step"))  # four rows a process
+    return counts.withColumn("dropout", F.coalesce(before - F.col(OK), F.lit(0))).drop("step")
+
+
+def coastal_only(cells: DataFrame, coastal: DataFrame, key: str) -> DataFrame:
+    """Cells of the municipalities on the coastal list: the others' sea-level indicator does not apply."""
+    return tables.only_in(cells, coastal, key)
+
+
+def run_index(spark: SparkSession, registry: Registry, inputs: str, base: DataFrame, out: str, run_id: str, key: str = "cell_id", ids: Sequence[str] = (), order: Sequence[Column] = ()) -> tuple[str, list[str]]:
+    """The whole index: reads the base and every indicator file that is there, scores, writes. Returns the run's path and the missing indicators.
+
+    The base gives one row a cell (the first by order) with its id columns. Indicators without a file, or whose file lacks
+    their column, are left out, and a dimension without any is too. Written under out: the full run (never overwritten),
+    the slim extract and the dimensions' slices.
+    """
+    missing = missing_inputs(spark, registry, inputs)
+    read = [(i, read_table(spark, f"{inputs}/{registry.file_name(i)}")) for i in registry.indicators if i.key not in missing]
+    found = {i.normalised: df.select(key, F.col(i.normalised).alias("value")) for i, df in read if {key, i.normalised} <= set(df.columns)}
+    missing += [i.key for i, _ in read if i.normalised not in found]
+    if not found:
+        raise ValueError("no indicator has a file")
+    cells = tables.dedup_first(base.select(key, *ids), [key], [*order, *map(F.col, ids)] or [F.col(key)])
+    scored = dimension_scores(tables.merge_indicators(cells, found, key), registry)
+    path = save_run(scored, out, run_id)
+    saved = spark.read.parquet(path)
+    scores = [c for c in (*(d.column for d in registry.dimensions), "final_index") if c in saved.columns]
+    save_slim(saved, f"{out}/dashboard_{run_id}", [key, *ids], scores)
+    save_dimension_slices(saved, registry, f"{out}/slices_{run_id}", [key])
+    return path, missing

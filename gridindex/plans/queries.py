@@ -83,6 +83,7 @@ def _axial_sql(x: str, y: str, size: float) -> str:
     return f"({q}) AS fq, ({r}) AS fr"
 
 
+_AXIAL_CELLS = _axial_sql("x", "y", 25.0)
 _ROUNDED = """CASE WHEN abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)-(-fq-fr)) THEN -floor(fr+.5)-floor(-fq-fr+.5) ELSE floor(fq+.5) END::BIGINT AS q,
  CASE WHEN NOT (abs(floor(fq+.5)-fq) > abs(floor(fr+.5)-fr) AND abs(floor(fq+.5)-fq) > abs(floor(-fq-fr+.5)-(-fq-fr))) AND abs(floor(fr+.5)-fr) > abs(floor(-fq-fr+.5)-(-fq-fr)) THEN -floor(fq+.5)-floor(-fq-fr+.5) ELSE floor(fr+.5) END::BIGINT AS r"""
 
@@ -112,7 +113,7 @@ def census_weighted_sum(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scaled_sql(value: str, lo: float, hi: float, source: str = "v") -> str:
     return f"""lim AS (SELECT quantile_cont({value}, {lo}) AS a, quantile_cont({value}, {hi}) AS b FROM {source}),
- scaled AS (SELECT {source}.*, CASE WHEN a IS NULL THEN NULL WHEN a = b THEN 0.0 ELSE (least(greatest({value}, a), b) - a) / (b - a) END AS norm FROM {source}, lim)"""
+ scaled AS (SELECT {source}.*, CASE WHEN a IS NULL THEN NULL WHEN a = b THEN 0.0 WHEN {value} IS NULL THEN NULL ELSE (least(greatest({value}, a), b) - a) / (b - a) END AS norm FROM {source}, lim)"""
 
 
 @query("ratio_indicator", f"WITH {_SUMS}, v AS (SELECT cell_id, coalesce(poor / nullif(people, 0), 0) AS x FROM sums), {_scaled_sql('x', 0.01, 0.99)} SELECT cell_id, round(x, 6) AS abs_value, round(norm, 6) AS norm_value FROM scaled")

@@ -63,20 +63,25 @@ def tolerant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(f"`{lower[c.lower()]}`").alias(c.lower()) for c in columns))
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """A semicolon where the first line has one, else a comma."""
-    first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+    first = spark.read.text(path).limit(1).collect()
     return ";" if first and ";" in first[0][0] else ","
 
 
 def read_csv_columns(spark: SparkSession, path: str, columns: Sequence[str], sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    df = spark.read.option("header", True).option("sep", sep or sniff_delimiter(spark, path, encoding)).option("encoding", encoding).csv(path)
+    df = spark.read.option("header", True).option("sep", sep or sniff_delimiter(spark, path)).option("encoding", encoding).csv(path)
     return tolerant(df, columns)
 
 
 def _first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """A file's first line, without reading the rest."""
+    """The first line of a file, or of a folder's first file with content, without reading the rest."""
     fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        files = sorted(f.getPath().toString() for f in fs.listStatus(p) if f.getLen() and f.getPath().getName()[0] not in "_.")
+        if not files:
+            return ""
+        p = spark._jvm.org.apache.hadoop.fs.Path(files[0])
     stream = fs.open(p)
     try:
         line = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream, encoding)).readLine()
@@ -86,20 +91,23 @@ def _first_line(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
 
 
 def read_csv_set(spark: SparkSession, pattern: str, columns: Sequence[str]) -> DataFrame:
-    """All files of a pattern as one table, with the file's name; raises where none match.
+    """All files (or folders of files) of a pattern as one table, with the file's or folder's name; raises where none match.
 
     Files may differ in their columns' order, in other columns and in the delimiter: those with one header are read
     together, and what they give is united by name.
     """
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[str, bool], list[str]] = {}
     for path, _ in glob(spark, pattern):
-        groups.setdefault(_first_line(spark, path), []).append(path)
+        fs, p = _fs(spark, path)
+        groups.setdefault((_first_line(spark, path), fs.getFileStatus(p).isDirectory()), []).append(path)
     if not groups:
         raise FileNotFoundError(pattern)
-    read = lambda header, paths: spark.read.option("header", True).option("sep", ";" if ";" in header else ",").csv(paths)
-    frames = [tolerant(df := read(header, paths), columns).select("*", df["_metadata.file_name"].alias("file_name")) for header, paths in groups.items()]
-    names = frames[0].columns
-    return reduce(DataFrame.unionByName, (f.toDF(*names) for f in frames))  # tolerant() gives the columns asked for, in their order
+    frames = []
+    for (header, folder), paths in groups.items():
+        df = spark.read.option("header", True).option("sep", ";" if ";" in header else ",").csv(paths)
+        name = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2 if folder else -1))
+        frames.append(tolerant(df.withColumn("file_name", name), [*columns, "file_name"]).toDF(*columns, "file_name"))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_csv_fallback(spark: SparkSession, path: str, columns: Sequence[str], attempts: Sequence[tuple[str, str]] = (("UTF-8", ","), ("ISO-8859-1", ";"))) -> DataFrame:
@@ -120,7 +128,8 @@ def read_csv_preamble(spark: SparkSession, path: str, skip: int = 3, sep: str =
 
     The first skip + 1 lines go by their place in the file; later lines stay, whatever they say.
     """
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    value = F.decode(F.col("value").cast("binary"), encoding)  # the text source gives bytes as they are
+    lines = spark.read.text(path).select(value.alias("value"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     head = lines.filter("block = 0").limit(skip + 1).collect()  # rows of one block come in the file's order
     if len(head) <= skip:
         raise ValueError(f"{path}: no header after {skip} lines")

@@ -43,7 +43,7 @@ def test_texts(spark):
     assert one(spark, S.slug(F.lit("São João del-Rei"))) == "sao_joao_del_rei"
     assert [one(spark, S.classify_kind(F.lit(p))) for p in ("Deslizamento/Suscetibilidade_A.shp", "Inundacao/Apt_A.shp", "base.gpkg/HID_Massa_Dagua_A", "x/y")] == ["massa", "inundacao", "outros", "outros"]
     assert [one(spark, S.infer_class(F.lit(p))) for p in ("Corrida_massa", "suscet_x", "rios")] == [5, 4, None]
-    assert [one(spark, S.class_ordinal(F.lit(x))) for x in ("Muito Alta", "MEDIA", "?")] == [5, 3, -1]
+    assert [one(spark, S.class_ordinal(F.lit(x))) for x in ("Muito Alta", "MEDIA", "muito alta", "?")] == [5, 3, -1, -1]
     assert [one(spark, S.raster_class(F.lit("?"), F.lit(p))) for p in (3, 9)] == [3, -1]
     assert S.class_column(["x", "Suscet", "classe"]) == "classe" and S.class_column(["x"]) is None
     assert [one(spark, S.macro_region(F.lit(x))) for x in ("SP", "XX")] == ["SE", "?"]
@@ -126,8 +126,15 @@ def test_tables(spark):
     funnel = tables.stage_funnel(spark.createDataFrame([(True, True), (True, False), (False, None)], "a boolean, b boolean"), ["a", "b"]).orderBy("step").collect()
     assert [(x.ok, x.failed, x.n_a, x.dropout) for x in funnel] == [(2, 1, 0, 0), (1, 1, 1, 1)]
     assert tables.column_frequency(spark.createDataFrame([("a|b",), ("b",)], "c string"), "c").head()[:] == ("b", 2)
-    manifest = spark.createDataFrame([("1", "m", "ok"), ("1", "m", "error"), ("2", "m", "ok"), ("3", "i", "sem_dado")], "cd_mun string, tipo string, status string")
+    manifest = spark.createDataFrame([("1", "m", "ok"), ("1", "m", "error"), ("2", "m", "ok"), ("3", "m", "sem_dado"), ("4", "m", "ok"), ("5", "m", "ok")], "cd_mun string, tipo string, status string")
+    coverage = spark.createDataFrame([("2", "m", True, "ok"), ("4", "m", False, "ok"), ("5", "m", True, "ok")], "cd_mun string, tipo string, has_tipo boolean, status_zip string")
     done = spark.createDataFrame([("2", "m")], "cd_mun string, tipo string")
-    failures = spark.createDataFrame([("1", "m", 1, "get", "x"), ("1", "m", 2, "get", "y")], "cd_mun string, tipo string, timestamp int, stage string, reason string")
-    out = {r.cd_mun: r for r in index.pipeline_status(manifest, done, done.limit(0), failures).collect()}
-    assert (out["1"].download, out["1"].reason, out["2"].extracted, out["2"].harmonised, out["3"].extracted) == ("error", "y", True, False, None)
+    failures = spark.createDataFrame([("5", "m", 1, "x"), ("5", "m", 2, "y")], "cd_mun string, tipo string, timestamp int, reason string")
+    status = index.pipeline_status(manifest, coverage, done, failures, done, failures.limit(0))
+    out = {r.cd_mun: (r.download, r.explore, r.extract, r.harmonise, r.in_pipeline, r.last_failure_stage, r.last_failure_reason) for r in status.collect()}
+    assert out == {
+        "1": ("error", "not_processed", "not_processed", "not_processed", False, "download", "download failed"), "2": ("ok", "ok", "ok", "ok", True, "", ""), "3": ("sem_dado", "n_a", "n_a", "n_a", False, "", ""),
+        "4": ("ok", "n_a", "n_a", "n_a", False, "", ""), "5": ("ok", "ok", "failed", "not_processed", False, "extract", "y"),
+    }
+    assert [(r.stage, r.ok, r.failed, r.n_a, r.dropout) for r in index.status_summary(status).collect()] == [("download", 3, 1, 0, 0), ("explore", 2, 0, 2, 1), ("extract", 1, 1, 2, 1), ("harmonise", 1, 0, 2, 0)]
+    assert tables.both_or_neither(status, "cd_mun", "tipo", F.col("in_pipeline")).head()[:] == (1, 4)

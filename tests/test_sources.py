@@ -14,6 +14,10 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a_41.csv").write_text("H3_ID,V\ny,2\n", encoding="utf-8")
     df = readers.with_region_from_filename(readers.read_csv_set(spark, f"{tmp_path}/a_*.csv", ["h3_id", "v"]))
     assert {(r.h3_id, r.cd_uf, r.sigla_uf) for r in df.collect()} == {("x", 35, "SP"), ("y", 41, "PR")}
+    (tmp_path / "b_35.csv").write_text("V,H3_ID,more\n3,z,0\n", encoding="utf-8")  # another order, more columns
+    (tmp_path / "b_41.csv").write_text("\ufeffh3_id;v\nw;4\n", encoding="utf-8")  # another delimiter and a mark
+    both = readers.read_csv_set(spark, f"{tmp_path}/[ab]_*.csv", ["h3_id", "v"])
+    assert {(r.h3_id, r.v, r.file_name) for r in both.collect()} == {("x", "1", "a_35.csv"), ("y", "2", "a_41.csv"), ("z", "3", "b_35.csv"), ("w", "4", "b_41.csv")}
     with pytest.raises(FileNotFoundError):
         readers.read_csv_set(spark, f"{tmp_path}/none_*.csv", ["v"])
     with pytest.raises(ValueError, match="w"):
@@ -21,6 +25,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "latin.csv").write_bytes("cd_mun;nome\n1;São\n".encode("latin-1"))
     assert readers.sniff_delimiter(spark, f"{tmp_path}/latin.csv") == ";"
     assert readers.read_csv_fallback(spark, f"{tmp_path}/latin.csv", ["cd_mun", "nome"]).head()[:] == ("1", "São")
+    (tmp_path / "late.csv").write_bytes(b"cd_mun;nome\n" + b"1;Sao\n" * 3000 + "2;São\n".encode("latin-1"))  # the first odd byte comes late
+    assert readers.read_csv_fallback(spark, f"{tmp_path}/late.csv", ["cd_mun", "nome"]).filter("cd_mun = '2'").head()[:] == ("2", "São")
+    (tmp_path / "late8.csv").write_text("cd_mun,nome\n" + "1,Sao\n" * 3000 + "2,São\n", encoding="utf-8")
+    assert readers.read_csv_fallback(spark, f"{tmp_path}/late8.csv", ["cd_mun", "nome"]).filter("cd_mun = '2'").head()[:] == ("2", "São")
+    (tmp_path / "again.csv").write_bytes("A;1\nConta;Valor\nz\nConta;Valor\nA;1\nConta;Valor\nz\n".encode("latin-1"))  # data like the lines before the header
+    assert [r[:] for r in readers.read_csv_preamble(spark, f"{tmp_path}/again.csv").collect()] == [("A", "1"), ("Conta", "Valor"), ("z", None)]
+    with pytest.raises(ValueError, match="no header"):
+        readers.read_csv_preamble(spark, f"{tmp_path}/again.csv", 9)
     (tmp_path / "pre.csv").write_bytes("x\ny\nz\nConta;Valor\nA;1,5\nB;2\n".encode("latin-1"))
     assert [r[:] for r in readers.read_csv_preamble(spark, f"{tmp_path}/pre.csv").orderBy("Conta").collect()] == [("A", "1,5"), ("B", "2")]
     (tmp_path / "2001.csv").write_text("lat,lon\n1,2\n")
@@ -54,6 +66,11 @@ def test_sinks(spark, tmp_path):
     registry = Registry.from_dict({"file_prefix": "br", "dimensions": {"p": {"abbr": "IP", "indicators": {f"p{k}": {"abbr": "x", "source": {}} for k in range(8)}}}})
     df = spark.range(5).select("id", *(F.lit(0.5).alias(i.normalised) for i in registry.indicators))
     assert len(sinks.save_dimension_slices(df, registry, f"{tmp_path}", ["id"])) == 2
+    with pytest.warns(UserWarning, match="bytes"):
+        sinks.save_dimension_slices(df, registry, f"{tmp_path}", ["id"], limit=10)
+    sinks.save_csv(df, f"{tmp_path}/marked", bom=True)
+    marked = [p.read_bytes() for p in (tmp_path / "marked").glob("part-*")]
+    assert marked and all(m.startswith(b"\xef\xbb\xbfid,") for m in marked)
     sinks.save_slim(df, f"{tmp_path}/slim", ["id"], [registry.indicators[0].normalised])
     assert dict(spark.read.parquet(f"{tmp_path}/slim").dtypes)["p0_x_norm"] == "float"
     assert readers.missing_inputs(spark, registry, str(tmp_path)) == [f"p{k}" for k in range(8)]
