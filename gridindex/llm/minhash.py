@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridindex.llm import wordbytes
 from gridindex.llm.components import connected
-from gridindex.llm.ranges import checkpointed
+from gridindex.llm.ranges import checkpointed, free
 
 #: Band registers: at a similarity of 0.8 a pair misses all 32 bands of 4 with probability (1 - 0.8**4)**32, about 5e-8.
 REGISTERS, BAND, MANTISSA, EMPTY = 128, 4, 10, 0xFFFF
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 sets = shingles(part.column(1), size)
                 bands = np.concatenate([registers(s) for s in sets]).view(np.int64)
                 per = REGISTERS // BAND
-                digest = [[int((wordbytes.mix(s ^ np.uint64(salt))).sum(dtype=np.uint64).view(np.int64)) for s in sets] for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+                digest = _digests(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()),
@@ -139,23 +139,38 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """node, set (sorted 64-bit hashes) of the documents with these ids (node)."""
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(wanted, "node")
+def _digests(sets: list[np.ndarray]) -> list[list[int]]:
+    """Two 64-bit digests of each set."""
+    return [[int((wordbytes.mix(s ^ np.uint64(salt))).sum(dtype=np.uint64).view(np.int64)) for s in sets] for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+
+
+def _sets(docs: DataFrame, ids: DataFrame, size: int, places: DataFrame | None = None) -> DataFrame:
+    """node, set (sorted 64-bit hashes) of the documents with these ids (node).
+
+    places (node, doc, h1, h2) says which document, and of its texts which, a node is that is not its own document's id.
+    """
+    wanted = ids.select("node", F.col("node").alias("doc"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"))
+    if places is not None:
+        wanted = ids.join(places, "node", "left").select("node", F.coalesce("doc", "node").alias("doc"), "h1", "h2")
+    wanted = F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).join(wanted, "doc").select("node", "text", "h1", "h2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingles(part.column(1), size)], pa.binary())], ["node", "set"])
+                sets = shingles(part.column(1), size)
+                if part.column(2).null_count < part.num_rows:
+                    mine = [w is None or (w, v) == (x, y) for w, v, x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), *_digests(sets), strict=True)]
+                    part, sets = part.filter(pa.array(mine, pa.bool_())), [s for s, m in zip(sets, mine, strict=True) if m]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
 
     return texts.mapInArrow(run, "node long, set binary")
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int, percent: int, places: DataFrame | None) -> DataFrame:
     """The pairs whose full sets reach the threshold. Only texts of documents in the pairs are read into sets."""
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size)
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size, places)
     named = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "s_a", "s_b")
 
@@ -250,18 +265,22 @@ def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id is it): one row per document.
+def _classified(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, h1, h2, component_id, kept of every row.
 
-    Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct shingles of size words;
-    documents without words are linked with nothing and are their own component. A null text has no words. A null doc_id
-    is never linked: its component is null and it is kept. Repeated rows stay repeated, with one result. Links are lost
-    with the probability given at REGISTERS alone; no bucket is capped.
+    A class is a set of shingles; its node is the least doc_id that has it or, where that one has other sets too (rows
+    that share an id but not a text), a hash of id and set.
     """
     all_ = checkpointed(spark, signatures(docs, size), "signatures")
     some = all_.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles", "h1", "h2", "bands", "sketch").dropDuplicates(["h1", "h2", "n_shingles"])
+    key = ["h1", "h2", "n_shingles"]
+    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"))
+    shared = classes.groupBy("rep").agg(F.count("*").alias("sets")).filter("sets > 1")
+    odd = checkpointed(spark, classes.join(shared, "rep", "left_semi").select(*key, F.col("rep").alias("doc"), (-1 - F.shiftrightunsigned(F.xxhash64("rep", "h1", "h2"), 1)).alias("node")), "classes")
+    plain = odd.isEmpty()
+    classes = classes.withColumn("node", F.col("rep")) if plain else classes.join(odd.drop("doc"), key, "left").withColumn("node", F.coalesce("node", "rep"))
+    places = None if plain else odd.select("node", "doc", "h1", "h2")
+    reps = some.join(classes, key).filter("doc_id = rep").select("node", "n_shingles", "h1", "h2", "bands", "sketch").dropDuplicates(key)
     reps = checkpointed(spark, reps.drop("h1", "h2"), "classes")
     sketches = reps.select("node", "n_shingles", "sketch")
 
@@ -270,39 +289,66 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent
     members = checkpointed(spark, banded.join(buckets, "key").select("key", "band", "node", "pivot", "n"), "members")
     star = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     likely = checkpointed(spark, _estimated(star, sketches, percent), "likely")
-    links = checkpointed(spark, _verified(spark, docs, likely, size, percent), "links")
+    links = checkpointed(spark, _verified(spark, docs, likely, size, percent, places), "links")
     first = connected(spark, links)
 
     placed = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("key", "band", "node", "comp", "n")
     apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rest = checkpointed(spark, placed.join(apart, "key"), "members")
     large = rest.filter(F.col("n") > LARGE)
-    whole = reps.join(_sets(docs, large.select("node").distinct(), size), "node")
+    whole = reps.join(_sets(docs, large.select("node").distinct(), size, places), "node")
     in_large = checkpointed(spark, _across(large, whole, percent), "links")
     likely = checkpointed(spark, _across(rest.filter(F.col("n") <= LARGE), sketches, percent).join(likely, ["a", "b"], "left_anti"), "likely")
-    in_small = checkpointed(spark, _verified(spark, docs, likely, size, percent), "links")
+    in_small = checkpointed(spark, _verified(spark, docs, likely, size, percent, places), "links")
     final = connected(spark, links.union(in_large).union(in_small))
 
-    labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = all_.select("doc_id", "n_shingles", "h1", "h2").join(labelled, ["h1", "h2", "n_shingles"], "left")
+    labelled = classes.join(final, "node", "left").select(*key, "rep", F.coalesce("component", "node").alias("component"))
+    if plain:  # every node is its class's least doc_id
+        labelled = labelled.select(*key, F.col("component").alias("component_id"))
+    else:
+        labelled = labelled.join(labelled.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(*key, "component_id")
+    out = all_.select("doc_id", "n_shingles", "h1", "h2").join(labelled, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", *key, component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), kept (doc_id is it): one row per document.
+
+    Two documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of distinct shingles of size words;
+    documents without words are linked with nothing and are their own component. A null text has no words. A null doc_id
+    is never linked: its component is null and it is kept. Repeated rows stay repeated, with one result; rows that share a
+    doc_id but not their shingles are documents of their own. Links are lost with the probability given at REGISTERS alone;
+    no bucket is capped. An empty table gives none; other columns are ignored.
+    """
+    return _classified(spark, docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each near-duplicate class, the one with the least doc_id; all columns stay.
+    """docs with one document of each near-duplicate class, the one with the least doc_id; all columns stay, whatever their names.
 
-    Of rows that share a doc_id one stays (the least text). Rows with a null doc_id all stay, as do documents without words.
+    Of rows that share a doc_id and their shingles one stays (the least text); rows that share a doc_id alone are documents
+    of their own. Rows with a null doc_id all stay, as do documents without words. An empty table stays empty.
     """
-    found = checkpointed(spark, near_duplicates(spark, docs, size, percent), "classes")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    found = checkpointed(spark, _classified(spark, docs, size, percent), "classes")
     again = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    key = "__near_key"  # the ids are compared as numbers, whatever the column's type
+    key = free(docs, "near_key")  # the ids are compared as numbers, whatever the column's type
     ids = lambda d: small(d.select(F.col("doc_id").alias(key)))
-    rows = docs.withColumn(key, F.col("doc_id").cast("long")).join(ids(gone), key, "left_anti")
-    if not again.isEmpty():
-        order = Window.partitionBy(key).orderBy("text")
-        one = rows.join(ids(again), key, "left_semi").withColumn("__near_rank", F.row_number().over(order)).filter(F.col("__near_rank") == 1).drop("__near_rank")
-        rows = rows.join(ids(again), key, "left_anti").unionByName(one)
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumn(key, F.col("doc_id").cast("long"))
+    if again.isEmpty():
+        return rows.join(ids(gone), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    @F.arrow_udf("struct<h1: long, h2: long, n: long>")
+    def digest(text: pa.Array) -> pa.Array:
+        sets = shingles(text, size)
+        return pa.StructArray.from_arrays([*(pa.array(d, pa.int64()) for d in _digests(sets)), pa.array([len(s) for s in sets], pa.int64())], ["h1", "h2", "n"])
+
+    one, stays = rows.join(ids(again), key, "left_anti").join(ids(gone), key, "left_anti"), found.filter("kept").join(again, "doc_id", "left_semi")
+    stays = stays.select(F.struct("doc_id", "h1", "h2", F.col("n_shingles").alias("n")).alias("near_of")).distinct()
+    of = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    many = rows.join(ids(again), key, "left_semi").select(F.struct(F.col(key).alias("doc_id"), of["h1"].alias("h1"), of["h2"].alias("h2"), of["n"].alias("n")).alias("near_of"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("near_row"))
+    ordered = F.struct(F.col("near_row.text"), *(F.col("near_row")[c] for c, t in docs.dtypes if c != "text" and "map<" not in t and t != "variant"))
+    least = many.join(stays, "near_of", "left_semi").groupBy("near_of").agg(F.min_by("near_row", ordered).alias("near_row"))
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(least.select("near_row.*"))

@@ -78,3 +78,21 @@ def test_linked_members_are_not_copied(spark, monkeypatch):
                     met[x.node, y.node] = met.get((x.node, y.node), 0) + 1
     want = {(x, y) for x in range(4000, 4050) for y in range(4050) if comp[x] != comp[y] and (y < 4000 or x < y)}
     assert met == dict.fromkeys(want, 1)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Texts under one id are documents of their own: linked or not, each by its own words."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(1, a), (5, a + " x"), (5, b), (5, b), (7, b + " y"), (9, c), (9, c + " z"), (9, None), (None, c), (3, "u v w")]
+    df = spark.createDataFrame([(i, t, "k", {"m": 1}) for i, t in rows], "doc_id long, text string, near_key string, __near_rank map<string,int>")
+    out = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, df).collect()), key=str)
+    assert out == sorted([(1, 36, 1, True), (5, 37, 1, False), (5, 36, 5, True), (5, 36, 5, True), (7, 37, 5, False), (9, 36, 9, True), (9, 37, 9, True), (9, 0, 9, True), (None, 36, None, True), (3, 1, 3, True)], key=str)
+    left = minhash.deduplicated(spark, df)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, a), (5, b), (9, c), (9, c + " z"), (9, None), (None, c), (3, "u v w")], key=str)
+
+
+def test_long_text(spark):
+    text = " ".join(f"word{k % 60_000}" for k in range(300_000))
+    out = minhash.near_duplicates(spark, spark.createDataFrame([(1, text), (2, text + " more"), (3, "other")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 3)}
