@@ -16,12 +16,17 @@ from gridindex.functions.grid import axial, cell_area, cell_id, grid_disk, offse
 from gridindex.shared import written
 
 
+#: Points a square, for each neighbour asked for, beyond which squares are halved before the search.
+CROWD = 64
+
+
 def knn_join(targets: DataFrame, points: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """target_id, point_id, distance, rank: the k nearest points (fewer where there are fewer), ties by point_id.
 
     targets: target_id, x, y; points: point_id, x, y and what else to carry. Both are dealt to squares; a target looks at its
     square and the eight around it and is done when its k-th distance is within a square's side, which no point outside can
-    beat. The rest go on with squares twice as wide, until three of them span all points.
+    beat. The rest go on with squares twice as wide, until three of them span all points. The first squares are as narrow as
+    the most crowded place asks for, so that no target there meets a whole city.
     """
     spark = targets.sparkSession
     extent = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).head()
@@ -35,6 +40,8 @@ def knn_join(targets: DataFrame, points: DataFrame, k: int, max_distance: float
     span = max(x1 - x0, y1 - y0, 1e-9)
     reach = max(span, everything[1] - x0, x1 - everything[0], everything[3] - y0, y1 - everything[2])
     side = span / max(1.0, math.sqrt(n / max(k, 1)))
+    crowd = points.groupBy(F.floor((F.col("x") - x0) / side), F.floor((F.col("y") - y0) / side)).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
+    side /= 2 ** min(max(math.ceil(math.log(crowd / (CROWD * max(k, 1)), 4)), 0), 12)  # half the side, a quarter of the points
     left, done = targets.select("target_id", "x", "y"), []
     while True:
         last = side >= reach or (max_distance is not None and side >= max_distance)

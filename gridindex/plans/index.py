@@ -137,10 +137,14 @@ def candidates(df: DataFrame, most: int = 50, share: float = 0.5) -> DataFrame:
     df: id, cluster, region, size_class, score.
     """
     pool = tables.at_least_group_quantile(df, "cluster", "score", share)
-    first = tables.top_per_group(pool, ["cluster", "region", "size_class"], [F.desc("score"), F.col("id")]).drop("rank").withColumn("pass", F.lit(1))
+    row = F.struct(*pool.columns)
+    first = pool.groupBy("cluster", "region", "size_class").agg(F.min_by(row, F.struct(-F.col("score"), F.col("id"))).alias("row")).select("row.*").withColumn("pass", F.lit(1))
     rest = tables.not_in(pool, first, "id").withColumn("pass", F.lit(2))
+    # what may fill a cluster is among the best of each of its parts: no cluster is one task's
+    parts = F.pmod(F.xxhash64("id"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    few = tables.top_per_group(rest.withColumn("__part", parts), ["cluster", "__part"], [F.desc("score"), F.col("id")], most).drop("__part", "rank")
     order = [F.col("pass"), F.when(F.col("pass") == 1, F.col("region")), F.when(F.col("pass") == 1, F.col("size_class")), F.desc("score"), F.col("id")]
-    ranked = tables.top_per_group(first.unionByName(rest), ["cluster"], order, 2**31 - 1, "candidate_rank")
+    ranked = tables.top_per_group(first.unionByName(few), ["cluster"], order, 2**31 - 1, "candidate_rank")
     return ranked.filter((F.col("pass") == 1) | (F.col("candidate_rank") <= most))
 
 

@@ -227,7 +227,7 @@ REGISTRY = Registry.from_dict({"dimensions": {
 def _index(spark: SparkSession, sf: str) -> DataFrame:
     """Households weigh tracts, tract counts become ratios, all indicators are scaled and averaged twice."""
     sums = _sums(spark, sf).select("cell_id", S.safe_ratio(F.col("poor"), F.col("people")).alias("poor"), S.safe_ratio(F.col("rooms"), F.col("people")).alias("room"))
-    wide = tables.onto_grid(_merged(spark, sf), sums)
+    wide = written(spark, tables.onto_grid(_merged(spark, sf), sums))  # read for the limits and again for the scores
     scaled = stats.normalize_minmax(wide, ["poor", "room", "qty", "disc", "tax"], index.WINSOR)
     named = scaled.select("cell_id", *(F.col(f"{i.abbr}_norm").alias(i.normalised) for i in REGISTRY.indicators if f"{i.abbr}_norm" in scaled.columns))
     return index.dimension_scores(named, REGISTRY)

@@ -29,6 +29,19 @@ def test_knn(spark):
     assert {r.target_id: r.distance for r in near.collect()} == {1: 5.0, 2: None}
 
 
+def test_knn_in_a_crowd(spark, monkeypatch):
+    """Most points in one place, many at one spot: squares are halved before the search, and nothing is lost."""
+    monkeypatch.setattr(spatial, "CROWD", 20)
+    rng = random.Random(3)
+    points = [(k, rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(300)] + [(1000 + k, 5.0, 5.0) for k in range(40)] + [(2000 + k, rng.uniform(-1000, 1000), rng.uniform(-1000, 1000)) for k in range(40)]
+    targets = [(k, *(rng.gauss(0, 2) if k % 2 else rng.uniform(-1500, 1500) for _ in range(2))) for k in range(60)] + [(99, 5.0, 5.0)]
+    out = spatial.knn_join(spark.createDataFrame(targets, "target_id int, x double, y double"), spark.createDataFrame(points, "point_id int, x double, y double"), 3).collect()
+    found = {(r.target_id, r["rank"]): r.point_id for r in out}
+    for t, x, y in targets:
+        near = sorted((math.hypot(x - px, y - py), p) for p, px, py in points)[:3]
+        assert [found[t, k] for k in (1, 2, 3)] == [p for _, p in near]
+
+
 def square(x0, y0, x1, y1):
     return [{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
 
