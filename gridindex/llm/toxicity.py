@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from gridindex.llm import wordbytes
 
-#: Words and word beginnings of these many bytes, hashed into SPACE cells.
+#: Words and word beginnings of these many bytes, hashed into SPACE cells: there are never more features than that (8 MB).
 PREFIXES, SPACE = (5, 6, 7, 8), 1 << 20
-#: Features kept: in at least MIN_TOXIC toxic texts and LIFT times as common in them as in clean ones; at most MAX_FEATURES.
-MIN_TOXIC, LIFT, MAX_FEATURES = 8, 6.0, 8192
+#: Features kept: in at least MIN_TOXIC toxic texts and LIFT times as common in them as in clean ones.
+MIN_TOXIC, LIFT = 8, 6.0
 #: Features are chosen on about so many labelled rows at most and the regression is fitted on about so many at most, by the
 #: hash of their ids. The labels' ids are broadcast, so that no text is shuffled; the first bound is theirs (16 bytes each).
 MAX_LABELS, MAX_ROWS = 500_000, 40_000
@@ -88,8 +88,7 @@ def select(labelled: DataFrame) -> np.ndarray:
         return np.zeros(0, np.int64)
     rate = F.col("toxic") / totals.toxic
     kept = counts.filter((F.col("cell") >= 0) & (F.col("toxic") >= MIN_TOXIC) & (rate >= LIFT * (F.col("clean") + 0.5) / totals.clean))
-    rows = kept.orderBy((rate - F.col("clean") / totals.clean).desc(), "cell").limit(MAX_FEATURES).collect()
-    return np.array(sorted(r.cell for r in rows), np.int64)
+    return np.sort(kept.select("cell").toArrow().column("cell").to_numpy()).astype(np.int64)  # at most SPACE
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -176,7 +175,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float
     A null or empty text has no features: its severity is that of a text without toxic wording. Repeated rows stay
     repeated; a null doc_id stays null; other columns are ignored. Rows are scored on their own.
     """
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    shared = spark.sparkContext.broadcast(model)  # at most SPACE weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

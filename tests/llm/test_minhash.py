@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from gridindex.llm import components, minhash
@@ -96,3 +97,20 @@ def test_long_text(spark):
     text = " ".join(f"word{k % 60_000}" for k in range(300_000))
     out = minhash.near_duplicates(spark, spark.createDataFrame([(1, text), (2, text + " more"), (3, "other")], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_loss_at_the_threshold():
+    """Pairs at and just above the threshold, of many sizes: the estimate lets all of them through, and some band agrees."""
+    rng = np.random.default_rng(8)
+    banded = lambda h: minhash.registers(h).view(np.int64)
+    for n in (5, 10, 40, 150, 600, 3000, 20_000):
+        for _ in range(120 if n < 3000 else 12):
+            shared = int(np.ceil(0.8 * n))
+            pool = np.unique(rng.integers(0, 1 << 63, n + 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:n]
+            rng.shuffle(pool)
+            cut = shared + (n - shared) // 2
+            a, b = np.sort(pool[:cut]), np.sort(np.concatenate([pool[:shared], pool[cut:]]))
+            assert 100 * shared >= 80 * n
+            assert minhash.plausible(minhash.sketch(a), minhash.sketch(b), np.array(len(a)), np.array(len(b)), 80)
+            x, y = banded(a), banded(b)
+            assert ((x == y) & (x != -1)).any()
