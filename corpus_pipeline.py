@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridindex.llm import bpe, decontaminate, minhash, quality, secret_scan
 from gridindex.llm.queries import _tokenizer
 from gridindex.llm.ranges import checkpointed
+from gridindex.shared import removed, temporary
 
 #: Trained models decide in some stages, so SQL can't give these rows; the tests compare them with brute force.
 ORACLE_SQL = None
@@ -64,8 +65,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again by the next; only the last one's table stays there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = checkpointed(spark, stage(spark, docs, sf_dir), f"pipeline_{name}")
+        with temporary(spark) as paths:  # a stage's own tables go when its result is written
+            out = checkpointed(spark, stage(spark, docs, sf_dir), f"pipeline_{name}")
+            paths.pop()  # the result
+        if before is not None:
+            removed(spark, before)
+        docs = before = out
     return docs

@@ -5,10 +5,33 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the paths that scratch() gives inside, and removes those still in the list at the end. What is read later must be taken out."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path under spark.checkpoint.dir. Where that is unset, a local folder on a local master; elsewhere ValueError."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -16,7 +39,10 @@ def scratch(spark: SparkSession, what: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="gridindex-")
-    return os.path.join(top, what, uuid.uuid4().hex)
+    path = os.path.join(top, what, uuid.uuid4().hex)
+    for paths in _OPEN:
+        paths.append(path)
+    return path
 
 
 def written(spark: SparkSession, df: DataFrame, what: str = "tables") -> DataFrame:
@@ -27,8 +53,6 @@ def written(spark: SparkSession, df: DataFrame, what: str = "tables") -> DataFra
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the folders of a written() table that nothing reads any more."""
-    jvm = spark._jvm
+    """Deletes the folder of a written() table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
