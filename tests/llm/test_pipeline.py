@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
@@ -43,8 +44,11 @@ def test_pipeline(spark, tmp_path):
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: len(library.encode(re.sub(r"password=\w+", "[SECRET]", texts[i]), add_special_tokens=False).ids) for i in kept}
-    got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == want
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("*/*"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == want
+    assert [p.parent.name for p in set(shared.glob("*/*")) - before] == ["pipeline_bpe"]  # the stages' own tables are gone
 
 
 def test_stages_keep_columns(spark, tmp_path):
