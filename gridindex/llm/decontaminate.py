@@ -68,7 +68,7 @@ def load_items(benchmark: DataFrame) -> Items:
     """The items of one part of a benchmark (null and empty texts, which no document can hold, are left out)."""
     rows = sorted((r for r in benchmark.select("item_id", "text").collect() if r.text), key=lambda r: (r.item_id is None, r.item_id if r.item_id is not None else 0, r.text))
     hashes = [w.hash[w.first[k] : w.first[k + 1]] for w in wordbytes.words(pa.array([r.text for r in rows], pa.large_string()), wordbytes.ALNUM) for k in range(w.hi - w.lo)]
-    kept = [(r.item_id, h) for r, h in zip(rows, hashes, strict=True) if len(h)]
+    kept = sorted(((r.item_id, h) for r, h in zip(rows, hashes, strict=True) if len(h)), key=lambda x: len(x[1]))  # items of one length stand side by side
     vocabulary = np.unique(np.concatenate([h for _, h in kept])) if kept else np.zeros(0, np.uint64)
     first = np.cumsum([0, *(len(h) for _, h in kept)])
     words = np.searchsorted(vocabulary, np.concatenate([h for _, h in kept])) if kept else np.zeros(0)
@@ -347,9 +347,9 @@ def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block:
         follows = np.flatnonzero(at + width - 1 <= last_block[at])
         z[follows] += rows[at[follows] + width - 1 - lo]
         last[follows] = at[follows] + width - 1
-        unit = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-        cosine = unit @ latent.T
-        where, piece = np.nonzero(cosine > COSINE)
+        norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
+        product = z @ latent.T
+        where, piece = np.divmod(np.flatnonzero(product > COSINE * norm[:, None]), len(latent))
         item = owner[piece + model.pieces[s.lo]]
         # no leak has fewer of the item's words around
         before, after = np.maximum(at[where] - more[item], first_block[at[where]]), np.minimum(last[where] + more[item], last_block[at[where]])
@@ -357,17 +357,18 @@ def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block:
         inside = held.light[after, item - s.lo] - held.light[before, item - s.lo]
         some = np.flatnonzero(inside + held.times.sum(0)[item - s.lo] >= needed[item])
         good = some[inside[some] + np.einsum("ij,ij->i", held.heavy[after[some]] > held.heavy[before[some]], held.times.T[item[some] - s.lo]) >= needed[item[some]]]
-        put(at[where[good]], item[good], last[where[good]], cosine[where[good], piece[good]])
+        put(at[where[good]], item[good], last[where[good]], product[where[good], piece[good]] / norm[where[good]])
     # windows of the item's length and two blocks, whatever their cosine
+    begin = slice(start - lo, stop - lo)
     for n in np.unique(more[s.lo : s.hi]).tolist():
-        these = np.flatnonzero(more[s.lo : s.hi] == n)
+        these = slice(*np.searchsorted(more[s.lo : s.hi], (n, n + 1)))
         end = np.minimum(at + n + 1, last_block[at])
-        begin, beyond = at - lo, end + 1 - lo
-        inside = held.light[beyond][:, these] - held.light[begin][:, these]
+        beyond = end + 1 - lo
+        inside = held.light[beyond, these] - held.light[begin, these]
         inside += (held.heavy[beyond] > held.heavy[begin]).astype(np.float32) @ held.times[:, these]
-        where, k = np.nonzero(inside >= needed[s.lo + these])
+        where, k = np.divmod(np.flatnonzero(inside >= needed[s.lo : s.hi][these]), inside.shape[1])
         if len(where):
-            item = these[k] + s.lo
+            item = k + these.start + s.lo
             unit = np.add.reduceat(rows, np.stack([at[where] - lo, np.minimum(end[where] + 1 - lo, len(rows) - 1)], 1).ravel(), axis=0)[::2]
             unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
             middle = (at[where] + end[where]) // 2  # the item's length is searched to both sides
