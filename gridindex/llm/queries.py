@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridindex.llm import bpe, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, token_files, toxicity
+from gridindex.llm import bpe, centroids, decontaminate, licenses, minhash, pii, quality, secret_scan, simhash, spelling, token_counts, token_files, toxicity
 from gridindex.llm.ranges import scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +52,43 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 ORACLES["op8_secret_markov"] = _secret_oracle()
 
 
+def _cluster_oracle(k: int = centroids.K, rounds: int = centroids.ROUNDS, dim: int = centroids.DIM) -> str:
+    """op11's rounds, one after another, by distances to all centroids."""
+    digest = f"sha256('{centroids.SEED}:' || vec_id)"
+    square = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim} AND len(embedding) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {digest}) - 1 AS c, v FROM k ORDER BY {digest} LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, min({square}::HUGEINT * {k} + c.c) AS x FROM k CROSS JOIN c{i} c GROUP BY r)")
+        if i < rounds:
+            mean = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+            parts.append(f"m{i} AS (SELECT c, list(x ORDER BY p) AS v FROM (SELECT c, p, {mean} AS x FROM (SELECT a.x % {k} AS c, unnest(range({dim})) AS p, unnest(k.v) AS x FROM a{i} a JOIN k USING (r)) GROUP BY c, p) GROUP BY c)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (c))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, (x % {k})::INTEGER AS cluster, (x // {k})::BIGINT AS distance, (sum(x // {k}) OVER (PARTITION BY x % {k}))::BIGINT AS cluster_inertia, (sum(x // {k}) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+ FROM a{rounds} JOIN k USING (r) JOIN c{rounds} c ON c.c = x % {k}"""
+
+
+ORACLES["op11_equal_average"] = _cluster_oracle()
+ORACLES["op12_spelling_automata"] = rf"""WITH RECURSIVE byte AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+ d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ r AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM d) WHERE length(w) >= {spelling.MIN_LENGTH} GROUP BY 1, 2),
+ x AS (SELECT w, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r),
+ h AS (SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || substring(x, i, 2))::BIGINT)), lambda a, b: xor(a // 256, byte.t[xor(a, b) % 256 + 1]))) AS h FROM x, byte),
+ s AS (SELECT CASE WHEN h % {spelling.MODULUS} = 0 THEN left(w, (h % length(w))::BIGINT) || substring(w, (h % length(w))::BIGINT + 2) ELSE w END AS w, c FROM h),
+ v AS MATERIALIZED (SELECT w, sum(c)::BIGINT AS n FROM s WHERE length(w) >= {spelling.MIN_LENGTH} GROUP BY w HAVING sum(c) >= {spelling.MIN_COUNT}),
+ g AS MATERIALIZED (SELECT w, i, left(w, i - 1) || substring(w, i + 1) AS x FROM (SELECT w, unnest(generate_series(1, length(w))) AS i FROM v)),
+ e AS MATERIALIZED (SELECT g.w AS a, v.w AS b FROM g JOIN v ON v.w = g.x UNION SELECT v.w, g.w FROM g JOIN v ON v.w = g.x UNION SELECT p.w, q.w FROM g p JOIN g q ON p.x = q.x AND p.i = q.i AND p.w <> q.w),
+ f AS (SELECT a AS w, count(*) AS n_near, arg_min(b, (-v.n, b)) AS o, max(v.n) AS m FROM e JOIN v ON v.w = b GROUP BY a),
+ l AS MATERIALIZED (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.RATIO} * n THEN o END AS form, CASE WHEN m >= {spelling.RATIO} * n THEN m END AS form_n FROM v LEFT JOIN f USING (w)),
+ way(w, here, steps) AS (SELECT w, w, 0 FROM l UNION ALL SELECT way.w, l.form, steps + 1 FROM way JOIN l ON l.w = way.here WHERE l.form IS NOT NULL),
+ ends AS (SELECT w, arg_max(here, steps) AS root FROM way GROUP BY w)
+SELECT w AS word, form, root, n, n_near, form_n FROM l JOIN ends USING (w)"""
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -120,6 +157,21 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_equal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector, by whole numbers."""
+    return centroids.cluster(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual form of every word of the documents, and how many words are near it."""
+    return spelling.variants(spark, _table(spark, sf_dir, "documents"))
+
+
+def op13_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, from counts of its pre-tokens."""
+    return token_counts.count_tokens(spark, _table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_leaks": op1_latent_leaks,
     "op2_bpe_codec": op2_bpe_codec,
@@ -131,5 +183,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_markov": op8_secret_markov,
     "op9_simhash_edits": op9_simhash_edits,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
+    "op11_equal_average": op11_equal_average,
+    "op12_spelling_automata": op12_spelling_automata,
+    "op13_pretoken_counts": op13_pretoken_counts,
     "simhash_neighbours": simhash_neighbours,
 }
