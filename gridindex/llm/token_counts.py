@@ -3,22 +3,24 @@
 A pre-token is a stretch of the normalised text that no merge of the model can leave: pieces hold the space mark at their
 start only, so a new pre-token starts with every run of marks, and a sign that no piece joins to another stands alone.
 
-Documents are gathered in blocks of a few megabytes. A block keeps its distinct pre-tokens once, and for each document how
-often each of them occurs. The pre-tokens of all blocks are made distinct, each is counted once by the library's own model,
-and a join brings the counts back to the blocks: what moves is a row for each pre-token of a block, not one for each of a
-document, so a word that every document has is as many rows as there are blocks.
+Documents are gathered in blocks of some tens of megabytes. A block keeps its distinct pre-tokens once, and packed beside
+them how often each document has each. The pre-tokens of all blocks are dealt out and sorted, so that equal ones stand side by
+side and each is counted once by the library's own model; the counts go back to their places and are joined to the blocks.
+What moves is a row for each pre-token of a block, not one for each of a document, so a word that every document has is as
+many rows as there are blocks.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 from gridindex.llm.ranges import checkpointed
 
 MARK = "▁"
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 LIMIT = 4096
 _PART = 20_000
 
-BLOCKS = "block long, tokens array<string>, docs array<struct<doc_id:long, n_bytes:long, places:array<int>, counts:array<int>>>"
-_DOC = pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+BLOCKS = "block long, tokens array<string>, docs binary"
+_COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
 class PreTokens:
@@ -65,6 +67,39 @@ class PreTokens:
         return [len(ids) - self.before for ids in self.library.encode([self.alone[0] + t for t in tokens])]
 
 
+def pack(ids: list[int | None], sizes: list[int], entries: list[int], places: array, counts: array) -> bytes:
+    """A block's documents: ids, sizes and entries a document, then place (ascending in a document, as gaps) and count of each entry."""
+    doc = np.repeat(np.arange(len(entries), dtype=np.int64), entries)
+    place, count = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int32)
+    order = np.argsort(doc << 32 | place)
+    place = place[order]
+    gaps = np.diff(place, prepend=np.int32(0))
+    first = (np.cumsum(entries) - entries)[np.array(entries, np.int64) > 0]
+    gaps[first] = place[first]
+    columns = {"doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "entries": pa.array(entries, pa.int64())}
+    # low bytes beside low bytes: the high ones are mostly zero
+    planes = [np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (gaps, count[order])]
+    columns |= {n: pa.array([x] + [None] * (len(ids) - 1), pa.binary()) for n, x in zip(("gaps", "counts"), planes, strict=True)}
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch(columns)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def totals(docs: bytes | pa.Buffer, pieces: np.ndarray) -> pa.RecordBatch:
+    """doc_id, n_bytes, n_tokens of a block's documents: the sum of pieces by place times count."""
+    batch = pa.ipc.open_stream(docs).read_next_batch()
+    entries = batch.column("entries").to_numpy()
+    gaps, count = (np.ascontiguousarray(np.frombuffer(batch.column(n)[0].as_py(), np.uint8).reshape(4, -1).T).view("<i4").ravel() for n in ("gaps", "counts"))
+    ends = np.cumsum(entries)
+    run = np.cumsum(gaps, dtype=np.int64)
+    before = np.concatenate([[0], run])[ends - entries]  # a document's first gap is a place: what was summed up before goes off
+    each = pieces[run - np.repeat(before, entries)].astype(np.int64) * count
+    total = np.concatenate([[0], np.cumsum(each)])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), pa.array(total[ends] - total[ends - entries])], ["doc_id", "n_bytes", "n_tokens"])
+
+
 def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_CHARS) -> DataFrame:
     """Pre-token frequencies of every document, a row for each block of about so many characters (a longer text comes alone)."""
     spec = spark.sparkContext.broadcast(Path(model).read_bytes())  # its size is the vocabulary's
@@ -75,18 +110,14 @@ def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_
         place: dict[str, int] = {}
         ids: list[int | None] = []
         sizes: list[int] = []
-        entries, places, counts = [0], [], []
+        entries: list[int] = []
+        places, counts = array("i"), array("i")
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held, place, ids, sizes, entries, places, counts
-            ends = pa.array(np.cumsum(entries, dtype=np.int64).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(x), np.int32, sum(entries)))) for x in (places, counts)]
-            rows = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *lists], fields=list(_DOC))
-            block = (TaskContext.get().partitionId() << 32) + made
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([list(place)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rows)], ["block", "tokens", "docs"]
-            )
-            made, held, place, ids, sizes, entries, places, counts = made + 1, 0, {}, [], [], [0], [], []
+            number = (TaskContext.get().partitionId() << 32) + made
+            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(place)], pa.list_(pa.string())), pa.array([pack(ids, sizes, entries, places, counts)], pa.binary())], ["block", "tokens", "docs"])
+            made, held, place, ids, sizes, entries, places, counts = made + 1, 0, {}, [], [], [], array("i"), array("i")
             return out
 
         for batch in batches:
@@ -96,8 +127,8 @@ def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_
                 ids.append(doc_id.as_py())
                 sizes.append(len(text.encode()))
                 entries.append(len(found))
-                places.append([place.setdefault(t, len(place)) for t in found])
-                counts.append(found.values())
+                places.extend([place.setdefault(t, len(place)) for t in found])
+                counts.extend(found.values())
                 held += len(text)
                 if held >= chars:
                     yield flush()
@@ -107,18 +138,26 @@ def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def piece_counts(spark: SparkSession, tokens: DataFrame, model: str) -> DataFrame:
-    """token, n_pieces for each distinct row of tokens (token)."""
-    spec = spark.sparkContext.broadcast(Path(model).read_bytes())
+def counted(batches: Iterator[pa.RecordBatch], sizes: Callable[[list[str]], list[int]]) -> Iterator[pa.RecordBatch]:
+    """block, place, n_pieces from sorted batches of token, block, place: sizes() sees each distinct token once."""
+    last, size = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, _PART):
+            part = batch.slice(at, _PART)
+            runs = pc.run_end_encode(part.column(0))
+            tokens, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            new = tokens[1:] if tokens[0] == last else tokens
+            found = ([size] if len(new) < len(tokens) else []) + (sizes(new) if new else [])
+            last, size = tokens[-1], found[-1]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.repeat(found, np.diff(ends, prepend=0)), pa.int32())], ["block", "place", "n_pieces"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = PreTokens(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _PART):
-                part = batch.column(0).slice(at, _PART)
-                yield pa.RecordBatch.from_arrays([part, pa.array(pre.sizes(part.to_pylist()), pa.int64())], ["token", "n_pieces"])
 
-    return tokens.select("token").distinct().mapInArrow(run, "token string, n_pieces long")
+def piece_counts(spark: SparkSession, tokens: DataFrame, model: str) -> DataFrame:
+    """block, place, n_pieces for each row of tokens (token, block, place)."""
+    spec = spark.sparkContext.broadcast(Path(model).read_bytes())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tokens.select("token", "block", "place").repartition(parts, "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(lambda batches: counted(batches, PreTokens(spec.value).sizes), "block long, place int, n_pieces int")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int = LIMIT, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -130,11 +169,11 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int =
     """
     freq = checkpointed(spark, blocks(spark, docs, model, chars), "token_counts")
     tokens = freq.select("block", F.posexplode("tokens").alias("place", "token"))
-    pieces = tokens.join(piece_counts(spark, tokens, model), "token").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n_pieces"))), lambda x: x["n_pieces"]).alias("pieces"))
+    back = piece_counts(spark, tokens, model).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n_pieces"))), lambda x: x["n_pieces"]).alias("pieces"))  # as many as the block has tokens
 
-    def total(doc):
-        each = F.zip_with(doc["places"], doc["counts"], lambda place, n: F.get("pieces", place) * n)
-        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed, pieces in zip(batch.column(0), batch.column(1)):
+                yield totals(packed.as_buffer(), pieces.values.to_numpy() if pieces.is_valid else np.zeros(0, np.int32))
 
-    rows = freq.select("block", "docs").join(pieces, "block", "left").select(F.explode(F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_bytes"].alias("n_bytes"), total(d).alias("n_tokens")))).alias("d"))
-    return rows.select("d.*").withColumn("over_limit", F.col("n_tokens") > limit)
+    return freq.select("block", "docs").join(back, "block", "left").select("docs", "pieces").mapInArrow(run, _COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)

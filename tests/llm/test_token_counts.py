@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from gridindex.llm import token_counts
@@ -41,11 +42,21 @@ def test_repeats_nulls_empty_table_and_columns(spark):
 
 
 def test_pre_tokens_are_counted_once(spark):
+    seen = []
+
+    def sizes(tokens):
+        seen.extend(tokens)
+        return [len(t) for t in tokens]
+
+    tokens = sorted(["a"] * 7 + ["bb"] * 3 + ["ccc"] + ["dd"] * 40 + ["e"])
+    rows = [(t, k % 3, k) for k, t in enumerate(tokens)]
+    batches = [pa.record_batch(dict(zip(("token", "block", "place"), map(list, zip(*rows[k : k + 5]))))) for k in range(0, len(rows), 5)]
+    out = [r for b in token_counts.counted(iter(batches), sizes) for r in b.to_pylist()]
+    assert seen == ["a", "bb", "ccc", "dd", "e"]
+    assert [(r["block"], r["place"], r["n_pieces"]) for r in out] == [(b, p, len(t)) for t, b, p in rows]
+    # rows of tokens follow the blocks, not the documents
     docs = spark.createDataFrame([(i, "same words in every text") for i in range(50)], "doc_id long, text string")
-    freq = token_counts.blocks(spark, docs, MODEL, chars=100).selectExpr("explode(tokens) AS token")
-    counted = token_counts.piece_counts(spark, freq, MODEL)
-    assert counted.count() == counted.select("token").distinct().count() == 5
-    assert freq.count() < 50 * 5
+    assert token_counts.blocks(spark, docs.coalesce(1), MODEL, chars=100).selectExpr("explode(tokens)").count() == 5 * 10
 
 
 class Model:
