@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridindex.llm import wordbytes
+from gridindex.llm.ranges import checkpointed
 
 #: Words and word beginnings of these many bytes, hashed into SPACE cells: there are never more features than that (8 MB).
 PREFIXES, SPACE = (5, 6, 7, 8), 1 << 20
-#: Features kept: in at least MIN_TOXIC toxic texts and LIFT times as common in them as in clean ones.
-MIN_TOXIC, LIFT = 8, 6.0
-#: Features are chosen on about so many labelled rows at most and the regression is fitted on about so many at most, by the
-#: hash of their ids. The labels' ids are broadcast, so that no text is shuffled; the first bound is theirs (16 bytes each).
+#: Features kept: LIFT times as common in toxic texts as in clean ones, where chance makes them so with LEVEL at most: a
+#: test that means the same for a table of any size.
+LIFT, LEVEL = 6.0, 0.02
+#: Features are chosen on about so many labelled texts at most and the regression is fitted on so many at most, by the hash of
+#: id and text. What is broadcast is a row a labelled text (32 bytes), so that no text is shuffled; the first bound is its.
 MAX_LABELS, MAX_ROWS = 500_000, 40_000
 GRADES = 3
 #: A text is called toxic from this probability of any grade on: labels miss more toxic texts than they invent.
@@ -60,35 +62,50 @@ def _rows(column: pa.Array, model_features: np.ndarray, halves: bool = False) ->
         yield w.lo, np.stack([(sizes + 1) // 2, sizes // 2], 1).ravel() if halves else sizes, key // max(len(model_features), 1), key % max(len(model_features), 1), n
 
 
-def _value(count: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A feature's value: its count in a hundred words (of 25 at least), dampened."""
-    return np.log1p(100 * count / np.maximum(words, 25))
+def _value(count: np.ndarray, words: np.ndarray, least: float = 25) -> np.ndarray:
+    """A feature's value: its count in a hundred words (of 25 at least; half as many in half a text), dampened."""
+    return np.log1p(100 * count / np.maximum(words, least))
+
+
+def marking(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
+    """Which features mark toxic texts, from the number of toxic and clean texts that have each.
+
+    The chance that so many of a feature's texts are toxic, when each is so with the share of all, is at most LEVEL (by
+    Chernoff's bound, which is exact where no clean text has it).
+    """
+    n, share = toxic + clean, all_toxic / (all_toxic + all_clean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = lambda seen, want: np.where(seen > 0, seen * np.log(seen / want), 0.0)
+        chance = np.exp(-(term(toxic, n * share) + term(clean, n * (1 - share))))
+    return (toxic / all_toxic >= LIFT * (clean + 0.5) / all_clean) & (chance <= LEVEL)
 
 
 def select(labelled: DataFrame) -> np.ndarray:
-    """The feature cells that mark toxic texts, from document counts over the labelled rows (text, y)."""
+    """The feature cells that mark toxic texts, from document counts over the labelled rows (text, y, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = np.zeros((2, SPACE), np.int32), [0, 0]
+        found, total = np.zeros((2, SPACE)), np.zeros(2)
         for batch in batches:
-            y = batch.column(1).to_numpy()
+            y, weight = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for w in wordbytes.words(batch.column(0), wordbytes.ALNUM):
                 cell, doc = cells(w)
                 once = np.unique(doc * SPACE + cell)
-                label = y[w.lo + once // SPACE]
+                row = w.lo + once // SPACE
                 for c in (0, 1):
-                    found[c] += np.bincount(once[label == c] % SPACE, minlength=SPACE).astype(np.int32)
-            total = [total[c] + int((y == c).sum()) for c in (0, 1)]
+                    own = y[row] == c
+                    found[c] += np.bincount(once[own] % SPACE, weights=weight[row[own]], minlength=SPACE)
+            total += np.bincount(y, weights=weight, minlength=2)
         at = np.flatnonzero(found.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[0][at], total[0]).astype(np.int64)), pa.array(np.append(found[1][at], total[1]).astype(np.int64))], ["cell", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[0][at], total[0])), pa.array(np.append(found[1][at], total[1]))], ["cell", "clean", "toxic"])
 
-    counts = labelled.select("text", "y").mapInArrow(run, "cell long, clean long, toxic long").groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = counts.filter("cell = -1").head()
-    if not totals or not totals.toxic or not totals.clean:
+    counts = labelled.select("text", "y", "weight").mapInArrow(run, "cell long, clean double, toxic double").groupBy("cell").agg(F.round(F.sum("clean"), 3).alias("clean"), F.round(F.sum("toxic"), 3).alias("toxic"))
+    table = counts.toArrow()  # at most SPACE rows and one
+    cell, clean, toxic = (table.column(c).to_numpy() for c in ("cell", "clean", "toxic"))
+    total = np.flatnonzero(cell == -1)
+    if not len(total) or not toxic[total[0]] or not clean[total[0]]:
         return np.zeros(0, np.int64)
-    rate = F.col("toxic") / totals.toxic
-    kept = counts.filter((F.col("cell") >= 0) & (F.col("toxic") >= MIN_TOXIC) & (rate >= LIFT * (F.col("clean") + 0.5) / totals.clean))
-    return np.sort(kept.select("cell").toArrow().column("cell").to_numpy()).astype(np.int64)  # at most SPACE
+    kept = marking(toxic[cell >= 0], clean[cell >= 0], toxic[total[0]], clean[total[0]])
+    return np.sort(cell[cell >= 0][kept]).astype(np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,11 +144,15 @@ def regress(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Choose features, grade and fit, on bounded samples of the labelled rows. Without labels of both kinds nothing is toxic."""
+    spark = docs.sparkSession
     one = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    n = one.count()
-    share = lambda most: F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit((1 << 30) * min(most, n) // max(n, 1))
-    one = one.filter(share(MAX_LABELS)) if n > MAX_LABELS else one
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(one), "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    # each text of an id once, with its number of rows: ids and hashes alone are shuffled
+    once = checkpointed(spark, texts.select("id", "h").join(one, "id").groupBy("id", "h", "y").agg(F.count("*").alias("copies")), "toxicity")
+    n = once.count()
+    share = lambda most: F.pmod("h", F.lit(1 << 30)) < F.lit((1 << 30) * min(most, n) // max(n, 1))
+    some = once.filter(share(MAX_LABELS)).select("id", "h", "y", (1 / F.col("copies")).alias("weight"))
+    rows = texts.join(F.broadcast(some), ["id", "h"])
     features = select(rows)
     clean = Model(features[:0], np.zeros(0), np.array([1.0, 2.0, 3.0]) * 40)
     if not len(features):
@@ -142,11 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             for lo, words, doc, feature, n in _rows(batch.column(1), features, halves=True):
                 cuts = np.searchsorted(doc, np.arange(len(words) + 1))
                 offsets = pa.array(cuts.astype(np.int32))
-                y = batch.column(2).slice(lo, len(words) // 2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(y, 2)), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(_value(n, words[doc]), pa.float32()))], ["y", "feature", "value"])
+                h, y = (np.repeat(batch.column(c).slice(lo, len(words) // 2).to_numpy(), 2) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(y), pa.ListArray.from_arrays(offsets, pa.array(feature, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(_value(n, words[doc], 12.5), pa.float32())), pa.array(np.arange(len(words)) % 2, pa.int32())], ["h", "y", "feature", "value", "half"])
 
     # the halves of a text stand side by side
-    sample = rows.filter(share(max_rows)).select("id", "text", "y").mapInArrow(run, "y int, feature array<int>, value array<float>").toArrow()
+    half = F.struct("feature", "value")
+    sample = rows.filter(share(max_rows)).select("h", "text", "y").mapInArrow(run, "h long, y int, feature array<int>, value array<float>, half int")
+    pairs = sample.groupBy("h").agg(F.max("y").alias("y"), *(F.max(F.when(F.col("half") == k, half)).alias(f"half{k}") for k in (0, 1)))
+    taken = pairs.orderBy("h").limit(max_rows)
+    sample = taken.select("y", F.explode(F.array("half0", "half1")).alias("s")).select("y", "s.*").toArrow()  # two rows a text
     y = sample.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return clean

@@ -65,6 +65,49 @@ def plain_cells(text):
     return out, len(words)
 
 
+def plain_marking(counts, toxic, clean):
+    """The cells of counts (cell -> clean, toxic) that mark toxic texts, one by one."""
+    p, whole = {}, toxic / (toxic + clean)
+    for cell, (c, t) in counts.items():
+        n = c + t
+        bound = math.exp(-((t * math.log(t / n / whole) if t else 0) + (c * math.log(c / n / (1 - whole)) if c else 0)))
+        p[cell] = bound if t / toxic >= toxicity.LIFT * (c + 0.5) / clean else 1.0
+    return {cell for cell, x in p.items() if x <= toxicity.LEVEL}
+
+
+def test_features_at_any_size():
+    """The same shares in a small and a large table; chance alone gives few features in either."""
+    for n in (1, 20, 400):
+        toxic, clean = np.array([10.0 * n, 4 * n, 1 * n]), np.array([0.0, 0.0, 8 * n])
+        assert toxicity.marking(toxic, clean, 50 * n, 400 * n).tolist() == [True, True, False]
+    rng = np.random.default_rng(3)
+    seen = rng.integers(1, 60, 20_000)  # features that fall on toxic texts by chance alone
+    t = rng.binomial(seen, 0.1).astype(float)
+    assert toxicity.marking(t, seen - t, 100, 900).mean() <= toxicity.LEVEL
+
+
+def test_one_id_on_many_rows(spark):
+    """30,000 copies of one labelled text count once, and a bound in rows is kept."""
+    rows = [(1, "gribble words of one text")] * 3000 + [(2, f"plain text number {k}") for k in range(3000)] + [(k, f"some other words {k % 7} here") for k in range(3, 200)] + [(k, f"gribble again {k}") for k in range(200, 240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, int(k == 1 or k >= 200)) for k in range(1, 240)], "doc_id long, toxic int")
+    brought = []
+    real = toxicity.regress
+
+    def regress(text, feature, value, grade, n_features):
+        brought.append(len(grade))
+        return real(text, feature, value, grade, n_features, steps=20)
+
+    toxicity.regress = regress
+    try:
+        toxicity.fit(df, labels)
+        toxicity.fit(df, labels, max_rows=60)
+    finally:
+        toxicity.regress = real
+    assert brought[0] == 2 * (1 + 3000 + 197 + 40)
+    assert all(n <= 2 * 60 for n in brought[1:])
+
+
 def test_plain_version(spark):
     """Features and scores against dictionaries; a text of 300,000 words is one text."""
     rng = random.Random(7)
@@ -72,14 +115,16 @@ def test_plain_version(spark):
     texts = [" ".join(rng.choice(vocabulary[:300] if k % 4 else vocabulary) for _ in range(rng.randint(0, 80))) for k in range(200)]
     texts = [t + " grümblefax, snorfl" if k % 4 == 0 else t for k, t in enumerate(texts)] + ["word snorfl " * 150_000]
     y = [int(k % 4 == 0) for k in range(len(texts))]
-    found = toxicity.select(spark.createDataFrame(list(zip(texts, y)), "text string, y int").repartition(3))
+    # the last toxic text stands twice, at half the weight
+    rows = [(t, label, 1.0) for t, label in zip(texts, y)]
+    last = max(k for k, label in enumerate(y) if label)
+    rows[last : last + 1] = [(texts[last], 1, 0.5)] * 2
+    found = toxicity.select(spark.createDataFrame(rows, "text string, y int, weight double").repartition(3))
     counts = {}
     for t, label in zip(texts, y):
         for c in set(plain_cells(t)[0]):
             counts.setdefault(c, [0, 0])[label] += 1
-    rate = lambda c: c[1] / sum(y) >= toxicity.LIFT * (c[0] + 0.5) / (len(y) - sum(y))
-    want = {c for c, n in counts.items() if n[1] >= toxicity.MIN_TOXIC and rate(n)}
-    assert set(found.tolist()) == want and want
+    assert set(found.tolist()) == plain_marking(counts, sum(y), len(y) - sum(y)) and len(found)
     model = toxicity.Model(found, np.linspace(-1, 2, len(found)), np.array([0.5, 1.0, 3.0]))
     weight = dict(zip(found.tolist(), model.weights))
     got = toxicity.probabilities(pa.array([*texts, None, ""]), model)
