@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -191,7 +192,8 @@ def near_words(spark: SparkSession, words: DataFrame, least: int = MIN_LENGTH, g
 
     A word's near words come from several initial states; each task adds up what it finds, so no row stands for a pair.
     """
-    dealt = [part.repartition(*_INITIAL).sortWithinPartitions(*_INITIAL, "open") for part in initial_states(spark, words, least, group, stretch)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as said: few bytes here are much work
+    dealt = [part.repartition(parts, *_INITIAL).sortWithinPartitions(*_INITIAL, "open") for part in initial_states(spark, words, least, group, stretch)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -228,10 +230,8 @@ def near_words(spark: SparkSession, words: DataFrame, least: int = MIN_LENGTH, g
         if out:
             yield flush()
 
-    parts = [d.select(*_INITIAL, "open", "n").mapInArrow(run, "word string, n long, n_near long, best_n long, best_word string") for d in dealt]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    tables = [d.select(*_INITIAL, "open", "n").mapInArrow(run, "word string, n long, n_near long, best_n long, best_word string") for d in dealt]
+    found = reduce(DataFrame.unionByName, tables)
     return found.groupBy("word").agg(F.first("n").alias("n"), F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best_word").alias("word"))).alias("best"))
 
 
