@@ -95,12 +95,13 @@ def nearest(rows: np.ndarray, centroids: Sorted) -> tuple[np.ndarray, np.ndarray
 
 def kept(vectors: DataFrame, dim: int) -> DataFrame:
     """vec_id and the vectors of exactly dim components, none null, non-finite or beyond the range of 32-bit floats."""
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    return whole.filter((F.size("x") == dim) & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= _FLOAT_MAX)))
+    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("x"))
+    wide = F.col("x").cast("array<double>")
+    return whole.filter((F.size("x") == dim) & F.forall(wide, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= _FLOAT_MAX)))
 
 
 def whole_numbers(column: pa.ListArray, dim: int, scale: int) -> np.ndarray:
-    x = np.floor(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) * float(scale))
+    x = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim) * float(scale))
     if not x.size or np.abs(x).max() < _NARROW:
         return x.astype(np.int64)
     return np.array([[int(c) for c in row] for row in x], object)
@@ -110,7 +111,7 @@ def initial(rows: DataFrame, k: int, dim: int, scale: int, seed: int) -> list[li
     """At most k vectors, by the hash of their ids; rows that share an id in the order of their components."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.orderBy(digest.asc_nulls_last(), "x").limit(k).select("x").collect()  # k rows, a parameter
-    return [[int(c) for c in np.floor(np.array(r["x"]) * float(scale))] for r in first]
+    return [[int(c) for c in np.floor(np.array(r["x"], float) * float(scale))] for r in first]
 
 
 def _sums(rows: DataFrame, centroids: list[list[int]], dim: int, scale: int) -> list[tuple[int, list[int]]]:
@@ -177,7 +178,7 @@ def cluster(spark: SparkSession, vectors: DataFrame, k: int = K, rounds: int = R
     repeated, as starts too; fewer than k vectors give as many centroids; sums beyond 64 bits are null; an empty table gives no rows; other columns are
     ignored. Every round is one pass that shuffles k * dim sums a task; a cluster of any size is never gathered.
     """
-    rows = kept(vectors, dim)
+    rows = checkpointed(spark, kept(vectors, dim), "centroids")  # every round reads them
     centroids = fit(rows, k, rounds, dim, scale, seed)
     if not centroids:
         return spark.createDataFrame([], SCHEMA)
