@@ -2,7 +2,7 @@
 
 The text view reads the text alone: word shapes (letters, digits and signs, repeats collapsed), and whether a word repeats
 the one before, as a multinomial model, with layout figures in fixed steps. The metadata view reads what stands beside the
-text: language, source, both together, and the declared length, as a categorical model; it never sees the text. Both models
+text: language, source and the declared length, as a categorical model; it never sees the text. Both models
 are counts, so every round is one pass over all documents: what one view is sure of, with the given labels, trains the
 other. Labels of a fifth of the labelled documents are kept out of training; on them each view's score is calibrated before it
 labels for the other. The views are independent given the class, so their calibrated evidence beyond the prior adds up.
