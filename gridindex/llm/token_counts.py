@@ -3,11 +3,11 @@
 A pre-token is a stretch of the normalised text that no merge of the model can leave: pieces hold the space mark at their
 start only, so a new pre-token starts with every run of marks, and a sign that no piece joins to another stands alone.
 
-Documents are gathered in blocks of some tens of megabytes. A block keeps its distinct pre-tokens once, and packed beside
-them how often each document has each. The pre-tokens of all blocks are dealt out and sorted, so that equal ones stand side by
-side and each is counted once by the library's own model; the counts go back to their places and are joined to the blocks.
-What moves is a row for each pre-token of a block, not one for each of a document, so a word that every document has is as
-many rows as there are blocks.
+Documents are gathered in blocks of some tens of megabytes. A block keeps its distinct pre-tokens once, sorted and packed by
+the bucket of their hash, and how often each document has each. The packets of one bucket meet in one task, where each
+distinct pre-token is counted once by the library's own model; the counts go back packed as they came, and are joined to the
+blocks' frequencies. What moves are packets, about five bytes for each pre-token of a block, so a word that every document has
+costs as often as there are blocks.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +30,10 @@ from gridindex.llm.ranges import checkpointed
 MARK = "▁"
 BLOCK_CHARS = 32 << 20
 LIMIT = 4096
-_PART = 20_000
+#: Pre-tokens whose counts a task keeps; the table is emptied when full.
+KNOWN = 2_000_000
 
-BLOCKS = "block long, tokens array<string>, docs binary"
+BLOCKS = "block long, packets array<binary>, docs binary"
 _COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -67,19 +68,42 @@ class PreTokens:
         return [len(ids) - self.before for ids in self.library.encode([self.alone[0] + t for t in tokens])]
 
 
-def pack(ids: list[int | None], sizes: list[int], entries: list[int], places: array, counts: array) -> bytes:
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers under 2**32, low bytes beside low bytes (the high ones are mostly zero), compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(packed: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(packed, 4 * n, "zstd"), np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+_SIZES = np.dtype([("n", "<u4"), ("lengths", "<u4"), ("bytes", "<u4")])
+
+
+def pack_tokens(tokens: list[bytes]) -> bytes:
+    """The number of tokens, their lengths, and all of them, one after another."""
+    lengths, body = _planes(np.array([len(t) for t in tokens], np.int64)), b"".join(tokens)
+    return np.array((len(tokens), len(lengths), len(body)), _SIZES).tobytes() + lengths + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpack_tokens(packet: bytes) -> list[bytes]:
+    n, size, whole = (int(x) for x in np.frombuffer(packet, _SIZES, 1)[0])
+    at = _SIZES.itemsize
+    ends = np.cumsum(_numbers(packet[at : at + size], n)).tolist()
+    body = pa.decompress(packet[at + size :], whole, "zstd", asbytes=True)
+    return [body[i:k] for i, k in zip([0, *ends], ends)]
+
+
+def pack(ids: list[int | None], sizes: list[int], entries: list[int], places: np.ndarray, counts: np.ndarray) -> bytes:
     """A block's documents: ids, sizes and entries a document, then place (ascending in a document, as gaps) and count of each entry."""
     doc = np.repeat(np.arange(len(entries), dtype=np.int64), entries)
-    place, count = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int32)
-    order = np.argsort(doc << 32 | place)
-    place = place[order]
-    gaps = np.diff(place, prepend=np.int32(0))
+    order = np.argsort(doc << 32 | places)
+    place = places[order].astype(np.int64)
+    gaps = np.diff(place, prepend=0)
     first = (np.cumsum(entries) - entries)[np.array(entries, np.int64) > 0]
     gaps[first] = place[first]
     columns = {"doc_id": pa.array(ids, pa.int64()), "size": pa.array(sizes, pa.int64()), "entries": pa.array(entries, pa.int64())}
-    # low bytes beside low bytes: the high ones are mostly zero
-    planes = [np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (gaps, count[order])]
-    columns |= {n: pa.array([x] + [None] * (len(ids) - 1), pa.binary()) for n, x in zip(("gaps", "counts"), planes, strict=True)}
+    columns |= {n: pa.array([_planes(x)] + [None] * (len(ids) - 1), pa.binary()) for n, x in (("gaps", gaps), ("counts", counts[order]))}
     sink = pa.BufferOutputStream()
     batch = pa.record_batch(columns)
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -91,16 +115,16 @@ def totals(docs: bytes | pa.Buffer, pieces: np.ndarray) -> pa.RecordBatch:
     """doc_id, n_bytes, n_tokens of a block's documents: the sum of pieces by place times count."""
     batch = pa.ipc.open_stream(docs).read_next_batch()
     entries = batch.column("entries").to_numpy()
-    gaps, count = (np.ascontiguousarray(np.frombuffer(batch.column(n)[0].as_py(), np.uint8).reshape(4, -1).T).view("<i4").ravel() for n in ("gaps", "counts"))
+    gaps, count = (_numbers(batch.column(n)[0].as_py(), int(entries.sum())) for n in ("gaps", "counts"))
     ends = np.cumsum(entries)
-    run = np.cumsum(gaps, dtype=np.int64)
+    run = np.cumsum(gaps.astype(np.uint32).view(np.int32), dtype=np.int64)  # only a document's own gaps are ascending
     before = np.concatenate([[0], run])[ends - entries]  # a document's first gap is a place: what was summed up before goes off
-    each = pieces[run - np.repeat(before, entries)].astype(np.int64) * count
+    each = pieces[run - np.repeat(before, entries)] * count
     total = np.concatenate([[0], np.cumsum(each)])
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("size"), pa.array(total[ends] - total[ends - entries])], ["doc_id", "n_bytes", "n_tokens"])
 
 
-def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_CHARS) -> DataFrame:
+def blocks(spark: SparkSession, docs: DataFrame, model: str, buckets: int, chars: int = BLOCK_CHARS) -> DataFrame:
     """Pre-token frequencies of every document, a row for each block of about so many characters (a longer text comes alone)."""
     spec = spark.sparkContext.broadcast(Path(model).read_bytes())  # its size is the vocabulary's
 
@@ -115,8 +139,17 @@ def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held, place, ids, sizes, entries, places, counts
+            tokens = [t.encode() for t in place]
+            bucket = np.array([crc32(t) % buckets for t in tokens], np.int64)
+            order = sorted(range(len(tokens)), key=tokens.__getitem__)
+            order = np.array(order, np.int64)[np.argsort(bucket[order], kind="stable")] if order else np.zeros(0, np.int64)
+            moved = np.empty(len(order), np.int64)
+            moved[order] = np.arange(len(order))  # a pre-token's place is that in its packet, after the packets before
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            packets = [pack_tokens([tokens[k] for k in order[i:j].tolist()]) if i < j else None for i, j in zip(ends[:-1], ends[1:])]
+            packed = pack(ids, sizes, entries, moved[np.frombuffer(places, np.int32)] if len(places) else moved, np.frombuffer(counts, np.int32))
             number = (TaskContext.get().partitionId() << 32) + made
-            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(place)], pa.list_(pa.string())), pa.array([pack(ids, sizes, entries, places, counts)], pa.binary())], ["block", "tokens", "docs"])
+            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packets], pa.list_(pa.binary())), pa.array([packed], pa.binary())], ["block", "packets", "docs"])
             made, held, place, ids, sizes, entries, places, counts = made + 1, 0, {}, [], [], [], array("i"), array("i")
             return out
 
@@ -138,26 +171,37 @@ def blocks(spark: SparkSession, docs: DataFrame, model: str, chars: int = BLOCK_
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
 
-def counted(batches: Iterator[pa.RecordBatch], sizes: Callable[[list[str]], list[int]]) -> Iterator[pa.RecordBatch]:
-    """block, place, n_pieces from sorted batches of token, block, place: sizes() sees each distinct token once."""
-    last, size = None, 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, _PART):
-            part = batch.slice(at, _PART)
-            runs = pc.run_end_encode(part.column(0))
-            tokens, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
-            new = tokens[1:] if tokens[0] == last else tokens
-            found = ([size] if len(new) < len(tokens) else []) + (sizes(new) if new else [])
-            last, size = tokens[-1], found[-1]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.repeat(found, np.diff(ends, prepend=0)), pa.int32())], ["block", "place", "n_pieces"])
+def counted(packets: Iterator[bytes], sizes: Callable[[list[str]], list[int]], most: int = KNOWN) -> Iterator[np.ndarray]:
+    """The pieces of each token of each packet. sizes() sees each distinct token once, as long as there are not more than most."""
+    known: dict[bytes, int] = {}
+    for packet in packets:
+        tokens = unpack_tokens(packet)
+        new = [t for t in tokens if t not in known]
+        if len(known) + len(new) > most:
+            known.clear()
+            new = tokens
+        known.update(zip(new, sizes([t.decode() for t in new]) if new else [], strict=True))
+        yield np.array([known[t] for t in tokens], np.int64)
 
 
-def piece_counts(spark: SparkSession, tokens: DataFrame, model: str) -> DataFrame:
-    """block, place, n_pieces for each row of tokens (token, block, place)."""
+def piece_counts(spark: SparkSession, packets: DataFrame, model: str, buckets: int) -> DataFrame:
+    """block, bucket, n, pieces (packed) for each row of packets (bucket, block, packet)."""
     spec = spark.sparkContext.broadcast(Path(model).read_bytes())
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.select("token", "block", "place").repartition(parts, "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(lambda batches: counted(batches, PreTokens(spec.value).sizes), "block long, place int, n_pieces int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = PreTokens(spec.value)
+        rows = ((b.column(1).slice(k, 1), b.column(0).slice(k, 1), b.column(2)[k].as_py()) for b in batches for k in range(b.num_rows))
+        keys: list[tuple[pa.Array, pa.Array]] = []
+
+        def each() -> Iterator[bytes]:
+            for block, bucket, packet in rows:
+                keys.append((block, bucket))
+                yield packet
+
+        for pieces in counted(each(), pre.sizes):
+            yield pa.RecordBatch.from_arrays([*keys.pop(), pa.array([len(pieces)], pa.int32()), pa.array([_planes(pieces)], pa.binary())], ["block", "bucket", "n", "pieces"])
+
+    return packets.select("bucket", "block", "packet").repartitionById(buckets, F.col("bucket")).mapInArrow(run, "block long, bucket int, n int, pieces binary")
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int = LIMIT, chars: int = BLOCK_CHARS) -> DataFrame:
@@ -167,13 +211,16 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model: str, limit: int =
     gives no rows; other columns are ignored. A task holds one block, or one text where that is longer. Blocks are written
     to the shared folder once, since the join reads them twice.
     """
-    freq = checkpointed(spark, blocks(spark, docs, model, chars), "token_counts")
-    tokens = freq.select("block", F.posexplode("tokens").alias("place", "token"))
-    back = piece_counts(spark, tokens, model).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n_pieces"))), lambda x: x["n_pieces"]).alias("pieces"))  # as many as the block has tokens
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    freq = checkpointed(spark, blocks(spark, docs, model, buckets, chars), "token_counts")
+    packets = freq.select("block", F.posexplode("packets").alias("bucket", "packet")).filter("packet IS NOT NULL")
+    # one row a bucket, of which there are as many as shuffle partitions
+    back = piece_counts(spark, packets, model, buckets).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "pieces"))).alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for packed, pieces in zip(batch.column(0), batch.column(1)):
-                yield totals(packed.as_buffer(), pieces.values.to_numpy() if pieces.is_valid else np.zeros(0, np.int32))
+            for packed, counts in zip(batch.column(0), batch.column(1)):
+                parts = [_numbers(c["pieces"], c["n"]) for c in counts.as_py() or []]
+                yield totals(packed.as_buffer(), np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
-    return freq.select("block", "docs").join(back, "block", "left").select("docs", "pieces").mapInArrow(run, _COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)
+    return freq.select("block", "docs").join(back, "block", "left").select("docs", "counts").mapInArrow(run, _COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -58,8 +58,7 @@ def corpus(seed, alphabet, sizes, words=60, docs=40):
     return [(i, " ".join(vocab[min(int(rng.expovariate(0.01)), len(vocab) - 1)] for _ in range(120))) for i in range(docs)]
 
 
-@pytest.mark.parametrize("group,stretch", [(20_000, 48), (3, 48), (20_000, 2), (1, 1)])
-@pytest.mark.parametrize("alphabet,sizes", [("ab", (5, 8)), ("abcé×", (5, 14)), ("abcdefgh", (4, 7))])
+@pytest.mark.parametrize("group,stretch,alphabet,sizes", [(20_000, 48, "ab", (5, 8)), (3, 48, "abcé×", (5, 14)), (20_000, 2, "abcdefgh", (4, 7)), (1, 1, "ab", (5, 8)), (1, 1, "abcé×", (5, 14))])
 def test_equals_plain(spark, group, stretch, alphabet, sizes):
     docs = corpus(group + len(alphabet), alphabet, sizes)
     assert rows(spark, docs, group=group, stretch=stretch) == plain(docs)

@@ -1,4 +1,3 @@
-import pyarrow as pa
 import pytest
 
 from gridindex.llm import token_counts
@@ -48,15 +47,16 @@ def test_pre_tokens_are_counted_once(spark):
         seen.extend(tokens)
         return [len(t) for t in tokens]
 
-    tokens = sorted(["a"] * 7 + ["bb"] * 3 + ["ccc"] + ["dd"] * 40 + ["e"])
-    rows = [(t, k % 3, k) for k, t in enumerate(tokens)]
-    batches = [pa.record_batch(dict(zip(("token", "block", "place"), map(list, zip(*rows[k : k + 5]))))) for k in range(0, len(rows), 5)]
-    out = [r for b in token_counts.counted(iter(batches), sizes) for r in b.to_pylist()]
-    assert seen == ["a", "bb", "ccc", "dd", "e"]
-    assert [(r["block"], r["place"], r["n_pieces"]) for r in out] == [(b, p, len(t)) for t, b, p in rows]
-    # rows of tokens follow the blocks, not the documents
+    lists = [["a", "bb", "é\x00"], ["bb", "dd"], [], ["a"], ["dd", "x" * 70_000]]
+    packets = [token_counts.pack_tokens([t.encode() for t in x]) for x in lists]
+    assert [[t.decode() for t in token_counts.unpack_tokens(p)] for p in packets] == lists
+    assert [x.tolist() for x in token_counts.counted(iter(packets), sizes)] == [[len(t) for t in x] for x in lists]
+    assert seen == ["a", "bb", "é\x00", "dd", "x" * 70_000]
+    assert [x.tolist() for x in token_counts.counted(iter(packets), sizes, most=2)] == [[len(t) for t in x] for x in lists]
+    # what moves follows the blocks, not the documents
     docs = spark.createDataFrame([(i, "same words in every text") for i in range(50)], "doc_id long, text string")
-    assert token_counts.blocks(spark, docs.coalesce(1), MODEL, chars=100).selectExpr("explode(tokens)").count() == 5 * 10
+    packed = token_counts.blocks(spark, docs.coalesce(1), MODEL, 3, chars=100).selectExpr("explode(packets) AS p").filter("p IS NOT NULL").collect()
+    assert sum(len(token_counts.unpack_tokens(bytes(r.p))) for r in packed) == 5 * 10
 
 
 class Model:
