@@ -74,7 +74,12 @@ def to_metric(lat: Column, lon: Column, meridian: float = -54.0, radius: float =
 
 
 def register(spark: SparkSession, size: float) -> None:
-    """SQL functions cell_of(x, y), row_mean(a, b) and grid_disk(cell) (one step)."""
+    """SQL functions cell_of(x, y), row_mean(array), grid_disk(cell, k) and strips(rings, size), and the table function
+    overlap_cells(rings, size, low, high): cell_id, area, holds_center of a polygon's cells in those rows of cells."""
+    from pyspark.sql.functions import udtf
+
+    from gridindex.operators.spatial import STRIP, OverlapCells
+
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION axial_q(x DOUBLE, y DOUBLE) RETURNS DOUBLE RETURN (x * {_ROOT3 / 3!r}D - y / 3) / {size!r}D")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION axial_r(x DOUBLE, y DOUBLE) RETURNS DOUBLE RETURN y * {2 / 3!r}D / {size!r}D")
     spark.sql(
@@ -83,10 +88,16 @@ def register(spark: SparkSession, size: float) -> None:
         "WHEN abs(floor(r + .5) - r) > abs(floor(-q - r + .5) + q + r) THEN concat_ws(':', floor(q + .5), -floor(q + .5) - floor(-q - r + .5)) "
         "ELSE concat_ws(':', floor(q + .5), floor(r + .5)) END"
     )
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cell_of(x DOUBLE, y DOUBLE) RETURNS STRING RETURN cube_round(axial_q(x, y), axial_r(x, y))")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION row_mean(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN try_divide(coalesce(a, 0) + coalesce(b, 0), cast(a IS NOT NULL AS INT) + cast(b IS NOT NULL AS INT))")
-    near = ", ".join(f"concat_ws(':', cast(split(cell, ':')[0] AS BIGINT) + ({q}), cast(split(cell, ':')[1] AS BIGINT) + ({r}))" for q, r in offsets(1))
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION grid_disk(cell STRING) RETURNS ARRAY<STRING> RETURN array({near})")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cell_of(x DOUBLE, y DOUBLE) RETURNS STRING RETURN CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN cube_round(axial_q(x, y), axial_r(x, y)) END")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION row_mean(v ARRAY<DOUBLE>) RETURNS DOUBLE RETURN try_divide(aggregate(v, 0D, (s, x) -> s + coalesce(x, 0D)), size(filter(v, x -> x IS NOT NULL)))")
+    near = "transform(filter(sequence(-k, k), b -> abs(a + b) <= k), b -> concat_ws(':', cast(split(cell, ':')[0] AS BIGINT) + a, cast(split(cell, ':')[1] AS BIGINT) + b))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION grid_disk(cell STRING, k INT) RETURNS ARRAY<STRING> RETURN CASE WHEN cell IS NOT NULL THEN flatten(transform(sequence(-k, k), a -> {near})) END")
+    low, high = "floor((array_min(transform(rings[0], p -> p.y)) - size) / (1.5D * size))", "(ceil((array_max(transform(rings[0], p -> p.y)) + size) / (1.5D * size)) + 1)"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION strips(rings ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>, size DOUBLE) RETURNS ARRAY<STRUCT<low: BIGINT, high: BIGINT>> "
+        f"RETURN transform(sequence({low}, {high}, {STRIP}), f -> struct(f AS low, least(f + {STRIP}, {high}) AS high))"
+    )
+    spark.udtf.register("overlap_cells", udtf(OverlapCells, returnType="cell_id string, area double, holds_center boolean"))
 
 
 def exploded_disk(df: DataFrame, cell: str, k: int, name: str) -> DataFrame:

@@ -262,7 +262,3 @@ def ledger_match(column: Column, value: str, account: Column, pattern: str) -> C
 
 def same_place(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a)) == F.lower(F.trim(b))
-
-
-def glob_to_regex(pattern: str) -> str:
-    return "^" + re.escape(pattern).replace(r"\*", ".*") + "$"

@@ -12,58 +12,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridindex.functions.grid import axial, cell_area, cell_id, grid_disk, offsets, parts
+from gridindex.functions.grid import axial, cell_area, cell_id, grid_disk, offsets
 from gridindex.shared import written
 
 
-#: Points a square, for each neighbour asked for, beyond which squares are halved before the search.
-CROWD = 64
+#: Points that a square holds for each neighbour asked for, before it is cut into sixteen; how often a square may be cut.
+CROWD, CUTS = 4, 12
+_FINE = 1 << 2 * CUTS
+
+
+def _squares(points: DataFrame, x0: float, y0: float, span: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(points with the square each lies in: level, i, j; squares that are cut: level, i, j, kids).
+
+    Squares are of unequal size: one with more than crowd points is cut into sixteen, so crowded places have small ones. The
+    ancestors of a square are the leading bits of its numbers. Counts of all levels are one aggregate.
+    """
+    spark = points.sparkSession
+    fine = lambda c, o: F.greatest(F.least(F.floor((F.col(c) - o) / span * _FINE), F.lit(_FINE - 1)), F.lit(0)).cast("long")
+    placed = written(spark, points.withColumns({"__fi": fine("x", x0), "__fj": fine("y", y0)}))
+    at = lambda c, level: F.expr(f"shiftright({c}, 2 * ({CUTS} - {level}))")
+    counts = placed.groupBy("__fi", "__fj").agg(F.count("*").alias("n"))
+    levels = counts.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(CUTS)))).groupBy("level", at("__fi", "level").alias("i"), at("__fj", "level").alias("j")).agg(F.sum("n").alias("n"))
+    kid = F.struct("level", "i", "j", "n")
+    cut = levels.groupBy((F.col("level") - 1).alias("level"), F.shiftright("i", 2).alias("i"), F.shiftright("j", 2).alias("j")).agg(F.collect_list(kid).alias("kids"), F.sum("n").alias("n"))
+    cut = written(spark, cut.filter(F.col("n") > crowd).drop("n"))  # at most sixteen kids
+    deepest = cut.agg(F.max("level")).head()[0]
+    if deepest is None:
+        return placed.withColumns({"level": F.lit(0), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")}), cut
+    above = placed.select("__fi", "__fj").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumns({"i": at("__fi", "level"), "j": at("__fj", "level")})
+    own = above.join(cut, ["level", "i", "j"], "left_semi").groupBy("__fi", "__fj").agg((F.max("level") + 1).alias("level"))
+    return placed.join(own, ["__fi", "__fj"]).withColumns({"i": at("__fi", "level"), "j": at("__fj", "level")}), cut
 
 
 def knn_join(targets: DataFrame, points: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
     """target_id, point_id, distance, rank: the k nearest points (fewer where there are fewer), ties by point_id.
 
-    targets: target_id, x, y; points: point_id, x, y and what else to carry. Both are dealt to squares; a target looks at its
-    square and the eight around it and is done when its k-th distance is within a square's side, which no point outside can
-    beat. The rest go on with squares twice as wide, until three of them span all points. The first squares are as narrow as
-    the most crowded place asks for, so that no target there meets a whole city.
+    targets: target_id, x, y; points: point_id, x, y and what else to carry. Of the points at one place only the k first can
+    be among the nearest, and only they go on. Each target goes down the squares of the points, keeping those that can hold
+    one of its k nearest: the k-th smallest of their farthest distances bounds the k-th neighbour's, and squares that begin
+    beyond it are left. Only the points of the squares that are left in the end are met, however many lie elsewhere.
     """
-    spark = targets.sparkSession
-    extent = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).head()
-    x0, x1, y0, y1, n = extent
-    everything = targets.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).head()
+    nearest = Window.partitionBy("target_id").orderBy("distance", "point_id")
+    return met_points(targets, points, k, max_distance).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+
+
+def met_points(targets: DataFrame, points: DataFrame, k: int, max_distance: float | None = None) -> DataFrame:
+    """target_id, distance and the points' columns for the few points among which each target's k nearest are (knn_join)."""
+    x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).head()
     carried = [c for c in points.columns if c not in ("x", "y")]
-    order = Window.partitionBy("target_id").orderBy("distance", "point_id")
-    empty = targets.join(points.select(F.lit(0.0).alias("distance"), *carried).limit(0), F.lit(True)).select("target_id", *carried, "distance", F.lit(1).alias("rank"))
-    if not n or everything[0] is None:
-        return empty.limit(0)
+    if not n:
+        return targets.select("target_id").join(points.select(*carried, F.lit(0.0).alias("distance")).limit(0), F.lit(True)).limit(0)
     span = max(x1 - x0, y1 - y0, 1e-9)
-    reach = max(span, everything[1] - x0, x1 - everything[0], everything[3] - y0, y1 - everything[2])
-    side = span / max(1.0, math.sqrt(n / max(k, 1)))
-    crowd = points.groupBy(F.floor((F.col("x") - x0) / side), F.floor((F.col("y") - y0) / side)).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
-    side /= 2 ** min(max(math.ceil(math.log(crowd / (CROWD * max(k, 1)), 4)), 0), 12)  # half the side, a quarter of the points
-    left, done = targets.select("target_id", "x", "y"), []
-    while True:
-        last = side >= reach or (max_distance is not None and side >= max_distance)
-        square = lambda c, o: F.floor((F.col(c) - o) / side)
-        near = points.select(*carried, F.col("x").alias("px"), F.col("y").alias("py"), square("x", x0).alias("i"), square("y", y0).alias("j"))
-        around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-        asked = left.withColumn("d", F.explode(around)).select("target_id", "x", "y", (square("x", x0) + F.col("d.a")).alias("i"), (square("y", y0) + F.col("d.b")).alias("j"))
-        met = asked.join(near, ["i", "j"]).withColumn("distance", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2))
-        ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        if last:
-            done.append(ranked.select("target_id", *carried, "distance", "rank"))
-            break
-        settled = written(spark, ranked.join(ranked.filter((F.col("rank") == k) & (F.col("distance") <= side)).select("target_id"), "target_id", "left_semi").select("target_id", *carried, "distance", "rank"))
-        done.append(settled)
-        left = written(spark, left.join(settled.select("target_id").distinct(), "target_id", "left_anti"))
-        if left.isEmpty():
-            break
-        side *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out if max_distance is None else out.filter(F.col("distance") <= max_distance)
+    pad = (span + abs(x0) + abs(y0)) * 1e-12  # what rounding may move a point across a side
+    first = Window.partitionBy("x", "y").orderBy("point_id")  # cut to k rows a place before the shuffle, too
+    few = points.withColumn("__place", F.row_number().over(first)).filter(F.col("__place") <= k).drop("__place")
+    held, cut = _squares(few, x0, y0, span, CROWD * k)
+
+    def gaps(c: str, low: Column, side: Column) -> tuple[Column, Column]:
+        """How far a square begins and ends from the target along one axis."""
+        a, b = low - F.col(c), F.col(c) - low - side
+        return F.greatest(a, b, F.lit(0.0)), F.greatest(-a, -b)
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        """target_id, x, y and the squares that can hold one of its k nearest, from rows of a target and a square s."""
+        side = F.lit(span) / F.pow(F.lit(4.0), F.col("s.level"))
+        (nx, fx), (ny, fy) = gaps("x", x0 + F.col("s.i") * side, side), gaps("y", y0 + F.col("s.j") * side, side)
+        one = F.struct((F.sqrt(fx * fx + fy * fy) + pad).alias("far"), (F.sqrt(nx * nx + ny * ny) - pad).alias("near"), F.col("s.level").alias("level"), F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.n").alias("n"))
+        each = rows.groupBy("target_id", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("squares"))
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("far"))
+        reached = F.aggregate("squares", start, lambda s, q: F.struct((s["n"] + q["n"]).alias("n"), F.when((s["n"] < k) & (s["n"] + q["n"] >= k), q["far"]).otherwise(s["far"]).alias("far")))
+        bound = reached["far"] if max_distance is None else F.least(reached["far"], F.lit(float(max_distance) + pad))
+        return each.withColumn("bound", bound).select("target_id", "x", "y", F.filter("squares", lambda q: q["near"] <= F.col("bound")).alias("squares"))
+
+    root = F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(n).cast("long").alias("n"))
+    left = bounded(targets.select("target_id", "x", "y", root.alias("s")))
+    for level in range((cut.agg(F.max("level")).head()[0] or 0) + 1 if not cut.isEmpty() else 0):
+        here = cut.filter(F.col("level") == level).select("level", "i", "j", "kids")
+        here = F.broadcast(here) if level <= 3 else here  # at most 4096 squares
+        square = F.struct("q.level", "q.i", "q.j", "q.n")
+        opened = left.select("target_id", "x", "y", F.explode("squares").alias("q")).select("target_id", "x", "y", "q", "q.level", "q.i", "q.j").join(here, ["level", "i", "j"], "left")
+        left = bounded(opened.select("target_id", "x", "y", F.explode(F.coalesce("kids", F.array(square))).alias("s")))
+    asked = left.select("target_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode("squares").alias("q")).select("target_id", "tx", "ty", "q.level", "q.i", "q.j")
+    met = asked.join(held, ["level", "i", "j"]).withColumn("distance", F.sqrt((F.col("tx") - F.col("x")) ** 2 + (F.col("ty") - F.col("y")) ** 2))
+    met = met if max_distance is None else met.filter(F.col("distance") <= max_distance)
+    return met.select("target_id", *carried, "distance")
 
 
 def gravity(targets: DataFrame, points: DataFrame, capacity: str = "capacity", k: int = 3, buffer: float = 100.0, max_distance: float | None = None) -> DataFrame:
@@ -128,22 +160,37 @@ def valid_polygons(df: DataFrame) -> DataFrame:
     return df.filter(F.exists(F.slice("rings", 1, 1), has_area))
 
 
-def _clip_area(ring: np.ndarray, corners: np.ndarray) -> float:
-    """Area of a ring within a convex polygon (counter-clockwise): clipped by one half-plane after the other."""
+def _clip_areas(ring: np.ndarray, centers: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Area of a ring within a convex polygon (counter-clockwise corners) set at each of the centres.
+
+    One copy of the ring a centre, all in one flat array, clipped by one half-plane after the other; after each, only what is
+    left of the copies goes on.
+    """
+    m, n = len(centers), len(ring)
+    points, owner = (ring[None] - centers[:, None]).reshape(-1, 2), np.repeat(np.arange(m), n)
+
+    def following() -> np.ndarray:
+        """The place of each point's successor in its own copy."""
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        after = np.arange(1, len(owner) + 1)
+        after[np.append(starts[1:], len(owner)) - 1] = starts
+        return after
+
     for a, b in zip(corners, np.roll(corners, -1, 0), strict=True):
-        if not len(ring):
-            return 0.0
-        side = (b[0] - a[0]) * (ring[:, 1] - a[1]) - (b[1] - a[1]) * (ring[:, 0] - a[0])
-        after, side_after = np.roll(ring, -1, 0), np.roll(side, -1)
+        if not len(points):
+            return np.zeros(m)
+        side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
+        after = following()
+        side_after = side[after]
         cross = (side >= 0) != (side_after >= 0)
         share = np.where(cross, side / np.where(side == side_after, 1.0, side - side_after), 0.0)
-        met = ring + share[:, None] * (after - ring)
+        met = points + share[:, None] * (points[after] - points)
         keep = np.stack([side >= 0, cross], 1).ravel()
-        ring = np.stack([ring, met], 1).reshape(-1, 2)[keep]
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring[:, 0], ring[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+        points, owner = np.stack([points, met], 1).reshape(-1, 2)[keep], np.repeat(owner, 2)[keep]
+    if not len(points):
+        return np.zeros(m)
+    x, y, after = points[:, 0], points[:, 1], following()
+    return np.abs(np.bincount(owner, x * y[after] - y * x[after], m)) / 2
 
 
 def _inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -185,9 +232,9 @@ def _cells_of(shapes: list[np.ndarray], low: int, high: int, size: float) -> tup
             near |= _edge_distance(hole, px, py) < size
         holds[part] = inside
         area[part] = np.where(inside & ~near, cell_area(size), 0.0)
-        for i in np.flatnonzero(near).tolist():  # only cells that an edge may cross are clipped
-            pieces = [_clip_area(s, hexagon + (px[i], py[i])) for s in shapes]
-            area[k + i] = max(pieces[0] - sum(pieces[1:]), 0.0)
+        edge = np.flatnonzero(near)  # only cells that an edge may cross are clipped
+        centers = np.stack([px[edge], py[edge]], 1)
+        area[k + edge] = np.maximum(_clip_areas(shapes[0], centers, hexagon) - sum(_clip_areas(s, centers, hexagon) for s in shapes[1:]), 0.0)
     met = area > 0
     return q[met], r[met], area[met], holds[met]
 
@@ -232,6 +279,16 @@ def overlap_area(polygons: DataFrame, size: float) -> DataFrame:
     return cut.join(covered, "cell_id", "left_semi").drop("holds_center").select(*carried, "cell_id", "area")
 
 
+class OverlapCells:
+    """A table function: the cells that a polygon (rings) meets in rows low .. high - 1, with the exact overlap and whether its centre is inside."""
+
+    def eval(self, rings: list, size: float, low: int, high: int) -> Iterator[tuple[str, float, bool]]:
+        shapes = [np.array([(p["x"], p["y"]) for p in ring]) for ring in rings or [] if ring and len(ring) >= 3]
+        if shapes and rings[0] and len(rings[0]) >= 3:
+            for q, r, area, inside in zip(*(c.tolist() for c in _cells_of(shapes, low, high, size)), strict=True):
+                yield f"{q}:{r}", area, inside
+
+
 def reference_fractions(polygons: DataFrame, size: float) -> DataFrame:
     """Per covered cell: high-class fraction, greatest class, coverage, records and the dominant state."""
     from gridindex.operators.tables import area_by_cell, with_fractions
@@ -271,9 +328,3 @@ def simplify_rings(polygons: DataFrame, tolerance: float) -> DataFrame:
             yield batch.assign(rings=rings)
 
     return polygons.mapInPandas(run, polygons.schema)
-
-
-def snap(df: DataFrame, cell: str) -> DataFrame:
-    """Adds q and r of a cell."""
-    q, r = parts(F.col(cell))
-    return df.withColumns({"q": q, "r": r})

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridindex.functions.scalars import precision_recall_f1, to_num
-from gridindex.operators.tables import column_quantiles, cumulative, group_quantiles, group_ranks, quantiles
+from gridindex.operators.ranks import cumulative, group_quantiles, ranked
+from gridindex.operators.tables import column_quantiles, quantiles
 from gridindex.shared import written
 
 
@@ -74,24 +75,23 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
-def _gap_pairs(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
-    """i, j, n, rho of columns v0, v1, ... over the rows where both are there, each pair with ranks of its own."""
-    there = lambda i, j: F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull()
-    items = [F.when(there(i, j), F.struct(F.lit(g).alias("g"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))) for g, (i, j) in enumerate(pairs)]
-    both = rows.select(F.explode(F.array(*items)).alias("r")).select("r.*").filter("g IS NOT NULL")
-    sides = both.select("g", F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in ("x", "y")))).alias("s")).select(F.struct("g", "s.side").alias("by"), "s.v")
-    ranks = group_ranks(sides, "by", "v")
-    side = lambda c: ranks.filter(F.col("by.side") == c).select(F.col("by.g").alias("g"), F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
-    return both.join(side("x"), ["g", "x"]).join(side("y"), ["g", "y"]).groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+def _gap_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """i, j, n, rho of columns v0, v1, ... (and an id) over the rows where both are there, each pair with ranks of its own."""
+    side = lambda g, s, k: F.struct(F.lit(g).alias("g"), F.lit(s).alias("side"), F.col(f"v{k}").alias("v"))
+    items = [F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.array(side(g, 0, i), side(g, 1, j))) for g, (i, j) in enumerate(pairs)]
+    long = table.select("id", F.explode(F.flatten(F.filter(F.array(*items), lambda x: x.isNotNull()))).alias("r")).select("id", "r.*")
+    ranks = ranked(long, ["g", "side"], "v").groupBy("g", "id").agg(*(F.max(F.when(F.col("side") == k, F.col("rank"))).alias(f"r{k}") for k in (0, 1)))
+    one = ranks.groupBy("g").agg(F.count("*").alias("n"), F.corr("r0", "r1").alias("rho"))
+    names = table.sparkSession.createDataFrame([(g, i, j) for g, (i, j) in enumerate(pairs)], "g int, i int, j int")
+    return one.join(F.broadcast(names), "g").select("i", "j", "n", "rho")
 
 
-def _whole_pairs(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+def _whole_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """i, j, n, rho of columns without missing values: each is ranked once, and all correlations are one aggregate."""
     columns = sorted({k for p in pairs for k in p})
-    table = written(rows.sparkSession, rows.select(F.monotonically_increasing_id().alias("id"), *(f"v{k}" for k in columns)))
     long = table.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"v{k}").alias("v")) for k in columns))).alias("r")).select("id", "r.c", "r.v")
-    ranked = long.join(group_ranks(long, "c", "v"), ["c", "v"]).groupBy("id").agg(*(F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in columns))
-    one = ranked.agg(F.count("*").alias("n"), *(F.corr(f"r{i}", f"r{j}").alias(f"p{g}") for g, (i, j) in enumerate(pairs)))
+    wide = ranked(long, ["c"], "v").groupBy("id").agg(*(F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in columns))
+    one = wide.agg(F.count("*").alias("n"), *(F.corr(f"r{i}", f"r{j}").alias(f"p{g}") for g, (i, j) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"p{g}").alias("rho")) for g, (i, j) in enumerate(pairs)))).alias("r")).select("r.*")
 
 
@@ -105,8 +105,9 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], flag_at: float = 0.7)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     if not pairs:
         return spark.createDataFrame([], "a string, b string, n long, rho double, strong boolean")
-    rows = df.select(*(to_num(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
-    missing = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in rows.columns)).head()
+    rows = df.select(F.monotonically_increasing_id().alias("id"), *(to_num(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
+    rows = written(spark, rows)  # ids stay as they are
+    missing = rows.agg(*(F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(columns)))).head()
     gaps = {i for i in range(len(columns)) if missing[f"v{i}"]}
     found = [f(rows, some) for f, some in ((_whole_pairs, [p for p in pairs if not gaps & set(p)]), (_gap_pairs, [p for p in pairs if gaps & set(p)])) if some]
     sums = reduce(DataFrame.unionByName, found)
@@ -190,21 +191,78 @@ def box_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     return inside.groupBy(by, "q1", "median", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def kmeans(spark: SparkSession, df: DataFrame, columns: Sequence[str], score: str, k: int = 4, seed: int = 42, starts: int = 20) -> DataFrame:
-    """df (complete cases) with a cluster 0 .. k - 1, numbered by falling mean score; the best of several starts."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+class Start(NamedTuple):
+    """One k-means start: its centres on standardised columns and the sum of squared distances to the nearest of them."""
 
-    whole = df.dropna(subset=[*columns, score])
-    raw = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(whole)
-    scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True).fit(raw).transform(raw).persist()
-    start = lambda s: KMeans(featuresCol="__x", predictionCol="__c", k=k, seed=seed + s, initMode="random", maxIter=100).fit(scaled)
-    with ThreadPoolExecutor(4) as some:  # jobs of several starts side by side
-        models = list(some.map(start, range(starts)))
-    found = min(models, key=lambda m: m.summary.trainingCost).transform(scaled)
+    centres: list[list[float]]
+    inertia: float
+
+
+def _numbers(x: list | float) -> Column:
+    """Nested lists of numbers as one literal (column by column, it would take a call for each number)."""
+    sql = lambda v: f"array({', '.join(map(sql, v))})" if isinstance(v, list) else f"{v!r}D"
+    return F.expr(sql(x))
+
+
+def lloyd(rows: DataFrame, x: str, centres: Sequence[list[list[float]]], iterations: int = 100, still: float = 1e-9) -> list[Start]:
+    """Several k-means starts side by side over an array column: each iteration is one pass and one aggregate for all of them.
+
+    A task hands on one sum a start and centre, whatever its rows. A centre without rows stays; a row between two centres goes
+    to the first. Starts that have come to rest are left alone while others go on.
+    """
+    now, inertia = [list(map(list, c)) for c in centres], [math.inf] * len(centres)
+    size, open_ = len(now[0][0]), list(range(len(now)))
+    for step in range(iterations + 1):
+        square = lambda c: F.aggregate(F.zip_with(F.col(x), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        every = _numbers([now[s] for s in open_])  # starts x k x columns, all parameters
+        near = F.transform(every, lambda own: F.array_min(F.transform(own, lambda c, i: F.struct(square(c).alias("d"), i.alias("i")))))
+        dealt = rows.select(x, F.posexplode(near).alias("s", "m")).groupBy("s", "m.i")
+        found = dealt.agg(F.count("*").alias("n"), F.sum("m.d").alias("d"), F.array(*(F.sum(F.col(x)[j]) for j in range(size))).alias("sums")).collect()  # a row a start and centre
+        for place, s in enumerate(open_):
+            inertia[s] = math.fsum(r.d for r in found if r.s == place)
+        if step == iterations:
+            break
+        resting = set(open_)
+        for r in found:
+            s = open_[r.s]
+            moved = [v / r.n for v in r.sums]
+            if max(abs(a - b) for a, b in zip(moved, now[s][r.i], strict=True)) > still:
+                now[s][r.i] = moved
+                resting.discard(s)
+        open_ = [s for s in open_ if s not in resting]
+        if not open_:
+            break
+    return [Start(c, d) for c, d in zip(now, inertia, strict=True)]
+
+
+def kmeans_starts(df: DataFrame, columns: Sequence[str], key: str, k: int = 4, seed: int = 42, starts: int = 20, iterations: int = 100) -> tuple[DataFrame, list[Start]]:
+    """(complete cases with their standardised columns as __z, in the shared folder, and every start at rest).
+
+    The starts x k rows of least hash of their key are the first centres: start 0 takes the first k of them, and so on. Too
+    few rows give fewer starts, and one of fewer than k centres where there are fewer than k rows.
+    """
+    whole = df.dropna(subset=list(columns))
+    row = whole.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop)))).head()
+    z = F.array(*((F.col(c) - (row[f"{c}__mean"] or 0.0)) / (row[f"{c}__sd"] or 1.0) for c in columns))
+    rows = written(df.sparkSession, whole.withColumn("__z", z))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    first = [list(r[0]) for r in rows.orderBy(order, key).limit(starts * k).select("__z").collect()]
+    matrices = [first[i : i + k] for i in range(0, len(first), k) if i == 0 or len(first) >= i + k]
+    return rows, lloyd(rows, "__z", matrices, iterations) if matrices else []
+
+
+def kmeans(df: DataFrame, columns: Sequence[str], score: str, key: str, k: int = 4, seed: int = 42, starts: int = 20, iterations: int = 100) -> DataFrame:
+    """df (complete cases) with a cluster 0 .. k - 1, numbered by falling mean score; the start of least inertia (to six places)."""
+    rows, tried = kmeans_starts(df.dropna(subset=[score]), columns, key, k, seed, starts, iterations)
+    if not tried:
+        return rows.withColumn("cluster", F.lit(None).cast("int")).drop("__z")
+    best = min(tried, key=lambda s: round(s.inertia, 6)).centres
+    square = lambda c: F.aggregate(F.zip_with("__z", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    own = F.array_min(F.transform(_numbers(best), lambda c, i: F.struct(square(c).alias("d"), i.alias("i"))))["i"]
+    found = rows.withColumn("__c", own)
     means = sorted(found.groupBy("__c").agg(F.avg(score).alias("m")).collect(), key=lambda r: (-r.m, r["__c"]))  # k rows
     name = F.create_map(*(F.lit(x) for rank, r in enumerate(means) for x in (r["__c"], rank)))
-    return found.withColumn("cluster", F.element_at(name, F.col("__c"))).drop("__raw", "__x", "__c")
+    return found.withColumn("cluster", F.element_at(name, F.col("__c"))).drop("__z", "__c")
 
 
 def pca(df: DataFrame, columns: Sequence[str], k: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -230,8 +288,3 @@ def recommendations(sweep: DataFrame, regional: DataFrame, current: float, misse
     weak = regional.crossJoin(F.broadcast(top)).filter("f1 < best - 0.15").select(F.lit("weak region").alias("kind"), F.col("region").alias("subject"), (F.col("best") - F.col("f1")).alias("amount"))
     blind = misses.filter("zero_share > 0.7").select(F.lit("zero scores").alias("kind"), F.col("region").alias("subject"), F.col("zero_share").alias("amount"))
     return better.unionByName(weak).unionByName(blind)
-
-
-def exact_step(i: int, n: int) -> float:
-    """i / n, free of the drift of repeated addition."""
-    return i / n if n else math.nan

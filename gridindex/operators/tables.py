@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridindex.functions.scalars import precision_recall_f1, safe_ratio, to_num
+from gridindex.functions.scalars import joined_distinct, precision_recall_f1, safe_ratio, to_num
+from gridindex.operators.ranks import cumulative, group_quantiles, ranked
 
 # joins
 
@@ -24,6 +25,17 @@ def merge_indicators(base: DataFrame, tables: Mapping[str, DataFrame], key: str
     return base.join(wide, key, "left")
 
 
+def merge_stored(base: DataFrame, tables: Mapping[str, DataFrame], key: str = "cell_id", value: str = "value") -> DataFrame:
+    """merge_indicators for tables that lie in buckets of the key (sinks.save_bucketed, all with as many): nothing is shuffled.
+
+    Each table is averaged inside its buckets and joined to the same bucket of the others.
+    """
+    out = base
+    for name, df in tables.items():
+        out = out.join(dedup_mean(df.select(key, F.col(value).cast("double").alias(name)), key, [name]).hint("merge"), key, "left")
+    return out
+
+
 def outer_accumulate(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """All keys; of tables that share a column the first one gives it."""
     out = tables[0]
@@ -112,42 +124,6 @@ def quantiles(df: DataFrame, column: str, shares: Sequence[float], mode: str = "
     return list(row.q) if row else []
 
 
-def _placed(df: DataFrame, by: str, value: str) -> DataFrame:
-    """g (a struct of by), v, n, before (values of the group below v) and total: a row for each group and value that is there.
-
-    Values are counted by group, and the counts summed by ranges of the values: neither a large group nor a column of many
-    distinct values is held by one task.
-    """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    v = F.col(value).cast("double")
-    rows = df.select(F.struct(F.col(by).alias("by")).alias("g"), v.alias("v")).filter("v IS NOT NULL")  # as a struct, a null group is equal to itself
-    counts = rows.groupBy("g", "v").agg(F.count("*").alias("n"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("v", F.array(*(F.lit(k / parts) for k in range(1, parts))), 20 * parts)).head()[0] or []))
-    # without a lambda: Spark would carry that over to the other side of the join below
-    dealt = counts.withColumn("part", F.array_position(F.sort_array(F.array_append(F.array(*map(F.lit, cuts)), F.col("v"))), F.col("v")) if cuts else F.lit(0).cast("long"))
-    order = Window.partitionBy("g").orderBy("part")  # at most as many rows a group as there are ranges
-    sums = dealt.groupBy("g", "part").agg(F.sum("n").alias("s"))
-    starts = sums.select("g", "part", (F.sum("s").over(order) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("g")).alias("total"))
-    lesser = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(starts, ["g", "part"]).withColumn("before", F.col("start") + F.coalesce(F.sum("n").over(lesser), F.lit(0)))
-
-
-def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
-    """by, q (linear-interpolated quantiles) and n (values) of each group that has a value, looked up in the summed counts."""
-    placed = _placed(df, by, value)
-    at = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
-    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-    ends = [F.max(F.when(holds(rank), F.col("v"))).alias(f"{name}{i}") for i, p in enumerate(at) for name, rank in (("lo", F.floor(p)), ("hi", F.ceil(p)))]
-    found = placed.groupBy("g").agg(F.max("total").alias("total"), *ends)
-    between = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"lo{i}") + (p - F.floor(p)) * F.col(f"hi{i}")) for i, p in enumerate(at)]
-    return found.select(F.col("g.by").alias(by), F.array(*between).alias("q"), F.col("total").alias("n"))
-
-
-def group_ranks(df: DataFrame, by: str, value: str) -> DataFrame:
-    """by, value (double) and its average rank (from 1) in the group: a row for each group and value."""
-    return _placed(df, by, value).select(F.col("g.by").alias(by), F.col("v").alias(value), (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
-
-
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a column: n, nulls, mean, sd, min, median, max, zeros, positives, ones (>= .999), near-zeros (<= .001)."""
     measures = {
@@ -242,7 +218,7 @@ def unmapped_classes(df: DataFrame, column: str, ordinal: Column) -> DataFrame:
 def archive_coverage(inventory: DataFrame) -> DataFrame:
     """Per archive: layers and classes of each process, and whether it is complete, partial or without data."""
     of = lambda kind: F.col("kind") == kind
-    classes = lambda kind: F.array_join(F.array_sort(F.collect_set(F.when(of(kind), F.col("class")))), "|")
+    classes = lambda kind: joined_distinct(F.when(of(kind), F.col("class")))
     out = inventory.groupBy("archive").agg(
         F.count_if(of("inundacao")).alias("n_flood"), F.count_if(of("massa")).alias("n_mass"), classes("inundacao").alias("flood_classes"), classes("massa").alias("mass_classes"),
         F.coalesce(F.bool_or(F.col("error")), F.lit(False)).alias("has_error"), F.count_if(of("outros")).alias("n_other"),
@@ -256,7 +232,7 @@ READ_ERRORS = ["crc", "magic", "bad", "erro", "falha", "error", "decompres"]
 
 def archive_issues(inventory: DataFrame) -> DataFrame:
     """Per archive: which processes it has, layers of no known process, layers without a class column, and errors (bar-separated)."""
-    paths = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("path")))), "|")
+    paths = lambda c: joined_distinct(F.when(c, F.col("path")))
     known = F.col("kind") != "outros"
     return inventory.groupBy("archive").agg(
         F.bool_or(F.col("kind") == "inundacao").alias("has_flood"), F.bool_or(F.col("kind") == "massa").alias("has_mass"),
@@ -298,27 +274,8 @@ def share_of_total(df: DataFrame, value: str, by: str, name: str = "weight") ->
 
 
 def percentile_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """Average rank of each value over n, ties sharing theirs: ranks of the distinct values from counts."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    ranked = cumulative(counts, value, "__n")
-    return df.join(ranked.select(F.col(value), ((F.col("before") + (F.col("__n") + 1) / 2) / F.col("total")).alias(name)), value, "left")
-
-
-def cumulative(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """counts (one row a value) with before (the sum of n of all lesser values) and total, by ranges: no global window."""
-    spark = counts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    cuts = sorted(set(counts.agg(F.percentile_approx(value, F.array(*(F.lit(k / parts) for k in range(1, parts))), 20 * parts)).head()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(value))) if cuts else F.lit(0)
-    dealt = counts.withColumn("__range", part)
-    sums = {r[0]: r[1] for r in dealt.groupBy("__range").agg(F.sum(n)).collect()}  # one row a range
-    before, total = {}, 0
-    for k in sorted(sums):
-        before[k] = total
-        total += sums[k]
-    start = F.create_map(*(F.lit(x) for k, v in before.items() for x in (k, v))) if before else F.create_map(F.lit(0), F.lit(0))
-    lesser = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("before", F.element_at(start, F.col("__range")) + F.coalesce(F.sum(n).over(lesser), F.lit(0))).withColumn("total", F.lit(total)).drop("__range")
+    """Average rank of each value over n, ties sharing theirs; a missing value has none."""
+    return ranked(df, [], value, "__rank", "__total").withColumn(name, F.col("__rank") / F.col("__total")).drop("__rank", "__total")
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:

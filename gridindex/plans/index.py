@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridindex.functions import scalars as S
 from gridindex.operators import stats, tables
 from gridindex.operators.spatial import gravity, recurrent_exposure
+from gridindex.shared import written
 from gridindex.sources.readers import missing_inputs, read_table
 from gridindex.sources.registry import Registry
-from gridindex.sources.sinks import save_dimension_slices, save_run, save_slim
+from gridindex.sources.sinks import save_candidates, save_dimension_slices, save_run, save_slim
 
 WINSOR = (0.01, 0.99)
 
@@ -35,7 +37,7 @@ def ratio_indicator(sums: DataFrame, numerators: Sequence[str], denominators: Se
     """cell_id, abs_value, norm_value of summed counts: capped where counts overlap, inverted after scaling."""
     add = lambda names: reduce(lambda a, b: a + b, map(F.col, names))
     n, d = add(numerators), add(denominators)
-    value = S.safe_ratio(F.least(n, d) if overlapping else n, d)
+    value = S.safe_ratio(S.capped_by(n, d) if overlapping else n, d)
     value = value if cap is None else S.clip(value, hi=cap)
     scaled = stats.normalize_minmax(sums.select("cell_id", value.alias("abs_value")), ["abs_value"], winsorize, "_n")
     norm = F.col("abs_value_n")
@@ -134,11 +136,11 @@ def false_negatives(rows: DataFrame, score: str, reference: str, threshold: floa
 def candidates(df: DataFrame, most: int = 50, share: float = 0.5) -> DataFrame:
     """Per cluster: municipalities at or above its quantile; first the best of each region and size class (all of them), then by score up to so many.
 
-    df: id, cluster, region, size_class, score.
+    df: id, cluster, region, size_class, score. One without region or size class can only fill up.
     """
     pool = tables.at_least_group_quantile(df, "cluster", "score", share)
     row = F.struct(*pool.columns)
-    first = pool.groupBy("cluster", "region", "size_class").agg(F.min_by(row, F.struct(-F.col("score"), F.col("id"))).alias("row")).select("row.*").withColumn("pass", F.lit(1))
+    first = pool.filter("region IS NOT NULL AND size_class IS NOT NULL").groupBy("cluster", "region", "size_class").agg(F.min_by(row, F.struct(-F.col("score"), F.col("id"))).alias("row")).select("row.*").withColumn("pass", F.lit(1))
     rest = tables.not_in(pool, first, "id").withColumn("pass", F.lit(2))
     # what may fill a cluster is among the best of each of its parts: no cluster is one task's
     parts = F.pmod(F.xxhash64("id"), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -148,16 +150,32 @@ def candidates(df: DataFrame, most: int = 50, share: float = 0.5) -> DataFrame:
     return ranked.filter((F.col("pass") == 1) | (F.col("candidate_rank") <= most))
 
 
-def cluster_profiles(df: DataFrame, dimensions: Sequence[str], texts: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Per cluster: size, mean, sd and z-score of each dimension, and a label of the most marked ones."""
+def cluster_profiles(df: DataFrame, dimensions: Sequence[str], texts: Mapping[str, tuple[str, str]], marked: Sequence[str] = ()) -> DataFrame:
+    """Per cluster: size, mean, sd and z-score of each dimension, and a label of the most marked ones (of all, or of those named)."""
     overall = df.agg(*(f(d).alias(f"{d}__{k}") for d in dimensions for k, f in (("mu", F.avg), ("sd", F.stddev_samp))))
     own = df.groupBy("cluster").agg(F.count("*").alias("n"), *(f(d).alias(f"{d}_{k}") for d in dimensions for k, f in (("mean", F.avg), ("sd", F.stddev_samp))))
     joined = own.crossJoin(F.broadcast(overall))  # one row
     z = {d: S.z_score(F.col(f"{d}_mean"), F.col(f"{d}__mu"), F.col(f"{d}__sd")) for d in dimensions}
-    label = S.profile_label({d: (z[d], *texts[d]) for d in dimensions})
+    label = S.profile_label({d: (z[d], *texts[d]) for d in marked or dimensions})
     return joined.select("cluster", "n", *(F.col(f"{d}_{k}") for d in dimensions for k in ("mean", "sd")), *(z[d].alias(f"{d}_z") for d in dimensions), label.alias("label"))
 
 
+def cluster_run(cells: DataFrame, lookup: DataFrame, dimensions: Mapping[str, tuple[str, str]], score: str, key: str, weight: str, root: str, k: int = 4, starts: int = 20, iterations: int = 100, most: int = 50, share: float = 0.5) -> DataFrame:
+    """From cells to candidates: municipal means weighted by households, clusters of those with all dimensions, profiles, and
+    each cluster's candidates. Written under root: profiles and candidates (by cluster). Returns the municipalities, each with
+    its cluster, region, size_class (missing where the lookup lacks it) and candidate_rank (missing where it is none).
+
+    dimensions: name -> (text when high, text when low); lookup: key, region, size_class, a row a municipality.
+    """
+    munis = tables.weighted_mean(cells, [key], weight, [score, *dimensions])
+    found = written(cells.sparkSession, tables.enrich(stats.kmeans(munis, list(dimensions), score, key, k, starts=starts, iterations=iterations), lookup.select(key, "region", "size_class"), key))
+    profiles = cluster_profiles(found, [score, *dimensions], {score: ("", ""), **dimensions}, marked=list(dimensions))
+    chosen = candidates(found.select(F.col(key).alias("id"), "cluster", "region", "size_class", F.col(score).alias("score")), most, share)
+    save_candidates(profiles, chosen, root)
+    ranks = read_table(cells.sparkSession, f"{root}/candidates").select(F.col("id").alias(key), "candidate_rank")
+    return found.join(ranks, key, "left")
+
+
 def calibration(df: DataFrame, score: str, secondary: str, reference: str, coverage: str, used: str, region: str, current: float = 0.0, secondary_thresholds: Sequence[float] = ()) -> DataFrame:
     """kind, subject, amount: what a validation suggests (stats.recommendations), at the best threshold of the score, and
     whether a secondary predictor (missing as 0) does better by more than .02."""
@@ -219,12 +237,77 @@ def coastal_only(cells: DataFrame, coastal: DataFrame, key: str) -> DataFrame:
     return tables.only_in(cells, coastal, key)
 
 
+def quality_metrics(columns: Sequence[str], dimensions: Sequence[str]) -> list[Column]:
+    """What a write observes of each column, and how the dimensions vary together over rows that have all of them."""
+    out = [F.count("*").alias("rows")]
+    for c in columns:
+        v = F.col(c).cast("double")
+        measures = {"n": F.count(v), "positive": F.count_if(v > 0), "outside": F.count_if((v < 0) | (v > 1)), "binary": F.count_if(v.isin(0.0, 1.0)), "min": F.min(v), "max": F.max(v), "mean": F.avg(v)}
+        out += [m.alias(f"{c}__{k}") for k, m in measures.items()]
+    whole = reduce(lambda a, b: a & b, (F.col(d).isNotNull() for d in dimensions))
+    both = lambda c: F.when(whole, F.col(c))
+    out += [F.covar_samp(both(a), both(b)).alias(f"{a}__with__{b}") for i, a in enumerate(dimensions) for b in dimensions[i:]]
+    return out
+
+
+def quality_table(spark: SparkSession, seen: Mapping[str, float], indicators: Sequence[str], dimensions: Sequence[str]) -> DataFrame:
+    """name, kind, n, missing, positive, percent_nonzero, outside, low, high, mean, weight, status, equalised_r: a row a column of a run.
+
+    status: of indicators, the ladder (a 99th percentile of 0 shows in the counts: so many values are not above 0), or BINARY;
+    RANGE where a value is outside [0, 1]. weight: of dimensions, by inverse spread; equalised_r: of final_index, its
+    correlation with the mean by those weights, from the dimensions' covariances.
+    """
+    spread = {d: math.sqrt(v) for d in dimensions if (v := seen.get(f"{d}__with__{d}"))}
+    inverse = {d: 1 / v for d, v in spread.items()}
+    weight = {d: v / sum(inverse.values()) for d, v in inverse.items()}
+    covariance = lambda a, b: seen.get(f"{a}__with__{b}", seen.get(f"{b}__with__{a}")) or 0.0
+    among = lambda p, q: sum(p.get(a, 0.0) * q.get(b, 0.0) * covariance(a, b) for a in dimensions for b in dimensions)
+    plain = {d: 1 / len(dimensions) for d in dimensions}
+    size = math.sqrt(among(plain, plain) * among(weight, weight))
+    rows = []
+    for name in (*indicators, *dimensions, "final_index"):
+        n, positive, outside, binary = (seen[f"{name}__{k}"] for k in ("n", "positive", "outside", "binary"))
+        kind = "indicator" if name in indicators else "dimension" if name in dimensions else "index"
+        share = 100.0 * positive / n if n else 0.0
+        status = None
+        if kind == "indicator" and n:
+            zero = n - positive > math.ceil(0.99 * (n - 1))  # the 99th percentile is
+            status = "BINARY" if binary == n else "ZERO" if zero else "SOME"
+        r = among(plain, weight) / size if kind == "index" and size else None
+        rows.append((name, kind, n, seen["rows"] - n, positive, share, outside, seen[f"{name}__min"], seen[f"{name}__max"], seen[f"{name}__mean"], weight.get(name) if kind == "dimension" else None, "RANGE" if outside else status, r))
+    out = spark.createDataFrame(rows, "name string, kind string, n long, missing long, positive long, percent_nonzero double, outside long, low double, high double, mean double, weight double, status string, equalised_r double")
+    ladder = S.quality_status(F.when(F.col("status") == "ZERO", 0.0).otherwise(1.0), F.col("percent_nonzero"))
+    return out.withColumn("status", F.when(F.col("status").isin("ZERO", "SOME"), ladder).otherwise(F.col("status")))
+
+
+def report_tables(cells: DataFrame, bounds: DataFrame, levels: Sequence[Sequence[str]], score: str, size_class: str, means: Sequence[str]) -> DataFrame:
+    """All tables of a report in one aggregate: level (its columns joined by +, 'all' for none), the columns of all levels,
+    class, n, mean, least, greatest of the score, and the means of other columns, for each level and, as a last level, for each
+    size class and class of the score by its own bounds (group_quintiles).
+    """
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    classed = stats.classify(cells, size_class, score, bounds).withColumn("class", F.when(F.col(score).isNotNull(), F.col("class")))
+    keys = list(dict.fromkeys([*names, size_class, "class"]))
+    sets = [[F.col(c) for c in level] for level in (*levels, (size_class, "class"))]
+    measures = [F.count(score).alias("n"), F.avg(score).alias("mean"), F.min(score).alias("least"), F.max(score).alias("greatest"), *(F.avg(c).alias(f"{c}_mean") for c in means)]
+    out = classed.groupingSets(sets, *keys).agg(*measures, *(F.grouping(c).alias(f"__{c}") for c in keys))
+    level = F.concat_ws("+", *(F.when(F.col(f"__{c}") == 0, F.lit(c)) for c in keys))
+    return out.select(F.when(level == "", "all").otherwise(level).alias("level"), *keys, "n", "mean", "least", "greatest", *(f"{c}_mean" for c in means))
+
+
+def report(cells: DataFrame, levels: Sequence[Sequence[str]], score: str, size_class: str, means: Sequence[str], key: str = "cell_id", order: Sequence[str] = ()) -> DataFrame:
+    """report_tables over one row a cell, with the percentage of all cells that score below each row's mean."""
+    one = tables.dedup_first(cells, [key], [F.col(c) for c in order or sorted(cells.columns)])
+    out = written(cells.sparkSession, report_tables(one, stats.group_quintiles(one, size_class, score), levels, score, size_class, means).withColumn("__row", F.monotonically_increasing_id()))
+    return out.join(stats.percent_below(one, score, out.filter("mean IS NOT NULL"), "__row", "mean").select("__row", F.col("percent").alias("percent_below")), "__row", "left").drop("__row")
+
+
 def run_index(spark: SparkSession, registry: Registry, inputs: str, base: DataFrame, out: str, run_id: str, key: str = "cell_id", ids: Sequence[str] = (), order: Sequence[Column] = ()) -> tuple[str, list[str]]:
     """The whole index: reads the base and every indicator file that is there, scores, writes. Returns the run's path and the missing indicators.
 
     The base gives one row a cell (the first by order) with its id columns. Indicators without a file, or whose file lacks
     their column, are left out, and a dimension without any is too. Written under out: the full run (never overwritten),
-    the slim extract and the dimensions' slices.
+    the slim extract, the dimensions' slices, and the quality table, whose figures are taken while the run is written.
     """
     missing = missing_inputs(spark, registry, inputs)
     read = [(i, read_table(spark, f"{inputs}/{registry.file_name(i)}")) for i in registry.indicators if i.key not in missing]
@@ -234,9 +317,13 @@ def run_index(spark: SparkSession, registry: Registry, inputs: str, base: DataFr
         raise ValueError("no indicator has a file")
     cells = tables.dedup_first(base.select(key, *ids), [key], [*order, *map(F.col, ids)] or [F.col(key)])
     scored = dimension_scores(tables.merge_indicators(cells, found, key), registry)
-    path = save_run(scored, out, run_id)
+    dimensions = [d.column for d in registry.dimensions if d.column in scored.columns]
+    seen = Observation("quality")
+    path = save_run(scored.observe(seen, *quality_metrics([*found, *dimensions, "final_index"], dimensions)), out, run_id)
+    quality = quality_table(spark, seen.get, list(found), dimensions)
+    quality.write.mode("errorifexists").parquet(f"{out}/quality_{run_id}")
     saved = spark.read.parquet(path)
-    scores = [c for c in (*(d.column for d in registry.dimensions), "final_index") if c in saved.columns]
+    scores = [*dimensions, "final_index"]
     save_slim(saved, f"{out}/dashboard_{run_id}", [key, *ids], scores)
     save_dimension_slices(saved, registry, f"{out}/slices_{run_id}", [key])
     return path, missing

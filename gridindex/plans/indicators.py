@@ -39,7 +39,7 @@ def census_indicators(base: DataFrame, tracts: DataFrame, registry: Registry, re
 
     def ratio(i: Indicator) -> Column:
         n, d = add(i.source["num_cols"]), add(i.source["den_cols"])
-        value = S.safe_ratio(F.least(n, d) if i.source.get("or_logic") else n, d)
+        value = S.safe_ratio(S.capped_by(n, d) if i.source.get("or_logic") else n, d)
         return S.clip(value, hi=float(i.source["cap_abs"])) if i.source.get("cap_abs") else value
 
     values = sums.select("cell_id", *(ratio(i).alias(i.key) for i in chosen))

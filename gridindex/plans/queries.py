@@ -678,7 +678,7 @@ def text_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
     m = _cells(spark, sf).groupBy("muni").agg(F.avg("price").alias("price"), F.first("balance").alias("balance"))
-    return stats.kmeans(spark, m, ["price", "balance"], "price")
+    return stats.kmeans(m, ["price", "balance"], "price", "muni")
 
 
 @query("kmeans_profiles")

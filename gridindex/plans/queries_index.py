@@ -124,7 +124,7 @@ def heat_anomaly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SURVEY = Registry.from_dict({"dimensions": {"g": {"abbr": "IG", "indicators": {
-    "g2": {"abbr": "plan", "source": {"col": "a", "type": "binary"}}, "g4": {"abbr": "cons", "source": {"cols": ["a", "b"], "type": "binary"}},
+    "g2": {"abbr": "plan", "source": {"col": "a", "type": "binary"}}, "g3": {"abbr": "warn", "source": {"col": "b", "type": "binary"}}, "g5": {"abbr": "fund", "source": {"col": "c", "type": "binary"}}, "g6": {"abbr": "team", "source": {"cols": ["b", "c"], "type": "binary"}}, "g4": {"abbr": "cons", "source": {"cols": ["a", "b"], "type": "binary"}},
     "g7": {"abbr": "reg", "source": {"col": "v", "type": "binary"}}, "g8": {"abbr": "prog", "source": {"cols": ["a", "b", "c"], "type": "count"}},
 }}}})
 _ANSWERS = "s AS (SELECT c_custkey AS muni, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 0 END AS a, CASE WHEN c_acctbal > 5000 THEN 1 WHEN c_acctbal > 0 THEN 0 END AS b, CASE WHEN c_nationkey < 5 THEN 1 WHEN c_nationkey < 20 THEN 0 END AS c FROM customer)"
@@ -134,7 +134,7 @@ def _binary_sql(key: str, value: str) -> str:
     return f"SELECT '{key}' AS indicator, o_orderkey AS cell_id, ({value})::DOUBLE AS abs_value, ({value})::DOUBLE AS norm_value FROM orders LEFT JOIN s ON muni = o_custkey"
 
 
-@query("survey_indicators", f"""WITH {_ANSWERS} {_binary_sql('g2', 'a')} UNION ALL {_binary_sql('g4', 'CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE greatest(a, b) END')}
+@query("survey_indicators", f"""WITH {_ANSWERS} {_binary_sql('g2', 'a')} UNION ALL {_binary_sql('g3', 'b')} UNION ALL {_binary_sql('g5', 'c')} UNION ALL {_binary_sql('g6', 'greatest(b, c)')} UNION ALL {_binary_sql('g4', 'greatest(a, b)')}
  UNION ALL SELECT 'g8', o_orderkey, x, round(norm, 6) FROM orders LEFT JOIN (WITH v AS (SELECT muni, CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0))::DOUBLE END AS x FROM s), {_scaled_sql('x', 0.01, 0.99)} SELECT * FROM scaled) ON muni = o_custkey""")
 def survey_indicators(spark: SparkSession, sf: str) -> DataFrame:
     """A survey's answers by municipality as binary and counted indicators of its cells; counts are scaled over municipalities."""
@@ -142,7 +142,7 @@ def survey_indicators(spark: SparkSession, sf: str) -> DataFrame:
     yes = lambda on, off: F.when(on, "Sim").when(off, "Não").otherwise("-")
     survey = c.select(F.col("c_custkey").alias("cd_mun"), yes(F.col("c_mktsegment") == "BUILDING", F.col("c_mktsegment") == "MACHINERY").alias("a"), yes(F.col("c_acctbal") > 5000, F.col("c_acctbal") > 0).alias("b"), yes(F.col("c_nationkey") < 5, F.col("c_nationkey") < 20).alias("c"))
     cells = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").alias("cd_mun"))
-    out = [indicators.indicator(spark, SURVEY, k, {"cells": cells, "survey": survey}).select(F.lit(k).alias("indicator"), "cell_id", F.col("abs_value").cast("double").alias("abs_value"), F.col("norm_value").cast("double").alias("norm_value")) for k in ("g2", "g4", "g8")]
+    out = [indicators.indicator(spark, SURVEY, k, {"cells": cells, "survey": survey}).select(F.lit(k).alias("indicator"), "cell_id", F.col("abs_value").cast("double").alias("abs_value"), F.col("norm_value").cast("double").alias("norm_value")) for k in ("g2", "g3", "g4", "g5", "g6", "g8")]
     return _r(tables.union_all(out))
 
 
@@ -253,10 +253,10 @@ _CLASS_TEXT = "CASE WHEN p_size <= 10 THEN 'Muito Alta' WHEN p_size <= 20 THEN '
 
 
 @query("class_rules", f"""SELECT p_partkey, CASE WHEN p_size <= 10 THEN 5 WHEN p_size <= 20 THEN 3 WHEN p_size BETWEEN 31 AND 40 THEN 2 ELSE -1 END AS class, CASE WHEN p_size <= 10 THEN 5 WHEN p_size <= 20 THEN 3 WHEN p_size BETWEEN 31 AND 40 THEN 2 WHEN p_size // 8 BETWEEN 0 AND 5 THEN p_size // 8 ELSE -1 END AS raster,
- CASE WHEN p_type = 'PROMO' THEN p_brand ELSE p_type END AS name, p_partkey || '_sp' AS muni, p_type IN ('SMALL', 'LARGE') AS flagged, lower(p_type) = 'economy' AS same, '' AS process FROM part""")
+ CASE WHEN p_type = 'PROMO' THEN p_brand ELSE p_type END AS name, p_partkey || '_sp' AS muni, p_type IN ('SMALL', 'LARGE') AS flagged, lower(p_type) = 'economy' AS same, CASE WHEN p_size > 25 THEN p_brand END AS process FROM part""")
 def class_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Class columns and texts, raster fallback, names by precedence, file stems, truth texts and places."""
-    part = _t(spark, sf, "part").withColumn("Classe", F.expr(_CLASS_TEXT))
+    part = _t(spark, sf, "part").withColumns({"Classe": F.expr(_CLASS_TEXT), "processo": F.when(F.col("p_size") > 25, F.col("p_brand"))})
     text = F.col(S.class_column(part.columns))
     truth = F.when(F.col("p_type") == "SMALL", " Sim").when(F.col("p_type") == "LARGE", "TRUE").otherwise("no")
     return part.select(
@@ -301,3 +301,78 @@ def narrowed(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "slim")
     sinks.save_slim(_t(spark, sf, "lineitem", "l_returnflag", "l_extendedprice"), path, ["l_returnflag"], ["l_extendedprice"])
     return readers.read_table(spark, path).groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.sum(F.col("l_extendedprice").cast("double")), 1).alias("total"), F.countDistinct("l_extendedprice").alias("n"))
+
+
+# clusters
+
+
+def _kmeans_sql(source: str, key: str, columns: tuple[str, ...], score: str, k: int, starts: int, iterations: int) -> str:
+    """CTEs from source to clustered (its columns and cluster): the same first centres, all starts, iteration after iteration."""
+    n = len(columns)
+    square = " + ".join(f"(p.z{i} - c.z{i}) ** 2" for i in range(n))
+    zs, means = ", ".join(f"z{i}" for i in range(n)), ", ".join(f"coalesce(m.z{i}, c.z{i}) AS z{i}" for i in range(n))
+    standard = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS z{i}" for i, c in enumerate(columns))
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in (*columns, score))
+    parts = [
+        f"zed AS MATERIALIZED (SELECT *, {standard} FROM {source} WHERE {whole})",
+        f"start AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || {key}), {key}) - 1 AS o FROM zed)",
+        f"c0 AS MATERIALIZED (SELECT o // {k} AS s, o % {k} AS i, {zs} FROM start WHERE o < {starts * k})",
+    ]
+    for t in range(iterations + 1):
+        parts.append(f"a{t} AS MATERIALIZED (SELECT p.{key}, s, arg_min(i, ({square}, i)) AS i, min({square}) AS d FROM zed p CROSS JOIN c{t} c GROUP BY ALL)")
+        if t < iterations:
+            parts.append(f"m{t} AS (SELECT s, i, {', '.join(f'avg(z{j}) AS z{j}' for j in range(n))} FROM a{t} JOIN zed USING ({key}) GROUP BY s, i)")
+            parts.append(f"c{t + 1} AS MATERIALIZED (SELECT c.s, c.i, {means} FROM c{t} c LEFT JOIN m{t} m USING (s, i))")
+    parts.append(f"best AS (SELECT s FROM a{iterations} GROUP BY s ORDER BY round(sum(d), 6), s LIMIT 1)")
+    parts.append(f"ordered AS (SELECT i, row_number() OVER (ORDER BY avg({score}) DESC, i) - 1 AS cluster FROM a{iterations} JOIN best USING (s) JOIN zed USING ({key}) GROUP BY i)")
+    parts.append(f"clustered AS MATERIALIZED (SELECT zed.*, cluster::INTEGER AS cluster FROM zed JOIN a{iterations} USING ({key}) JOIN best USING (s) JOIN ordered USING (i))")
+    return ", ".join(parts)
+
+
+DIMENSIONS = {"ip": ("many of the groups first served", "few of them"), "iv": ("vulnerable", "secure"), "ie": ("exposed", "sheltered"), "ig": ("badly governed", "well governed")}
+_ROUNDS, _STARTS = 30, 20
+_CELL_SQL = """l AS (SELECT l_orderkey AS k, avg(l_discount * 10) AS ip, avg(l_tax * 12) FILTER (l_returnflag <> 'A') AS ie, sum(l_quantity) AS households FROM lineitem GROUP BY 1),
+ grid AS (SELECT o_custkey AS muni, ip, least(o_totalprice / 500000, 1) AS iv, ie, 1 - (c_acctbal + 1000) / 11000 AS ig, households FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN l ON k = o_orderkey),
+ scored_grid AS (SELECT *, (coalesce(ip, 0) + iv + coalesce(ie, 0) + ig) / (2 + (ip IS NOT NULL)::INT + (ie IS NOT NULL)::INT) AS final_index, greatest(coalesce(households, 1), 0.001) AS w FROM grid),"""
+_MUNI_SQL = " munis AS (SELECT muni, " + ", ".join(f"sum({c} * w) / nullif(sum(w) FILTER ({c} IS NOT NULL), 0) AS {c}" for c in ("final_index", *DIMENSIONS)) + " FROM scored_grid GROUP BY 1)"
+_CLUSTERED = f"{_CELL_SQL}{_MUNI_SQL}, {_kmeans_sql('munis', 'muni', tuple(DIMENSIONS), 'final_index', 4, _STARTS, _ROUNDS)}"
+
+
+def _cluster_run(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The municipalities of a run over all cells, and where it wrote."""
+    line = _t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.avg(F.col("l_discount") * 10).alias("ip"), F.avg(F.when(F.col("l_returnflag") != "A", F.col("l_tax") * 12)).alias("ie"), F.sum("l_quantity").alias("households"))
+    c = _t(spark, sf, "customer")
+    cells = _t(spark, sf, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).join(line, "o_orderkey", "left")
+    cells = cells.select(F.col("o_custkey").alias("muni"), "ip", F.least(F.col("o_totalprice") / 500_000, F.lit(1.0)).alias("iv"), "ie", (1 - (F.col("c_acctbal") + 1000) / 11_000).alias("ig"), "households")
+    cells = cells.withColumn("final_index", S.row_mean(*map(F.col, DIMENSIONS)))
+    places = _t(spark, sf, "nation").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lookup = c.filter("c_custkey % 10 <> 0").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("muni"), F.col("r_name").alias("region"), F.col("c_mktsegment").alias("size_class"))
+    path = scratch(spark, "clusters")
+    return index.cluster_run(cells, lookup, DIMENSIONS, "final_index", "muni", "households", path, starts=_STARTS, iterations=_ROUNDS), path
+
+
+@query("cluster_run", f"""WITH {_CLUSTERED}, named AS (SELECT clustered.*, r_name AS region, c_mktsegment AS size_class FROM clustered LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON c_custkey = muni LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey),
+ pool AS (SELECT named.* FROM named JOIN (SELECT cluster, median(final_index) AS cut FROM named GROUP BY 1) USING (cluster) WHERE final_index >= cut),
+ f AS (SELECT *, region IS NOT NULL AND row_number() OVER (PARTITION BY cluster, region, size_class ORDER BY final_index DESC, muni) = 1 AS first FROM pool),
+ ranks AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY first DESC, CASE WHEN first THEN region END, CASE WHEN first THEN size_class END, final_index DESC, muni) AS candidate_rank FROM f)
+ SELECT muni, named.cluster, named.region, named.size_class, round(named.final_index, 6) AS final_index, candidate_rank FROM named LEFT JOIN (SELECT muni, candidate_rank FROM ranks WHERE first OR candidate_rank <= 50) USING (muni)""")
+def cluster_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells to municipalities to clusters to candidates, read back from what the run wrote."""
+    out, _ = _cluster_run(spark, sf)
+    return _r(out.select("muni", "cluster", "region", "size_class", "final_index", F.col("candidate_rank").cast("long").alias("candidate_rank")))
+
+
+def _profile_sql() -> str:
+    names = ("final_index", *DIMENSIONS)
+    own = ", ".join(f"round(avg({d}), 6) AS {d}_mean, round(stddev_samp({d}), 6) AS {d}_sd, round((avg({d}) - any_value({d}_mu)) / greatest(any_value({d}_s), 1e-9), 6) AS {d}_z" for d in names)
+    overall = ", ".join(f"avg({d}) AS {d}_mu, stddev_samp({d}) AS {d}_s" for d in names)
+    texts = ", ".join(f"CASE WHEN abs({d}_z) >= 0.5 THEN (-abs({d}_z), CASE WHEN {d}_z > 0 THEN '{hi}' ELSE '{lo}' END) END" for d, (hi, lo) in DIMENSIONS.items())
+    marked = f"list_sort(list_filter([{texts}], lambda x: x IS NOT NULL))[1:3]"
+    return f"""WITH {_CLUSTERED}, o AS (SELECT {overall} FROM clustered), g AS (SELECT cluster, count(*) AS n, {own} FROM clustered, o GROUP BY 1)
+ SELECT *, CASE WHEN len({marked}) > 0 THEN array_to_string(list_transform({marked}, lambda x: x[2]), '; ') ELSE 'near the mean in all dimensions' END AS label FROM g"""
+
+
+@query("cluster_run_profiles", _profile_sql())
+def cluster_run_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The profiles that a cluster run wrote: every dimension's mean, spread and z-score, and the label."""
+    return _r(readers.read_table(spark, f"{_cluster_run(spark, sf)[1]}/profiles"))

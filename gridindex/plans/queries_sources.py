@@ -13,6 +13,7 @@ from gridindex.plans.catalog import query
 from gridindex.plans.queries import _AXIAL_CELLS, _EVENTS, _POINTS, _ROUNDED, _events, _points, _r, _t
 from gridindex.shared import scratch
 from gridindex.sources import readers, sinks
+from gridindex.sources.registry import Registry
 from gridindex.streaming import events
 
 _CODES = sorted(readers.STATE_CODES)
@@ -58,20 +59,33 @@ def csv_marked(spark: SparkSession, sf: str) -> DataFrame:
 @query("ledger_spend", f"SELECT o_custkey AS cd_mun, round(avg(CASE WHEN c_nationkey > 0 THEN o_totalprice / c_nationkey ELSE 0 END), 6) AS value FROM {_NATIONS} WHERE o_orderstatus = 'F' AND regexp_matches(o_orderpriority, '(?i)urgent|high') GROUP BY 1")
 def ledger_spend(spark: SparkSession, sf: str) -> DataFrame:
     """Ledgers by region, Latin-1 with three lines before the header and decimal commas: spend a head of one account."""
+    found = indicators.spend_values(_ledger(spark, sf), {"filter_column": "F", "filter_account": "urgent|high"})
+    return found.select(F.col("cd_mun").cast("long").alias("cd_mun"), F.round("value", 6).alias("value"))
+
+
+def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a file a region, each written with its lines in order and read by the place of its header."""
     path = scratch(spark, "ledger")
     o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     row = F.concat_ws(";", "o_orderstatus", "o_orderpriority", F.regexp_replace(F.col("o_totalprice").cast("string"), "[.]", ","), "c_nationkey", "o_custkey")
     lines = o.select("n_regionkey", F.lit(4).alias("k"), row.alias("line"))
     head = ["Finanças", "Despesas por Função", "Exercício", "Coluna;Conta;Valor;População;Cod IBGE"]
     preamble = _t(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.posexplode(F.array(*map(F.lit, head))).alias("k", "line"))
-    both = lines.unionByName(preamble)
-    for region in (r.r_regionkey for r in _t(spark, sf, "region").collect()):  # a file a region, its lines in order
-        one = both.filter(F.col("n_regionkey") == region).repartition(1).sortWithinPartitions("k").select("line")
-        one.write.option("sep", "\x01").option("quote", "").option("emptyValue", "").option("encoding", "ISO-8859-1").csv(f"{path}/{region}")
-    files = [p for p, _ in readers.glob(spark, f"{path}/*/part-*")]
-    rows = tables.union_all([S.standard_names(readers.read_csv_preamble(spark, p)) for p in files])
-    found = indicators.spend_values(rows, {"filter_column": "F", "filter_account": "urgent|high"})
-    return found.select(F.col("cd_mun").cast("long").alias("cd_mun"), F.round("value", 6).alias("value"))
+    ordered = lines.unionByName(preamble).repartition("n_regionkey").sortWithinPartitions("n_regionkey", "k").select("n_regionkey", "line")
+    ordered.write.partitionBy("n_regionkey").option("sep", "\x01").option("quote", "").option("emptyValue", "").option("encoding", "ISO-8859-1").csv(path)
+    return tables.union_all([S.standard_names(readers.read_csv_preamble(spark, p)) for p, _ in readers.glob(spark, f"{path}/*/part-*")])
+
+
+_SPEND = f"s AS (SELECT o_custkey AS muni, avg(CASE WHEN c_nationkey > 0 THEN o_totalprice / c_nationkey ELSE 0 END) AS spend FROM {_NATIONS} WHERE o_orderstatus = 'F' AND regexp_matches(o_orderpriority, '(?i)urgent|high') GROUP BY 1)"
+
+
+@query("ledger_indicator", f"""WITH {_SPEND}, v AS (SELECT o_orderkey AS cell_id, ln(1 + coalesce(spend, 0)) AS x FROM orders LEFT JOIN s ON muni = o_custkey), lim AS (SELECT quantile_cont(x, 0.01) AS a, quantile_cont(x, 0.99) AS b FROM v)
+ SELECT cell_id, round(x, 6) AS abs_value, round(CASE WHEN a = b THEN 0 ELSE (least(greatest(x, a), b) - a) / (b - a) END, 6)::DOUBLE AS norm_value FROM v, lim""")
+def ledger_indicator(spark: SparkSession, sf: str) -> DataFrame:
+    """From ledger files to a cell's value: spend a head, on a log scale, winsorised over cells."""
+    registry = Registry.from_dict({"dimensions": {"governance": {"abbr": "IG", "indicators": {"g1": {"abbr": "spend", "source": {"filter_column": "F", "filter_account": "urgent|high"}}}}}})
+    cells = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_id"), F.col("o_custkey").cast("string").alias("cd_mun"))
+    return _r(indicators.indicator(spark, registry, "g1", {"cells": cells, "ledger": _ledger(spark, sf)}))
 
 
 @query("yearly_fires", f"""WITH ok AS (SELECT year(l_shipdate) AS yr, (l_partkey * 37 % 1000)::DOUBLE AS x, (l_suppkey * 91 % 1000)::DOUBLE AS y FROM lineitem WHERE l_tax > 0), okx AS (SELECT yr, {_AXIAL_CELLS} FROM ok), hit AS (SELECT DISTINCT yr, {_ROUNDED} FROM okx WHERE yr <= 1999),
@@ -241,9 +255,12 @@ def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
  offs AS (SELECT a.i AS dq, b.i AS dr FROM generate_series(-1, 1) a(i), generate_series(-1, 1) b(i) WHERE abs(a.i + b.i) <= 1) SELECT (q + dq) || ':' || (r + dr) AS cell_id, count(DISTINCT yr) AS n_years FROM cells, offs GROUP BY 1""")
 def stream_exposure(spark: SparkSession, sf: str) -> DataFrame:
     """Cells near an event, kept up to date by a stream, and in how many years."""
-    path, schema = scratch(spark, "stream"), _t(spark, sf, "events").schema
-    stream = events.read_stream(spark, f"{sf}/events.parquet", schema, 1_000_000)
-    points = stream.select("ts", (F.col("user_id") * 37 % 1000).cast("double").alias("x"), (F.col("user_id") * 91 % 1000).cast("double").alias("y"))
-    write = events.upsert_years(lambda k: f"{path}/years/batch={k}", 1)
-    _drained(events.exposed_cells(points, 25.0).writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
-    return events.exposed_years(spark, f"{path}/years/*")
+    path, source = scratch(spark, "stream"), _t(spark, sf, "events")
+    marks = source.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
+    late, middle = F.col("event_id") > marks[1], F.col("event_id") > marks[0]
+    for part in (source.filter(late), source.filter(~middle), source):  # out of order, and all of it again
+        part.write.mode("append").parquet(f"{path}/in")
+        points = events.read_stream(spark, f"{path}/in", source.schema, 1_000_000).select("ts", (F.col("user_id") * 37 % 1000).cast("double").alias("x"), (F.col("user_id") * 91 % 1000).cast("double").alias("y"))
+        _drained(events.keep_exposed(points, 25.0, 1, f"{path}/years", f"{path}/checkpoint"))
+    events.compact_years(spark, f"{path}/years")
+    return events.exposed_years(spark, f"{path}/years")

@@ -7,27 +7,30 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_OPEN: list[list[str]] = []
+#: The lists of temporary() that are open in this thread of work, the outermost first.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
     """Collects the paths that scratch() gives inside, and removes those still in the list at the end. What is read later must be taken out."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    token = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield paths
     finally:
-        _OPEN.remove(paths)
+        _OPEN.reset(token)
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -40,7 +43,7 @@ def scratch(spark: SparkSession, what: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="gridindex-")
     path = os.path.join(top, what, uuid.uuid4().hex)
-    for paths in _OPEN:
+    for paths in _OPEN.get():
         paths.append(path)
     return path
 
@@ -55,4 +58,4 @@ def written(spark: SparkSession, df: DataFrame, what: str = "tables") -> DataFra
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the folder of a written() table that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(spark, path)
+        delete(spark, path)

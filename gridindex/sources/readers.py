@@ -191,11 +191,11 @@ def read_polygons(spark: SparkSession, path: str, state: str | None = None) -> D
 
 
 def read_lookup(spark: SparkSession, path: str, key: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
-    """A small table by canonical municipality code."""
+    """A small table by canonical municipality code; of the rows of one code the least by its columns, in their order."""
     from gridindex.functions.scalars import canon_code
 
     df = read_csv_columns(spark, path, [key, *columns], sep)
-    return df.withColumn(key, canon_code(F.col(key))).dropDuplicates([key])
+    return df.groupBy(canon_code(F.col(key)).alias(key)).agg(F.min(F.struct(*columns)).alias("__least")).select(key, "__least.*")
 
 
 def first_of_file(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
+from itertools import count
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def save_run(df: DataFrame, root: str, run_id: str) -> str:
-    """A full result in a folder of its own, never overwritten."""
+    """A full result in a folder of its own, never overwritten; of two writers of one id, one gets FileExistsError."""
     path = f"{root}/run_id={run_id}"
+    if exists(df.sparkSession, path) or not claim(df.sparkSession, path):
+        raise FileExistsError(f"{path} exists or is being written")
     df.write.mode("errorifexists").parquet(path)
     return path
 
@@ -55,15 +59,49 @@ def save_dimension_slices(df: DataFrame, registry: Registry, root: str, ids: Seq
     return paths
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Whether this caller alone may write the path: an empty file beside it is created, which only one caller can do.
+
+    The claim stays, whatever becomes of its writer, so the path is not given out again.
+    """
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    marker = jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_claim_{place.getName()}")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.mkdirs(marker.getParent())
+        if fs.getScheme() == "file":  # there, create() looks first and creates afterwards
+            return jvm.java.io.File(fs.makeQualified(marker).toUri()).createNewFile()
+        fs.create(marker, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 def next_version_path(spark: SparkSession, path: str) -> str:
-    """Free and without version: _v1; free with one: unchanged; taken: the first free version."""
+    """The caller's own version of a path, claimed. Free and without version: _v1; free with one: unchanged; taken: the first free version."""
     stem, version, suffix = version_of(path)
-    if version is not None and not exists(spark, path):
+    if version is not None and not exists(spark, path) and claim(spark, path):
         return path
-    k = 1
-    while exists(spark, f"{stem}_v{k}{suffix}"):
-        k += 1
-    return f"{stem}_v{k}{suffix}"
+    for k in count(1):
+        found = f"{stem}_v{k}{suffix}"
+        if not exists(spark, found) and claim(spark, found):
+            return found
+    raise AssertionError
+
+
+def save_version(df: DataFrame, path: str) -> str:
+    """df as a new version of a path; gives the path. Any number of writers at once get versions of their own."""
+    path = next_version_path(df.sparkSession, path)
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """A table in the warehouse, dealt to buckets by key and sorted in them: what is joined or grouped by the key need not move."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
 def save_csv(df: DataFrame, path: str, decimals: int | None = None, bom: bool = False) -> None:

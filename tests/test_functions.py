@@ -77,7 +77,8 @@ def test_grid(spark):
     G.register(spark, 25.0)
     p = spark.range(500).select((F.rand(1) * 1000).alias("x"), (F.rand(2) * 1000 - 500).alias("y"))
     assert p.filter(F.expr("cell_of(x, y)") != G.cell_of(F.col("x"), F.col("y"), 25.0)).count() == 0
-    assert spark.sql("SELECT row_mean(1, NULL) a, size(grid_disk('1:2')) b").head()[:] == (1.0, 7)
+    assert spark.sql("SELECT row_mean(array(1, NULL, 4, 4)) a, row_mean(array(CAST(NULL AS DOUBLE))) b, size(grid_disk('1:2', 1)) c, size(grid_disk('1:2', 3)) d, cell_of(NULL, 1) e").head()[:] == (3.0, None, 7, 37, None)
+    assert set(spark.sql("SELECT grid_disk('1:-2', 2)").head()[0]) == set(one(spark, G.grid_disk(F.lit("1:-2"), 2)))
 
 
 MINMAX = [([0, 5, 10], [0, 0.5, 1]), ([3, 3, 3], [0, 0, 0]), ([0, None, 10], [0, None, 1]), ([3, None, 3], [0, 0, 0]), ([None, None], [None, None])]

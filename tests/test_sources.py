@@ -104,13 +104,67 @@ def test_streams(spark, tmp_path):
     want = {(r.w.start, r.event_type): r["count"] for r in batch.collect()}
     assert got and all(want[k] == n for k, n in got.items()) and len(got) >= len(want) - 10
     points = lambda df: df.select("ts", (F.col("user_id") % 7 * 40.0).alias("x"), (F.col("user_id") % 5 * 40.0).alias("y"))
-    cells = events.exposed_cells(points(events.read_stream(spark, f"{tmp_path}/in", source.schema, 1)), 25.0)
-    q = cells.writeStream.foreachBatch(events.upsert_years(lambda k: f"{tmp_path}/years/batch={k}", 1)).option("checkpointLocation", f"{tmp_path}/c3").trigger(availableNow=True).start()
-    q.awaitTermination(90)
+    stream = points(events.read_stream(spark, f"{tmp_path}/in", source.schema, 1))
+    events.keep_exposed(stream, 25.0, 1, f"{tmp_path}/years", f"{tmp_path}/c3").awaitTermination(120)
     from gridindex.operators.spatial import recurrent_exposure
 
     ev = points(source).withColumn("year", F.year("ts"))
-    everywhere = events.exposed_years(spark, f"{tmp_path}/years/*")
+    everywhere = events.exposed_years(spark, f"{tmp_path}/years")
     plain = recurrent_exposure(ev, everywhere.select("cell_id"), 25.0, 1)
     assert {tuple(r) for r in everywhere.collect()} == {tuple(r) for r in plain.collect()}
     assert tables.union_all([spark.range(2), spark.range(3)]).count() == 5
+
+
+def test_pairs_come_once_however_late(spark, tmp_path):
+    """Batches out of order, a repeat a year later and one after a restart: only new pairs are written; batches are compacted."""
+    import datetime as dt
+
+    def feed(*rows):
+        frame = spark.createDataFrame([(dt.datetime(y, m, 1), float(x), 0.0) for y, m, x in rows], "ts timestamp, x double, y double")
+        frame.write.mode("append").parquet(f"{tmp_path}/in")
+        before = {p.name for p in (tmp_path / "years").glob("batch=*")} if (tmp_path / "years").exists() else set()
+        events.keep_exposed(events.read_stream(spark, f"{tmp_path}/in", frame.schema), 10.0, 0, f"{tmp_path}/years", f"{tmp_path}/check").awaitTermination(120)
+        new = [p for p in (tmp_path / "years").glob("batch=*") if p.name not in before]
+        return sorted((r.cell_id, r.year) for p in new for r in spark.read.parquet(str(p)).collect())
+
+    assert feed((2020, 5, 0), (2020, 6, 0), (2021, 1, 500)) == [("0:0", 2020), ("29:0", 2021)]
+    assert feed((2010, 1, 0)) == [("0:0", 2010)]  # ten years before what was seen
+    assert feed((2020, 12, 0), (2010, 2, 0), (2021, 3, 500)) == []  # all seen, however long ago
+    assert feed((2022, 1, 0), (2020, 1, 0)) == [("0:0", 2022)]
+    want = {("0:0", 2010), ("0:0", 2020), ("0:0", 2022), ("29:0", 2021)}
+    pairs = lambda: {tuple(r) for r in events.exposed_pairs(spark, f"{tmp_path}/years").select("cell_id", "year").collect()}
+    assert pairs() == want
+    assert events.compact_years(spark, f"{tmp_path}/years") and pairs() == want
+    assert [p.name for p in (tmp_path / "years").glob("*=*")] == ["through=3"]
+    assert not events.compact_years(spark, f"{tmp_path}/years")
+    assert feed((2023, 1, 0)) == [("0:0", 2023)] and pairs() == want | {("0:0", 2023)}
+    assert events.compact_years(spark, f"{tmp_path}/years", 1) and pairs() == want | {("0:0", 2023)}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_two_sessions_never_share_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/result.parquet"
+    with ThreadPoolExecutor(2) as two:
+        got = list(two.map(lambda s: [sinks.next_version_path(s, path) for _ in range(12)], (spark.newSession(), spark.newSession())))
+    assert sorted(readers.version_of(p)[1] for p in got[0] + got[1]) == list(range(1, 25))
+    with ThreadPoolExecutor(8) as many:
+        won = list(many.map(lambda _: sinks.claim(spark, f"{tmp_path}/one"), range(8)))
+    assert sum(won) == 1
+    assert {sinks.save_version(spark.range(k), path) for k in (1, 2)} == {f"{tmp_path}/result_v25.parquet", f"{tmp_path}/result_v26.parquet"}
+
+
+def test_a_stored_merge_moves_nothing(spark):
+    for name, rows in (("base", [(k,) for k in range(50)]), ("one", [(k % 40, float(k)) for k in range(90)]), ("two", [(k, 1.0) for k in range(10, 60)])):
+        sinks.save_bucketed(spark.createDataFrame(rows, "cell_id long, value double" if name != "base" else "cell_id long"), f"stored_{name}", "cell_id", 4)
+    out = tables.merge_stored(spark.table("stored_base"), {n: spark.table(f"stored_{n}") for n in ("one", "two")})
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    plain = tables.merge_indicators(spark.table("stored_base"), {n: spark.table(f"stored_{n}") for n in ("one", "two")})
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in plain.select(out.columns).collect()}
+
+
+def test_lookup_rows_of_one_code_in_a_stated_order(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("cd_mun;uf;n\n12;SP;2\n0000012;AC;9\n12;AC;3\n7;RJ;1\n")
+    got = readers.read_lookup(spark, f"{tmp_path}/l.csv", "cd_mun", ["uf", "n"]).collect()
+    assert sorted(tuple(r) for r in got) == [("0000007", "RJ", "1"), ("0000012", "AC", "3")]

@@ -29,17 +29,42 @@ def test_knn(spark):
     assert {r.target_id: r.distance for r in near.collect()} == {1: 5.0, 2: None}
 
 
-def test_knn_in_a_crowd(spark, monkeypatch):
-    """Most points in one place, many at one spot: squares are halved before the search, and nothing is lost."""
-    monkeypatch.setattr(spatial, "CROWD", 20)
+@pytest.mark.parametrize("crowd,far", [(1, None), (4, None), (1, 40.0)])
+def test_knn_in_a_crowd(spark, monkeypatch, crowd, far):
+    """Most points in one place, many at one spot: crowded squares are cut, and nothing is lost."""
+    monkeypatch.setattr(spatial, "CROWD", crowd)
     rng = random.Random(3)
     points = [(k, rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(300)] + [(1000 + k, 5.0, 5.0) for k in range(40)] + [(2000 + k, rng.uniform(-1000, 1000), rng.uniform(-1000, 1000)) for k in range(40)]
     targets = [(k, *(rng.gauss(0, 2) if k % 2 else rng.uniform(-1500, 1500) for _ in range(2))) for k in range(60)] + [(99, 5.0, 5.0)]
-    out = spatial.knn_join(spark.createDataFrame(targets, "target_id int, x double, y double"), spark.createDataFrame(points, "point_id int, x double, y double"), 3).collect()
+    out = spatial.knn_join(spark.createDataFrame(targets, "target_id int, x double, y double"), spark.createDataFrame(points, "point_id int, x double, y double"), 3, far).collect()
     found = {(r.target_id, r["rank"]): r.point_id for r in out}
+    assert len(found) == len(out)
     for t, x, y in targets:
-        near = sorted((math.hypot(x - px, y - py), p) for p, px, py in points)[:3]
-        assert [found[t, k] for k in (1, 2, 3)] == [p for _, p in near]
+        near = sorted((d, p) for p, px, py in points if (d := math.hypot(x - px, y - py)) <= (far or math.inf))[:3]
+        assert [found.get((t, k)) for k in (1, 2, 3)] == [p for _, p in near] + [None] * (3 - len(near))
+
+
+def test_knn_meets_few_points(spark, tmp_path):
+    """100,000 points at one address, a city of 20,000 places and uniform land around: a target meets at most 64 points for each neighbour."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    address = spark.range(100_000).select("id", F.lit(500.0).alias("x"), F.lit(500.0).alias("y"))
+    city = spark.range(100_000, 120_000).select("id", (F.randn(1) * 3 + 200).alias("x"), (F.randn(2) * 3 + 200).alias("y"))
+    land = spark.range(200_000, 201_000).select("id", (F.rand(3) * 1000).alias("x"), (F.rand(4) * 1000).alias("y"))
+    address.unionAll(city).unionAll(land).withColumnRenamed("id", "point_id").write.parquet(f"{tmp_path}/points")
+    near, city = (F.col("id") % 4 == 0), (F.col("id") % 4 == 1)
+    place = lambda seed, at: F.when(near, 498 + F.rand(seed) * 4).when(city, at + F.randn(seed) * 10).otherwise(F.rand(seed) * 1000)
+    spark.range(400).select(F.col("id").alias("target_id"), place(5, 200).alias("x"), place(6, 200).alias("y")).write.parquet(f"{tmp_path}/targets")
+    points, targets = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("points", "targets"))
+    met = spatial.met_points(targets, points, 3).groupBy("target_id").count().collect()
+    assert len(met) == 400 and max(r["count"] for r in met) <= 64 * 3
+    got = {}
+    for r in spatial.knn_join(targets, points, 3).collect():
+        got.setdefault(r.target_id, []).append(r.distance)
+    p = points.toPandas()
+    for i, x, y in targets.toPandas().itertuples(index=False):
+        assert np.allclose(sorted(got[i]), np.sort(np.hypot(p["x"] - x, p["y"] - y))[:3])
 
 
 def square(x0, y0, x1, y1):
