@@ -100,7 +100,10 @@ def sql_disk(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbourhoods of one and of three steps, in SQL."""
     G.register(spark, 25.0)
     _events(spark, sf).createOrReplaceTempView("sql_disk_events")
-    return spark.sql("SELECT k, near AS cell_id, count(*) AS n FROM (SELECT DISTINCT cell_of(x, y) AS cell FROM sql_disk_events) LATERAL VIEW explode(array(1, 3)) AS k LATERAL VIEW explode(grid_disk(cell, k)) AS near GROUP BY k, near")
+    return spark.sql(
+        "WITH c AS (SELECT DISTINCT cell_of(x, y) AS cell FROM sql_disk_events), a AS (SELECT cell, explode(array(1, 3)) AS k FROM c), d AS (SELECT k, grid_disk(cell, k) AS near FROM a), "
+        "n AS (SELECT k, explode(near) AS cell_id FROM d) SELECT k, cell_id, count(*) AS n FROM n GROUP BY k, cell_id"
+    )
 
 
 @query("sql_row_mean", f"WITH {_MERGED} SELECT cell_id, round((coalesce(qty / 50, 0) + coalesce(disc, 0) + coalesce(tax, 0)) / nullif((qty IS NOT NULL)::INT + (disc IS NOT NULL)::INT + (tax IS NOT NULL)::INT, 0), 6) AS mean FROM merged")
@@ -120,7 +123,7 @@ def sql_overlap(spark: SparkSession, sf: str) -> DataFrame:
     corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     _points(spark, sf).select(F.col("vec_id").alias("feature_id"), (F.col("label") % 3).cast("string").alias("state"), (F.col("label") % 6).alias("class"), F.array(F.array(corner(300.0, 0.0), corner(0.0, 500.0), corner(-300.0, 0.0), corner(0.0, -500.0))).alias("rings")).createOrReplaceTempView("sql_overlap_polygons")
     met = spark.sql(
-        "WITH s AS (SELECT feature_id, state, class, rings, explode(strips(rings, 200D)) AS strip FROM sql_overlap_polygons), "
+        "WITH p AS (SELECT *, strips(rings, 200D) AS strips FROM sql_overlap_polygons), s AS (SELECT feature_id, state, class, rings, explode(strips) AS strip FROM p), "
         "m AS (SELECT s.feature_id, s.state, s.class, o.cell_id, o.area, o.holds_center FROM s, LATERAL overlap_cells(s.rings, 200D, s.strip.low, s.strip.high) o) "
         "SELECT feature_id, state, class, cell_id, area FROM m WHERE cell_id IN (SELECT cell_id FROM m WHERE holds_center)"
     )
