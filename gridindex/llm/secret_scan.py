@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridindex.llm.ranges import free
+from gridindex.llm.ranges import checkpointed, free
 
 #: The base kinds in the order in which spans with one start are listed, their patterns, and a cheap guard for each.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -102,10 +102,20 @@ def train(docs: DataFrame) -> dict[str, float]:
 
     Both models are smoothed by one count a pair, so with no samples at all every ratio is 0.
     """
+    return _trained(_matched(docs))
+
+
+def _matched(docs: DataFrame) -> DataFrame:
+    """docs with secret_base and secret_tokens: their base spans, and the tokens that none of these touches, with the values."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(text.alias("text")).select("text", _rules(F.col("text")).alias("base"))
+    found = docs.withColumn("secret_base", _rules(text))
+    return found.withColumn("secret_tokens", _tokens(text, F.col("secret_base")))
+
+
+def _trained(matched: DataFrame) -> dict[str, float]:
     labelled = lambda random, rows: F.transform(rows, lambda x: F.struct(F.lit(random).alias("random"), x["value"].alias("value")))
-    each = base.select(F.explode(F.concat(labelled(True, F.col("base")), labelled(False, _tokens(F.col("text"), F.col("base"))))).alias("s")).select("s.random", "s.value").filter(F.length("value") >= 2)
+    every = F.concat(labelled(True, F.col("secret_base")), labelled(False, F.col("secret_tokens")))
+    each = matched.select(F.explode(every).alias("s")).select("s.random", "s.value").filter(F.length("value") >= 2)
     counted = each.select("random", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("pair").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     rows = counted.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_.=-]{2}$")).collect()  # at most ALPHABET squared
     first: dict[str, list[int]] = {}
@@ -140,13 +150,17 @@ def spans(docs: DataFrame, model: dict[str, float], threshold: float = THRESHOLD
     empty text has no spans; repeated rows stay repeated; all other columns stay, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    table = _table(model)
     base = free(docs, name + "_base")
     found = docs.withColumn(base, _rules(text))
+    return found.withColumn(name, _judged(F.col(base), _tokens(text, F.col(base)), model, threshold)).drop(base)
+
+
+def _judged(base: Column, tokens: Column, model: dict[str, float], threshold: float = THRESHOLD) -> Column:
+    """The base spans and those of the tokens that the models call random, sorted, without values."""
+    table = _table(model)
     random = lambda x: _score(x["value"], table) > F.greatest(F.lit(threshold) * (F.length(x["value"]) - 1), F.lit(EVIDENCE))
-    both = F.concat(F.col(base), F.filter(_tokens(text, F.col(base)), random))
-    plain = F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return found.withColumn(name, plain).drop(base)
+    both = F.concat(base, F.filter(tokens, random))
+    return F.array_sort(F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
 
 
 def _written(found: Column) -> Column:
@@ -158,10 +172,14 @@ def scan(docs: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
     """One row per document: counts of the base kinds, a digest of their spans, all spans as kind:start:end in code points.
 
     Without a model one is trained on docs. A null or empty text has no spans; repeated rows stay repeated; a null doc_id
-    stays null; other columns are ignored. Nothing is shuffled but pair counts.
+    stays null; other columns are ignored. Nothing is shuffled but pair counts. Spans and tokens are found once: they are
+    written to the shared folder, from which the models are trained and the tokens judged.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = spans(docs, train(docs) if model is None else model)
+    matched = _matched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).drop("text")
+    if model is None:
+        matched = checkpointed(docs.sparkSession, matched, "secrets")
+        model = _trained(matched)
+    found = matched.select("doc_id", _judged(F.col("secret_base"), F.col("secret_tokens"), model).alias("secret_spans"))
     base = F.filter("secret_spans", lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter("secret_spans", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("secret_spans")).alias("spans"), count(3).alias("n_random"))
