@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,6 +206,26 @@ def _numbers(x: list | float) -> Column:
     return F.expr(sql(x))
 
 
+def _nearest_sums(starts: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task hands on: for each start and centre the number of rows nearest to it, their squared distances and their sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(c.shape)) for c in starts]
+        for batch in batches:
+            p = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for c, (n, d, sums) in zip(starts, held, strict=True):
+                square = ((p[:, None] - c[None]) ** 2).sum(axis=2)
+                own = square.argmin(axis=1)  # the first of equals
+                n += np.bincount(own, minlength=len(c))
+                d += np.bincount(own, weights=square[np.arange(len(p)), own], minlength=len(c))
+                sums += np.stack([np.bincount(own, weights=p[:, j], minlength=len(c)) for j in range(p.shape[1])], 1)
+        out = [(s, i, int(n[i]), float(d[i]), sums[i].tolist()) for s, (n, d, sums) in enumerate(held) for i in np.flatnonzero(n).tolist()]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["s", "i", "n", "d", "sums"])
+
+    return run
+
+
 def lloyd(rows: DataFrame, x: str, centres: Sequence[list[list[float]]], iterations: int = 100, still: float = 1e-9) -> list[Start]:
     """Several k-means starts side by side over an array column: each iteration is one pass and one aggregate for all of them.
 
@@ -213,11 +235,8 @@ def lloyd(rows: DataFrame, x: str, centres: Sequence[list[list[float]]], iterati
     now, inertia = [list(map(list, c)) for c in centres], [math.inf] * len(centres)
     size, open_ = len(now[0][0]), list(range(len(now)))
     for step in range(iterations + 1):
-        square = lambda c: F.aggregate(F.zip_with(F.col(x), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        every = _numbers([now[s] for s in open_])  # starts x k x columns, all parameters
-        near = F.transform(every, lambda own: F.array_min(F.transform(own, lambda c, i: F.struct(square(c).alias("d"), i.alias("i")))))
-        dealt = rows.select(x, F.posexplode(near).alias("s", "m")).groupBy("s", "m.i")
-        found = dealt.agg(F.count("*").alias("n"), F.sum("m.d").alias("d"), F.array(*(F.sum(F.col(x)[j]) for j in range(size))).alias("sums")).collect()  # a row a start and centre
+        parts = rows.select(x).mapInArrow(_nearest_sums([np.array(now[s]) for s in open_]), "s int, i int, n long, d double, sums array<double>")
+        found = parts.groupBy("s", "i").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.array(*(F.sum(F.col("sums")[j]) for j in range(size))).alias("sums")).collect()  # a row a start and centre
         for place, s in enumerate(open_):
             inertia[s] = math.fsum(r.d for r in found if r.s == place)
         if step == iterations:
