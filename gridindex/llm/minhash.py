@@ -29,6 +29,8 @@ FINE, FINE_MANTISSA, FINE_EMPTY, CHANCE = 512, 5, 0xFF, 0.015
 #: A pair goes to verification unless its estimate lies so many standard errors below the threshold.
 SLACK = 4.5
 BLOCK = 1024
+#: Where full sets go along, a chunk holds about so many of their members at most (8 bytes each): a block is two chunks.
+BLOCK_MEMBERS = 8 << 20
 #: Buckets of more members than this are settled where they meet, on full sets; smaller ones only propose pairs.
 LARGE = 64
 #: Ids are broadcast to pick texts only up to this many (8 bytes each); beyond it the join is left to Spark.
@@ -169,21 +171,31 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int, places: DataFrame | None =
 
 
 def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, size: int, percent: int, places: DataFrame | None) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts of documents in the pairs are read into sets."""
+    """The pairs whose full sets reach the threshold. Only texts of documents in the pairs are read into sets.
+
+    A first node's set goes once to each BLOCK of its partners, which follow it one after the other; it is not copied a pair.
+    """
     sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size, places)
-    named = lambda x: sets.select(F.col("node").alias(x), F.col("set").alias(f"s_{x}"))
-    both = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "s_a", "s_b")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("shares"))
+    firsts = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(sets.withColumnRenamed("node", "a"), "a")
+    partners = pairs.join(shares, "a").select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("share")).join(sets.withColumnRenamed("node", "b"), "b")
+    rows = firsts.select("a", "share", F.lit(None).cast("long").alias("b"), "set").union(partners.select("a", "share", "b", "set"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sorted_ = rows.repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).select("a", "b", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
+            for b, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(v.as_buffer(), np.uint64)
+                if b is None:
+                    of = x.copy()  # a batch's memory goes with it
+                shared = 0 if b is None else len(np.intersect1d(of, x, assume_unique=True))
+                keep.append(shared > 0 and 100 * shared >= percent * (len(of) + len(x) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return sorted_.mapInArrow(run, "a long, b long")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -192,12 +204,15 @@ def _dealt(members: DataFrame) -> DataFrame:
     A bucket's members outside its largest component are cut into chunks of about BLOCK by hash; each two chunks (and each
     with itself) meet in one block. Members of the largest component, cut likewise into chunks numbered from below zero,
     meet only the others' chunks: a bucket whose members are nearly all linked already copies its rows once for each
-    BLOCK of the few that are not.
+    BLOCK of the few that are not. Where members have n_shingles, chunks are cut finer, to BLOCK_MEMBERS shingles.
     """
-    by = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    weight = F.lit(1 / BLOCK)
+    if "n_shingles" in members.columns:
+        weight = F.greatest(weight, F.col("n_shingles") / BLOCK_MEMBERS)
+    by = members.groupBy("key", "comp").agg(F.sum(weight).alias("m"))
     tops = by.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.max("m").alias("n_top"), F.sum("m").alias("n_all"))
-    chunks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = members.join(tops.select("key", "top", chunks("n_top").alias("c_top"), F.ceil((F.col("n_all") - F.col("n_top")) / BLOCK).cast("int").alias("c_rest")), "key")
+    chunks = lambda n: F.ceil(n - 1e-6).cast("int")
+    own = members.join(tops.select("key", "top", chunks(F.col("n_top")).alias("c_top"), chunks(F.col("n_all") - F.col("n_top")).alias("c_rest")), "key")
     in_top, h = F.col("comp") == F.col("top"), F.hash("node")
     own = own.withColumn("own", F.when(in_top, -1 - F.pmod(h, F.col("c_top"))).otherwise(F.pmod(h, F.greatest("c_rest", F.lit(1)))))
     others = F.sequence(F.when(in_top, F.lit(0)).otherwise(-F.col("c_top")), F.col("c_rest") - 1)
@@ -205,6 +220,18 @@ def _dealt(members: DataFrame) -> DataFrame:
     return dealt.select("node", "comp", "own", "band", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), (F.col("own") == F.col("other")).alias("self"))
 
 
+def _shared(of: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the other sets (none empty) has in common with a set; looked up some 2**20 members at a time."""
+    sizes = np.array([len(x) for x in others])
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) >> 20)) + 1).tolist(), len(others)]
+    out = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        other = np.concatenate(others[lo:hi])
+        same = of[np.minimum(np.searchsorted(of, other), len(of) - 1)] == other
+        out.append(np.add.reduceat(same.astype(np.int64), np.cumsum(sizes[lo:hi]) - sizes[lo:hi]))
+    return np.concatenate(out)
+
+
 def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket (key, band, node, comp) whose components differ.
 
@@ -213,7 +240,8 @@ def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
     (_dealt) are bounded and emit nothing else.
     """
     settle = "set" in more.columns
-    rows = _dealt(members).join(more, "node").select("block", "node", "comp", "own", "band", "self", *[c for c in more.columns if c != "node"])
+    weighed = members.join(more.select("node", "n_shingles"), "node") if settle else members
+    rows = _dealt(weighed).join(more, "node").select("block", "node", "comp", "own", "band", "self", *[c for c in more.columns if c != "node"])
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = rows.repartition(n, "block").sortWithinPartitions("block")
 
@@ -225,7 +253,7 @@ def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
         prints = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE)
         if settle:
             bands = np.stack([np.array(x, np.int64) for x in block.column("bands").to_pylist()])
-            sets = [np.frombuffer(x, np.uint64) for x in block.column("set").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("set")]
             size = np.array([len(x) for x in sets])
         out_a, out_b = [], []
         for i in range(len(node) - 1):
@@ -237,10 +265,7 @@ def _across(members: DataFrame, more: DataFrame, percent: int) -> DataFrame:
             if len(j):
                 j = j[plausible(prints[i], prints[j], size[i], size[j], percent)]
             if settle and len(j):
-                other = np.concatenate([sets[k] for k in j])
-                at = np.minimum(np.searchsorted(sets[i], other), len(sets[i]) - 1)
-                ends = np.cumsum(size[j])
-                shared = np.add.reduceat((sets[i][at] == other).astype(np.int64), ends - size[j])
+                shared = _shared(sets[i], [sets[k] for k in j])
                 j = j[100 * shared >= percent * (size[i] + size[j] - shared)]
             out_a += [node[i]] * len(j)
             out_b += node[j].tolist()

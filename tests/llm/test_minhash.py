@@ -114,3 +114,32 @@ def test_loss_at_the_threshold():
             assert minhash.plausible(minhash.sketch(a), minhash.sketch(b), np.array(len(a)), np.array(len(b)), 80)
             x, y = banded(a), banded(b)
             assert ((x == y) & (x != -1)).any()
+
+
+def test_blocks_bounded_by_set_members(spark, monkeypatch):
+    """A bucket of few rows with very large sets is cut by the sets' members, every pair still meets, and links are the same."""
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 10_000)
+    sizes = {k: 4000 if k % 3 else 10 for k in range(60)}
+    members = spark.createDataFrame([(7, 1, k, k, n) for k, n in sizes.items()], "key long, band int, node long, comp long, n_shingles long")
+    blocks, met = {}, set()
+    for r in minhash._dealt(members).collect():
+        blocks.setdefault(r.block, []).append(r)
+    for block in blocks.values():
+        assert sum(sizes[r.node] for r in block) < 8 * 10_000  # two chunks of a mean of 10,000, dealt by hash
+        met |= {(x.node, y.node) for x in block for y in block if x.node < y.node and (x.self or x.own != y.own)}
+    assert met == {(x, y) for x in sizes for y in sizes if x < y}
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 5000, 400).tolist()
+    docs = [(d, " ".join(str(w + (k == d) * 9000) for k, w in enumerate(base))) for d in range(100)]
+    df = spark.createDataFrame([*docs, (500, "a b c d e f"), (501, None)], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "LARGE", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 7)  # partners of a first node are many shares
+    out = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark, df).collect()}
+    assert out == {d: (0, d == 0) for d in range(100)} | {500: (500, True), 501: (501, True)}
+
+
+def test_shared_counts_in_pieces():
+    rng = np.random.default_rng(6)
+    of = np.unique(rng.integers(0, 3_000_000, 700_000)).astype(np.uint64)
+    others = [np.unique(rng.integers(0, 3_000_000, n)).astype(np.uint64) for n in (1, 5, 900_000, 1_200_000, 3, 800_000, 2)]
+    assert minhash._shared(of, others).tolist() == [len(np.intersect1d(of, x)) for x in others]
