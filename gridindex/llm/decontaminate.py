@@ -30,10 +30,13 @@ RANK, EXTRA, WHITEN = 64, 8, 1.0
 COSINE = 0.4
 #: Decision: this share of the item's words in order, or the lesser share and nearly all of its closing third.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.6, 0.55, 0.95
-#: Items are held by every task: a benchmark of more items or characters is dealt into parts, each searched by itself.
+#: Items are held by every task: a benchmark of more items or characters is dealt into parts, which share one fit.
 MAX_ITEMS, MAX_CHARS = 100_000, 1 << 26
-#: Items searched at once, and blocks times items of one product.
-SLICE, CELLS = 4096, 1 << 22
+#: A fit holds words x (RANK + EXTRA) 32-bit numbers in the driver and in each task (115 MB): a benchmark of more distinct
+#: words is dealt into halves by hash, and those again, each with a fit of its own.
+MAX_WORDS = 400_000
+#: Items searched at once, blocks times items of one product, and rows of a matrix that are sent or multiplied at once.
+SLICE, CELLS, ROWS = 4096, 1 << 22, 1 << 14
 
 
 class Items(NamedTuple):
@@ -54,6 +57,15 @@ class _Slice(NamedTuple):
     times: np.ndarray
 
 
+class Space(NamedTuple):
+    """What the corpus says of the words of a benchmark."""
+
+    vocabulary: np.ndarray  # sorted word hashes
+    idf: np.ndarray
+    heavy: np.ndarray
+    basis: np.ndarray
+
+
 class Model(NamedTuple):
     items: Items
     idf: np.ndarray
@@ -166,24 +178,20 @@ def _document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], blocks))], ["term", "n"])
 
-    rows = table.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # one row a word
+    rows = table.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a word
+    term, n = (rows.column(k).to_numpy() for k in range(2))
     out = np.zeros(size, np.int64)
-    blocks = 0
-    for r in rows:
-        if r.term < 0:
-            blocks = r.n
-        else:
-            out[r.term] = r.n
-    return out, blocks
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
-def _gram_times(table: DataFrame, idf: np.ndarray, heavy: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _gram_times(spark: SparkSession, table: DataFrame, idf: np.ndarray, heavy: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A'A times a matrix, A being the unit TF-IDF rows of all blocks: one pass, one partial sum of words x columns a task."""
-    weights, n, size = (idf[:, None] * right).astype(np.float32), right.shape[1], len(idf)
-    square, column = idf**2, _columns(heavy, len(idf))
+    n, size, square, column = right.shape[1], len(idf), idf**2, _columns(heavy, len(idf))
+    shared = spark.sparkContext.broadcast(idf.astype(np.float32)[:, None] * right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, n))
+        weights, total = shared.value, np.zeros((size, n), np.float32)
         for n_blocks, term, block in _unpacked(batches):
             norm = np.bincount(block, weights=square[term], minlength=n_blocks)
             c = _counts(term, block, n_blocks, column, len(heavy))
@@ -193,42 +201,94 @@ def _gram_times(table: DataFrame, idf: np.ndarray, heavy: np.ndarray, right: np.
                 order = np.argsort(c.term, kind="stable")
                 first = np.flatnonzero(np.diff(c.term[order], prepend=-1))
                 total[c.term[order][first]] += np.add.reduceat(rows[c.block[order]], first, axis=0)
-        at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, k]) for k in range(n))], ["term", *(f"v{k}" for k in range(n))])
-
-    sums = table.mapInArrow(run, "term long, " + ", ".join(f"v{k} double" for k in range(n)))
-    out = np.zeros((size, n))
-    found = sums.groupBy("term").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(n))).toArrow()  # words x columns: bounded by the benchmark
+        found = np.flatnonzero(total.any(1))
+        for lo in range(0, len(found), ROWS):
+            at = found[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(total[at, k]) for k in range(n))], ["term", *(f"v{k}" for k in range(n))])
+
+    sums = table.mapInArrow(run, "term long, " + ", ".join(f"v{k} float" for k in range(n)))
+    out = np.zeros((size, n), np.float32)
+    found = sums.groupBy("term").agg(*(F.sum(f"v{k}").cast("float").alias(f"v{k}") for k in range(n))).toArrow()  # words x columns: bounded by MAX_WORDS
     at = found.column("term").to_numpy()
     for k in range(n):
         out[at, k] = found.column(f"v{k}").to_numpy()
-    return out * idf[:, None]
+    shared.destroy()
+    out *= idf.astype(np.float32)[:, None]
+    return out
 
 
-def fit(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = RANK, seed: int = 7) -> Model:
+def _across_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a'b in 64 bits, some rows at a time."""
+    return sum((a[k : k + ROWS].astype(np.float64).T @ b[k : k + ROWS] for k in range(0, len(a), ROWS)), np.zeros((a.shape[1], b.shape[1])))
+
+
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, from their products alone (columns x columns); twice, for rounding."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(_across_rows(y, y))
+        good = values > 1e-10 * max(float(values.max()), 1e-30)
+        good[-1] = True
+        y = y @ (vectors[:, good] / np.sqrt(np.maximum(values[good], 1e-30))).astype(np.float32)
+    return y
+
+
+def vocabulary(benchmark: DataFrame) -> DataFrame:
+    """word: the distinct word hashes of a benchmark's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in wordbytes.words(batch.column(0), wordbytes.ALNUM):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(w.hash).view(np.int64))], ["word"])
+
+    return benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, "word long").distinct()
+
+
+def fit_space(spark: SparkSession, docs: DataFrame, words: np.ndarray, rank: int = RANK, seed: int = 7) -> Space:
     """Document frequencies, then randomised subspace iteration: two passes over all blocks, small factorisations here.
 
-    Texts are read once; what is left of them, the benchmark's words, is written to the shared folder for the passes.
+    Texts are read once; what is left of them, the benchmark's words (sorted hashes), is written to the shared folder for the passes.
     """
-    items = load_items(benchmark)
-    size = len(items.vocabulary)
+    size = len(words)
     if not size:
-        return Model(items, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1, np.int64), np.zeros((0, 1), np.float32), [])
-    table = checkpointed(spark, _compact(docs, items.vocabulary), "known_words")
+        return Space(words, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+    table = checkpointed(spark, _compact(docs, words), "known_words")
     frequency, blocks = _document_frequencies(table, size)
     idf, heavy = np.log((2 + blocks) / (1 + frequency)), np.flatnonzero(frequency > HEAVY * blocks)
     width = min(rank + EXTRA, size)
-    q, _ = np.linalg.qr(_gram_times(table, idf, heavy, np.random.default_rng(seed).standard_normal((size, width))) + 1e-12 * np.eye(size, width))
-    y = _gram_times(table, idf, heavy, q)
-    values, vectors = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
-    top = np.argsort(values)[::-1][: min(rank, width)]
+    q = _orthonormal(_gram_times(spark, table, idf, heavy, np.random.default_rng(seed).standard_normal((size, width), np.float32)))
+    products = _across_rows(q, _gram_times(spark, table, idf, heavy, q))
+    values, vectors = np.linalg.eigh((products + products.T) / 2)
+    top = np.argsort(values)[::-1][:rank]
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)] if values.max() > 0 else top[:1]
-    basis = (q @ vectors[:, top]) * np.maximum(values[top] / max(values.max(), 1e-30), 1e-12) ** (-WHITEN / 2)
-    weighted = (idf[:, None] * basis).astype(np.float32)
+    basis = q @ (vectors[:, top] * np.maximum(values[top] / max(values.max(), 1e-30), 1e-12) ** (-WHITEN / 2)).astype(np.float32)
+    basis *= idf.astype(np.float32)[:, None]
+    return Space(words, idf, heavy, basis)
+
+
+def model_of(space: Space, benchmark: DataFrame) -> Model:
+    """The items of one part of the benchmark in the space of all of it."""
+    items = load_items(benchmark)
+    if not items.ids:
+        return Model(items, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1, np.int64), np.zeros((0, 1), np.float32), [])
+    at = np.searchsorted(space.vocabulary, items.vocabulary)
+    weighted, heavy = space.basis[at], np.flatnonzero(np.isin(at, space.heavy))
     pieces, starts = _pieces(np.diff(items.first))
     latent = np.concatenate([np.add.reduceat(weighted[items.words[a:b]], starts[k : k + SLICE] - a, axis=0) for k, a, b in ((k, int(starts[k]), int(starts[k + SLICE]) if k + SLICE < len(starts) else len(items.words)) for k in range(0, len(starts), SLICE))])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Model(items, idf, heavy, weighted, pieces, latent, _slices(items))
+    return Model(items, space.idf[at], heavy, weighted, pieces, latent, _slices(items))
+
+
+def models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, level: int = 0) -> Iterator[Model]:
+    """A model for each part of the benchmark, one after the other; all parts share one fit unless the words are over MAX_WORDS."""
+    words = checkpointed(spark, vocabulary(benchmark), "vocabulary")
+    if words.count() > MAX_WORDS and level < 40 and benchmark.select("text").distinct().limit(2).count() > 1:
+        half = F.shiftrightunsigned(F.xxhash64("item_id", "text"), level).bitwiseAND(F.lit(1))
+        for side in (0, 1):
+            yield from models(spark, docs, benchmark.filter(half == side), level + 1)
+        return
+    space = fit_space(spark, docs, np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)))
+    for part in parts(benchmark):
+        yield model_of(space, part)
 
 
 def _pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,6 +335,7 @@ def _slices(items: Items) -> list[_Slice]:
 class _Held(NamedTuple):
     """How many places of each item the words of some blocks hold: heavy words count once in a stretch, light ones once a block."""
 
+    here: np.ndarray  # blocks x items, light words alone
     light: np.ndarray  # (blocks + 1) x items, of all blocks before
     heavy: np.ndarray  # (blocks + 1) x heavy words, how often in all blocks before
     times: np.ndarray  # heavy words x items
@@ -286,14 +347,22 @@ def _held(c: _Counts, s: _Slice, heavy: np.ndarray) -> _Held:
     term, block = c.term[new], c.block[new].astype(np.int64)
     each = s.first[term + 1] - s.first[term]
     flat = np.arange(each.sum()) + np.repeat(s.first[term] - (np.cumsum(each) - each), each)
-    here = np.bincount(np.repeat(block, each) * n + s.item[flat], weights=s.times[flat], minlength=n_blocks * n).reshape(n_blocks, n)
+    here = np.bincount(np.repeat(block, each) * n + s.item[flat], weights=s.times[flat], minlength=n_blocks * n).reshape(n_blocks, n).astype(np.float32)
     times = np.zeros((len(heavy), n), np.float32)
     for k, w in enumerate(heavy.tolist()):
         times[k, s.item[s.first[w] : s.first[w + 1]]] = s.times[s.first[w] : s.first[w + 1]]
     light, dense = np.zeros((n_blocks + 1, n), np.float32), np.zeros((n_blocks + 1, len(heavy)), np.float32)
-    np.cumsum(here, axis=0, out=light[1:])
-    np.cumsum(c.heavy, axis=0, out=dense[1:])
-    return _Held(light, dense, times)
+    light[1:], dense[1:] = here, c.heavy
+    np.add.accumulate(light, axis=0, out=light)
+    np.add.accumulate(dense, axis=0, out=dense)
+    return _Held(here, light, dense, times)
+
+
+def _enough(held: _Held, before: np.ndarray, after: np.ndarray, item: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Which stretches of blocks, before .. after - 1, hold as many places of their item (of the slice) as are needed."""
+    inside = held.light[after, item] - held.light[before, item]
+    some = np.flatnonzero(inside + held.times.sum(0)[item] >= needed[item])
+    return some[inside[some] + np.einsum("ij,ij->i", held.heavy[after[some]] > held.heavy[before[some]], held.times.T[item[some]]) >= needed[item[some]]]
 
 
 def search(column: pa.Array, model: Model) -> list[list[Leak]]:
@@ -336,43 +405,48 @@ def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block:
     rows = _rows_of_blocks(part, model.basis, model.heavy)
     at = np.arange(start, stop)
     latent = model.latent[model.pieces[s.lo] : model.pieces[s.hi]]
-    z = rows[start - lo : stop - lo].copy()
-    last = at.copy()
+    each = rows[start - lo :] @ latent.T  # what a passage and a piece have in common is the sum over its blocks
+    product = each[: len(at)].copy()
+    z, last = rows[start - lo : stop - lo].copy(), at.copy()
+    length, needs = more[s.lo : s.hi], needed[s.lo : s.hi]
 
     def put(where: np.ndarray, item: np.ndarray, end: np.ndarray, cosine: np.ndarray) -> None:
         for w, k, e, x in zip(where.tolist(), item.tolist(), end.tolist(), cosine.tolist(), strict=True):
             found.setdefault((int(doc[w]), k), []).append((w, e, x))
 
     for width in (2, 3):
-        follows = np.flatnonzero(at + width - 1 <= last_block[at])
-        z[follows] += rows[at[follows] + width - 1 - lo]
-        last[follows] = at[follows] + width - 1
+        n = min(len(at), len(each) - width + 1)  # blocks that have another so far on; at a text's end nothing is added
+        ends = np.flatnonzero(at[:n] + width - 1 > last_block[at[:n]])
+        for sums, of in ((z, rows[start - lo :]), (product, each)):
+            kept = sums[ends]
+            sums[:n] += of[width - 1 : width - 1 + n]
+            sums[ends] = kept
+        last = np.minimum(at + width - 1, last_block[at])
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-12)
-        product = z @ latent.T
-        where, piece = np.divmod(np.flatnonzero(product > COSINE * norm[:, None]), len(latent))
-        item = owner[piece + model.pieces[s.lo]]
+        where, piece = np.divmod(np.flatnonzero(product > (COSINE * norm)[:, None]), len(latent))
+        item = owner[piece + model.pieces[s.lo]] - s.lo
         # no leak has fewer of the item's words around
-        before, after = np.maximum(at[where] - more[item], first_block[at[where]]), np.minimum(last[where] + more[item], last_block[at[where]])
-        before, after = before - lo, after + 1 - lo
-        inside = held.light[after, item - s.lo] - held.light[before, item - s.lo]
-        some = np.flatnonzero(inside + held.times.sum(0)[item - s.lo] >= needed[item])
-        good = some[inside[some] + np.einsum("ij,ij->i", held.heavy[after[some]] > held.heavy[before[some]], held.times.T[item[some] - s.lo]) >= needed[item[some]]]
-        put(at[where[good]], item[good], last[where[good]], product[where[good], piece[good]] / norm[where[good]])
-    # windows of the item's length and two blocks, whatever their cosine
-    begin = slice(start - lo, stop - lo)
-    for n in np.unique(more[s.lo : s.hi]).tolist():
-        these = slice(*np.searchsorted(more[s.lo : s.hi], (n, n + 1)))
-        end = np.minimum(at + n + 1, last_block[at])
-        beyond = end + 1 - lo
-        inside = held.light[beyond, these] - held.light[begin, these]
-        inside += (held.heavy[beyond] > held.heavy[begin]).astype(np.float32) @ held.times[:, these]
-        where, k = np.divmod(np.flatnonzero(inside >= needed[s.lo : s.hi][these]), inside.shape[1])
-        if len(where):
-            item = k + these.start + s.lo
-            unit = np.add.reduceat(rows, np.stack([at[where] - lo, np.minimum(end[where] + 1 - lo, len(rows) - 1)], 1).ravel(), axis=0)[::2]
-            unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-            middle = (at[where] + end[where]) // 2  # the item's length is searched to both sides
-            put(middle, item, middle, np.einsum("ij,ij->i", unit, model.latent[model.pieces[item]]))
+        before, after = np.maximum(at[where] - length[item], first_block[at[where]]), np.minimum(last[where] + length[item], last_block[at[where]])
+        good = _enough(held, before - lo, after + 1 - lo, item, needs)
+        put(at[where[good]], item[good] + s.lo, last[where[good]], product[where[good], piece[good]] / norm[where[good]])
+    # windows of the item's length and two blocks, whatever their cosine: one that holds enough has a block that holds its share
+    wide = length + 2
+    near, k = np.divmod(np.flatnonzero(held.here[start - lo :] >= (needs - held.times.sum(0)) / wide), len(needs))
+    back = np.arange(wide[k].sum()) - np.repeat(np.cumsum(wide[k]) - wide[k], wide[k])
+    begin, k = np.repeat(near + start, wide[k]) - back, np.repeat(k, wide[k])
+    inside = np.flatnonzero((begin >= start) & (begin < stop))
+    windows = np.zeros(len(at) * len(needs), bool)
+    windows[(begin[inside] - start) * len(needs) + k[inside]] = True
+    begin, k = np.divmod(np.flatnonzero(windows), len(needs))
+    begin += start
+    end = np.minimum(begin + wide[k] - 1, last_block[begin])
+    good = _enough(held, begin - lo, end + 1 - lo, k, needs)
+    begin, end, item = begin[good], end[good], k[good] + s.lo
+    if len(begin):
+        unit = np.add.reduceat(rows, np.stack([begin - lo, np.minimum(end + 1 - lo, len(rows) - 1)], 1).ravel(), axis=0)[::2]
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        middle = (begin + end) // 2  # the item's length is searched to both sides
+        put(middle, item, middle, np.einsum("ij,ij->i", unit, model.latent[model.pieces[item]]))
 
 
 def _decide(out: list[list[Leak]], c: _Chunk, found: dict, items: Items, more: np.ndarray, first_block: np.ndarray, last_block: np.ndarray) -> None:
@@ -431,11 +505,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     null doc_id stays null; empty tables give no rows; other columns are ignored.
     """
 
-    def of(part: DataFrame) -> DataFrame:
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, fit(spark, docs, part), F.col("text")).alias("leak"))
+    def of(model: Model) -> DataFrame:
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, model, F.col("text")).alias("leak"))
         return found.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
 
-    return reduce(DataFrame.unionByName, map(of, parts(benchmark)))
+    return reduce(DataFrame.unionByName, map(of, models(spark, docs, benchmark)))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -445,6 +519,6 @@ def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     together; a null doc_id is a row like any other.
     """
     every = docs
-    for part in parts(benchmark):
-        docs = docs.filter(F.size(leaks(spark, fit(spark, every, part), F.col("text"))) == 0)
+    for model in models(spark, every, benchmark):
+        docs = docs.filter(F.size(leaks(spark, model, F.col("text"))) == 0)
     return docs

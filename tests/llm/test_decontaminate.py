@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from gridindex.llm import decontaminate
@@ -97,7 +98,7 @@ def test_many_items_in_little_memory(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     tracemalloc.start()
     try:
-        model = decontaminate.fit(spark, df, bench)
+        model = next(decontaminate.models(spark, df, bench))
         assert tracemalloc.get_traced_memory()[1] < 300e6
         import pyarrow as pa
 
@@ -158,5 +159,35 @@ def test_parts_types_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_ITEMS", 25)
     assert len(decontaminate.parts(bench)) == 3
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect()) == whole
+    shared = list(decontaminate.models(spark, df, bench))
+    assert len(shared) == 3 and all(len(m.items.vocabulary) == len(m.idf) == len(m.basis) for m in shared)
     left = decontaminate.without_leaks(spark, df, bench)
     assert left.columns == df.columns and sorted(r.leak for r in left.collect()) == ["c", "d"]
+
+
+def test_a_large_vocabulary_in_little_memory(spark):
+    """300,000 words: the driver holds words x columns in 32 bits, a few times. Parts of them share one fit."""
+    import tracemalloc
+
+    df = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 300, k * 300 + 400))) for k in range(1000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k * 60, k * 60 + 60))) for k in range(5000)], "item_id long, text string")
+    words = np.sort(decontaminate.vocabulary(bench).toArrow().column(0).to_numpy().view(np.uint64))
+    assert len(words) == 300_000
+    tracemalloc.start()
+    try:
+        space = decontaminate.fit_space(spark, df, words)
+        assert tracemalloc.get_traced_memory()[1] < 500e6 and space.basis.dtype == np.float32
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_beyond_one_fit(spark, monkeypatch):
+    """A benchmark of more words than a fit may hold is halved until it fits; the same leaks are found."""
+    rng = random.Random(9)
+    vocabulary = words(rng, 2000)
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(40)]
+    df = spark.createDataFrame([(d, " ".join([rng.choice(vocabulary) for _ in range(80)] + (items[d] if d < 40 else []))) for d in range(80)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 400)
+    assert len(list(decontaminate.models(spark, df, bench))) > 1
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect()} == {(k, k) for k in range(40)}
