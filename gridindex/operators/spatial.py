@@ -73,20 +73,28 @@ def met_points(targets: DataFrame, points: DataFrame, k: int, max_distance: floa
         a, b = low - F.col(c), F.col(c) - low - side
         return F.greatest(a, b, F.lit(0.0)), F.greatest(-a, -b)
 
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def bounded(rows: DataFrame) -> DataFrame:
-        """target_id, x, y and the squares that can hold one of its k nearest, from rows of a target and a square s."""
+        """target_id, x, y and the squares that can hold one of its k nearest, from rows of a target and a square s.
+
+        Targets lie in as many tasks as shuffle partitions: their rows are few bytes for much work, and would be put together.
+        """
         side = F.lit(span) / F.pow(F.lit(4.0), F.col("s.level"))
         (nx, fx), (ny, fy) = gaps("x", x0 + F.col("s.i") * side, side), gaps("y", y0 + F.col("s.j") * side, side)
         one = F.struct((F.sqrt(fx * fx + fy * fy) + pad).alias("far"), (F.sqrt(nx * nx + ny * ny) - pad).alias("near"), F.col("s.level").alias("level"), F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.n").alias("n"))
-        each = rows.groupBy("target_id", "x", "y").agg(F.array_sort(F.collect_list(one)).alias("squares"))
+        each = rows.select("target_id", "x", "y", one.alias("s")).repartition(tasks, "target_id").groupBy("target_id", "x", "y").agg(F.array_sort(F.collect_list("s")).alias("squares"))
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("far"))
         reached = F.aggregate("squares", start, lambda s, q: F.struct((s["n"] + q["n"]).alias("n"), F.when((s["n"] < k) & (s["n"] + q["n"] >= k), q["far"]).otherwise(s["far"]).alias("far")))
         bound = reached["far"] if max_distance is None else F.least(reached["far"], F.lit(float(max_distance) + pad))
-        return each.withColumn("bound", bound).select("target_id", "x", "y", F.filter("squares", lambda q: q["near"] <= F.col("bound")).alias("squares"))
+        # bound once by a lambda: as a column it would be put into the filter and worked out anew for each square
+        kept = F.transform(F.array(bound), lambda b: F.filter("squares", lambda q: q["near"] <= b))[0]
+        return each.select("target_id", "x", "y", kept.alias("squares"))
 
     root = F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(n).cast("long").alias("n"))
     left = bounded(targets.select("target_id", "x", "y", root.alias("s")))
-    for level in range((cut.agg(F.max("level")).head()[0] or 0) + 1 if not cut.isEmpty() else 0):
+    deepest = cut.agg(F.max("level")).head()[0]
+    for level in range(0 if deepest is None else deepest + 1):
         here = cut.filter(F.col("level") == level).select("level", "i", "j", "kids")
         here = F.broadcast(here) if level <= 3 else here  # at most 4096 squares
         square = F.struct("q.level", "q.i", "q.j", "q.n")

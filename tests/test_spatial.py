@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -29,6 +30,17 @@ def test_knn(spark):
     assert {r.target_id: r.distance for r in near.collect()} == {1: 5.0, 2: None}
 
 
+@pytest.mark.parametrize("far", [None, 40.0])
+def test_the_descent_is_spread_and_binds_its_bound_once(spark, far):
+    """Few bytes and much work: targets keep as many tasks as shuffle partitions, and no square works the bound out anew."""
+    rng = random.Random(2)
+    rows = [(k, rng.uniform(0, 1000), rng.uniform(0, 1000)) for k in range(200)]
+    met = spatial.met_points(spark.createDataFrame(rows, "target_id int, x double, y double"), spark.createDataFrame(rows, "point_id int, x double, y double"), 1, far)
+    plan = met._jdf.queryExecution()
+    assert not re.search(r"near <= (least\()?aggregate", plan.optimizedPlan().toString())
+    assert re.search(r"hashpartitioning\(target_id#\d+, 4\), REPARTITION_BY_NUM", plan.executedPlan().toString())
+
+
 @pytest.mark.parametrize("crowd,far", [(1, None), (4, None), (1, 40.0)])
 def test_knn_in_a_crowd(spark, monkeypatch, crowd, far):
     """Most points in one place, many at one spot: crowded squares are cut, and nothing is lost."""
