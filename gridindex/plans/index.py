@@ -82,7 +82,7 @@ def health_indicator(cells: DataFrame, facilities: DataFrame, by_rank: bool = Fa
     scored = gravity(cells, facilities)
     if by_rank:
         return tables.percentile_rank(scored, "score", "r").select(F.col("target_id").alias("cell_id"), F.col("score").alias("abs_value"), S.invert(F.col("r")).alias("norm_value"))
-    scaled = stats.normalize_minmax(scored, ["score"], (0.03, 0.97), "_n")
+    scaled = stats.normalize_minmax(written(cells.sparkSession, scored), ["score"], (0.03, 0.97), "_n")  # read for the limits and again to be scaled
     return scaled.select(F.col("target_id").alias("cell_id"), F.col("score").alias("abs_value"), S.invert(F.col("score_n")).alias("norm_value"))
 
 

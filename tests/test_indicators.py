@@ -75,3 +75,12 @@ def test_partitions_and_plan(spark, tmp_path):
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2  # six tables, one aggregate and one join
     assert indicators.reviewable(spark.createDataFrame([("massa", False), ("massa", True), ("outros", None)], "kind string, error boolean")).count() == 1
+
+
+def test_gravity_is_worked_out_once(spark):
+    """The limits and the scaled values read one table of scores, not the nearest facilities twice."""
+    cells = spark.createDataFrame([(k, float(k), 0.0) for k in range(40)], "target_id int, x double, y double")
+    out = index.health_indicator(cells, cells.selectExpr("target_id AS point_id", "x", "y", "1 AS capacity"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    norm = {r.cell_id: r.norm_value for r in out.collect()}
+    assert len(norm) == 40 and norm[0] == norm[39] == 1.0 and norm[20] < 0.01
