@@ -185,9 +185,10 @@ def first_of_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("aligned_indicators", """WITH a AS (SELECT l_orderkey AS cell_id, l_discount AS disc FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1),
  b AS (SELECT l_orderkey AS cell_id, l_tax AS tax FROM lineitem WHERE l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) = 1) SELECT cell_id, disc, tax FROM a FULL JOIN b USING (cell_id)""")
 def aligned_indicators(spark: SparkSession, sf: str) -> DataFrame:
-    """Indicator columns of different cells side by side, each cell's first row."""
-    line = _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag").withColumnRenamed("l_orderkey", "cell_id")
-    one = lambda flag, column, name: tables.dedup_first(line.filter(F.col("l_returnflag") == flag), ["cell_id"], [F.col("l_linenumber")]).select("cell_id", F.col(column).alias(name))
+    """Indicator columns of different cells side by side, each cell's first row: of equal line numbers the first in the files."""
+    line = _t(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "_metadata.file_name", "_metadata.row_index").withColumnRenamed("l_orderkey", "cell_id")
+    order = [F.col(c) for c in ("l_linenumber", "file_name", "row_index")]
+    one = lambda flag, column, name: tables.dedup_first(line.filter(F.col("l_returnflag") == flag), ["cell_id"], order).select("cell_id", F.col(column).alias(name))
     return tables.outer_accumulate([one("A", "l_discount", "disc"), one("R", "l_tax", "tax")], "cell_id").select("cell_id", "disc", "tax")
 
 

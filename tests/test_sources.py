@@ -168,3 +168,17 @@ def test_lookup_rows_of_one_code_in_a_stated_order(spark, tmp_path):
     (tmp_path / "l.csv").write_text("cd_mun;uf;n\n12;SP;2\n0000012;AC;9\n12;AC;3\n7;RJ;1\n")
     got = readers.read_lookup(spark, f"{tmp_path}/l.csv", "cd_mun", ["uf", "n"]).collect()
     assert sorted(tuple(r) for r in got) == [("0000007", "RJ", "1"), ("0000012", "AC", "3")]
+
+
+def test_of_equal_line_numbers_the_first_in_the_files_is_taken(spark, tmp_path):
+    """Files are read in another order than they stand in (the larger first)."""
+    import gridindex.plans.queries_sources as registered
+
+    row = lambda k, d: (k, 1, d, d, "AR"[k % 2])
+    for name, rows in (("a", [row(k, 0.1) for k in range(10)]), ("b", [row(k % 10, 0.2) for k in range(5000)])):
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name in "ab":
+        next((tmp_path / name).glob("part-*")).rename(tmp_path / "lineitem.parquet" / f"part-{name}.parquet")
+    out = registered.aligned_indicators(spark, str(tmp_path)).collect()
+    assert sorted((r.cell_id, r.disc, r.tax) for r in out) == [(k, None, 0.1) if k % 2 else (k, 0.1, None) for k in range(10)]
