@@ -19,6 +19,8 @@ from gridindex.sources.registry import Registry
 from gridindex.sources.sinks import save_candidates, save_dimension_slices, save_run, save_slim
 
 WINSOR = (0.01, 0.99)
+#: What a mean of equal scores may be above them.
+ROUNDING = 1e-12
 
 
 def dasymetric_base(pairs: DataFrame, households: DataFrame) -> DataFrame:
@@ -296,10 +298,11 @@ def report_tables(cells: DataFrame, bounds: DataFrame, levels: Sequence[Sequence
 
 
 def report(cells: DataFrame, levels: Sequence[Sequence[str]], score: str, size_class: str, means: Sequence[str], key: str = "cell_id", order: Sequence[str] = ()) -> DataFrame:
-    """report_tables over one row a cell, with the percentage of all cells that score below each row's mean."""
+    """report_tables over one row a cell, with the percentage of all cells that score below each row's mean (by more than rounding)."""
     one = tables.dedup_first(cells, [key], [F.col(c) for c in order or sorted(cells.columns)])
     out = written(cells.sparkSession, report_tables(one, stats.group_quintiles(one, size_class, score), levels, score, size_class, means).withColumn("__row", F.monotonically_increasing_id()))
-    return out.join(stats.percent_below(one, score, out.filter("mean IS NOT NULL"), "__row", "mean").select("__row", F.col("percent").alias("percent_below")), "__row", "left").drop("__row")
+    limits = out.filter("mean IS NOT NULL").select("__row", (F.col("mean") - ROUNDING).alias("__below"))
+    return out.join(stats.percent_below(one, score, limits, "__row", "__below").select("__row", F.col("percent").alias("percent_below")), "__row", "left").drop("__row")
 
 
 def run_index(spark: SparkSession, registry: Registry, inputs: str, base: DataFrame, out: str, run_id: str, key: str = "cell_id", ids: Sequence[str] = (), order: Sequence[Column] = ()) -> tuple[str, list[str]]:

@@ -84,3 +84,10 @@ def test_gravity_is_worked_out_once(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     norm = {r.cell_id: r.norm_value for r in out.collect()}
     assert len(norm) == 40 and norm[0] == norm[39] == 1.0 and norm[20] < 0.01
+
+
+def test_equal_scores_are_not_below_their_mean(spark):
+    """Three times 0.1 has a mean a little above 0.1."""
+    cells = spark.createDataFrame([(k, "a" if k < 3 else "b", 0.1 if k < 3 else 0.9) for k in range(6)], "cell_id int, muni string, score double")
+    out = index.report(cells.withColumn("size", F.lit("s")), [(), ("muni",)], "score", "size", [])
+    assert {(r.level, r.muni): r.percent_below for r in out.filter("level <> 'size+class'").collect()} == {("all", None): 50.0, ("muni", "a"): 0.0, ("muni", "b"): 50.0}
