@@ -206,20 +206,34 @@ def _numbers(x: list | float) -> Column:
     return F.expr(sql(x))
 
 
+#: Rows that are compared with all centres at once: what they need stays in the processor's cache.
+STEP = 1024
+
+
 def _nearest_sums(starts: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a task hands on: for each start and centre the number of rows nearest to it, their squared distances and their sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(c.shape)) for c in starts]
+        first = np.stack(starts)  # start, centre, column
+        n, d, sums = np.zeros(first.shape[:2], np.int64), np.zeros(first.shape[:2]), np.zeros(first.shape)
+        width, offset = first.shape[1], np.arange(len(first)) * first.shape[1]
         for batch in batches:
-            p = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
-            for c, (n, d, sums) in zip(starts, held, strict=True):
-                square = ((p[:, None] - c[None]) ** 2).sum(axis=2)
-                own = square.argmin(axis=1)  # the first of equals
-                n += np.bincount(own, minlength=len(c))
-                d += np.bincount(own, weights=square[np.arange(len(p)), own], minlength=len(c))
-                sums += np.stack([np.bincount(own, weights=p[:, j], minlength=len(c)) for j in range(p.shape[1])], 1)
-        out = [(s, i, int(n[i]), float(d[i]), sums[i].tolist()) for s, (n, d, sums) in enumerate(held) for i in np.flatnonzero(n).tolist()]
+            rows = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for at in range(0, len(rows), STEP):
+                p = rows[at : at + STEP]
+                least, own = np.full((len(p), len(first)), np.inf), np.zeros((len(p), len(first)), np.int64)
+                for i in range(width):
+                    square = sum((p[:, j, None] - first[None, :, i, j]) ** 2 for j in range(p.shape[1]))
+                    nearer = square < least  # the first of equals
+                    np.copyto(own, i, where=nearer)
+                    np.copyto(least, square, where=nearer)
+                place = (own + offset).ravel()
+                total = lambda w: np.bincount(place, weights=w, minlength=n.size).reshape(n.shape)
+                n += np.bincount(place, minlength=n.size).reshape(n.shape)
+                d += total(least.ravel())
+                for j in range(p.shape[1]):
+                    sums[:, :, j] += total(np.repeat(p[:, j], len(first)))
+        out = [(s, i, int(n[s, i]), float(d[s, i]), sums[s, i].tolist()) for s, i in np.argwhere(n).tolist()]
         types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["s", "i", "n", "d", "sums"])
 
@@ -263,7 +277,8 @@ def kmeans_starts(df: DataFrame, columns: Sequence[str], key: str, k: int = 4, s
     whole = df.dropna(subset=list(columns))
     row = whole.agg(*(f(c).alias(f"{c}__{n}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop)))).head()
     z = F.array(*((F.col(c) - (row[f"{c}__mean"] or 0.0)) / (row[f"{c}__sd"] or 1.0) for c in columns))
-    rows = written(df.sparkSession, whole.withColumn("__z", z))
+    # a file a core: an iteration is much work on few bytes, which would be few tasks
+    rows = written(df.sparkSession, whole.withColumn("__z", z).repartition(df.sparkSession.sparkContext.defaultParallelism))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     first = [list(r[0]) for r in rows.orderBy(order, key).limit(starts * k).select("__z").collect()]
     matrices = [first[i : i + k] for i in range(0, len(first), k) if i == 0 or len(first) >= i + k]

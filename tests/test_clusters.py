@@ -62,3 +62,10 @@ def test_nothing_stays_in_memory(spark):
     df = spark.createDataFrame(blobs(3, 60), "id int, a double, b double, c double")
     stats.kmeans(df, ["a", "b"], "a", "id", k=3, starts=3).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_iterations_are_spread(spark):
+    """Few bytes and much work: rows in one partition lie in a file for each core."""
+    df = spark.createDataFrame(blobs(4), "id int, a double, b double, c double").coalesce(1)
+    rows, _ = stats.kmeans_starts(df, ["a", "b"], "id", k=3, starts=2)
+    assert len(rows.inputFiles()) == 4 and rows.count() == 300
