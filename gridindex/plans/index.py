@@ -41,7 +41,8 @@ def ratio_indicator(sums: DataFrame, numerators: Sequence[str], denominators: Se
     n, d = add(numerators), add(denominators)
     value = S.safe_ratio(S.capped_by(n, d) if overlapping else n, d)
     value = value if cap is None else S.clip(value, hi=cap)
-    scaled = stats.normalize_minmax(sums.select("cell_id", value.alias("abs_value")), ["abs_value"], winsorize, "_n")
+    values = written(sums.sparkSession, sums.select("cell_id", value.alias("abs_value")))  # read for the limits and again to be scaled
+    scaled = stats.normalize_minmax(values, ["abs_value"], winsorize, "_n")
     norm = F.col("abs_value_n")
     return scaled.select("cell_id", "abs_value", (S.invert(norm) if inverted else norm).alias("norm_value"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridindex.functions import scalars as S
 from gridindex.operators import stats, tables
 from gridindex.plans import index
+from gridindex.shared import written
 from gridindex.sources.registry import Indicator, Registry
 
 INCOME = "v06004"
@@ -42,7 +43,7 @@ def census_indicators(base: DataFrame, tracts: DataFrame, registry: Registry, re
         value = S.safe_ratio(S.capped_by(n, d) if i.source.get("or_logic") else n, d)
         return S.clip(value, hi=float(i.source["cap_abs"])) if i.source.get("cap_abs") else value
 
-    values = sums.select("cell_id", *(ratio(i).alias(i.key) for i in chosen))
+    values = written(base.sparkSession, sums.select("cell_id", *(ratio(i).alias(i.key) for i in chosen)))  # read for the limits and again to be scaled
     scaled = stats.normalize_minmax(values, [i.key for i in chosen], index.WINSOR, "__n")
     norm = lambda i: S.invert(F.col(f"{i.key}__n")) if i.source.get("invert_norm") else F.col(f"{i.key}__n")
     rows = F.array(*(F.struct(F.lit(i.key).alias("indicator"), F.col(i.key).alias("abs_value"), norm(i).alias("norm_value")) for i in chosen))

@@ -91,3 +91,12 @@ def test_equal_scores_are_not_below_their_mean(spark):
     cells = spark.createDataFrame([(k, "a" if k < 3 else "b", 0.1 if k < 3 else 0.9) for k in range(6)], "cell_id int, muni string, score double")
     out = index.report(cells.withColumn("size", F.lit("s")), [(), ("muni",)], "score", "size", [])
     assert {(r.level, r.muni): r.percent_below for r in out.filter("level <> 'size+class'").collect()} == {("all", None): 50.0, ("muni", "a"): 0.0, ("muni", "b"): 50.0}
+
+
+def test_census_sums_are_worked_out_once(spark):
+    """The limits and the scaled values read one table of sums, not the joins twice."""
+    base = spark.createDataFrame([(k, k % 4, 0.25) for k in range(40)], "cell_id int, tract_id int, weight double")
+    tracts = spark.createDataFrame([(k, 10.0 + k, 5.0, 900.0) for k in range(4)], "tract_id int, v1 double, v2 double, v06004 double")
+    for out in (indicators.census_indicators(base, tracts, REGISTRY, 1000.0, ["p4", "v1"]), index.ratio_indicator(base.join(tracts, "tract_id"), ["v1"], ["v2"])):
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.filter("abs_value IS NOT NULL").count() in (40, 80)
