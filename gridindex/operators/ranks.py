@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +12,34 @@ from pyspark.sql.window import Window
 from gridindex.shared import written
 
 
+#: About as many rows as a task orders or holds at most, beyond what tables of MANY rows in all are dealt to.
+ROWS, MANY = 1 << 19, 1 << 22
+
+
+def tasks(rows: int) -> int | None:
+    """How many tasks so many rows are dealt to: their number follows the rows. None: few rows, left to Spark."""
+    return -(-rows // ROWS) if rows > MANY else None
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by the hash of the keys to tasks(rows) tasks, which Spark does not put together again."""
+    n = tasks(rows)
+    return df.repartition(n, *keys) if n else df
+
+
+def _ranges(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    return (df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)).withColumn("__part", F.spark_partition_id())
+
+
 def dealt(df: DataFrame, *order: Column) -> DataFrame:
     """df by ascending ranges of the order, with the number of each row's range (__part), in the shared folder.
 
     df is read once: the cuts come from a table that is written first, and the ranges are kept, since sampled cuts may differ
-    from one job to the next.
+    from one job to the next. A range holds about ROWS rows at most, whatever the number of shuffle partitions.
     """
     spark = df.sparkSession
-    return written(spark, written(spark, df).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    rows = written(spark, df)
+    return written(spark, _ranges(rows, tasks(rows.count()), *order))
 
 
 def cumulative(counts: DataFrame, value: str, n: str) -> DataFrame:
@@ -32,35 +53,42 @@ def cumulative(counts: DataFrame, value: str, n: str) -> DataFrame:
     return placed.withColumn("before", F.col("__start") + F.coalesce(F.sum(n).over(lesser), F.lit(0))).drop("__part", "__start")
 
 
-def ranked(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank", total: str = "total") -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank", total: str = "total", rows: int | None = None) -> DataFrame:
     """df with the average rank of each value in its group (ties share theirs, from 1) and the group's number of values.
 
     Rows lie in ranges of group, value and a hash of the row, so a value that fills most of a column is many ranges. A range
-    ranks its own rows; only its first and its last value can go on elsewhere, and their counts are added up over ranges, of
-    which there is a row each. No row is joined by its value. A missing value has no rank; rows equal in every column stay together.
+    ranks its own rows, in a task of its own; only its first and its last value can go on elsewhere, and their counts are added
+    up over ranges, of which there is a row each. No row is joined by its value. A missing value has no rank; rows equal in
+    every column stay together. rows: about how many there are, for a df that can be read twice; else it is written and counted.
     """
-    rows = df.withColumn("__g", F.struct(*map(F.col, by), F.lit(0)))  # a struct: a null group is equal to itself
-    ascending = F.col(value).asc_nulls_last()
-    parts = dealt(rows, *(F.col(c) for c in by), ascending, F.xxhash64(*df.columns))
-    own, key = Window.partitionBy("__part", "__g"), ["__part", "__g"]
-    local = parts.withColumns({"__local": F.rank().over(own.orderBy(ascending)), "__peers": F.count("*").over(Window.partitionBy("__part", "__g", value))})
+    spark, names = df.sparkSession, df.columns
+    if rows is None:
+        df = written(spark, df)
+        rows = df.count()
+    v, ascending, key = F.col(value), F.col(value).asc_nulls_last(), ["__part", *by]
+    n = tasks(rows)
+    parts = _ranges(df, n, *(F.col(c) for c in by), ascending, F.xxhash64(*names))
+    parts = parts.repartitionById(n, F.col("__part")) if n else parts
+    own = Window.partitionBy(*key).orderBy(ascending)
+    upto = own.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = written(spark, parts.withColumns({"__low": F.rank().over(own), "__high": F.count(v).over(upto)}))  # sampled cuts may differ from one job to the next
     # what each range holds, and its two ends
-    counts = parts.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("c"))
-    held = counts.groupBy(*key).agg(F.sum("c").alias("n"), F.min(F.struct(value, "c")).alias("lo"), F.max(F.struct(value, "c")).alias("hi"))
-    start = F.sum("n").over(Window.partitionBy("__g").orderBy("__part")) - F.col("n")
-    held = held.select(*key, "n", start.alias("__start"), F.sum("n").over(Window.partitionBy("__g")).alias(total), "lo", "hi")
-    low = F.struct(F.lit("lo").alias("side"), F.col(f"lo.{value}").alias("v"), F.col("lo.c").alias("c"), F.col("__start").alias("before"))
-    high = F.struct(F.lit("hi").alias("side"), F.col(f"hi.{value}").alias("v"), F.when(F.col(f"hi.{value}") == F.col(f"lo.{value}"), 0).otherwise(F.col("hi.c")).alias("c"), (F.col("__start") + F.col("n") - F.col("hi.c")).alias("before"))
-    ends = held.select(*key, F.explode(F.array(low, high)).alias("e")).select(*key, "e.*")
-    whole = Window.partitionBy("__g", "v")  # the ranges that one value goes over
+    ks = [f"__k{i}" for i in range(len(key))]
+    held = local.groupBy(*(F.col(c).alias(k) for c, k in zip(key, ks, strict=True))).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.min(F.when(v.isNotNull(), F.col("__high"))).alias("lo_c"), F.max(F.when(v.isNotNull(), F.col("__low"))).alias("hi_low"))
+    start = F.sum("n").over(Window.partitionBy(*ks[1:]).orderBy(ks[0])) - F.col("n")
+    held = held.withColumns({"__start": start, "__total": F.sum("n").over(Window.partitionBy(*ks[1:]))})
+    low = F.struct(F.lit("lo").alias("side"), F.col("lo").alias("v"), F.col("lo_c").alias("c"), F.col("__start").alias("before"))
+    high = F.struct(F.lit("hi").alias("side"), F.col("hi").alias("v"), F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.col("n") - F.col("hi_low") + 1).alias("c"), (F.col("__start") + F.col("hi_low") - 1).alias("before"))
+    ends = held.select(*ks, "__start", "__total", F.explode(F.array(low, high)).alias("e")).select(*ks, "__start", "__total", "e.*")
+    whole = Window.partitionBy(*ks[1:], "v")  # the ranges that one value goes over
     ends = ends.withColumn("mean", F.min("before").over(whole) + (F.sum("c").over(whole) + 1) / 2)
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"__{side}_{c}")
-    ends = held.select(*key, "__start", total).join(ends.groupBy(*key).agg(*(pick(s, c) for s in ("lo", "hi") for c in ("v", "mean"))), key)
-    placed = local.join(F.broadcast(ends) if not by else ends, key, "left")
-    v = F.col(value)
-    inside = F.col("__start") + F.col("__local") - 1 + (F.col("__peers") + 1) / 2
+    ends = written(spark, ends.groupBy(*ks, "__start", "__total").agg(*(pick(s, c) for s in ("lo", "hi") for c in ("v", "mean"))))  # its size tells Spark how to join it
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(key, ks, strict=True)))
+    placed = local.join(F.broadcast(ends) if not by else ends, same)
+    inside = F.col("__start") + (F.col("__low") + F.col("__high")) / 2
     mean = F.when(v.isNull(), None).when(v == F.col("__lo_v"), F.col("__lo_mean")).when(v == F.col("__hi_v"), F.col("__hi_mean")).otherwise(inside)
-    return placed.withColumn(rank, mean.cast("double")).select(*df.columns, rank, total)
+    return placed.withColumn(rank, mean.cast("double")).select(*names, rank, F.col("__total").alias(total))
 
 
 def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridindex.functions.scalars import precision_recall_f1, to_num
-from gridindex.operators.ranks import cumulative, group_quantiles, ranked
+from gridindex.operators.ranks import cumulative, group_quantiles, ranked, spread
 from gridindex.operators.tables import column_quantiles, quantiles
 from gridindex.shared import written
 
@@ -77,22 +77,24 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
-def _gap_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+def _gap_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]], rows: int) -> DataFrame:
     """i, j, n, rho of columns v0, v1, ... (and an id) over the rows where both are there, each pair with ranks of its own."""
     side = lambda g, s, k: F.struct(F.lit(g).alias("g"), F.lit(s).alias("side"), F.col(f"v{k}").alias("v"))
     items = [F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), F.array(side(g, 0, i), side(g, 1, j))) for g, (i, j) in enumerate(pairs)]
     long = table.select("id", F.explode(F.flatten(F.filter(F.array(*items), lambda x: x.isNotNull()))).alias("r")).select("id", "r.*")
-    ranks = ranked(long, ["g", "side"], "v").groupBy("g", "id").agg(*(F.max(F.when(F.col("side") == k, F.col("rank"))).alias(f"r{k}") for k in (0, 1)))
+    most = 2 * len(pairs) * rows
+    ranks = spread(ranked(long, ["g", "side"], "v", rows=most).select("g", "side", "id", "rank"), most, "g", "id").groupBy("g", "id").agg(*(F.max(F.when(F.col("side") == k, F.col("rank"))).alias(f"r{k}") for k in (0, 1)))
     one = ranks.groupBy("g").agg(F.count("*").alias("n"), F.corr("r0", "r1").alias("rho"))
     names = table.sparkSession.createDataFrame([(g, i, j) for g, (i, j) in enumerate(pairs)], "g int, i int, j int")
     return one.join(F.broadcast(names), "g").select("i", "j", "n", "rho")
 
 
-def _whole_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+def _whole_pairs(table: DataFrame, pairs: Sequence[tuple[int, int]], rows: int) -> DataFrame:
     """i, j, n, rho of columns without missing values: each is ranked once, and all correlations are one aggregate."""
     columns = sorted({k for p in pairs for k in p})
     long = table.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(f"v{k}").alias("v")) for k in columns))).alias("r")).select("id", "r.c", "r.v")
-    wide = ranked(long, ["c"], "v").groupBy("id").agg(*(F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in columns))
+    every = len(columns) * rows
+    wide = spread(ranked(long, ["c"], "v", rows=every).select("id", "c", "rank"), every, "id").groupBy("id").agg(*(F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in columns))
     one = wide.agg(F.count("*").alias("n"), *(F.corr(f"r{i}", f"r{j}").alias(f"p{g}") for g, (i, j) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"p{g}").alias("rho")) for g, (i, j) in enumerate(pairs)))).alias("r")).select("r.*")
 
@@ -109,9 +111,9 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], flag_at: float = 0.7)
         return spark.createDataFrame([], "a string, b string, n long, rho double, strong boolean")
     rows = df.select(F.monotonically_increasing_id().alias("id"), *(to_num(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
     rows = written(spark, rows)  # ids stay as they are
-    missing = rows.agg(*(F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(columns)))).head()
+    missing = rows.agg(F.count("*").alias("rows"), *(F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(columns)))).head()
     gaps = {i for i in range(len(columns)) if missing[f"v{i}"]}
-    found = [f(rows, some) for f, some in ((_whole_pairs, [p for p in pairs if not gaps & set(p)]), (_gap_pairs, [p for p in pairs if gaps & set(p)])) if some]
+    found = [f(rows, some, missing["rows"]) for f, some in ((_whole_pairs, [p for p in pairs if not gaps & set(p)]), (_gap_pairs, [p for p in pairs if gaps & set(p)])) if some]
     sums = reduce(DataFrame.unionByName, found)
     every = spark.createDataFrame([(i, j, columns[i], columns[j]) for i, j in pairs], "i int, j int, a string, b string")  # a row a pair
     out = F.broadcast(every).join(F.broadcast(sums), ["i", "j"], "left")

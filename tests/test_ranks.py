@@ -55,6 +55,21 @@ def test_spearman_of_mostly_zeros(spark):
             assert n == len(both) and rho == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
 
 
+def test_a_rank_has_a_task_for_so_many_rows(spark, monkeypatch):
+    """Tasks follow the rows, not the shuffle partitions (4 here); ranks and totals stay those of the whole group."""
+    monkeypatch.setattr(ranks, "ROWS", 500)
+    monkeypatch.setattr(ranks, "MANY", 1000)
+    rows = [(i, float(i) if i % 20 == 0 else 0.0 if i % 3 else None) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id int, v double")
+    parts = ranks.dealt(df, F.col("v"), F.xxhash64("id", "v")).groupBy("__part").count().collect()
+    assert len(parts) >= 9 and max(r["count"] for r in parts) <= 1000
+    values = [v for _, v in rows if v is not None]
+    want = average_ranks(values)
+    for by in ([], ["g"]):
+        got = {r.id: (r["rank"], r.total) for r in ranks.ranked(df.withColumn("g", F.lit("a")), by, "v").collect()}
+        assert all(got[i] == (want[v] if v is not None else None, len(values)) for i, v in rows)
+
+
 def test_quantiles_read_their_input_once(spark):
     df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v"))
     seen = spark.sparkContext.accumulator(0)
