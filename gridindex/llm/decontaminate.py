@@ -10,7 +10,7 @@ with a check of the item's closing words, decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -37,6 +37,8 @@ MAX_ITEMS, MAX_CHARS = 100_000, 1 << 26
 MAX_WORDS = 400_000
 #: Items searched at once, blocks times items of one product, and rows of a matrix that are sent or multiplied at once.
 SLICE, CELLS, ROWS = 4096, 1 << 22, 1 << 14
+#: Entries of a group that are added side by side with other groups'.
+STEPS = 64
 
 
 class Items(NamedTuple):
@@ -138,33 +140,54 @@ def _counts(term: np.ndarray, block: np.ndarray, n_blocks: int, column: np.ndarr
     return _Counts(term[light], block[light], np.bincount(block[dense].astype(np.int64) * n_heavy + at[dense], minlength=n_blocks * n_heavy).reshape(n_blocks, n_heavy).astype(np.float32))
 
 
+def _add_rows(out: np.ndarray, group: np.ndarray, source: np.ndarray, at: np.ndarray) -> None:
+    """Adds source[at], a row an entry, to the rows of out named by group (in order): first all groups' first entries at once,
+    then all second ones, up to STEPS, and what the longest groups have beyond that, group by group."""
+    if not len(group):
+        return
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.diff(first, append=len(group))
+    longest = np.argsort(-n, kind="stable")
+    first, n = first[longest], n[longest]
+    total = source[at[first]]
+    for k, more in enumerate(np.searchsorted(-n, -np.arange(1, min(int(n[0]), STEPS))).tolist(), 1):  # more groups have over k entries
+        total[:more] += source[at[first[:more] + k]]
+    for k in range(int(np.searchsorted(-n, -STEPS))):
+        total[k] += source[at[first[k] + STEPS : first[k] + n[k]]].sum(0)
+    out[group[first]] += total
+
+
 def _rows_of_blocks(c: _Counts, weights: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """blocks x columns: the sum of the weights' rows over each block's words."""
     out = c.heavy @ weights[heavy]
-    if len(c.term):
-        first = np.flatnonzero(np.diff(c.block, prepend=-1))
-        out[c.block[first]] += np.add.reduceat(weights[c.term], first, axis=0)
+    _add_rows(out, c.block, weights, c.term)
     return out
 
 
-COMPACT = "n_blocks int, term binary, block binary"
+COMPACT = "ids array<long>, blocks binary, known binary, term binary, place binary"
 
 
 def _compact(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """The known words of all blocks, a chunk of texts a row: word indices and block numbers as 32-bit integers."""
+    """The known words of all texts, a chunk of texts a row: their doc_ids, each text's numbers of blocks and known words, and
+    the words' indices and places, as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in _chunks(batch.column(0), vocabulary):
-                yield pa.RecordBatch.from_arrays([pa.array([c.n_blocks], pa.int32()), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (c.term, c.block))], ["n_blocks", "term", "block"])
+            for c in _chunks(batch.column(1), vocabulary):
+                ids = pa.ListArray.from_arrays(pa.array([0, c.n_docs], pa.int32()), batch.column(0).slice(c.lo, c.n_docs))
+                counts = (np.bincount(x, minlength=c.n_docs) for x in (c.doc, c.doc[c.block]))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (*counts, c.term, c.place))], ["ids", "blocks", "known", "term", "place"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, COMPACT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, COMPACT)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Chunk]]:
+    """The chunks that were packed, each with the doc_ids of its texts."""
     for batch in batches:
-        for n, term, block in zip(*(batch.column(k) for k in range(3)), strict=True):
-            yield n.as_py(), np.frombuffer(term.as_buffer(), np.int32), np.frombuffer(block.as_buffer(), np.int32)
+        for k in range(len(batch)):
+            blocks, known, term, place = (np.frombuffer(batch.column(i)[k].as_buffer(), np.int32) for i in range(1, 5))
+            docs, base = np.arange(len(blocks)), np.cumsum(blocks) - blocks
+            yield batch.column(0)[k].values, _Chunk(0, len(blocks), np.repeat(docs, blocks), term, np.repeat(base, known) + place // BLOCK, place, int(blocks.sum()))
 
 
 def _document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
@@ -172,9 +195,9 @@ def _document_frequencies(table: DataFrame, size: int) -> tuple[np.ndarray, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, blocks = np.zeros(size, np.int64), 0
-        for n, term, block in _unpacked(batches):
-            found += np.bincount(np.unique(block.astype(np.int64) * size + term) % size, minlength=size)
-            blocks += n
+        for _, c in _unpacked(batches):
+            found += np.bincount(np.unique(c.block * size + c.term) % size, minlength=size)
+            blocks += c.n_blocks
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], blocks))], ["term", "n"])
 
@@ -192,15 +215,15 @@ def _gram_times(spark: SparkSession, table: DataFrame, idf: np.ndarray, heavy: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, total = shared.value, np.zeros((size, n), np.float32)
-        for n_blocks, term, block in _unpacked(batches):
+        for term, block, n_blocks in ((c.term[a:b], c.block[a:b] - lo, min(ROWS, c.n_blocks - lo)) for _, c in _unpacked(batches) for lo in range(0, c.n_blocks, ROWS) for a, b in [np.searchsorted(c.block, (lo, lo + ROWS))]):
             norm = np.bincount(block, weights=square[term], minlength=n_blocks)
             c = _counts(term, block, n_blocks, column, len(heavy))
-            rows = _rows_of_blocks(c, weights, heavy) / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
+            rows = _rows_of_blocks(c, weights, heavy)
+            rows /= np.maximum(norm, 1e-9).astype(np.float32)[:, None]
             total[heavy] += c.heavy.T @ rows
             if len(c.term):
                 order = np.argsort(c.term, kind="stable")
-                first = np.flatnonzero(np.diff(c.term[order], prepend=-1))
-                total[c.term[order][first]] += np.add.reduceat(rows[c.block[order]], first, axis=0)
+                _add_rows(total, c.term[order], rows, c.block[order])
         found = np.flatnonzero(total.any(1))
         for lo in range(0, len(found), ROWS):
             at = found[lo : lo + ROWS]
@@ -248,9 +271,14 @@ def fit_space(spark: SparkSession, docs: DataFrame, words: np.ndarray, rank: int
 
     Texts are read once; what is left of them, the benchmark's words (sorted hashes), is written to the shared folder for the passes.
     """
+    return _fitted(spark, docs, words, rank, seed)[0]
+
+
+def _fitted(spark: SparkSession, docs: DataFrame, words: np.ndarray, rank: int = RANK, seed: int = 7) -> tuple[Space, DataFrame | None]:
+    """fit_space, and the table of the texts' known words (None where there are no words), for the search."""
     size = len(words)
     if not size:
-        return Space(words, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32))
+        return Space(words, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 1), np.float32)), None
     table = checkpointed(spark, _compact(docs, words), "known_words")
     frequency, blocks = _document_frequencies(table, size)
     idf, heavy = np.log((2 + blocks) / (1 + frequency)), np.flatnonzero(frequency > HEAVY * blocks)
@@ -262,7 +290,7 @@ def fit_space(spark: SparkSession, docs: DataFrame, words: np.ndarray, rank: int
     top = top[values[top] > 1e-9 * max(values.max(), 1e-30)] if values.max() > 0 else top[:1]
     basis = q @ (vectors[:, top] * np.maximum(values[top] / max(values.max(), 1e-30), 1e-12) ** (-WHITEN / 2)).astype(np.float32)
     basis *= idf.astype(np.float32)[:, None]
-    return Space(words, idf, heavy, basis)
+    return Space(words, idf, heavy, basis), table
 
 
 def model_of(space: Space, benchmark: DataFrame) -> Model:
@@ -278,17 +306,22 @@ def model_of(space: Space, benchmark: DataFrame) -> Model:
     return Model(items, space.idf[at], heavy, weighted, pieces, latent, _slices(items))
 
 
-def models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, level: int = 0) -> Iterator[Model]:
+def models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Iterator[Model]:
     """A model for each part of the benchmark, one after the other; all parts share one fit unless the words are over MAX_WORDS."""
+    return (model for model, _, _ in _models(spark, docs, benchmark))
+
+
+def _models(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, level: int = 0) -> Iterator[tuple[Model, np.ndarray, DataFrame | None]]:
+    """models, each with the words of its fit and the table of the texts' known words."""
     words = checkpointed(spark, vocabulary(benchmark), "vocabulary")
     if words.count() > MAX_WORDS and level < 40 and benchmark.select("text").distinct().limit(2).count() > 1:
         half = F.shiftrightunsigned(F.xxhash64("item_id", "text"), level).bitwiseAND(F.lit(1))
         for side in (0, 1):
-            yield from models(spark, docs, benchmark.filter(half == side), level + 1)
+            yield from _models(spark, docs, benchmark.filter(half == side), level + 1)
         return
-    space = fit_space(spark, docs, np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)))
+    space, table = _fitted(spark, docs, np.sort(words.toArrow().column(0).to_numpy().view(np.uint64)))
     for part in parts(benchmark):
-        yield model_of(space, part)
+        yield model_of(space, part), space.vocabulary, table
 
 
 def _pieces(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,15 +404,19 @@ def search(column: pa.Array, model: Model) -> list[list[Leak]]:
     Blocks and items are taken in parts of CELLS products, with as many blocks around as an item can reach.
     """
     out: list[list[Leak]] = [[] for _ in range(len(column))]
+    if model.items.ids:
+        _search(out, _chunks(column, model.items.vocabulary), model)
+    return out
+
+
+def _search(out: list[list[Leak]], chunks: Iterable[_Chunk], model: Model) -> None:
     items = model.items
-    if not items.ids:
-        return out
     sizes = np.diff(items.first)
     needed = np.ceil(LCS_WITH_ANSWER * sizes - 1e-9).astype(np.float32)
     more = -(-sizes // BLOCK)
     column_of = _columns(model.heavy, len(items.vocabulary))
     owner = np.repeat(np.arange(len(sizes)), np.diff(model.pieces))
-    for c in _chunks(column, items.vocabulary):
+    for c in chunks:
         if not c.n_blocks:
             continue
         by_block = np.argsort(c.block.astype(np.int64) * len(items.vocabulary) + c.term)
@@ -394,15 +431,14 @@ def search(column: pa.Array, model: Model) -> list[list[Leak]]:
                 lo, hi = max(start - reach, 0), min(stop + reach, c.n_blocks)
                 span = slice(*np.searchsorted(block, (lo, hi)))
                 part = _counts(term[span], block[span] - lo, hi - lo, column_of, len(model.heavy))
-                _propose(found, c.doc, first_block, last_block, part, _held(part, s, model.heavy), s, model, owner, needed, more, lo, start, stop)
+                rows = _rows_of_blocks(part, model.basis, model.heavy)
+                _propose(found, c.doc, first_block, last_block, rows, _held(part, s, model.heavy), s, model, owner, needed, more, lo, start, stop)
         if found:
             _decide(out, c, found, items, more, first_block, last_block)
-    return out
 
 
-def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block: np.ndarray, part: _Counts, held: _Held, s: _Slice, model: Model, owner: np.ndarray, needed: np.ndarray, more: np.ndarray, lo: int, start: int, stop: int) -> None:
+def _propose(found: dict, doc: np.ndarray, first_block: np.ndarray, last_block: np.ndarray, rows: np.ndarray, held: _Held, s: _Slice, model: Model, owner: np.ndarray, needed: np.ndarray, more: np.ndarray, lo: int, start: int, stop: int) -> None:
     """Puts the candidates that begin in the blocks start .. stop - 1 into found: (text, item) -> first block, last block, cosine."""
-    rows = _rows_of_blocks(part, model.basis, model.heavy)
     at = np.arange(start, stop)
     latent = model.latent[model.pieces[s.lo] : model.pieces[s.hi]]
     each = rows[start - lo :] @ latent.T  # what a passage and a piece have in common is the sum over its blocks
@@ -470,10 +506,11 @@ def _decide(out: list[list[Leak]], c: _Chunk, found: dict, items: Items, more: n
             a, b = max(a - int(more[k]), int(first_block[a])), min(b + int(more[k]), int(last_block[b]))
             span = slice(int(known[a]), int(known[b + 1]))
             words = c.term[span].tolist()
-            share = lcs(mask, size, words) / size
+            own = [w for w in words if w in mask]  # others are in no common sequence
+            share = lcs(mask, size, own) / size if len(own) >= LCS_WITH_ANSWER * size else 0.0
             if share < LCS_WITH_ANSWER or (best and share <= best[3]):
                 continue
-            tail = lcs(tail_mask, tail_size, words) / tail_size
+            tail = lcs(tail_mask, tail_size, own) / tail_size
             if share >= LCS or tail >= ANSWER:
                 places = c.place[span]
                 best = (k, len(words), cos, share, tail, int(places[0]), int(places[-1]) + 1)
@@ -505,11 +542,30 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     null doc_id stays null; empty tables give no rows; other columns are ignored.
     """
 
-    def of(model: Model) -> DataFrame:
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaks(spark, model, F.col("text")).alias("leak"))
-        return found.select("doc_id", F.explode("leak").alias("leak")).select("doc_id", "leak.*")
-
-    return reduce(DataFrame.unionByName, map(of, models(spark, docs, benchmark)))
+    def of(model: Model, words: np.ndarray, table: DataFrame | None) -> DataFrame:
+        schema = f"doc_id long, item_id {model.items.kind}, cosine double, lcs double, answer double, first_word long, last_word long"
+        if table is None or not model.items.ids:
+            return spark.createDataFrame([], schema)
+        kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _parse_datatype_string(schema)])
+        shared, size = spark.sparkContext.broadcast((model, np.searchsorted(words, model.items.vocabulary))), len(words)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, at = shared.value
+            own = np.full(size, -1, np.int32)  # a part's words among those of the fit
+            own[at] = np.arange(len(at))
+            for ids, c in _unpacked(batches):
+                if len(at) < size:
+                    known = np.flatnonzero(own[c.term] >= 0)
+                    c = c._replace(term=own[c.term[known]], block=c.block[known], place=c.place[known])
+                out: list[list[Leak]] = [[] for _ in range(c.n_docs)]
+                _search(out, [c], m)
+                rows = [(ids[k].as_py(), m.items.ids[leak[0]], *leak[2:]) for k, found in enumerate(out) for leak in found]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+        return table.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, (of(*x) for x in _models(spark, docs, benchmark)))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -191,3 +191,29 @@ def test_words_beyond_one_fit(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_WORDS", 400)
     assert len(list(decontaminate.models(spark, df, bench))) > 1
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, df, bench).collect()} == {(k, k) for k in range(40)}
+
+
+def test_rows_are_added_by_group():
+    rng = np.random.default_rng(3)
+    group = np.sort(np.concatenate([rng.integers(0, 50, 400), np.full(200, 7), np.full(64, 60), np.full(65, 61)]))
+    source, at = rng.standard_normal((30, 5)).astype(np.float32), rng.integers(0, 30, len(group))
+    out, want = np.ones((70, 5), np.float32), np.ones((70, 5))
+    np.add.at(want, group, source[at])
+    decontaminate._add_rows(out, group, source, at)
+    assert np.allclose(out, want, atol=1e-4)
+    decontaminate._add_rows(out, group[:0], source, at[:0])
+    assert np.allclose(out, want, atol=1e-4)
+
+
+def test_texts_are_read_once(spark):
+    """The search takes the words that the fit has kept; texts are not cut into words again. Repeated and missing ids stay."""
+    rng = random.Random(4)
+    vocabulary = words(rng, 500)
+    items = [[rng.choice(vocabulary) for _ in range(30)] for _ in range(10)]
+    seen = spark.sparkContext.accumulator(0)
+    docs = [(1, " ".join(items[2])), (1, " ".join(items[2])), (None, " ".join(items[5])), (3, None), (4, "")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 2).map(lambda r: (seen.add(1), r)[1]), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.contaminated(spark, df, bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.lcs, r.first_word, r.last_word) for r in rows) == [(0, 5, 1.0, 0, 30), (1, 2, 1.0, 0, 30), (1, 2, 1.0, 0, 30)]
+    assert seen.value == 5
