@@ -91,11 +91,13 @@ def ranked(df: DataFrame, by: Sequence[str], value: str, rank: str = "rank", tot
     return placed.withColumn(rank, mean.cast("double")).select(*names, rank, F.col("__total").alias(total))
 
 
-def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float]) -> DataFrame:
+def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], others: DataFrame | None = None) -> DataFrame:
     """by, q (linear-interpolated quantiles) and n (values) of each group that has a value, by selection.
 
     Values are counted by group; the counts lie in ranges, whose sums tell in which range each wanted rank falls; only those
     ranges are sorted. The input is read once, and neither a large group nor a column of many values is held by one task.
+    others: by, less and total (a few groups) where df is a stretch of each group's values: how many values are less than
+    those, and how many there are in all; quantiles outside the stretch are null.
     """
     v = F.col(value).cast("double")
     rows = df.select(F.col(by).alias("by"), v.alias("v")).filter("v IS NOT NULL")
@@ -103,6 +105,8 @@ def group_quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float])
     parts = dealt(counts, F.col("by"), F.col("v")).withColumn("g", F.struct("by"))
     sums = parts.groupBy("g", "__part").agg(F.sum("n").alias("s"))
     starts = sums.select("g", "__part", "s", (F.sum("s").over(Window.partitionBy("g").orderBy("__part")) - F.col("s")).alias("start"), F.sum("s").over(Window.partitionBy("g")).alias("total"))
+    if others is not None:
+        starts = starts.drop("total").join(F.broadcast(others.select(F.struct(F.col(by).alias("by")).alias("g"), "less", "total")), "g").withColumn("start", F.col("start") + F.col("less"))
     at = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
     ranks = [(f"{name}{i}", rank) for i, p in enumerate(at) for name, rank in (("lo", F.floor(p)), ("hi", F.ceil(p)))]
     falls = [(F.col("start") <= k) & (k < F.col("start") + F.col("s")) for _, k in ranks]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridindex.functions.scalars import joined_distinct, precision_recall_f1, safe_ratio, to_num
 from gridindex.operators.ranks import cumulative, group_quantiles, ranked
+from gridindex.shared import written
 
 # joins
 
@@ -144,10 +147,45 @@ def range_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("indicator"), *(F.col(f"{c}__{k}").alias(k) for k in ("outside", "missing"))) for c in columns))).alias("r")).select("r.*")
 
 
+#: Rows that are sampled to find where the quantiles of larger tables lie.
+SAMPLE = 100_000
+
+
 def column_quantiles(df: DataFrame, values: Mapping[str, Column], shares: Sequence[float]) -> dict[str, list[float]]:
-    """The quantiles of several columns at once; a column without a value is left out."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), v.cast("double").alias("value")) for c, v in values.items()))).alias("r")).select("r.*")
-    return {r.column: list(r.q) for r in group_quantiles(long, "column", "value", shares).collect()}  # one row a column
+    """The quantiles of several columns at once, exactly; a column without a value is left out.
+
+    df is read once. Of a large table a sample tells between which two values a quantile lies; one pass counts what is below
+    and between, and only what is between is put in order. Where the counts show that the sample was wrong, it is the column.
+    """
+    spark, names = df.sparkSession, [f"v{i}" for i in range(len(values))]
+    table = written(spark, df.select(*(v.cast("double").alias(n) for n, v in zip(names, values.values(), strict=True))))
+    rows = table.count()
+    if rows <= 10 * SAMPLE:
+        long = table.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(n).alias("value")) for n, c in zip(names, values, strict=True)))).alias("r")).select("r.*")
+        return {r.column: list(r.q) for r in group_quantiles(long, "column", "value", shares).collect()}  # one row a column
+    sample = table.sample(fraction=SAMPLE / rows, seed=1).toArrow()  # bounded
+    stretches = [(n, j, *_around(np.sort(sample.column(n).drop_null().to_numpy()), share)) for n in names for j, share in enumerate(shares)]
+    inside = lambda n, lo, hi: F.col(n).isNotNull() & (F.lit(True) if lo is None else F.col(n) >= lo) & (F.lit(True) if hi is None else F.col(n) <= hi)
+    counts = [x for k, (n, _, lo, hi) in enumerate(stretches) for x in (F.count_if(F.lit(False) if lo is None else F.col(n) < lo).alias(f"less{k}"), F.count_if(inside(n, lo, hi)).alias(f"in{k}"))]
+    one = table.agg(*(F.count(n).alias(n) for n in names), *counts).head()
+    for k, (n, j, lo, hi) in enumerate(stretches):
+        at = float(shares[j]) * (one[n] - 1)
+        if not one[f"less{k}"] <= math.floor(at) <= math.ceil(at) < one[f"less{k}"] + one[f"in{k}"]:
+            stretches[k] = (n, j, None, None)
+    picked = F.array(*(F.when(inside(n, lo, hi), F.struct(F.lit(k).alias("k"), F.col(n).alias("v"))) for k, (n, _, lo, hi) in enumerate(stretches)))
+    long = table.select(F.explode(F.filter(picked, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    others = spark.createDataFrame([(k, 0 if lo is None else one[f"less{k}"], one[n]) for k, (n, _, lo, _) in enumerate(stretches)], "k int, less long, total long")
+    found = {r.k: r.q for r in group_quantiles(long, "k", "v", shares, others).collect()}  # one row a column and share
+    return {c: [found[k][stretches[k][1]] for k in range(i * len(shares), (i + 1) * len(shares))] for i, (n, c) in enumerate(zip(names, values, strict=True)) if one[n]}
+
+
+def _around(ordered: np.ndarray, share: float) -> tuple[float | None, float | None]:
+    """Two values of a sample that have the quantile of the whole between them, by six standard errors; None: no bound."""
+    m = len(ordered)
+    error = 6 * math.sqrt(m * share * (1 - share)) + 6
+    lo, hi = math.floor(m * share - error), math.ceil(m * share + error)
+    lo, hi = (float(ordered[x]) if 0 <= x < m else None for x in (lo, hi))
+    return lo, None if hi is not None and math.isnan(hi) else hi
 
 
 def area_by_cell(overlaps: DataFrame) -> DataFrame:

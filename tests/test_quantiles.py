@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridindex.operators import stats, tables
@@ -26,3 +28,22 @@ def test_plans_hold_no_value_map(spark):
     import inspect
 
     assert inspect.signature(stats.normalize_minmax).parameters["mode"].default == inspect.signature(tables.quantiles).parameters["mode"].default == "sorted"
+
+
+@pytest.mark.parametrize("wrong", [False, True])
+def test_columns_of_a_large_table_are_put_in_order_around_their_quantiles_alone(spark, monkeypatch, wrong):
+    """Exact, also where the sample is wrong, one value fills most of a column, or a column has gaps or no value."""
+    monkeypatch.setattr(tables, "SAMPLE", 2000)
+    around, seen = tables._around, []
+    monkeypatch.setattr(tables, "_around", lambda ordered, share: (0.123, 0.124) if wrong else around(ordered, share))
+    select = tables.group_quantiles
+    monkeypatch.setattr(tables, "group_quantiles", lambda df, *a: (seen.append(df.count()), select(df, *a))[1])
+    rng = np.random.default_rng(1)
+    a, b = rng.random(30_000), np.where(rng.random(30_000) < 0.9, 0.0, rng.random(30_000))
+    rows = [(float(x), float(y), None if k % 3 else float(k), None) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    shares = [0.0, 0.01, 0.99, 1.0]
+    got = tables.column_quantiles(df, {c: F.col(c) for c in "abcd"}, shares)
+    want = {"a": a, "b": b, "c": np.arange(0, 30_000, 3.0)}
+    assert set(got) == set(want) and all(got[c] == pytest.approx(np.quantile(v, shares).tolist(), abs=1e-12) for c, v in want.items())
+    assert wrong or seen[0] < 75_000  # of 280,000 values and shares; the 27,000 equal ones are counted
